@@ -210,7 +210,7 @@ _PAIRS = """pairs AS (
 
 _ENTRY = "chr(10) || CASE role WHEN 'user' THEN 'Human' WHEN 'assistant' THEN 'Assistant' ELSE role END || ': ' || text"
 
-_HISTORY = f"""SELECT conv_id, turn, (turn // 1024)::BIGINT AS page, coalesce(string_agg({_ENTRY}, '') OVER (
+_HISTORY = f"""SELECT conv_id, turn, (turn // 128)::BIGINT AS page, coalesce(string_agg({_ENTRY}, '') OVER (
   PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history_tail
 FROM conversations"""
 

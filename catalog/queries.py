@@ -28,7 +28,7 @@ from folioscope.plans.answer import answer, chat_prompts
 from folioscope.plans.evaluate import correctness_scores, evaluation_table, relevancy_scores
 from folioscope.plans.ingest import build_points, file_chunks, ingest
 from folioscope.plans.retrieve import Retriever, naive_retriever, reranked_retriever
-from folioscope.session import fresh_folder, work_folder
+from folioscope.session import fresh_folder, stored, work_folder
 from folioscope.sources.files import file_text, text_parser
 from folioscope.sources.index import Collection, collection_report, keep_latest, sample_files
 from folioscope.streaming.ingest import start_ingest
@@ -556,12 +556,10 @@ def metric_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the metrics over all questions."""
     evaluated = _evaluation(spark, sf_dir).select("question_id", "question", "answer", "ground_truth")
     # Both metrics start from the same answers, which are written once rather than found twice.
-    folder = fresh_folder(spark, "evaluation")
-    evaluated.write.parquet(folder)
-    stored = spark.read.parquet(folder)
-    relevancy = relevancy_scores(stored, embedder())
-    correctness = correctness_scores(stored, embedder())
-    return stored.select("question_id").join(relevancy, "question_id", "left").join(
+    table_once = stored(evaluated, "evaluation")
+    relevancy = relevancy_scores(table_once, embedder())
+    correctness = correctness_scores(table_once, embedder())
+    return table_once.select("question_id").join(relevancy, "question_id", "left").join(
         correctness, "question_id", "left"
     ).agg(
         rounded(F.avg("answer_relevancy")).alias("answer_relevancy"),

@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 
 from folioscope import constants as C
 
-# Unicode white space plus the four ASCII separators, i.e. what Python's
-# str.strip() removes.  Spark's trim() removes spaces only.
-_SPACE = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)\A{_SPACE}+|{_SPACE}+\z"
+# White space as Python's str.strip() sees it: the Unicode property and the four ASCII
+# separators.  Spark's trim() removes only spaces unless it is told what to remove.
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _INK = r"(?U)[^\s\x1c-\x1f]"
 _WORD = r"[\p{L}\p{N}]+"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, F.lit(_EDGES), F.lit(""))
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def has_text(text: Column) -> Column:

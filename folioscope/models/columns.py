@@ -26,6 +26,11 @@ class TextModel(Protocol):
     def complete(self, prompt: str) -> str: ...
 
 
+def _once(udf):
+    """Keep the optimizer from repeating a call, as it may for a filter on its result."""
+    return udf.asNondeterministic()
+
+
 def embed_column(make_embedder: Callable[[], Embedder], text: Column) -> Column:
     """``ARRAY<FLOAT>`` vectors of ``text``.  An error of the service fails the task,
     and Spark retries it."""
@@ -38,7 +43,7 @@ def embed_column(make_embedder: Callable[[], Embedder], text: Column) -> Column:
                 [np.asarray(v, dtype=np.float32) for v in embedder.embed(texts)], dtype=object
             )
 
-    return embed(text)
+    return _once(embed)(text)
 
 
 def complete_column(make_model: Callable[[], TextModel], prompt: Column, on_error: str | None = "raise") -> Column:
@@ -59,7 +64,7 @@ def complete_column(make_model: Callable[[], TextModel], prompt: Column, on_erro
         for prompts in batches:
             yield prompts.map(ask)
 
-    return complete(prompt)
+    return _once(complete)(prompt)
 
 
 def summary_column(text: Column, make_model: Callable[[], TextModel] | None = None) -> Column:

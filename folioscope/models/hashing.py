@@ -5,23 +5,29 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 
 # Runs of letters and digits; the same words that functions.text.words() finds.
 _WORD = re.compile(r"[^\W_]+")
 
+#: Words whose bucket an embedder remembers before it starts over.
+_MEMORY = 1 << 20
 
-@lru_cache(maxsize=1 << 16)
-def _bucket(word: str, size: int) -> int:
-    return int(hashlib.sha256(word.encode()).hexdigest()[:8], 16) % size
 
+class _Buckets(dict):
+    """Hash bucket of each word, computed when first asked for."""
 
-def hashed_counts(text: str, size: int) -> np.ndarray:
-    """Number of words of ``text`` per hash bucket."""
-    buckets = [_bucket(word, size) for word in _WORD.findall(text.lower())]
-    return np.bincount(np.asarray(buckets, dtype=np.int64), minlength=size).astype(np.float32)
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _MEMORY:
+            self.clear()
+        digest = hashlib.sha256(word.encode()).digest()
+        bucket = self[word] = int.from_bytes(digest[:4], "big") % self.size
+        return bucket
 
 
 class HashingEmbedder:
@@ -29,6 +35,11 @@ class HashingEmbedder:
 
     def __init__(self, size: int):
         self.size = size
+        self._buckets = _Buckets(size)
 
     def embed(self, texts: Iterable[str]) -> list[np.ndarray]:
-        return [hashed_counts(text or "", self.size) for text in texts]
+        return [self._counts(text or "") for text in texts]
+
+    def _counts(self, text: str) -> np.ndarray:
+        buckets = map(self._buckets.__getitem__, _WORD.findall(text.lower()))
+        return np.bincount(np.fromiter(buckets, np.int64), minlength=self.size).astype(np.float32)

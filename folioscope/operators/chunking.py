@@ -87,7 +87,8 @@ def recursive_chunk_column(
 
     is_long = F.length(text) >= size
     # The UDF runs for every row whatever the branch, so short texts are replaced by null.
-    long_chunks = split(F.when(is_long, text))
+    # Marked as not deterministic, so that no derived filter repeats it.
+    long_chunks = split.asNondeterministic()(F.when(is_long, text))
     return (
         F.when(is_long, long_chunks)
         .when(has_text(text), F.array(strip(text)))
@@ -103,65 +104,66 @@ def line_chunk_column(
     A line that is longer than ``size`` makes a chunk that is longer than ``size``.
     """
     rows = F.filter(F.split(text, C.LINE_SEPARATOR, -1), lambda line: line != "")
-    no_rows = F.array().cast("array<string>")
-    empty_state = F.struct(
-        no_rows.alias("done"),
-        no_rows.alias("window"),
+    # transform over a one-element array names a value, so that it is computed once
+    return F.transform(F.array(rows), lambda named: _runs_of_lines(named, size, overlap))[0]
+
+
+def _runs_of_lines(rows: Column, size: int, overlap: int) -> Column:
+    """Chunks of an array of lines.  The running state is a range of lines, not their text."""
+    no_runs = F.array().cast("array<struct<first: int, n: int>>")
+    start = F.struct(
+        no_runs.alias("runs"),
+        F.lit(1).alias("first"),
+        F.lit(0).alias("n"),
         F.lit(0).alias("length"),
     )
 
-    def joined(window: Column) -> Column:
-        return strip(F.array_join(window, C.LINE_SEPARATOR))
+    def run(state: Column) -> Column:
+        return F.array(F.struct(state["first"].alias("first"), state["n"].alias("n")))
 
-    def kept(window: Column, line: Column) -> Column:
-        """How many trailing lines of the full window the next one repeats."""
-        start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("length"), F.lit(True).alias("open"))
+    def repeated(state: Column, line: Column) -> Column:
+        """How many last lines of the finished run the next one repeats, and their length."""
 
-        def extend(state: Column, earlier: Column) -> Column:
-            longer = state["length"] + F.length(earlier) + 1
-            fits = state["open"] & (longer <= overlap) & (longer + 1 + F.length(line) <= size)
+        def extend(kept: Column, earlier: Column) -> Column:
+            longer = kept["length"] + F.length(earlier) + 1
+            fits = kept["open"] & (longer <= overlap) & (longer + 1 + F.length(line) <= size)
             return F.struct(
-                F.when(fits, state["n"] + 1).otherwise(state["n"]).alias("n"),
-                F.when(fits, longer).otherwise(state["length"]).alias("length"),
+                F.when(fits, kept["n"] + 1).otherwise(kept["n"]).alias("n"),
+                F.when(fits, longer).otherwise(kept["length"]).alias("length"),
                 fits.alias("open"),
             )
 
-        return F.aggregate(F.reverse(window), start, extend)
+        none = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("length"), F.lit(True).alias("open"))
+        return F.aggregate(F.reverse(F.slice(rows, state["first"], state["n"])), none, extend)
 
     def step(state: Column, line: Column) -> Column:
-        window = state["window"]
-        grown = state["length"] + F.length(line) + F.when(F.size(window) > 0, 1).otherwise(0)
-
-        def full() -> Column:
-            # transform over a one-element array names the value, so it is computed once
-            return F.transform(
-                F.array(kept(window, line)),
-                lambda keep: F.struct(
-                    F.concat(state["done"], F.array(joined(window))).alias("done"),
-                    F.concat(
-                        F.slice(window, F.size(window) - keep["n"] + 1, keep["n"]), F.array(line)
-                    ).alias("window"),
-                    (F.length(line) + F.when(keep["n"] > 0, keep["length"] + 1).otherwise(0)).alias(
-                        "length"
-                    ),
-                ),
-            )[0]
-
-        return F.when((F.size(window) > 0) & (grown > size), full()).otherwise(
+        grown = state["length"] + F.length(line) + F.when(state["n"] > 0, 1).otherwise(0)
+        next_run = F.transform(
+            F.array(repeated(state, line)),
+            lambda kept: F.struct(
+                F.concat(state["runs"], run(state)).alias("runs"),
+                (state["first"] + state["n"] - kept["n"]).alias("first"),
+                (kept["n"] + 1).alias("n"),
+                (kept["length"] + 1 + F.length(line)).alias("length"),
+            ),
+        )[0]
+        return F.when((state["n"] > 0) & (grown > size), next_run).otherwise(
             F.struct(
-                state["done"].alias("done"),
-                F.concat(window, F.array(line)).alias("window"),
+                state["runs"].alias("runs"),
+                state["first"].alias("first"),
+                (state["n"] + 1).alias("n"),
                 grown.alias("length"),
             )
         )
 
     def finish(state: Column) -> Column:
-        last = F.when(
-            F.size(state["window"]) > 0, F.array(joined(state["window"]))
-        ).otherwise(no_rows)
-        return F.filter(F.concat(state["done"], last), lambda chunk: chunk != "")
+        runs = F.when(state["n"] > 0, F.concat(state["runs"], run(state))).otherwise(no_runs)
+        texts = F.transform(
+            runs, lambda r: strip(F.array_join(F.slice(rows, r["first"], r["n"]), C.LINE_SEPARATOR))
+        )
+        return F.filter(texts, lambda chunk: chunk != "")
 
-    return F.aggregate(rows, empty_state, step, finish)
+    return F.aggregate(rows, start, step, finish)
 
 
 def explode_chunks(df: DataFrame, chunks: Column) -> DataFrame:

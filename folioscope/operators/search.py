@@ -26,6 +26,9 @@ from folioscope.session import BROADCAST_LIMIT_BYTES
 #: every machine, whatever the order of additions, and the id decides between them.
 SCORE_DECIMALS = 10
 
+#: Upper bound of one hit row in a broadcast: two ids, a rank and a score.
+_HIT_BYTES = 256
+
 #: Cells of one score matrix in a task; bounds its memory to about 64 MB.
 _SCORE_CELLS = 8_000_000
 
@@ -87,6 +90,10 @@ def top_k(
 
     Ties go to the smaller point id.  There is no score threshold and no filter; a
     filter on ``index`` before the call reaches its scan.
+
+    The result has at most ``k`` rows per question, and the questions were counted, so
+    it is marked for broadcast when that bound is small enough: a later join with the
+    payloads then reads the index in place instead of shuffling it.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -107,11 +114,12 @@ def top_k(
     finally:
         asked.unpersist()
     order = Window.partitionBy(question_id).orderBy(F.col("score").desc(), F.col(point_id))
-    return (
+    hits = (
         local.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select(question_id, "rank", point_id, "score")
     )
+    return F.broadcast(hits) if found["n"] * k * _HIT_BYTES <= batch_bytes else hits
 
 
 def _local_top_k(

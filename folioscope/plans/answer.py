@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import lines
+from folioscope.functions.text import PROMPTS, fill_template, lines
 from folioscope.models.columns import TextModel, complete_column
 from folioscope.operators.answers import assemble, with_prompt
 from folioscope.operators.chat import open_questions, prompt_parts
 from folioscope.plans.retrieve import Retriever
+from folioscope.session import stored
 
 
 def extractive_answer(contexts: Column) -> Column:
@@ -69,10 +70,12 @@ def chat_prompts(
     template: str = "default",
 ) -> DataFrame:
     """The prompt parts of the open question of every session: ``(session, part, text)``."""
-    from folioscope.functions.text import PROMPTS, fill_template
-
-    asked = open_questions(messages, session, turn).select(
-        F.col(session).alias("question_id"), session, turn, F.col("text").alias("question")
+    # One row per session, used by every step below: found once.
+    asked = stored(
+        open_questions(messages, session, turn).select(
+            F.col(session).alias("question_id"), session, turn, F.col("text").alias("question")
+        ),
+        "asked",
     )
     prepared = with_context(asked, retriever).drop("question_id")
     before, after = PROMPTS[template].split("{chat_history}")

@@ -18,6 +18,7 @@ from folioscope.operators.answers import (
     word_overlap,
 )
 from folioscope.operators.search import top_k
+from folioscope.session import stored
 from folioscope.sources.index import Collection
 
 
@@ -25,7 +26,7 @@ from folioscope.sources.index import Collection
 class Retriever:
     """Settings of one retrieval; ``top_n`` asks for reranking."""
 
-    points: DataFrame
+    collection: Collection
     make_embedder: Callable[[], Embedder]
     k: int = C.TOP_K
     top_n: int | None = None
@@ -40,8 +41,14 @@ class Retriever:
         asked = questions.select(
             "question_id", embed_column(self.make_embedder, F.col("question")).alias("vector")
         )
-        hits = top_k(asked, self.points, self.k)
-        documents = cited_documents(hits, self.points, self.citation, self.strict_keys)
+        points = self.collection.points()
+        hits = top_k(asked, points, self.k)
+        found = points
+        if self.collection.has_many_files():
+            # The lookup and the join below both use the hits: the search runs once.
+            hits = stored(hits, "hits")
+            found = self.collection.lookup(hits)
+        documents = cited_documents(hits, found, self.citation, self.strict_keys)
         if self.top_n is None:
             return in_search_order(documents)
         return rerank(
@@ -63,7 +70,7 @@ def naive_retriever(
     collection: Collection, make_embedder: Callable[[], Embedder] | None = None, k: int = C.TOP_K, **options
 ) -> Retriever:
     """The ``k`` nearest points of an existing collection."""
-    return Retriever(collection.require().points(), _embedder(collection, make_embedder), k, **options)
+    return Retriever(collection.require(), _embedder(collection, make_embedder), k, **options)
 
 
 def reranked_retriever(
@@ -75,5 +82,5 @@ def reranked_retriever(
 ) -> Retriever:
     """The ``k`` nearest points, of which reranking keeps ``top_n``."""
     return Retriever(
-        collection.require().points(), _embedder(collection, make_embedder), k, top_n, **options
+        collection.require(), _embedder(collection, make_embedder), k, top_n, **options
     )

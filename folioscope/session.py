@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Largest table, in bytes, that the library itself turns into a broadcast.
 BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
@@ -48,3 +48,14 @@ def work_folder(spark: SparkSession) -> str:
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the work folder and read back, which cuts its lineage.
+
+    The files outlive the executors that wrote them, and their size tells Spark whether
+    a join may broadcast them.
+    """
+    folder = fresh_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

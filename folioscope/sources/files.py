@@ -79,7 +79,8 @@ def python_parser(parse: Callable[[bytes], tuple[list[str], dict | None]]) -> Pa
             )
         return pd.DataFrame(rows, columns=["pages", "metadata"])
 
-    return parsed
+    # Marked as not deterministic, so that no derived filter parses a file twice.
+    return parsed.asNondeterministic()
 
 
 def read_pdf(content: bytes) -> tuple[list[str], dict | None]:

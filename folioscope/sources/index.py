@@ -15,6 +15,7 @@ half-way leaves neither duplicates nor gaps.  One writer at a time is assumed.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,19 @@ from folioscope import constants as C
 from folioscope.functions.payload import matches_all
 from folioscope.functions.vectors import checked_size
 from folioscope.operators.chunking import chunk_lengths
-from folioscope.schemas import PAYLOAD, VECTOR
+from folioscope.schemas import PAYLOAD, POINT, VECTOR
 
-MANIFEST_SCHEMA = "path string, file_name string, file_hash string, ingest int"
+#: Distinct files per row group that the Bloom filters are sized for: about the number
+#: of chunks of full length that a row group of 128 MB holds.
+ROW_GROUP_FILES = 10_000
+
+#: A lookup in an index of fewer data files reads them all.
+LOOKUP_MIN_FILES = 64
+
+#: A lookup that needs more data files than this reads the whole index.
+LOOKUP_MAX_FILES = 1000
+
+MANIFEST_SCHEMA = "path string, file_name string, file_hash string"
 LEDGER_SCHEMA = (
     "file_hash string, file_name string, path string, n_chunks long, min_length int, "
     "max_length int, median_length int, ingest int"
@@ -88,11 +99,29 @@ class Collection:
 
     def points(self) -> DataFrame:
         """``(id, vector, payload)`` of finished ingests; unfinished ones are pruned as partitions."""
-        return (
-            self._read("points", POINTS_SCHEMA)
-            .where(F.col("ingest") <= self.last_ingest())
-            .drop("ingest")
-        )
+        return self._committed().drop("ingest")
+
+    def _committed(self) -> DataFrame:
+        return self._read("points", POINTS_SCHEMA).where(F.col("ingest") <= self.last_ingest())
+
+    def has_many_files(self) -> bool:
+        return len(self.points().inputFiles()) >= LOOKUP_MIN_FILES
+
+    def lookup(self, ids: DataFrame, max_files: int = LOOKUP_MAX_FILES) -> DataFrame:
+        """Points that include all those whose ``id`` occurs in ``ids``, for a join on the id.
+
+        A first pass reads only the id column and finds the data files that hold the
+        ids.  Where these are few, only they are read for the payloads, rather than the
+        texts of the whole index.
+        """
+        held = self._committed().select("id", F.col("_metadata.file_path").alias("_file"))
+        files = held.join(ids.select("id"), "id", "left_semi").select("_file").distinct()
+        paths = [unquote(row["_file"]) for row in files.limit(max_files + 1).collect()]
+        if len(paths) > max_files:
+            return self.points()
+        if not paths:
+            return self.spark.createDataFrame([], POINT)
+        return self.spark.read.schema(POINT).parquet(*paths)
 
     def scroll(self, terms: dict[str, str] | None = None, limit: int = 10) -> DataFrame:
         """The first ``limit`` points by id that match all keyword ``terms``."""
@@ -110,7 +139,7 @@ class Collection:
         """Write the files chosen for an ingest, so that every later step sees the same ones."""
         target = f"{self._table('manifest')}/ingest={ingest}"
         new.select("path", "file_name", "file_hash").write.mode("overwrite").parquet(target)
-        return self.spark.read.schema("path string, file_name string, file_hash string").parquet(target)
+        return self.spark.read.schema(MANIFEST_SCHEMA).parquet(target)
 
     def write_points(self, points: DataFrame, ingest: int) -> DataFrame:
         """Write the points of an ingest and return their file hashes and texts.
@@ -127,7 +156,9 @@ class Collection:
             .write.mode("overwrite")
         )
         for field in C.KEYWORD_FIELDS:
-            writer = writer.option(f"parquet.bloom.filter.enabled#payload.{field}", "true")
+            writer = writer.option(f"parquet.bloom.filter.enabled#payload.{field}", "true").option(
+                f"parquet.bloom.filter.expected.ndv#payload.{field}", str(ROW_GROUP_FILES)
+            )
         writer.parquet(target)
         return self.spark.read.parquet(target).select("payload.file_hash", "payload.text")
 
