@@ -17,7 +17,7 @@ from folioscope.session import stored
 
 def extractive_answer(contexts: Column) -> Column:
     """First line of the best context; the offline stand-in for a chat model."""
-    return F.coalesce(lines(contexts[0])[0], F.lit(""))
+    return F.coalesce(F.get(lines(F.get(contexts, 0)), 0), F.lit(""))
 
 
 def with_context(questions: DataFrame, retriever: Retriever) -> DataFrame:

@@ -19,7 +19,7 @@ from folioscope.operators.answers import (
 )
 from folioscope.operators.search import top_k
 from folioscope.session import stored
-from folioscope.sources.index import Collection
+from folioscope.sources.index import LOOKUP_MIN_FILES, Collection
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ class Retriever:
         points = self.collection.points()
         hits = top_k(asked, points, self.k)
         found = points
-        if self.collection.has_many_files():
+        if len(points.inputFiles()) >= LOOKUP_MIN_FILES:
             # The lookup and the join below both use the hits: the search runs once.
             hits = stored(hits, "hits")
             found = self.collection.lookup(hits)

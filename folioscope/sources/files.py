@@ -25,7 +25,10 @@ def _named(files: DataFrame) -> DataFrame:
 
 
 def scan_folder(spark: SparkSession, folder: str, suffix: str = C.FILE_SUFFIX) -> DataFrame:
-    """``(path, file_name, content)`` of the files directly in ``folder`` with the suffix."""
+    """``(path, file_name, content)`` of the files directly in ``folder`` with the suffix.
+
+    Files of zero bytes are not listed.
+    """
     return _named(
         spark.read.format("binaryFile").option("pathGlobFilter", suffix_glob(suffix)).load(folder)
     )

@@ -31,7 +31,7 @@ from folioscope.schemas import PAYLOAD, POINT, VECTOR
 #: of chunks of full length that a row group of 128 MB holds.
 ROW_GROUP_FILES = 10_000
 
-#: A lookup in an index of fewer data files reads them all.
+#: With fewer data files than this, finding the right ones is no gain over reading them all.
 LOOKUP_MIN_FILES = 64
 
 #: A lookup that needs more data files than this reads the whole index.
@@ -104,9 +104,6 @@ class Collection:
     def _committed(self) -> DataFrame:
         return self._read("points", POINTS_SCHEMA).where(F.col("ingest") <= self.last_ingest())
 
-    def has_many_files(self) -> bool:
-        return len(self.points().inputFiles()) >= LOOKUP_MIN_FILES
-
     def lookup(self, ids: DataFrame, max_files: int = LOOKUP_MAX_FILES) -> DataFrame:
         """Points that include all those whose ``id`` occurs in ``ids``, for a join on the id.
 
