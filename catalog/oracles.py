@@ -78,21 +78,45 @@ def _line_chunks(name: str) -> list[str]:
     return _splitter(name, "documents", "doc_id", pieces, C.LINE_CHUNK_SIZE, C.LINE_CHUNK_OVERLAP, "\n")
 
 
-def _recursive_chunks(name: str, source: str, key: str) -> list[str]:
-    """The coarsest separator present decides the pieces.  This statement does not cut
-    pieces again that reach the chunk size; no piece does at the scale it is run at.
+def _chars(text: str) -> str:
+    return "||".join(f"chr({ord(c)})" for c in text)
+
+
+def _recursive_chunks(
+    name: str, source: str, key: str, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP
+) -> list[str]:
+    """Texts are cut at the coarsest separator they contain, and pieces of ``size`` or more
+    again at finer ones.  Neighbouring short pieces of one cut form a group, and groups are
+    what runs are made of; zero-padded paths keep the order.
     """
-    choice = " ".join(
-        f"WHEN contains(text, {'||'.join(f'chr({ord(c)})' for c in s)}) THEN {'||'.join(f'chr({ord(c)})' for c in s)}"
-        for s in C.CHUNK_SEPARATORS
-        if s
-    )
-    chosen = f"{name}_source AS (SELECT {key}, text, CASE {choice} END AS sep FROM {source})"
-    pieces = (
-        "CASE WHEN sep IS NULL THEN [text] ELSE list_filter(list_transform(string_split(text, sep), "
-        "lambda x, i: CASE WHEN i = 1 THEN x ELSE sep || x END), lambda x: x <> '') END"
-    )
-    return [chosen, *_splitter(name, f"{name}_source", key, pieces, C.CHUNK_SIZE, C.CHUNK_OVERLAP, "")]
+    separators = [s for s in C.CHUNK_SEPARATORS if s]
+    level = "CASE " + " ".join(
+        f"WHEN level <= {i} AND contains(text, {_chars(s)}) THEN {i}" for i, s in enumerate(separators)
+    ) + f" ELSE {len(separators)} END"
+    separator = "CASE cut " + " ".join(f"WHEN {i} THEN {_chars(s)}" for i, s in enumerate(separators)) + " END"
+    pieces = f"""CASE WHEN cut = {len(separators)} THEN string_split(text, '')
+      ELSE list_filter(list_transform(string_split(text, {separator}),
+           lambda x, i: CASE WHEN i = 1 THEN x ELSE {separator} || x END), lambda x: x <> '') END"""
+    return [
+        f"""{name}_cuts AS (
+  SELECT {key}, ''::VARCHAR AS parent, ''::VARCHAR AS path, text, 0 AS level, false AS short FROM {source}
+  UNION ALL
+  SELECT {key}, path, path || lpad(i::VARCHAR, 8, '0') || '/', piece, cut + 1, length(piece) < {size}
+  FROM (SELECT {key}, path, cut, unnest(parts) AS piece, generate_subscripts(parts, 1) AS i
+        FROM (SELECT {key}, path, cut, {pieces} AS parts
+              FROM (SELECT {key}, path, text, {level} AS cut FROM {name}_cuts WHERE NOT short))))""",
+        f"""{name}_grouped AS (
+  SELECT {key}, parent, path, text, short,
+         sum((NOT short)::INT) OVER (PARTITION BY {key}, parent ORDER BY path) AS run
+  FROM {name}_cuts WHERE path <> '')""",
+        f"""{name}_groups AS (
+  SELECT {key}, {key} || '|' || parent || '|' || run AS grp, min(path) AS place, list(text ORDER BY path) AS parts
+  FROM {name}_grouped WHERE short GROUP BY ALL)""",
+        *_splitter(f"{name}_parts", f"{name}_groups", "grp", "parts", size, overlap, ""),
+        f"""{name} AS (
+  SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY place, p.chunk_index) - 1)::INT AS chunk_index, p.text
+  FROM {name}_parts p JOIN {name}_groups USING (grp))""",
+    ]
 
 
 _POINTS = [
@@ -332,6 +356,9 @@ SELECT doc_id, unnest(l) AS text, (generate_subscripts(l, 1) - 1)::INT AS line_i
     sql["chunk_recursive"] = (
         _with(*_recursive_chunks("chunks", "documents", "doc_id")) + "SELECT doc_id, chunk_index, text FROM chunks"
     )
+    sql["chunk_recursive_short"] = (
+        _with(*_recursive_chunks("chunks", "documents", "doc_id", 60, 15)) + "SELECT doc_id, chunk_index, text FROM chunks"
+    )
     sql["chunk_stats"] = (
         _with(*_line_chunks("chunks"))
         + """SELECT doc_id, count(*) AS n_chunks, min(length(text))::INT AS min_length, max(length(text))::INT AS max_length,
@@ -387,6 +414,12 @@ UNION ALL SELECT doc_id, 'page', page FROM payloads WHERE has_page"""
 
     sql["vector_topk5"] = _embedding_search(C.TOP_K)
     sql["vector_topk25"] = _embedding_search(C.OVER_RETRIEVE_K)
+    sql["text_retrieval"] = _with(
+        "points AS (SELECT conv_id || '-' || turn AS id, text, NULL::VARCHAR AS file_name FROM conversations)",
+        _QUESTIONS,
+        *_hits(C.TOP_K),
+        _DOCUMENTS,
+    ) + "SELECT question_id, position::INT AS position, id, round(score, 6) AS score, page_content FROM found"
     sql["naive_retrieval"] = _with(*_NAIVE) + f"SELECT {_RETRIEVED} FROM found"
     prefix = "'[Source: ' || source || ', page ' || page || ']' || chr(10) || text AS page_content"
     sql["citation_prefix"] = _with(*_NAIVE) + (
@@ -435,6 +468,16 @@ FROM pairs"""
     ) + f"""SELECT conv_id, 0::BIGINT AS part, {_prompt(C.PROMPT_DEFAULT, values)} AS text
 FROM open_questions JOIN assembled USING (question_id) JOIN history USING (conv_id, turn)"""
 
+    sql["chat_turns"] = _with(
+        *_POINTS,
+        _OPEN,
+        *_hits(C.OVER_RETRIEVE_K, "open_questions"),
+        _DOCUMENTS,
+        *_reranked("open_questions"),
+    ) + """SELECT conv_id, o.turn + 1 AS turn, 'assistant' AS role,
+  coalesce(string_split(page_content, chr(10))[1], '') AS text
+FROM open_questions o LEFT JOIN best b ON b.question_id = o.question_id AND position = 1"""
+
     sql["eval_dataset"] = _with(*_EVALUATION) + """SELECT e.question_id, question, answer, ground_truth,
   (position - 1)::INT AS context_index, page_content AS context
 FROM evaluation e LEFT JOIN found USING (question_id)"""

@@ -24,10 +24,10 @@ from folioscope.models.hashing import HashingEmbedder
 from folioscope.operators import answers, chat, chunking, evaluation
 from folioscope.operators.files import first_copies, new_files, with_hash
 from folioscope.operators.search import top_k
-from folioscope.plans.answer import answer, chat_prompts
+from folioscope.plans.answer import answer, chat_prompts, chat_turns as reply_to_open_questions
 from folioscope.plans.evaluate import correctness_scores, evaluation_table, relevancy_scores
 from folioscope.plans.ingest import build_points, file_chunks, ingest
-from folioscope.plans.retrieve import Retriever, naive_retriever, reranked_retriever
+from folioscope.plans.retrieve import Retriever, naive_retriever, reranked_retriever, text_retriever
 from folioscope.session import fresh_folder, stored, work_folder
 from folioscope.sources.files import file_text, text_parser
 from folioscope.sources.index import Collection, collection_report, keep_latest, sample_files
@@ -186,6 +186,13 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.explode_chunks(documents, chunking.recursive_chunk_column(F.col("text")))
 
 
+@query
+def chunk_recursive_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short chunks, for which pieces are cut again at finer and finer separators."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunking.explode_chunks(documents, chunking.recursive_chunk_column(F.col("text"), 60, 15))
+
+
 @query
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_lengths(chunk_naive(spark, sf_dir), "doc_id")
@@ -394,6 +401,16 @@ def _retrieved(retriever: Retriever, asked: DataFrame) -> DataFrame:
     )
 
 
+@query
+def text_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five chat messages nearest to every question, from vectors kept in the session."""
+    texts = messages(spark, sf_dir).select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text"
+    )
+    found = text_retriever(texts, embedder()).retrieve(questions(spark, sf_dir))
+    return found.select("question_id", "position", "id", rounded(F.col("score")).alias("score"), "page_content")
+
+
 @query
 def naive_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest chunks of every question, with the citation at the end."""
@@ -516,6 +533,13 @@ def chat_prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_prompts(messages(spark, sf_dir), retriever, "conv_id")
 
 
+@query
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reply to the latest question of every conversation, as the next message."""
+    retriever = reranked_retriever(document_collection(spark, sf_dir))
+    return reply_to_open_questions(messages(spark, sf_dir), retriever, session="conv_id")
+
+
 # --- evaluation --------------------------------------------------------------
 
 

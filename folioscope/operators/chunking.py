@@ -172,13 +172,13 @@ def explode_chunks(df: DataFrame, chunks: Column) -> DataFrame:
     return df.select(*keep, F.posexplode(chunks).alias("chunk_index", "text"))
 
 
-def chunk_lengths(chunks: DataFrame, *keys: str) -> DataFrame:
+def chunk_lengths(chunks: DataFrame, *keys: str, length: Column | None = None) -> DataFrame:
     """Number, shortest, longest and (truncated) median chunk length per key.
 
     ``percentile`` merges counts of distinct lengths, which chunking bounds, so a file that
     holds most of the chunks is reduced before the shuffle.
     """
-    length = F.length("text")
+    length = F.length("text") if length is None else length
     return chunks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.min(length).alias("min_length"),

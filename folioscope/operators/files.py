@@ -26,12 +26,14 @@ def first_copies(files: DataFrame, order: str = "path", *carry: str) -> DataFram
 
 
 def not_indexed(files: DataFrame, indexed: DataFrame) -> DataFrame:
-    """The files whose hash is not in ``indexed``.
+    """The files whose hash is not in ``indexed``; ``files`` has unique hashes.
 
-    ``files`` should already be reduced to first copies, so that hashes are unique on
-    the left; the right side is reduced to distinct hashes here.
+    An outer join rather than an anti join: the optimizer would push an anti join below
+    the aggregation that made the hashes unique, where all copies of one content meet in
+    one task.  The right side is reduced to distinct hashes here.
     """
-    return files.join(indexed.select("file_hash").distinct(), "file_hash", "left_anti")
+    known = indexed.select("file_hash").distinct().withColumn("_known", F.lit(True))
+    return files.join(known, "file_hash", "left").where(F.col("_known").isNull()).drop("_known")
 
 
 def new_files(files: DataFrame, indexed: DataFrame, order: str = "path", *carry: str) -> DataFrame:

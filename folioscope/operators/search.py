@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioscope.session import BROADCAST_LIMIT_BYTES
+#: Largest question matrix that is broadcast at once; every Python worker holds a copy.
+QUESTION_BATCH_BYTES = 64 * 1024 * 1024
 
 #: Scores are compared after rounding to this many decimals, so equal vectors tie on
 #: every machine, whatever the order of additions, and the id decides between them.
@@ -84,7 +85,7 @@ def top_k(
     question_vector: str = "vector",
     point_id: str = "id",
     point_vector: str = "vector",
-    batch_bytes: int = BROADCAST_LIMIT_BYTES,
+    batch_bytes: int = QUESTION_BATCH_BYTES,
 ) -> DataFrame:
     """``(question_id, rank, point_id, score)`` of the ``k`` nearest points, best first.
 

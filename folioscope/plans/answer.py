@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions.text import PROMPTS, fill_template, lines
 from folioscope.models.columns import TextModel, complete_column
@@ -62,6 +64,28 @@ def answer(
     return prompted.withColumn("answer", reply)
 
 
+def _asked(messages: DataFrame, session: str, turn: str) -> DataFrame:
+    """The open question of every session, found once for all the steps that use it."""
+    asked = open_questions(messages, session, turn)
+    return stored(
+        asked.select(F.col(session).alias("question_id"), session, turn, F.col("text").alias("question")),
+        "asked",
+    )
+
+
+def _parts(prepared: DataFrame, messages: DataFrame, session: str, turn: str, template: str) -> DataFrame:
+    before, after = PROMPTS[template].split("{chat_history}")
+    values = {name: F.col(name) for name in ("context", "references", "question")}
+    return prompt_parts(
+        prepared.drop("question_id"),
+        messages,
+        fill_template(before, values),
+        fill_template(after, values),
+        session,
+        turn,
+    )
+
+
 def chat_prompts(
     messages: DataFrame,
     retriever: Retriever,
@@ -70,16 +94,54 @@ def chat_prompts(
     template: str = "default",
 ) -> DataFrame:
     """The prompt parts of the open question of every session: ``(session, part, text)``."""
-    # One row per session, used by every step below: found once.
-    asked = stored(
-        open_questions(messages, session, turn).select(
-            F.col(session).alias("question_id"), session, turn, F.col("text").alias("question")
-        ),
-        "asked",
-    )
-    prepared = with_context(asked, retriever).drop("question_id")
-    before, after = PROMPTS[template].split("{chat_history}")
-    values = {name: F.col(name) for name in ("context", "references", "question")}
-    return prompt_parts(
-        prepared, messages, fill_template(before, values), fill_template(after, values), session, turn
+    prepared = with_context(_asked(messages, session, turn), retriever)
+    return _parts(prepared, messages, session, turn, template)
+
+
+def chat_turns(
+    messages: DataFrame,
+    retriever: Retriever,
+    make_model: Callable[[], TextModel] | None = None,
+    session: str = "session_id",
+    turn: str = "turn",
+    template: str = "default",
+) -> DataFrame:
+    """The reply to the open question of every session, as messages to append.
+
+    A reply takes the turn after its question.  Without a model it is the first line of
+    the best context.
+    """
+    asked = _asked(messages, session, turn)
+    prepared = with_context(asked, retriever)
+    if make_model is None:
+        replies = prepared.select(session, extractive_answer(F.col("contexts")).alias("text"))
+    else:
+        replies = _complete_parts(_parts(prepared, messages, session, turn, template), make_model, session)
+    return asked.join(replies, session).select(
+        session, (F.col(turn) + 1).alias(turn), F.lit("assistant").alias("role"), "text"
     )
+
+
+def _complete_parts(parts: DataFrame, make_model: Callable[[], TextModel], session: str) -> DataFrame:
+    """One model call per session, on the parts of its prompt joined in order."""
+
+    def complete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make_model()
+        current, pieces = None, []
+
+        def reply() -> pd.DataFrame:
+            return pd.DataFrame({session: [current], "text": [model.complete("".join(pieces))]})
+
+        for batch in batches:
+            for key, text in zip(batch[session], batch["text"]):
+                if pieces and key != current:
+                    yield reply()
+                    pieces = []
+                current = key
+                pieces.append(text)
+        if pieces:
+            yield reply()
+
+    schema = T.StructType([parts.schema[session], T.StructField("text", T.StringType())])
+    # Only the parts of one prompt are held at a time, not the sessions of a partition.
+    return parts.repartition(session).sortWithinPartitions(session, "part").mapInPandas(complete, schema)

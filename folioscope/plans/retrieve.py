@@ -26,7 +26,7 @@ from folioscope.sources.index import LOOKUP_MIN_FILES, Collection
 class Retriever:
     """Settings of one retrieval; ``top_n`` asks for reranking."""
 
-    collection: Collection
+    points: DataFrame
     make_embedder: Callable[[], Embedder]
     k: int = C.TOP_K
     top_n: int | None = None
@@ -35,19 +35,20 @@ class Retriever:
     scorer: Callable[[Column, Column], Column] = word_overlap
     rerank_on: str = "text"
     renumber: bool = False
+    #: Narrows the points to those that may hold given ids, for an index of many data files.
+    lookup: Callable[[DataFrame], DataFrame] | None = None
 
     def retrieve(self, questions: DataFrame) -> DataFrame:
         """Documents of each question of ``(question_id, question)``, in order of ``position``."""
         asked = questions.select(
             "question_id", embed_column(self.make_embedder, F.col("question")).alias("vector")
         )
-        points = self.collection.points()
-        hits = top_k(asked, points, self.k)
-        found = points
-        if len(points.inputFiles()) >= LOOKUP_MIN_FILES:
+        hits = top_k(asked, self.points, self.k)
+        found = self.points
+        if self.lookup is not None and len(found.inputFiles()) >= LOOKUP_MIN_FILES:
             # The lookup and the join below both use the hits: the search runs once.
             hits = stored(hits, "hits")
-            found = self.collection.lookup(hits)
+            found = self.lookup(hits)
         documents = cited_documents(hits, found, self.citation, self.strict_keys)
         if self.top_n is None:
             return in_search_order(documents)
@@ -61,16 +62,17 @@ class Retriever:
         )
 
 
-def _embedder(collection: Collection, make_embedder: Callable[[], Embedder] | None):
-    size = collection.vector_size
-    return make_embedder or (lambda: HashingEmbedder(size))
+def _over(collection: Collection, make_embedder: Callable[[], Embedder] | None, **options) -> Retriever:
+    size = collection.require().vector_size
+    make_embedder = make_embedder or (lambda: HashingEmbedder(size))
+    return Retriever(collection.points(), make_embedder, lookup=collection.lookup, **options)
 
 
 def naive_retriever(
     collection: Collection, make_embedder: Callable[[], Embedder] | None = None, k: int = C.TOP_K, **options
 ) -> Retriever:
     """The ``k`` nearest points of an existing collection."""
-    return Retriever(collection.require(), _embedder(collection, make_embedder), k, **options)
+    return _over(collection, make_embedder, k=k, **options)
 
 
 def reranked_retriever(
@@ -81,6 +83,23 @@ def reranked_retriever(
     **options,
 ) -> Retriever:
     """The ``k`` nearest points, of which reranking keeps ``top_n``."""
-    return Retriever(
-        collection.require(), _embedder(collection, make_embedder), k, top_n, **options
+    return _over(collection, make_embedder, k=k, top_n=top_n, **options)
+
+
+def text_retriever(
+    texts: DataFrame, make_embedder: Callable[[], Embedder], k: int = C.TOP_K, **options
+) -> Retriever:
+    """The ``k`` nearest of ``(id, text)`` rows, embedded once and kept in the session.
+
+    Nothing is written to a collection; cached vectors that are lost are computed again.
+    """
+    no_value = F.lit(None).cast("string")
+    payload = F.struct(
+        *((F.col("text") if name == "text" else no_value).alias(name) for name in C.PAYLOAD_FIELDS)
     )
+    points = texts.select(
+        F.col("id").cast("string").alias("id"),
+        embed_column(make_embedder, F.col("text")).alias("vector"),
+        payload.alias("payload"),
+    ).persist()
+    return Retriever(points, make_embedder, k, **options)

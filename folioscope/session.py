@@ -8,9 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Largest table, in bytes, that the library itself turns into a broadcast.
-BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
-
 _own_folder: dict[str, str] = {}
 
 

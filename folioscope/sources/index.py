@@ -139,15 +139,19 @@ class Collection:
         return self.spark.read.schema(MANIFEST_SCHEMA).parquet(target)
 
     def write_points(self, points: DataFrame, ingest: int) -> DataFrame:
-        """Write the points of an ingest and return their file hashes and texts.
+        """Write the points of an ingest and return their file hashes and text lengths.
 
+        The lengths are a column of their own, so that statistics need not read texts.
         Bloom filters and dictionaries on the keyword fields, and the order by file
         within each output file, let a keyword filter skip row groups.
         """
         target = f"{self._table('points')}/ingest={ingest}"
         writer = (
             points.select(
-                "id", checked_size(F.col("vector"), self.vector_size).alias("vector"), "payload"
+                "id",
+                checked_size(F.col("vector"), self.vector_size).alias("vector"),
+                "payload",
+                F.length("payload.text").alias("n_chars"),
             )
             .sortWithinPartitions("payload.file_hash", "id")
             .write.mode("overwrite")
@@ -157,12 +161,12 @@ class Collection:
                 f"parquet.bloom.filter.expected.ndv#payload.{field}", str(ROW_GROUP_FILES)
             )
         writer.parquet(target)
-        return self.spark.read.parquet(target).select("payload.file_hash", "payload.text")
+        return self.spark.read.parquet(target).select("payload.file_hash", "n_chars")
 
     def finish(self, manifest: DataFrame, written: DataFrame, ingest: int) -> DataFrame:
         """Write the ledger partition, with the chunk statistics of every file, and return it."""
         target = f"{self._table('files')}/ingest={ingest}"
-        stats = chunk_lengths(written, "file_hash")
+        stats = chunk_lengths(written, "file_hash", length=F.col("n_chars"))
         (
             manifest.join(stats, "file_hash", "left")
             .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0).cast("long")))
@@ -200,3 +204,18 @@ def sample_files(points: DataFrame, file_name: str = "payload.file_name", order:
         F.array_join(F.slice("_names", 1, C.SAMPLE_FILES), ", ").alias("sample"),
         F.greatest(F.size("_names") - C.SAMPLE_FILES, F.lit(0)).alias("n_more"),
     )
+
+
+def collection_status(collection: Collection | None) -> str | DataFrame:
+    """What a user sees about the connection: a message, or counts and sample file names."""
+    if collection is None:
+        return "Database connection not configured"
+    if not collection.exists():
+        return f"Collection '{collection.name}' not found in database"
+    points = collection.points()
+    # Both sides have one row.
+    return (
+        collection_report(points)
+        .withColumn("collection", F.lit(collection.name))
+        .join(sample_files(points).withColumn("collection", F.lit(collection.name)), "collection")
+    )
