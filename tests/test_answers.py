@@ -3,12 +3,12 @@ from pyspark.sql import functions as F
 
 from folioscope.models.hashing import HashingEmbedder
 from folioscope.operators import answers
-from folioscope.plans.answer import answer, chat_prompts, extractive_answer
+from folioscope.plans.answer import answer, chat_prompts, chat_turns, extractive_answer
 from folioscope.plans.ingest import ingest
-from folioscope.plans.retrieve import naive_retriever, reranked_retriever
+from folioscope.plans.retrieve import naive_retriever, reranked_retriever, text_retriever
 from folioscope.session import fresh_folder
 from folioscope.sources.files import text_parser
-from folioscope.sources.index import Collection
+from folioscope.sources.index import Collection, collection_status
 
 TEXTS = {
     "birds.pdf": "swallows fly south\nin autumn\fthe owl hunts at night",
@@ -155,3 +155,39 @@ def test_embedder_counts_words():
     embedder = HashingEmbedder(32)
     first, second, none = embedder.embed(["Owl owl, trout", "trout OWL owl", ""])
     assert (first == second).all() and first.sum() == 3 and none.sum() == 0
+
+
+def test_texts_kept_in_the_session(spark):
+    texts = spark.createDataFrame([(1, "owl at night"), (2, "trout in the river")], "id int, text string")
+    asked = spark.createDataFrame([(7, "a river trout")], "question_id int, question string")
+    retriever = text_retriever(texts, lambda: HashingEmbedder(64), k=1)
+    found = retriever.retrieve(asked).first()
+    assert (found["id"], found["page_content"]) == ("2", "trout in the river [1]")
+    retriever.points.unpersist()
+
+
+class Repeat:
+    """Replies with the last line that holds a question."""
+
+    def complete(self, prompt):
+        return [line for line in prompt.split("\n") if "Question:" in line][-1].strip()
+
+
+@pytest.mark.parametrize("turns", [2, 300])
+def test_chat_turns(collection, spark, turns):
+    rows = [(s, t, "user" if t % 2 == 0 else "assistant", f"trout swims {s}{s} {t}") for s in ("a", "b", "c") for t in range(turns)]
+    messages = spark.createDataFrame(rows, "session_id string, turn long, role string, text string")
+    last = turns - 2 + turns % 2
+    plain = chat_turns(messages, reranked_retriever(collection, k=3, top_n=1)).collect()
+    assert sorted((r["session_id"], r["turn"], r["role"]) for r in plain) == [(s, last + 1, "assistant") for s in "abc"]
+    assert all("trout" in r["text"] for r in plain)
+    replied = chat_turns(messages, naive_retriever(collection, k=1), Repeat).collect()
+    assert sorted((r["session_id"], r["text"]) for r in replied) == [(s, f"Question: trout swims {s}{s} {last}") for s in "abc"]
+
+
+def test_status(collection, spark):
+    assert collection_status(None) == "Database connection not configured"
+    missing = Collection(spark, fresh_folder(spark, "test-status"))
+    assert "not found" in collection_status(missing)
+    row = collection_status(collection).first()
+    assert (row["points_label"], row["sample"], row["n_more"]) == ("6", "birds.pdf, fish.pdf, stars.pdf", 0)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.models.hashing import HashingEmbedder
+from folioscope.operators.files import new_files
 from folioscope.plans.ingest import build_points, file_chunks, ingest
 from folioscope.session import fresh_folder
 from folioscope.sources.files import (
@@ -207,3 +208,18 @@ def test_questions_under_either_key(spark, tmp_path):
     assert sorted(map(tuple, items.collect())) == [("q1?", "é"), ("q2?", "b")]
     with pytest.raises(ValueError):
         ground_truth(items.select("question"))
+
+
+def test_copies_are_reduced_before_the_ledger_join(spark, capsys):
+    hashed = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"h{i}") for i in range(90)], "path int, file_hash string")
+    indexed = spark.createDataFrame([("h1",), ("h1",), ("h2",)], "file_hash string")
+    found = new_files(hashed, indexed)
+    rows = {r["file_hash"]: (r["path"], r["n_copies"]) for r in found.collect()}
+    assert rows["hot"] == (0, 30) and "h1" not in rows and len(rows) == 59
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new_files(hashed, indexed).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    left = capsys.readouterr().out.split("SortMergeJoin")[1]
+    assert left.index("HashAggregate") < left.index("Exchange")
