@@ -17,20 +17,27 @@ def embedding_values(response: Column) -> Column:
     return F.from_json(response, "struct<embedding: array<float>>")["embedding"]
 
 
-def is_json(text: Column) -> Column:
-    """Whether ``text`` is exactly one JSON value.
+def _one_value(parsed: Column, wrapped: Column) -> Column:
+    """Whether a text is exactly one JSON value, from the parsed text and its parsed array.
 
-    The parser alone accepts text after a value.  Wrapped in brackets, such text
-    would be a syntax error or a second element, so the array must have one.
+    The parser alone accepts text after a value.  Wrapped in brackets, such text would
+    be a syntax error or a second element, so the array must have one.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     return (
-        F.try_parse_json(text).isNotNull()
+        parsed.isNotNull()
         & F.try_variant_get(wrapped, "$[0]", "variant").isNotNull()
         & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
     )
 
 
+def _wrapped(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def is_json(text: Column) -> Column:
+    return _one_value(F.try_parse_json(text), _wrapped(text))
+
+
 def parse_reply(reply: Column) -> Column:
     """``STRUCT<output, statements, verdicts>`` from a judge's reply.
 
@@ -39,23 +46,37 @@ def parse_reply(reply: Column) -> Column:
     neither.  Text that is not JSON gives its non-blank lines as statements.
     Verdict elements stay JSON text.
     """
-    output = strip(reply)
-    value = F.try_parse_json(output)
-    shape = F.schema_of_variant(value)
     none = F.array().cast("array<string>")
+    output = strip(reply)
+
+    def dispatch(read: Column) -> Column:
+        shape = F.when(read["valid"], F.schema_of_variant(read["value"])).otherwise("TEXT")
+        is_object = F.startswith(shape, F.lit("OBJECT"))
+
+        def strings(path: str) -> Column:
+            return F.coalesce(F.try_variant_get(read["value"], path, "array<string>"), none)
 
-    def string_list(path: str) -> Column:
-        return F.coalesce(F.try_variant_get(value, path, "array<string>"), none)
+        statements = (
+            F.when(~read["valid"], nonblank_lines(read["output"]))
+            .when(is_object, strings("$.statements"))
+            .when(F.startswith(shape, F.lit("ARRAY")), strings("$"))
+            .otherwise(none)
+        )
+        return F.struct(
+            read["output"].alias("output"),
+            statements.alias("statements"),
+            F.when(is_object, strings("$.verdicts")).otherwise(none).alias("verdicts"),
+        )
 
-    statements = (
-        F.when(~is_json(output), nonblank_lines(output))
-        .when(F.startswith(shape, F.lit("OBJECT")), string_list("$.statements"))
-        .when(F.startswith(shape, F.lit("ARRAY")), string_list("$"))
-        .otherwise(none)
+    # transform over a one-element array names a value, so that it is computed once
+    parsed = F.transform(
+        F.array(output),
+        lambda text: F.struct(
+            text.alias("output"), F.try_parse_json(text).alias("value"), _wrapped(text).alias("wrapped")
+        ),
     )
-    verdicts = F.when(
-        is_json(output) & F.startswith(shape, F.lit("OBJECT")), string_list("$.verdicts")
-    ).otherwise(none)
-    return F.struct(
-        output.alias("output"), statements.alias("statements"), verdicts.alias("verdicts")
+    checked = F.transform(
+        parsed,
+        lambda p: F.struct(p["output"], p["value"], _one_value(p["value"], p["wrapped"]).alias("valid")),
     )
+    return F.transform(checked, dispatch)[0]
