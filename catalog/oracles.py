@@ -261,11 +261,19 @@ _LEDGER = (
 FROM first_files f LEFT JOIN points p USING (file_hash) GROUP BY ALL"""
 )
 
-_OPEN = """latest AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id),
-open_questions AS (
+
+
+def _session_questions(where: str) -> str:
+    """The last message per conversation among those that ``where`` keeps, if it is the user's."""
+    return f"""latest AS (SELECT conv_id, max(turn) AS turn FROM conversations {where} GROUP BY conv_id),
+session_questions AS (
   SELECT conv_id, turn, text, conv_id AS question_id, text AS question
   FROM conversations JOIN latest USING (conv_id, turn) WHERE role = 'user')"""
 
+
+_LATEST = _session_questions("WHERE role = 'user'")
+_OPEN = _session_questions("")
+
 _EVALUATION = [
     *_NAIVE,
     """evaluation AS (
@@ -455,28 +463,29 @@ FROM pairs"""
     sql["history_window"] = sql["stream_history"] = _HISTORY
     sql["history_pages"] = f"""SELECT conv_id, (turn // 3)::BIGINT AS page, count(*) AS n_messages,
   string_agg({_ENTRY}, '' ORDER BY turn) AS page_text FROM conversations GROUP BY ALL"""
-    sql["open_questions"] = f"WITH {_OPEN}\nSELECT conv_id, turn, text FROM open_questions"
+    sql["latest_questions"] = f"WITH {_LATEST}\nSELECT conv_id, turn, text FROM session_questions"
+    sql["open_questions"] = f"WITH {_OPEN}\nSELECT conv_id, turn, text FROM session_questions"
     values = {"context": "context", "chat_history": "coalesce(history_tail, '')", "question": "question"}
     sql["chat_prompt_parts"] = _with(
         *_POINTS,
-        _OPEN,
-        *_hits(C.OVER_RETRIEVE_K, "open_questions"),
+        _LATEST,
+        *_hits(C.OVER_RETRIEVE_K, "session_questions"),
         _DOCUMENTS,
-        *_reranked("open_questions"),
+        *_reranked("session_questions"),
         _assembled("best"),
         f"history AS ({_HISTORY})",
     ) + f"""SELECT conv_id, 0::BIGINT AS part, {_prompt(C.PROMPT_DEFAULT, values)} AS text
-FROM open_questions JOIN assembled USING (question_id) JOIN history USING (conv_id, turn)"""
+FROM session_questions JOIN assembled USING (question_id) JOIN history USING (conv_id, turn)"""
 
     sql["chat_turns"] = _with(
         *_POINTS,
         _OPEN,
-        *_hits(C.OVER_RETRIEVE_K, "open_questions"),
+        *_hits(C.OVER_RETRIEVE_K, "session_questions"),
         _DOCUMENTS,
-        *_reranked("open_questions"),
+        *_reranked("session_questions"),
     ) + """SELECT conv_id, o.turn + 1 AS turn, 'assistant' AS role,
   coalesce(string_split(page_content, chr(10))[1], '') AS text
-FROM open_questions o LEFT JOIN best b ON b.question_id = o.question_id AND position = 1"""
+FROM session_questions o LEFT JOIN best b ON b.question_id = o.question_id AND position = 1"""
 
     sql["eval_dataset"] = _with(*_EVALUATION) + """SELECT e.question_id, question, answer, ground_truth,
   (position - 1)::INT AS context_index, page_content AS context

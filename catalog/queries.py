@@ -521,6 +521,11 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/rows")
 
 
+@query
+def latest_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.latest_questions(messages(spark, sf_dir), "conv_id").select("conv_id", "turn", "text")
+
+
 @query
 def open_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.open_questions(messages(spark, sf_dir), "conv_id").select("conv_id", "turn", "text")
@@ -535,7 +540,7 @@ def chat_prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reply to the latest question of every conversation, as the next message."""
+    """The reply to every conversation that ends with a question, as its next message."""
     retriever = reranked_retriever(document_collection(spark, sf_dir))
     return reply_to_open_questions(messages(spark, sf_dir), retriever, session="conv_id")
 

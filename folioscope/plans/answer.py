@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from folioscope.functions.text import PROMPTS, fill_template, lines
 from folioscope.models.columns import TextModel, complete_column
 from folioscope.operators.answers import assemble, with_prompt
-from folioscope.operators.chat import open_questions, prompt_parts
+from folioscope.operators.chat import latest_questions, open_questions, prompt_parts
 from folioscope.plans.retrieve import Retriever
 from folioscope.session import stored
 
@@ -64,11 +64,10 @@ def answer(
     return prompted.withColumn("answer", reply)
 
 
-def _asked(messages: DataFrame, session: str, turn: str) -> DataFrame:
-    """The open question of every session, found once for all the steps that use it."""
-    asked = open_questions(messages, session, turn)
+def _asked(found: DataFrame, session: str, turn: str) -> DataFrame:
+    """Questions of sessions, found once for all the steps that use them."""
     return stored(
-        asked.select(F.col(session).alias("question_id"), session, turn, F.col("text").alias("question")),
+        found.select(F.col(session).alias("question_id"), session, turn, F.col("text").alias("question")),
         "asked",
     )
 
@@ -93,8 +92,8 @@ def chat_prompts(
     turn: str = "turn",
     template: str = "default",
 ) -> DataFrame:
-    """The prompt parts of the open question of every session: ``(session, part, text)``."""
-    prepared = with_context(_asked(messages, session, turn), retriever)
+    """The prompt parts of the latest question of every session: ``(session, part, text)``."""
+    prepared = with_context(_asked(latest_questions(messages, session, turn), session, turn), retriever)
     return _parts(prepared, messages, session, turn, template)
 
 
@@ -111,7 +110,7 @@ def chat_turns(
     A reply takes the turn after its question.  Without a model it is the first line of
     the best context.
     """
-    asked = _asked(messages, session, turn)
+    asked = _asked(open_questions(messages, session, turn), session, turn)
     prepared = with_context(asked, retriever)
     if make_model is None:
         replies = prepared.select(session, extractive_answer(F.col("contexts")).alias("text"))

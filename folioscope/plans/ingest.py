@@ -12,6 +12,7 @@ from folioscope.models.columns import Embedder, TextModel, embed_column, summary
 from folioscope.models.hashing import HashingEmbedder
 from folioscope.operators.chunking import explode_chunks, recursive_chunk_column
 from folioscope.operators.files import new_files, with_hash
+from folioscope.schemas import FILE_METADATA
 from folioscope.sources.files import Parser, file_pages, file_text
 from folioscope.sources.index import Collection
 
@@ -41,7 +42,7 @@ def file_chunks(
         pages = (
             file_text(files, parser)
             .where(has_text(F.col("text")))
-            .withColumn("metadata", F.lit(None).cast("struct<file_title:string,authors:string,keywords:string,creation_date:string>"))
+            .withColumn("metadata", F.lit(None).cast(FILE_METADATA))
             .withColumn("page_number", F.lit(None).cast("int"))
         )
     return explode_chunks(pages, chunks(F.col("text")))
@@ -112,6 +113,3 @@ def ingest(
     )
     written = collection.write_points(points, number)
     return collection.finish(manifest, written, number)
-
-
-

@@ -5,10 +5,11 @@ Layout below ``path``::
     properties/            one row: collection, vector size, metric
     manifest/ingest=N/     files chosen for ingest N
     points/ingest=N/       their points
-    files/ingest=N/        ledger: one row per file of a finished ingest
+    files/ingest=N/        ledger: one row per file
+    commits/ingest=N/      one row, written last
 
-An ingest counts once its ledger partition is written.  Until then readers skip its
-points, and a rerun takes the same number and overwrites them, so a job that died
+An ingest counts once its commit is written.  Until then readers skip its points and
+ledger, and a rerun takes the same number and overwrites them, so a job that died
 half-way leaves neither duplicates nor gaps.  One writer at a time is assumed.
 """
 
@@ -38,6 +39,7 @@ LOOKUP_MIN_FILES = 64
 LOOKUP_MAX_FILES = 1000
 
 MANIFEST_SCHEMA = "path string, file_name string, file_hash string"
+COMMIT_SCHEMA = "committed boolean, ingest int"
 LEDGER_SCHEMA = (
     "file_hash string, file_name string, path string, n_chunks long, min_length int, "
     "max_length int, median_length int, ingest int"
@@ -76,10 +78,15 @@ class Collection:
     def require(self) -> Collection:
         if not self.exists():
             raise ValueError(f"Collection '{self.name}' does not exist in {self.path}")
+        size = self.properties().first()["vector_size"]
+        if size != self.vector_size:
+            raise ValueError(f"Collection '{self.name}' has vectors of size {size}, not {self.vector_size}")
         return self
 
     def create_if_absent(self) -> Collection:
-        if not self.exists():
+        if self.exists():
+            self.require()
+        else:
             self.spark.range(1).select(
                 F.lit(self.name).alias("collection"),
                 F.lit(self.vector_size).alias("vector_size"),
@@ -92,17 +99,18 @@ class Collection:
 
     def files(self) -> DataFrame:
         """The ledger: every file of a finished ingest, also those without any text."""
-        return self._read("files", LEDGER_SCHEMA)
+        return self._finished("files", LEDGER_SCHEMA)
 
     def last_ingest(self) -> int:
-        return self.files().agg(F.coalesce(F.max("ingest"), F.lit(0))).first()[0]
+        return self._read("commits", COMMIT_SCHEMA).agg(F.coalesce(F.max("ingest"), F.lit(0))).first()[0]
 
-    def points(self) -> DataFrame:
-        """``(id, vector, payload)`` of finished ingests; unfinished ones are pruned as partitions."""
-        return self._committed().drop("ingest")
+    def _finished(self, table: str, schema: str) -> DataFrame:
+        """Rows of finished ingests; unfinished ones are pruned as partitions."""
+        return self._read(table, schema).where(F.col("ingest") <= self.last_ingest())
 
-    def _committed(self) -> DataFrame:
-        return self._read("points", POINTS_SCHEMA).where(F.col("ingest") <= self.last_ingest())
+    def points(self) -> DataFrame:
+        """``(id, vector, payload)`` of every point."""
+        return self._finished("points", POINTS_SCHEMA).drop("ingest")
 
     def lookup(self, ids: DataFrame, max_files: int = LOOKUP_MAX_FILES) -> DataFrame:
         """Points that include all those whose ``id`` occurs in ``ids``, for a join on the id.
@@ -111,7 +119,7 @@ class Collection:
         ids.  Where these are few, only they are read for the payloads, rather than the
         texts of the whole index.
         """
-        held = self._committed().select("id", F.col("_metadata.file_path").alias("_file"))
+        held = self._finished("points", POINTS_SCHEMA).select("id", F.col("_metadata.file_path").alias("_file"))
         files = held.join(ids.select("id"), "id", "left_semi").select("_file").distinct()
         paths = [unquote(row["_file"]) for row in files.limit(max_files + 1).collect()]
         if len(paths) > max_files:
@@ -164,7 +172,7 @@ class Collection:
         return self.spark.read.parquet(target).select("payload.file_hash", "n_chars")
 
     def finish(self, manifest: DataFrame, written: DataFrame, ingest: int) -> DataFrame:
-        """Write the ledger partition, with the chunk statistics of every file, and return it."""
+        """Write the ledger, with the chunk statistics of every file, commit, and return the ledger."""
         target = f"{self._table('files')}/ingest={ingest}"
         stats = chunk_lengths(written, "file_hash", length=F.col("n_chars"))
         (
@@ -174,6 +182,8 @@ class Collection:
             .write.mode("overwrite")
             .parquet(target)
         )
+        commit = self.spark.range(1).select(F.lit(True).alias("committed"))
+        commit.write.mode("overwrite").parquet(f"{self._table('commits')}/ingest={ingest}")
         return self.spark.read.parquet(target)
 
 

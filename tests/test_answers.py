@@ -173,11 +173,15 @@ class Repeat:
         return [line for line in prompt.split("\n") if "Question:" in line][-1].strip()
 
 
-@pytest.mark.parametrize("turns", [2, 300])
+@pytest.mark.parametrize("turns", [1, 301])
 def test_chat_turns(collection, spark, turns):
     rows = [(s, t, "user" if t % 2 == 0 else "assistant", f"trout swims {s}{s} {t}") for s in ("a", "b", "c") for t in range(turns)]
     messages = spark.createDataFrame(rows, "session_id string, turn long, role string, text string")
-    last = turns - 2 + turns % 2
+    last = turns - 1
+    answered = messages.unionByName(
+        messages.where("turn = 0").selectExpr("'done' AS session_id", "turn", "'assistant' AS role", "text")
+    )
+    assert {r["session_id"] for r in chat_turns(answered, naive_retriever(collection)).collect()} == set("abc")
     plain = chat_turns(messages, reranked_retriever(collection, k=3, top_n=1)).collect()
     assert sorted((r["session_id"], r["turn"], r["role"]) for r in plain) == [(s, last + 1, "assistant") for s in "abc"]
     assert all("trout" in r["text"] for r in plain)

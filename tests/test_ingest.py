@@ -96,6 +96,17 @@ def test_a_died_ingest_is_invisible_and_then_replaced(spark, folder):
     assert content(c) == content(whole)
 
 
+def test_a_ledger_without_commit_does_not_count(spark, folder):
+    c = collection(spark)
+    ingest(scan_folder(spark, folder), c, text_parser)
+    before = content(c)
+    half = c.files().limit(1).drop("ingest").withColumn("file_hash", F.lit("f" * 64))
+    half.write.parquet(f"{c._table('files')}/ingest=2")
+    assert c.files().count() == 3 and not c.contains_file("f" * 64)
+    assert ingest(scan_folder(spark, folder), c, text_parser).count() == 0
+    assert content(c) == before
+
+
 def test_whole_documents_as_units(spark, folder):
     files = scan_folder(spark, folder).withColumn("file_hash", F.sha2("content", 256))
     chunks = file_chunks(files, text_parser, granularity="document").where(F.col("file_name") == "A.PDF").collect()
@@ -154,6 +165,8 @@ def test_collection_checks(spark, folder):
         "collection": c.name, "vector_size": 16, "metric": "cosine"
     }
     ingest(scan_folder(spark, folder), c, text_parser)
+    with pytest.raises(ValueError, match="vectors of size 16"):
+        Collection(spark, c.path, c.name, 32).require()
     known = c.files().first()["file_hash"]
     assert c.contains_file(known) and not c.contains_file("0" * 64)
 
