@@ -12,7 +12,7 @@ import numpy as np
 _WORD = re.compile(r"[^\W_]+")
 
 #: Words whose bucket an embedder remembers before it starts over.
-_MEMORY = 1 << 20
+_MEMORY = 1 << 18
 
 
 class _Buckets(dict):

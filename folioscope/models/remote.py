@@ -7,7 +7,7 @@ import urllib.request
 from collections.abc import Callable, Iterable
 
 from folioscope import constants as C
-from folioscope.config import ModelConfig
+from folioscope.config import Config, ModelConfig
 
 Post = Callable[[str, dict, dict, float], dict]
 
@@ -78,3 +78,15 @@ class ChatModel:
             body["max_tokens"] = self.config.max_tokens
         reply = self._post(self._url, body, self._headers, C.CHAT_TIMEOUT_S)
         return reply["choices"][0]["message"]["content"].strip()
+
+
+def summary_model(url: str, api_key: str, config: Config, post: Post = post_json) -> ChatModel:
+    return ChatModel(url, api_key, config.summary, C.SUMMARY_SYSTEM_MESSAGE, post)
+
+
+def answer_model(url: str, api_key: str, config: Config, post: Post = post_json) -> ChatModel:
+    return ChatModel(url, api_key, config.answer, post=post)
+
+
+def judge_model(url: str, api_key: str, config: Config, post: Post = post_json) -> ChatModel:
+    return ChatModel(url, api_key, config.judge, post=post)

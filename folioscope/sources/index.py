@@ -39,6 +39,7 @@ LOOKUP_MIN_FILES = 64
 LOOKUP_MAX_FILES = 1000
 
 MANIFEST_SCHEMA = "path string, file_name string, file_hash string"
+PROPERTIES_SCHEMA = "collection string, vector_size int, metric string"
 COMMIT_SCHEMA = "committed boolean, ingest int"
 LEDGER_SCHEMA = (
     "file_hash string, file_name string, path string, n_chunks long, min_length int, "
@@ -68,7 +69,7 @@ class Collection:
 
     def exists(self) -> bool:
         try:
-            self.spark.read.parquet(self._table("properties"))
+            self.properties()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -95,7 +96,7 @@ class Collection:
         return self
 
     def properties(self) -> DataFrame:
-        return self.spark.read.parquet(self._table("properties"))
+        return self.spark.read.schema(PROPERTIES_SCHEMA).parquet(self._table("properties"))
 
     def files(self) -> DataFrame:
         """The ledger: every file of a finished ingest, also those without any text."""
