@@ -9,6 +9,7 @@ matter), ``embeddings`` are indexed points, ``benchmark`` holds the questions,
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,7 @@ from folioscope.streaming.memory import history_stream
 Query = Callable[[SparkSession, str], DataFrame]
 
 _REGISTRY: dict[str, Query] = {}
+_ONE_WRITER = threading.Lock()
 
 SCORE_DECIMALS = 6
 
@@ -91,8 +93,9 @@ def document_collection(spark: SparkSession, sf_dir: str) -> Collection:
     """The index of all documents: ingested by the first query of a session that needs it."""
     name = "documents-" + hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
     collection = Collection(spark, work_folder(spark), name)
-    if not collection.exists() or collection.files().limit(1).isEmpty():
-        ingest(as_files(table(spark, sf_dir, "documents")), collection, text_parser)
+    with _ONE_WRITER:
+        if collection.last_ingest() == 0:
+            ingest(as_files(table(spark, sf_dir, "documents")), collection, text_parser)
     return collection
 
 

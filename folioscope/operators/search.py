@@ -51,12 +51,11 @@ class _Best:
         self.id: np.ndarray = np.empty(0, dtype=object)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        floor = self.floor
-        if len(scores) > self.k:
-            kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
-            floor = np.maximum(floor, kth)
-        # Ties with the floor stay in: the id decides among them below.
-        row, question = np.nonzero(scores >= floor)
+        """Take in the scores of some points, one row per point and one column per question."""
+        keep = scores >= self.floor
+        if len(scores) > self.k and np.count_nonzero(keep) > 4 * self.k * len(self.floor):
+            scores, ids, keep = self._narrowed(scores, ids)
+        row, question = np.nonzero(keep)
         if len(row) == 0:
             return
         self.question = np.concatenate([self.question, question])
@@ -64,6 +63,19 @@ class _Best:
         self.id = np.concatenate([self.id, ids[row]])
         self._prune()
 
+    def _narrowed(self, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """At most ``2k`` candidates per question.
+
+        All points above the k-th best score here, and of those that tie with it, maybe
+        very many copies, the ``k`` smallest ids.
+        """
+        by_id = np.argsort(ids, kind="stable")
+        scores, ids = scores[by_id], ids[by_id]
+        kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
+        floor = np.maximum(self.floor, kth)
+        tied = scores == floor
+        return scores, ids, (scores > floor) | (tied & (np.cumsum(tied, axis=0, dtype=np.int32) <= self.k))
+
     def _prune(self) -> None:
         order = np.argsort(self.id, kind="stable")
         order = order[np.lexsort((-self.score[order], self.question[order]))]

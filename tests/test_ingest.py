@@ -193,6 +193,13 @@ def test_lookup_reads_only_the_files_that_hold_the_ids(spark, folder):
     assert c.lookup(wanted.where(F.lit(False))).count() == 0
 
 
+def test_lookup_in_a_folder_with_odd_characters(spark, folder, tmp_path):
+    c = Collection(spark, str(tmp_path / "100% of ü"), "my docs", vector_size=16)
+    ingest(scan_folder(spark, folder), c, text_parser)
+    wanted = c.points().select("id")
+    assert c.lookup(wanted).join(wanted, "id").count() == 3
+
+
 def test_wrong_vector_size_is_refused(spark, folder):
     c = collection(spark, size=16)
     with pytest.raises(Exception, match="vector size is not 16"):
