@@ -17,25 +17,23 @@ def embedding_values(response: Column) -> Column:
     return F.from_json(response, "struct<embedding: array<float>>")["embedding"]
 
 
-def _one_value(parsed: Column, wrapped: Column) -> Column:
-    """Whether a text is exactly one JSON value, from the parsed text and its parsed array.
+def _framed(text: Column) -> Column:
+    """The parsed JSON array of ``text`` and its own hash.
 
-    The parser alone accepts text after a value.  Wrapped in brackets, such text would
-    be a syntax error or a second element, so the array must have one.
+    The parser accepts text after a value.  Inside the array such text is a syntax error,
+    a further element, or closes the array early; in each case the hash, which a text
+    cannot contain, is not the second element.
     """
-    return (
-        parsed.isNotNull()
-        & F.try_variant_get(wrapped, "$[0]", "variant").isNotNull()
-        & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    )
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.md5(text), F.lit('"]')))
 
 
-def _wrapped(text: Column) -> Column:
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+def _is_framed(framed: Column, text: Column) -> Column:
+    return F.coalesce(F.try_variant_get(framed, "$[1]", "string") == F.md5(text), F.lit(False))
 
 
 def is_json(text: Column) -> Column:
-    return _one_value(F.try_parse_json(text), _wrapped(text))
+    """Whether ``text`` is exactly one JSON value, without repeated keys."""
+    return _is_framed(_framed(text), text)
 
 
 def parse_reply(reply: Column) -> Column:
@@ -69,14 +67,15 @@ def parse_reply(reply: Column) -> Column:
         )
 
     # transform over a one-element array names a value, so that it is computed once
-    parsed = F.transform(
-        F.array(output),
-        lambda text: F.struct(
-            text.alias("output"), F.try_parse_json(text).alias("value"), _wrapped(text).alias("wrapped")
-        ),
+    framed = F.transform(
+        F.array(output), lambda text: F.struct(text.alias("output"), _framed(text).alias("framed"))
     )
-    checked = F.transform(
-        parsed,
-        lambda p: F.struct(p["output"], p["value"], _one_value(p["value"], p["wrapped"]).alias("valid")),
+    read = F.transform(
+        framed,
+        lambda f: F.struct(
+            f["output"].alias("output"),
+            _is_framed(f["framed"], f["output"]).alias("valid"),
+            F.try_variant_get(f["framed"], "$[0]", "variant").alias("value"),
+        ),
     )
-    return F.transform(checked, dispatch)[0]
+    return F.transform(read, dispatch)[0]

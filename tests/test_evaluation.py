@@ -26,6 +26,19 @@ REPLIES = [
     "",
     " \n ",
     "{}",
+    "1] [2",
+    '["a"]] trailing',
+    '{"statements": ["a"]}]',
+    '"x", "y"]',
+    '"unclosed',
+    '["tab\there"]',
+    '["raw\nnewline"]',
+    "01",
+    "1.",
+    '{"statements": ["a",]}',
+    '["\\u00e9", "😀"]',
+    '{"statements": []}',
+    '[["nested"], {"b": [1, 2]}]',
 ]
 
 
@@ -41,7 +54,7 @@ def expected(reply):
         if isinstance(value.get("verdicts"), list):
             verdicts = [v if isinstance(v, str) else json.dumps(v, separators=(",", ":")) for v in value["verdicts"]]
     elif isinstance(value, list):
-        statements = value
+        statements = [v if isinstance(v, str) else json.dumps(v, separators=(",", ":")) for v in value]
     return content, statements, verdicts
 
 
