@@ -429,6 +429,16 @@ UNION ALL SELECT doc_id, 'page', page FROM payloads WHERE has_page"""
         _DOCUMENTS,
     ) + "SELECT question_id, position::INT AS position, id, round(score, 6) AS score, page_content FROM found"
     sql["naive_retrieval"] = _with(*_NAIVE) + f"SELECT {_RETRIEVED} FROM found"
+    sql["hit_metadata"] = _with(
+        *_NAIVE,
+        """metadata AS (
+  SELECT question_id, rank::INT AS rank, [{'f': 'file_name', 'v': source}, {'f': 'file_hash', 'v': file_hash},
+    {'f': 'file_title', 'v': NULL}, {'f': 'authors', 'v': NULL}, {'f': 'keywords', 'v': NULL},
+    {'f': 'creation_date', 'v': NULL}, {'f': 'page_number', 'v': '1'}, {'f': 'summary', 'v': summary},
+    {'f': 'score', 'v': round(score, 6)::VARCHAR}] AS fields
+  FROM found JOIN (SELECT id, file_hash, substr(text, 1, 200) || '...' AS summary FROM points) USING (id))""",
+        "flat AS (SELECT question_id, rank, unnest(fields) AS e FROM metadata)",
+    ) + "SELECT question_id, rank, e.f AS field, e.v AS value FROM flat"
     prefix = "'[Source: ' || source || ', page ' || page || ']' || chr(10) || text AS page_content"
     sql["citation_prefix"] = _with(*_NAIVE) + (
         f"SELECT {_RETRIEVED.removesuffix('page_content')} {prefix} FROM found"

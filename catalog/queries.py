@@ -421,6 +421,18 @@ def naive_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _retrieved(retriever, questions(spark, sf_dir))
 
 
+@query
+def hit_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All payload fields but the text, and the score, of the five nearest chunks."""
+    points = document_collection(spark, sf_dir).points()
+    asked = questions(spark, sf_dir).select(
+        "question_id", embed_column(embedder(), F.col("question")).alias("vector")
+    )
+    hits = top_k(asked, points, C.TOP_K).withColumn("score", rounded(F.col("score")))
+    found = answers.hit_metadata(hits, points)
+    return found.select("question_id", "rank", F.explode("metadata").alias("field", "value"))
+
+
 @query
 def citation_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     retriever = naive_retriever(document_collection(spark, sf_dir), citation="prefix")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope import constants as C
+from folioscope.functions import payload as payload_fn
 from folioscope.functions import text as text_fn
 
 CITATION_STYLES = ("suffix", "prefix", "none")
@@ -48,6 +49,17 @@ def cited_documents(
     return documents.withColumn("page_content", content)
 
 
+def hit_metadata(hits: DataFrame, points: DataFrame) -> DataFrame:
+    """Hits with ``page_content``, the plain text, and ``metadata``, a map of all other
+    payload fields and the score."""
+    payload = payload_fn.payload_map(F.col("payload"), C.PAYLOAD_FIELDS)
+    return hits.join(points.select("id", "payload"), "id").select(
+        *hits.columns,
+        F.coalesce("payload.text", F.lit("")).alias("page_content"),
+        payload_fn.without_text(payload, F.col("score")).alias("metadata"),
+    )
+
+
 def word_overlap(question: Column, text: Column) -> Column:
     """Share of the question's distinct words that occur in the text; a lexical stand-in
     for a hosted reranker, with no claim to its quality."""

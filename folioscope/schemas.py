@@ -58,20 +58,3 @@ QA_ITEM = T.StructType(
         T.StructField("answer", T.StringType()),
     ]
 )
-
-MESSAGE = T.StructType(
-    [
-        T.StructField("session_id", T.StringType()),
-        T.StructField("turn", T.LongType()),
-        T.StructField("role", T.StringType()),
-        T.StructField("text", T.StringType()),
-    ]
-)
-
-JUDGE_OUTPUT = T.StructType(
-    [
-        T.StructField("output", T.StringType()),
-        T.StructField("statements", T.ArrayType(T.StringType())),
-        T.StructField("verdicts", T.ArrayType(T.StringType())),
-    ]
-)

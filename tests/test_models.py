@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +7,15 @@ from pyspark.sql import functions as F
 from folioscope import constants as C
 from folioscope.config import Config, ModelConfig, load_config, require_env
 from folioscope.models.columns import complete_column, embed_column, first_working, summary_column
-from folioscope.models.remote import ChatModel, FeatureExtractionEmbedder, RemoteEmbedder
+from folioscope.models.remote import (
+    ChatModel,
+    FeatureExtractionEmbedder,
+    RemoteEmbedder,
+    answer_model,
+    judge_model,
+    summary_model,
+)
+from folioscope.session import work_folder
 
 
 def test_remote_embedder_calls_the_service_once_per_text():
@@ -54,6 +64,41 @@ def test_chat_model_request():
         ChatModel("http://host", "", ModelConfig())
 
 
+def test_every_role_has_its_own_settings():
+    bodies = []
+
+    def post(url, body, headers, timeout):
+        bodies.append(body)
+        return {"choices": [{"message": {"content": "x"}}]}
+
+    for build in (summary_model, answer_model, judge_model):
+        build("http://host", "key", Config(), post).complete("p")
+    assert [(b["temperature"], b.get("max_tokens"), len(b["messages"])) for b in bodies] == [
+        (0.3, 256, 2),
+        (0.5, None, 1),
+        (0.0, 2048, 1),
+    ]
+
+
+class FakeSession:
+    """The two settings that decide on the work folder."""
+
+    def __init__(self, master, shared):
+        self._shared = shared
+        self.sparkContext = SimpleNamespace(
+            master=master, applicationId="app-7", getConf=lambda: SimpleNamespace(get=lambda _key: None)
+        )
+        self.conf = SimpleNamespace(get=lambda _key, default: self._shared or default)
+
+
+def test_work_folder_is_the_shared_one():
+    assert work_folder(FakeSession("yarn", "hdfs:///shared/")) == "hdfs:///shared/folioscope-app-7"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(FakeSession("yarn", None))
+    own = work_folder(FakeSession("local[2]", None))
+    assert own == work_folder(FakeSession("local[2]", None)) and "folioscope-" in own
+
+
 class Sometimes:
     """Fails for some chunks."""
 
