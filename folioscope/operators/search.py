@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,15 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(length > 0, length, 1.0)[:, None]
 
 
+def _as_matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
+    """Rows of ``width`` numbers, without a copy of each; other sizes and nulls are an error."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    sized = pc.all(pc.equal(pc.list_value_length(vectors), width), skip_nulls=False).as_py()
+    if len(vectors) and not sized:
+        raise ValueError(f"a vector does not have {width} elements like the others")
+    return flat.reshape(len(vectors), width)
+
+
 class _Best:
     """The best ``k`` (score, id) pairs seen so far for each question of a batch."""
 
@@ -122,7 +132,9 @@ def top_k(
         local = None
         for number in range(batches):
             batch = asked if batches == 1 else asked.where(part == number)
-            best = _local_top_k(batch, index, k, question_id, question_vector, point_id, point_vector)
+            best = _local_top_k(
+                batch, index, k, found["size"], question_id, question_vector, point_id, point_vector
+            )
             local = best if local is None else local.unionAll(best)
     finally:
         asked.unpersist()
@@ -139,6 +151,7 @@ def _local_top_k(
     batch: DataFrame,
     index: DataFrame,
     k: int,
+    width: int,
     question_id: str,
     question_vector: str,
     point_id: str,
@@ -147,8 +160,8 @@ def _local_top_k(
     """The best ``k`` points of every index partition for every question of the batch."""
     rows = batch.toArrow()
     ids = rows.column(question_id).combine_chunks()
-    vectors = np.array(rows.column(question_vector).to_pylist(), dtype=np.float64)
-    matrix = _unit_rows(vectors) if len(vectors) else np.zeros((0, 1))
+    vectors = rows.column(question_vector).combine_chunks()
+    matrix = _unit_rows(_as_matrix(vectors, width).astype(np.float64))
     shared = batch.sparkSession.sparkContext.broadcast((ids, matrix))
     schema = T.StructType(
         [
@@ -167,12 +180,7 @@ def _local_top_k(
         step = max(k + 1, _SCORE_CELLS // len(question_matrix))
         for points in batches:
             names = points.column(0).to_numpy(zero_copy_only=False)
-            values = points.column(1)
-            width = question_matrix.shape[1]
-            flat = values.flatten().to_numpy(zero_copy_only=False)
-            if len(flat) != len(names) * width:
-                raise ValueError(f"an index vector does not have {width} elements like the questions")
-            block = flat.reshape(len(names), width)
+            block = _as_matrix(points.column(1), width)
             for at in range(0, len(names), step):
                 unit = _unit_rows(block[at : at + step].astype(np.float64))
                 scores = np.round(unit @ question_matrix.T, SCORE_DECIMALS)

@@ -52,11 +52,18 @@ def test_fewer_points_than_k_and_no_points(spark):
     assert top_k(q.where(F.lit(False)), p, 5).count() == 0
 
 
-def test_other_vector_size_fails(spark):
+@pytest.mark.parametrize("sizes", [[3], [1, 3], [2, 0], [2, None]])
+def test_other_vector_sizes_fail(spark, sizes):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "question_id int, vector array<float>")
-    p = spark.createDataFrame([("a", [1.0, 1.0, 1.0])], SCHEMA)
+    rows = [(f"p{i}", None if n is None else [1.0] * n) for i, n in enumerate(sizes)]
     with pytest.raises(Exception, match="does not have 2 elements"):
-        top_k(q, p, 5).collect()
+        top_k(q, spark.createDataFrame(rows, SCHEMA).coalesce(1), 5).collect()
+
+
+def test_questions_of_different_sizes_fail(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0] * 4)], "question_id int, vector array<float>")
+    with pytest.raises(ValueError, match="does not have 4 elements"):
+        top_k(q, spark.createDataFrame([("a", [1.0] * 3)], SCHEMA), 5)
 
 
 def test_bad_arguments(spark):
