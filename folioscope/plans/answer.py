@@ -72,6 +72,16 @@ def _asked(found: DataFrame, session: str, turn: str) -> DataFrame:
     )
 
 
+def _prepared(
+    asked: DataFrame, retriever: Retriever, rewrite: Callable[[DataFrame], DataFrame] | None, session: str
+) -> DataFrame:
+    """Asked questions with context; a rewritten question is used for retrieval only."""
+    if rewrite is None:
+        return with_context(asked, retriever)
+    found = with_context(rewrite(asked), retriever).drop("question")
+    return found.join(asked.select(session, "question"), session)
+
+
 def _parts(prepared: DataFrame, messages: DataFrame, session: str, turn: str, template: str) -> DataFrame:
     before, after = PROMPTS[template].split("{chat_history}")
     values = {name: F.col(name) for name in ("context", "references", "question")}
@@ -91,9 +101,14 @@ def chat_prompts(
     session: str = "session_id",
     turn: str = "turn",
     template: str = "default",
+    rewrite: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """The prompt parts of the latest question of every session: ``(session, part, text)``."""
-    prepared = with_context(_asked(latest_questions(messages, session, turn), session, turn), retriever)
+    """The prompt parts of the latest question of every session: ``(session, part, text)``.
+
+    ``rewrite`` may replace the ``question`` of follow-up questions for retrieval.
+    """
+    asked = _asked(latest_questions(messages, session, turn), session, turn)
+    prepared = _prepared(asked, retriever, rewrite, session)
     return _parts(prepared, messages, session, turn, template)
 
 
@@ -104,6 +119,7 @@ def chat_turns(
     session: str = "session_id",
     turn: str = "turn",
     template: str = "default",
+    rewrite: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The reply to the open question of every session, as messages to append.
 
@@ -111,7 +127,7 @@ def chat_turns(
     the best context.
     """
     asked = _asked(open_questions(messages, session, turn), session, turn)
-    prepared = with_context(asked, retriever)
+    prepared = _prepared(asked, retriever, rewrite, session)
     if make_model is None:
         replies = prepared.select(session, extractive_answer(F.col("contexts")).alias("text"))
     else:

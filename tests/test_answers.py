@@ -195,3 +195,18 @@ def test_status(collection, spark):
     assert "not found" in collection_status(missing)
     row = collection_status(collection).first()
     assert (row["points_label"], row["sample"], row["n_more"]) == ("6", "birds.pdf, fish.pdf, stars.pdf", 0)
+
+
+def test_rewritten_question_only_for_retrieval(collection, spark):
+    messages = spark.createDataFrame(
+        [("a", 0, "user", "what hunts at night? the owl"), ("a", 1, "assistant", "x"), ("a", 2, "user", "and then?")],
+        "session_id string, turn long, role string, text string",
+    )
+
+    def rewrite(asked):
+        return asked.withColumn("question", F.lit("trout swims upstream"))
+
+    row = chat_prompts(messages, naive_retriever(collection, k=1), rewrite=rewrite).first()
+    assert "the trout swims upstream [1]" in row["text"] and "Question: and then?" in row["text"]
+    reply = chat_turns(messages, naive_retriever(collection, k=1), rewrite=rewrite).first()
+    assert (reply["turn"], reply["text"]) == (3, "the trout swims upstream [1]")
