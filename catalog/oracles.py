@@ -360,6 +360,9 @@ WHERE {_strip('text')} <> ''"""
 SELECT doc_id, unnest(l) AS text, (generate_subscripts(l, 1) - 1)::INT AS line_index FROM kept"""
     sql["joined_pages"] = "SELECT doc_id, replace(text, chr(10), '') AS text FROM documents"
 
+    sql["question_file"] = """SELECT text AS question,
+  CASE WHEN item_id % 2 = 0 THEN 'first: ' ELSE 'second: ' END || text AS ground_truth FROM benchmark"""
+
     sql["chunk_naive"] = _with(*_line_chunks("chunks")) + "SELECT doc_id, chunk_index, text FROM chunks"
     sql["chunk_recursive"] = (
         _with(*_recursive_chunks("chunks", "documents", "doc_id")) + "SELECT doc_id, chunk_index, text FROM chunks"

@@ -30,7 +30,7 @@ from folioscope.plans.evaluate import correctness_scores, evaluation_table, rele
 from folioscope.plans.ingest import build_points, file_chunks, ingest
 from folioscope.plans.retrieve import Retriever, naive_retriever, reranked_retriever, text_retriever
 from folioscope.session import fresh_folder, stored, work_folder
-from folioscope.sources.files import file_text, text_parser
+from folioscope.sources.files import file_text, read_questions, text_parser
 from folioscope.sources.index import Collection, collection_report, keep_latest, sample_files
 from folioscope.streaming.ingest import start_ingest
 from folioscope.streaming.memory import history_stream
@@ -174,6 +174,19 @@ def joined_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_text(paged, text_parser)
 
 
+@query
+def question_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions written as JSON lines, with the true answer under either name, and read back."""
+    folder = fresh_folder(spark, "questions")
+    even = F.col("question_id") % 2 == 0
+    questions(spark, sf_dir).select(
+        "question",
+        F.when(even, F.concat(F.lit("first: "), "question")).alias("ground_truth"),
+        F.when(~even, F.concat(F.lit("second: "), "question")).alias("answer"),
+    ).write.json(folder)
+    return evaluation.ground_truth(read_questions(spark, folder, one_array=False))
+
+
 # --- chunks and points -------------------------------------------------------
 
 
@@ -237,8 +250,13 @@ def document_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Non-zero elements of the offline vector of every document."""
-    vectors = table(spark, sf_dir, "documents").select(
+    """Non-zero elements of the offline vector of every document.
+
+    As in ingestion, texts are redistributed before the model is called, because a
+    row group of texts is little to read and much to embed.
+    """
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    vectors = documents.select(
         "doc_id", embed_column(embedder(), F.col("text")).alias("vector")
     )
     return (

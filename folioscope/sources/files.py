@@ -125,6 +125,12 @@ def file_text(files: DataFrame, parser: Parser) -> DataFrame:
     )
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Question set from a JSON file with one top-level array; unknown keys are ignored."""
-    return spark.read.schema(QA_ITEM).option("multiLine", True).option("encoding", "UTF-8").json(path)
+def read_questions(spark: SparkSession, path: str, one_array: bool = True) -> DataFrame:
+    """Question set from JSON: a file with one top-level array, or one object per line.
+
+    Unknown keys are ignored.  A large set should have one object per line, because a file
+    with a single array cannot be read in parallel.
+    """
+    return (
+        spark.read.schema(QA_ITEM).option("multiLine", one_array).option("encoding", "UTF-8").json(path)
+    )
