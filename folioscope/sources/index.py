@@ -67,37 +67,33 @@ class Collection:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def properties(self) -> DataFrame:
+        """One row, or none where the collection was never completely created."""
+        return self._read("properties", PROPERTIES_SCHEMA)
+
     def exists(self) -> bool:
-        try:
-            self.properties()
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return False
-        return True
+        return not self.properties().isEmpty()
 
     def require(self) -> Collection:
-        if not self.exists():
+        declared = self.properties().first()
+        if declared is None:
             raise ValueError(f"Collection '{self.name}' does not exist in {self.path}")
-        size = self.properties().first()["vector_size"]
-        if size != self.vector_size:
-            raise ValueError(f"Collection '{self.name}' has vectors of size {size}, not {self.vector_size}")
+        if declared["vector_size"] != self.vector_size:
+            raise ValueError(
+                f"Collection '{self.name}' has vectors of size {declared['vector_size']}, not {self.vector_size}"
+            )
         return self
 
     def create_if_absent(self) -> Collection:
         if self.exists():
-            self.require()
-        else:
-            self.spark.range(1).select(
-                F.lit(self.name).alias("collection"),
-                F.lit(self.vector_size).alias("vector_size"),
-                F.lit(C.VECTOR_METRIC).alias("metric"),
-            ).write.parquet(self._table("properties"))
+            return self.require()
+        self.spark.range(1, numPartitions=1).select(
+            F.lit(self.name).alias("collection"),
+            F.lit(self.vector_size).alias("vector_size"),
+            F.lit(C.VECTOR_METRIC).alias("metric"),
+        ).write.mode("overwrite").parquet(self._table("properties"))
         return self
 
-    def properties(self) -> DataFrame:
-        return self.spark.read.schema(PROPERTIES_SCHEMA).parquet(self._table("properties"))
-
     def files(self) -> DataFrame:
         """The ledger: every file of a finished ingest, also those without any text."""
         return self._finished("files", LEDGER_SCHEMA)
@@ -183,7 +179,7 @@ class Collection:
             .write.mode("overwrite")
             .parquet(target)
         )
-        commit = self.spark.range(1).select(F.lit(True).alias("committed"))
+        commit = self.spark.range(1, numPartitions=1).select(F.lit(True).alias("committed"))
         commit.write.mode("overwrite").parquet(f"{self._table('commits')}/ingest={ingest}")
         return self.spark.read.parquet(target)
 

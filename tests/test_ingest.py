@@ -160,6 +160,8 @@ def test_collection_checks(spark, folder):
     with pytest.raises(ValueError, match="does not exist"):
         c.require()
     assert c.points().count() == 0
+    c.properties().write.parquet(c._table("properties"))  # a creation that died: a folder without the row
+    assert not c.exists()
     c.create_if_absent().create_if_absent()
     assert c.require().properties().collect()[0].asDict() == {
         "collection": c.name, "vector_size": 16, "metric": "cosine"
