@@ -6,9 +6,12 @@ import os
 import duckdb
 import pytest
 
+from catalog.oracles import oracles
+from catalog.queries import registry
+
 entry_module = importlib.import_module("__spark_entry__")
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+QUERIES = registry()
+SQL = oracles()
 
 
 @pytest.fixture(scope="module")
