@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import table
+from folioscope.llm.common import remainder, table
 from folioscope.llm.exact_dedup import duplicate_groups
+from folioscope.llm.language import identify_languages
+from folioscope.llm.mixing import mixing_probabilities
+from folioscope.llm.packing import pack
+from folioscope.llm.quality import score_quality
 from folioscope.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +34,24 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select(
+        F.col("row_id").alias("doc_id"), (~F.col("learned_from")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    found = identify_languages(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select(
+        F.col("row_id").alias("doc_id"), (~F.col("learned_from")).alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents")).select(
@@ -37,6 +59,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cell, its calibrated probability and whether it was drawn."""
+    mixed = mixing_probabilities(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_probability", 9).alias("mix_probability"), "mix_kept")
+
+
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select(

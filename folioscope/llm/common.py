@@ -46,7 +46,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = 8 << 20) -
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, starts = utf8(batch.column(text))
+        _, starts = utf8(batch.column(text % batch.num_columns))
         at = 0
         while at < batch.num_rows:
             end = int(np.searchsorted(starts, starts[at] + limit, side="right")) - 1
