@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import remainder, table
 from folioscope.llm.exact_dedup import duplicate_groups
+from folioscope.llm.fingerprints import FAN_OUT, RUN_WORDS, fingerprint_documents
 from folioscope.llm.language import identify_languages
 from folioscope.llm.mixing import mixing_probabilities
 from folioscope.llm.packing import pack
@@ -43,6 +44,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents")).select(
+        F.col("row_id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.round("near_edited", 9).alias("near_edited"), F.round("near_next", 9).alias("near_next")
+    )
+
+
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 4) == 2
@@ -80,7 +88,36 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _tree_sql(text: str) -> str:
+    """The fingerprint of a text expression."""
+    leaves = f"regexp_replace(regexp_replace(p, '([.!?]) ', '\\1 ' || chr(10), 'g'), '((?:[^ ]* ){{{RUN_WORDS}}})', '\\1' || chr(10), 'g')"
+    paragraphs = f"list_transform(string_split({text}, chr(10)), lambda p: array_to_string(list_transform(string_split_regex({leaves}, '\\n+'), lambda q: substr(sha256(q), 1, 12)), ' '))"
+    ends = f"p = substr(sha256(''), 1, 12) OR ('0x' || substr(sha256(p), 1, 4))::INT % {FAN_OUT} = 0"
+    sections = f"string_split(array_to_string(list_transform({paragraphs}, lambda p: p || CASE WHEN {ends} THEN chr(10) ELSE '|' END), ''), chr(10))"
+    nodes = f"array_to_string(list_transform(list_filter(list_transform({sections}, lambda s: rtrim(s, '|')), lambda s: s <> ''), lambda s: substr(sha256(s), 1, 12) || '(' || s || ')'), '')"
+    return f"(SELECT sha256(sha256({text}) || x.nodes) || ':' || x.nodes FROM (SELECT {nodes} AS nodes) x)"
+
+
+def _likeness_sql(left: str, right: str) -> str:
+    leaves = lambda f: f"list_distinct(flatten(list_transform(list_filter(string_split(split_part({f}, ':', 2), ')'), lambda s: s <> ''), lambda s: string_split_regex(split_part(s, '(', 2), '[ |]'))))"
+    return f"(SELECT CASE WHEN {left} = {right} THEN 1.0::DOUBLE ELSE len(list_intersect(x.a, x.b))::DOUBLE / len(list_distinct(list_concat(x.a, x.b))) END FROM (SELECT {leaves(left)} AS a, {leaves(right)} AS b) x)"
+
+
 SQL: dict[str, str] = {
+    "op2_fingerprints": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+             n AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+                   FROM d WINDOW w AS (ORDER BY doc_id, text)),
+             e AS (SELECT doc_id, text, next_text, length(text) AS n_chars,
+                          substr(text, 1, length(text) - length(text) // 4) || substr(next_text, 1, length(text) // 4) AS edited FROM n),
+             f AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_tree_sql("e.text")} AS fingerprint,
+                          {_tree_sql("e.edited")} AS edited_fingerprint, {_tree_sql("e.next_text")} AS next_fingerprint FROM e)
+        SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+               round({_likeness_sql("f.fingerprint", "f.edited_fingerprint")}, 9) AS near_edited,
+               round({_likeness_sql("f.fingerprint", "f.next_fingerprint")}, 9) AS near_next FROM f
+    """,
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
