@@ -14,6 +14,7 @@ from folioscope.llm.language import identify_languages
 from folioscope.llm.mixing import mixing_probabilities
 from folioscope.llm.packing import pack
 from folioscope.llm.quality import score_quality
+from folioscope.llm.suffix_dedup import remove_repeats
 from folioscope.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +52,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("row_id", "doc_id")
+
+
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 4) == 2

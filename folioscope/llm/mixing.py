@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import UPPER
 
-MAX_CELLS = 1_000_000
+MAX_CELLS = 100_000
 BUDGET = 0.5
 FLATTEN = 0.5
 ROUNDS = 200
@@ -126,7 +126,8 @@ def mixing_probabilities(
     chances = spark.createDataFrame(data, schema)
     # A number in [0, 1) from id and text: the upper 53 bits of a hash.
     number = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_col), text), 11) / F.lit(float(1 << 53))
-    return marked.join(chances, list(MARGINALS)).withColumn("mix_kept", number < F.col("mix_probability"))
+    # At most MAX_CELLS rows, so every task can hold them and no text moves.
+    return marked.join(F.broadcast(chances), list(MARGINALS)).withColumn("mix_kept", number < F.col("mix_probability"))
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
