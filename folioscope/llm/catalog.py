@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import remainder, table
 from folioscope.llm.exact_dedup import duplicate_groups
 from folioscope.llm.fingerprints import FAN_OUT, RUN_WORDS, fingerprint_documents
+from folioscope.llm.jaccard_join import shingle_components
 from folioscope.llm.language import identify_languages
 from folioscope.llm.mixing import mixing_probabilities
 from folioscope.llm.packing import pack
@@ -66,6 +67,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents")).select(
