@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import remainder, table
 from folioscope.llm.exact_dedup import duplicate_groups
+from folioscope.llm.extraction import extract_pages
 from folioscope.llm.fingerprints import FAN_OUT, RUN_WORDS, fingerprint_documents
 from folioscope.llm.jaccard_join import shingle_components
 from folioscope.llm.language import identify_languages
@@ -53,6 +54,13 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).select(
+        F.col("row_id").alias("page_id"), F.col("row_url").alias("url"), F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars")
+    )
+
+
 @query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("row_id", "doc_id")

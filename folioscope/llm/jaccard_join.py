@@ -194,26 +194,26 @@ class CountTree:
 # --- passes over the blocks ---
 
 
-def _sets(row: dict, powers: Powers) -> Iterator[tuple[int, np.ndarray]]:
-    ids, starts, data = B.texts_of(row)
-    for i in range(len(ids)):
-        yield int(ids[i]), token_set(data[starts[i] : starts[i + 1]], powers)
+def _sets(row: dict, powers: Powers) -> Iterator[np.ndarray]:
+    _, starts, data = B.texts_of(row)
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        yield token_set(data[a:b], powers)
 
 
-def _block_nodes(row: dict, powers: Powers) -> tuple[list[bytes], list[np.ndarray], list[tuple[int, int]]]:
-    """The distinct non-empty sets of a block in a fixed order, and each document's id and set, -1 for none."""
+def _block_nodes(row: dict, powers: Powers) -> tuple[list[bytes], list[np.ndarray], list[int]]:
+    """The distinct non-empty sets of a block in a fixed order, and the set of each document, -1 for none."""
     known: dict[bytes, int] = {}
     sets: list[np.ndarray] = []
     members = []
-    for key, tokens in _sets(row, powers):
+    for tokens in _sets(row, powers):
         if not len(tokens):
-            members.append((key, -1))
+            members.append(-1)
             continue
         digest = set_digest(tokens)
         if digest not in known:
             known[digest] = len(sets)
             sets.append(tokens)
-        members.append((key, known[digest]))
+        members.append(known[digest])
     return list(known), sets, members
 
 
@@ -239,7 +239,7 @@ def _asked(buckets: int):
     return run
 
 
-_FOUND = "kind string, node binary, doc_id long, n long, block long, keys array<long>, counts binary"
+_FOUND = "kind string, node binary, doc_id long, text_sha256 string, n long, block long, keys array<long>, counts binary"
 
 
 def _found(buckets: int):
@@ -254,16 +254,18 @@ def _found(buckets: int):
             order = np.argsort(owner, kind="stable")
             keys, owner = keys[order].astype(np.int64), owner[order]
             ends = np.searchsorted(owner, np.arange(len(sets) + 1))
-            out = {k: [] for k in ("kind", "node", "doc_id", "n", "block", "keys", "counts")}
-            for key, at in members:
-                for k, v in zip(out, ("document", names[at] if at >= 0 else None, key, len(sets[at]) if at >= 0 else 0, row["block"], None, None), strict=True):
-                    out[k].append(v)
+            ids, starts, data = B.texts_of(row)
+            out = []
+            for i, at in enumerate(members):
+                name, n = (names[at], len(sets[at])) if at >= 0 else (None, 0)
+                sha = hashlib.sha256(data[starts[i] : starts[i + 1]]).hexdigest()
+                out.append(("document", name, int(ids[i]), sha, n, row["block"], None, None))
             for at in np.unique(owner):
                 mine = keys[ends[at] : ends[at + 1]]
-                for k, v in zip(out, ("node", names[at], None, len(sets[at]), row["block"], mine, group_counts(sets[at]).tobytes()), strict=True):
-                    out[k].append(v)
-            kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+                out.append(("node", names[at], None, None, len(sets[at]), row["block"], mine, group_counts(sets[at]).tobytes()))
+            kinds = [pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            labels = ["kind", "node", "doc_id", "text_sha256", "n", "block", "keys", "counts"]
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=labels)
 
     return run
 
@@ -403,7 +405,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shingle_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, node`` (a digest of its set; null if empty)."""
+    """One row per document: ``doc_id, n_shingles, component_id, node, text_sha256``; ``node`` is
+    a digest of the set, null if that is empty."""
     table = B.Blocks(documents, id_col, text_col)
     # A third of a token per key, a token for five bytes or more, four bytes a key.
     buckets = 1 + int(table.bytes / 5 / 3 * 4) // bucket_bytes
@@ -423,12 +426,35 @@ def shingle_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     if not rest.isEmpty():
         edges = edges.unionByName(join.verified(rest))
         parts = stored(components(names, edges), "parts")
-    members = found.where("kind = 'document'").select("doc_id", "n", "node")
+    members = found.where("kind = 'document'").select("doc_id", "n", "node", "text_sha256")
     placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     # Empty sets have no component and stay alone.
     named = placed.join(least, "component", "left")
     no_id = lambda c: F.nullif(c, F.lit(B.NO_ID))
     return named.select(
-        no_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), no_id(F.coalesce("least", "doc_id")).alias("component_id"), "node"
+        no_id(F.col("doc_id")).alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        no_id(F.coalesce("least", "doc_id")).alias("component_id"),
+        "node",
+        "component",
+        "text_sha256",
     )
+
+
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with the smallest id of each component, with the columns they came with; those with
+    an empty set all stay, but for repeated rows of one id and text."""
+    found = shingle_components(documents, id_col, text_col)
+    row = F.struct(F.coalesce("doc_id", F.lit(B.NO_ID)).alias("id"), F.col("text_sha256").alias("sha"))
+    group = F.coalesce(F.hex("component"), F.concat_ws("/", row["id"].cast("string"), row["sha"]))
+    counted = found.groupBy(group.alias("group"), row["id"].alias("id"), row["sha"].alias("sha")).agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("group").agg(F.min(F.struct("id", "sha", "n")).alias("first"))
+    keep = stored(first.select(F.col("first.id").alias("_id"), F.col("first.sha").alias("_sha"), F.col("first.n").alias("_n")), "kept")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marked = documents.withColumns({"_own_id": F.coalesce(F.col(id_col).cast("long"), F.lit(B.NO_ID)), "_own_sha": F.sha2(text, 256)})
+    rows = marked.join(keep, (F.col("_own_id") == F.col("_id")) & (F.col("_own_sha") == F.col("_sha")))
+    single = rows.where("_n = 1")
+    if not keep.where("_n > 1").isEmpty():
+        single = single.unionByName(rows.where("_n > 1").dropDuplicates(["_own_id", "_own_sha"]))
+    return single.select(documents.columns)
