@@ -172,10 +172,11 @@ def drop_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = content_groups(documents, id_col, text_col, table_bytes)
     name = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
     keys = best.select(F.lower(F.hex("digest")).alias("_digest"), F.col("best_id").alias("_best"), F.col("n_best").alias("_ties"))
-    marked = documents.withColumns({"_name": name, "_key": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))})
+    # The row as one value, so that its columns may have any names.
+    marked = documents.select(F.struct("*").alias("_row"), name.alias("_name"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_key"))
     kept = marked.join(keys, (F.col("_name") == F.col("_digest")) & (F.col("_key") == F.col("_best")))
     single = kept.where(F.col("_ties") == 1)
     tied = kept.where(F.col("_ties") > 1)
     if keys.where(F.col("_ties") > 1).isEmpty():
-        return single.select(documents.columns)
-    return single.unionByName(tied.dropDuplicates(["_name"])).select(documents.columns)
+        return single.select("_row.*")
+    return single.unionByName(tied.dropDuplicates(["_name"])).select("_row.*")

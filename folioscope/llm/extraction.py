@@ -147,11 +147,9 @@ def parse(page: str) -> Element:
 def _open(stack: list[Element], tag: str, attributes: str) -> None:
     label, noise = _named(tag, attributes)
     element = Element(tag, label, noise)
+    # Deeper ones are opened beside each other.
+    del stack[DEPTH:]
     stack[-1].parts.append(element)
-    # Deeper ones are opened beside each other, below the deepest allowed.
-    if len(stack) > DEPTH:
-        del stack[DEPTH:]
-        stack[-1].parts[-1:] = [element] if stack[-1].parts and stack[-1].parts[-1] is element else [*stack[-1].parts[-1:], element]
     stack.append(element)
 
 
@@ -263,16 +261,11 @@ def _is_main(label: str) -> bool:
 def main_paths(wrapper: list) -> list[str]:
     """The paths of labels of the elements that hold the main text."""
     mains: dict[str, dict[str, float]] = {"article": {}, "main": {}}
-    total = 0.0
 
-    def mass(item: list, path: str, inside: bool) -> float:
+    def mass(item: list, path: str) -> float:
         """Unlinked text outside noise; notes article and main elements on the way."""
-        nonlocal total
         if item[0] == "#":
-            own = max(0, item[3] - item[4])
-            if not inside:
-                total += own
-            return own
+            return max(0, item[3] - item[4])
         grouped = item[0].startswith("(")
         if not grouped and item[0]:
             path = f"{path}/{item[0]}"
@@ -280,13 +273,13 @@ def main_paths(wrapper: list) -> list[str]:
         # The name of an element around a main one may be anything but a page's own frame.
         if not grouped and not main and _is_noise(item[0]) and item[0].split(".")[0] in NOISE_TAGS:
             return 0.0
-        own = sum(mass(x, path, inside) for x in item[2])
+        own = sum(mass(x, path) for x in item[2])
         if main:
             kind = "article" if item[0].startswith("article") else "main"
             mains[kind][path] = mains[kind].get(path, 0.0) + own
         return 0.0 if not grouped and not main and _is_noise(item[0]) else own
 
-    mass(wrapper, "", False)
+    total = mass(wrapper, "")
     for kind in ("article", "main"):
         if mains[kind] and sum(mains[kind].values()) >= FAIR_SHARE * total:
             return sorted(p for p, v in mains[kind].items() if v > 0) or sorted(mains[kind])

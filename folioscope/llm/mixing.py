@@ -7,8 +7,8 @@ and text is below its cell's probability, which any task decides alone and alway
 
 Target shares are given per marginal, or follow from the corpus: each category's share of tokens to
 the power ``flatten`` (0 makes categories equal, 1 leaves them as they are).  The budget is the share of
-all tokens to keep; where targets cannot be met within it because a category has too few tokens, its
-documents all stay and the others share the rest.
+all tokens to keep; where a category has too few tokens for its share, its documents all stay and the
+sample is smaller by what they lack.
 
 Only the sums of cells reach the driver; there may be ``MAX_CELLS`` of them at most, and more raise an
 error.  Defined results: null sources and languages are a category of their own (``""``); categories
@@ -86,7 +86,7 @@ def rake(cells: np.ndarray, tokens: np.ndarray, targets: list[dict[str, float]],
     return p
 
 
-def mixing_probabilities(
+def _mixed(
     documents: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -98,16 +98,18 @@ def mixing_probabilities(
     flatten: float = FLATTEN,
     max_cells: int = MAX_CELLS,
 ) -> DataFrame:
-    """All columns of the documents, and ``mix_source, mix_lang, mix_topic, mix_tokens, mix_probability,
-    mix_kept``."""
+    """``mix_row``, the document as one value, so that its columns may have any names, and
+    ``mix_source, mix_lang, mix_topic, mix_tokens, mix_probability, mix_kept``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = documents.withColumns(
-        {
-            "mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-            "mix_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")),
-            "mix_topic": F.coalesce(topic.cast("string"), F.lit("")) if topic is not None else form_topic(text),
-            "mix_tokens": words(text),
-        }
+    # A number in [0, 1) from id and text: the upper 53 bits of a hash.
+    number = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_col), text), 11) / F.lit(float(1 << 53))
+    marked = documents.select(
+        F.struct("*").alias("mix_row"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source"),
+        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("mix_lang"),
+        (F.coalesce(topic.cast("string"), F.lit("")) if topic is not None else form_topic(text)).alias("mix_topic"),
+        words(text).alias("mix_tokens"),
+        number.alias("mix_number"),
     )
     sums = marked.groupBy(*MARGINALS).agg(F.sum("mix_tokens").alias("tokens")).orderBy(*MARGINALS)
     rows = sums.limit(max_cells + 1).collect()
@@ -124,12 +126,19 @@ def mixing_probabilities(
     else:
         data = []
     chances = spark.createDataFrame(data, schema)
-    # A number in [0, 1) from id and text: the upper 53 bits of a hash.
-    number = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_col), text), 11) / F.lit(float(1 << 53))
     # At most MAX_CELLS rows, so every task can hold them and no text moves.
-    return marked.join(F.broadcast(chances), list(MARGINALS)).withColumn("mix_kept", number < F.col("mix_probability"))
+    return marked.join(F.broadcast(chances), list(MARGINALS)).withColumn("mix_kept", F.col("mix_number") < F.col("mix_probability"))
+
+
+def mixing_probabilities(documents: DataFrame, **options) -> DataFrame:
+    """The documents and ``mix_source, mix_lang, mix_topic, mix_tokens, mix_probability, mix_kept``, which
+    take the place of columns of these names.  The options are those of the module's first lines:
+    column names, ``topic``, ``targets``, ``budget``, ``flatten`` and ``max_cells``."""
+    added = [*MARGINALS, "mix_tokens", "mix_probability", "mix_kept"]
+    own = [F.col("mix_row")[c].alias(c) for c in documents.columns if c not in added]
+    return _mixed(documents, **options).select(*own, *added)
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
     """The sampled documents with the columns they came with."""
-    return mixing_probabilities(documents, **options).where("mix_kept").select(documents.columns)
+    return _mixed(documents, **options).where("mix_kept").select("mix_row.*")
