@@ -34,7 +34,8 @@ ANSWER_SCHEMA = "block long, bucket long, bits binary"
 
 NO_ID = -(1 << 63)
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Places that are hashed at a time.
+_PART = 1 << 16
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -52,17 +53,41 @@ def random_table(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-def doubled(hashes: np.ndarray, length: int, base: int) -> np.ndarray:
-    """From the hashes of all windows of ``length``, those of all windows of twice that."""
-    return joined(hashes, hashes, length, length, base)
+def rolling(first: np.ndarray, length: int, base: int) -> np.ndarray:
+    """Polynomial hashes of all windows of ``length`` places, put together from windows of powers of two."""
+    power, size, whole, have = first, 1, None, 0
+    while True:
+        if length & size:
+            whole, have = (power, size) if whole is None else (_joined(whole, power, have, size, base), have + size)
+        if have == length:
+            return whole
+        power, size = _joined(power, power, size, size, base), 2 * size
 
 
-def joined(left: np.ndarray, right: np.ndarray, shift: int, power: int, base: int) -> np.ndarray:
-    """Hashes of windows put together from two: the second starts ``shift`` later and has ``power``
-    places that the first is moved by."""
-    factor = np.uint64(pow(base, power, 1 << 64))
-    n = min(len(left), len(right) - shift)
-    return left[: max(n, 0)] * factor + right[shift : shift + max(n, 0)]
+def _joined(left: np.ndarray, right: np.ndarray, shift: int, power: int, base: int) -> np.ndarray:
+    """Windows followed by other windows that start ``shift`` later and are ``power`` long."""
+    n = max(min(len(left), len(right) - shift), 0)
+    found = left[:n] * np.uint64(pow(base, power, 1 << 64))
+    found += right[shift : shift + n]
+    return found
+
+
+def hashes_at(data: np.ndarray, places: np.ndarray | None, seed: int, base: int, length: int) -> np.ndarray:
+    """The mixed hashes of the windows of ``length`` bytes that start at the sorted ``places`` (None: at
+    all), a part of the text at a time that fits a processor's cache."""
+    table = random_table(seed)
+    total = max(len(data) - length + 1, 0)
+    found = np.empty(total if places is None else len(places), np.uint64)
+    for at in range(0, total, _PART):
+        end = min(at + _PART, total)
+        if places is None:
+            a, b, inside = at, end, slice(None)
+        else:
+            a, b = np.searchsorted(places, (at, end))
+            inside = places[a:b] - at
+        if a < b:
+            found[a:b] = mix64(rolling(table[data[at : end + length - 1]], length, base)[inside])
+    return found
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +118,9 @@ class Blocks:
         self.name = f"blocks_{uuid.uuid4().hex}"
         rows = texts.mapInArrow(_blocks, BLOCK_SCHEMA)
         writer = rows.write.format("parquet").option("compression", "zstd").option("path", fresh_folder(self.spark, "blocks"))
-        writer.bucketBy(1 + self.bytes // TASK_BYTES, "block").saveAsTable(self.name)
+        # Spark deals a bucketed table anew for a join if it has fewer buckets than a shuffle has partitions.
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        writer.bucketBy(max(least, 1 + self.bytes // TASK_BYTES), "block").saveAsTable(self.name)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -180,13 +207,25 @@ def answers(sent: DataFrame, kinds: list[type], judge: Callable[[list[np.ndarray
 
 def groups_of(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts the keys, and where each run of equal ones starts in it."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    order = np.argsort(keys[0])
+    first = keys[0][order]
+    same = first[1:] == first[:-1]
+    for key in keys[1:]:
+        # Equal first keys nearly always have equal other keys; if not, all keys are sorted by.
+        if (same & (key[order][1:] != key[order][:-1])).any():
+            order = np.lexsort(keys[::-1])
+            same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+            break
     new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    new[1:] = ~same
     return order, np.flatnonzero(new)
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of 64-bit keys, which ascends with them."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 def shared_elsewhere(columns: list[np.ndarray], message: np.ndarray) -> np.ndarray:
     """Whether another message has the key too; a message has each key once."""
     order, starts = groups_of(columns)

@@ -48,6 +48,16 @@ _CUT = 8
 _BASES = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A4B)
 
 
+def spread_back(marks: np.ndarray, reach: int) -> np.ndarray:
+    """Marks every place that has a mark at itself or at most ``reach - 1`` places later."""
+    found, have = marks.copy(), 1
+    while have < reach:
+        step = min(have, reach - have)
+        found[:-step] |= found[step:].copy()
+        have += step
+    return found
+
+
 class BlockState:
     """What a block knows about its suffixes; each step adds the answers of its round."""
 
@@ -56,11 +66,15 @@ class BlockState:
         self.ids, self.starts, self.data = B.texts_of(row)
         self.buckets = buckets
         n = len(self.data)
-        self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
         #: Suffixes with MATCH bytes left in their document.
         self.full = np.zeros(n, bool)
-        for a, b in zip(self.starts[:-1], self.starts[1:], strict=True):
+        #: Places of the difference cover with a whole window.
+        self.cover = np.zeros(n, bool)
+        for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
             self.full[a : max(a, b - MATCH + 1)] = True
+            for c in COVER:
+                self.cover[a + c : max(a, b - WINDOW + 1) : PERIOD] = True
         #: Suffixes known to repeat an earlier document's.
         self.repeat = np.zeros(n, bool)
         self.active = self.full
@@ -69,100 +83,87 @@ class BlockState:
 
     def regions(self) -> tuple[np.ndarray, list[np.ndarray]]:
         """Buckets and keys of the distinct regions; remembers where they lie."""
-        first = B.random_table(1)[self.data]
-        h = B.doubled(B.doubled(B.doubled(first, 1, _BASES[0]), 2, _BASES[0]), 4, _BASES[0])
-        cut = np.flatnonzero(B.mix64(h) & np.uint64(REGION - 1) == 0)
-        begins = np.unique(np.concatenate([cut, self.starts[:-1]]))
-        begins = begins[self.full[np.minimum(begins, max(len(self.full) - 1, 0))]] if len(self.full) else begins[:0]
-        docs = self.doc[begins]
-        last = self.starts[docs + 1] - MATCH + 1  # the first place without a full suffix
+        cut = np.flatnonzero(B.hashes_at(self.data, None, 1, _BASES[0], _CUT) & np.uint64(REGION - 1) == 0)
+        begins = np.union1d(cut, self.starts[:-1][self.starts[:-1] < len(self.data)])
+        begins = begins[self.full[begins]]
+        last = self.starts[self.doc[begins] + 1] - MATCH + 1  # the first place without a full suffix
         ends = np.minimum(np.append(begins[1:], len(self.data)), last)
         whole = self.data.tobytes()
         digest = b"".join(
-            hashlib.blake2b(whole[a : b + MATCH - 1], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)
+            [hashlib.blake2b(whole[a : b + MATCH - 1], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
         )
         keys = np.frombuffer(digest, np.uint64).reshape(-1, 2)
         self.region_at = (begins, ends)
-        return self._distinct(0, [keys[:, 0], keys[:, 1]], docs)
+        return self._distinct(0, [np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1])], self.doc[begins])
 
     def settle_regions(self, bits: list[dict] | None) -> None:
         bucket, _ = self.regions()
         known = self._repeats(B.answered(bits, bucket))
-        change = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(change, self.region_at[0][known], 1)
-        np.add.at(change, self.region_at[1][known], -1)
-        self.repeat = np.cumsum(change[:-1]) > 0
+        for a, b in zip(self.region_at[0][known].tolist(), self.region_at[1][known].tolist(), strict=True):
+            self.repeat[a:b] = True
         self.active = self.full & ~self.repeat
 
     # --- step 2 ---
 
     def samples(self) -> tuple[np.ndarray, list[np.ndarray]]:
         """Buckets and keys of the distinct cover windows that touch an active suffix."""
-        base = _BASES[0]
-        h1 = B.random_table(2)[self.data]
-        h2 = B.doubled(h1, 1, base)
-        h4 = B.doubled(h2, 2, base)
-        h8 = B.doubled(h4, 4, base)
-        h32 = B.doubled(B.doubled(h8, 8, base), 16, base)
-        h38 = B.joined(B.joined(h32, h4, 32, 4, base), h2, 36, 2, base)
-        offset = np.arange(len(self.data)) - self.starts[self.doc]
-        on_cover = np.isin(np.arange(PERIOD), COVER)[offset % PERIOD]
-        near = np.cumsum(np.concatenate([[0], self.active]))
-        places = np.arange(len(h38))
-        inside = near[places + 1] > near[np.maximum(places - PERIOD + 1, 0)]
-        at = np.flatnonzero(on_cover[: len(h38)] & inside & (self.doc[: len(h38)] == self.doc[WINDOW - 1 : WINDOW - 1 + len(h38)]))
-        mixed = B.mix64(h38[at])
-        self.sample_at = at
-        bucket = (mixed >> np.uint64(32)) % np.uint64(self.buckets[1])
-        key = mixed.astype(np.uint32)
-        order, starts = B.groups_of([bucket, key])
-        docs = self.doc[at][order]
-        self.sample_group = (order, starts)
-        low = np.minimum.reduceat(docs, starts) if len(starts) else docs
-        high = np.maximum.reduceat(docs, starts) if len(starts) else docs
-        self.tied_here = low < high
-        return bucket[order][starts], [key[order][starts]]
+        # A window lies in the strings that start at its place or up to a period before it.
+        touched = spread_back(self.active[::-1], PERIOD)[::-1]
+        self.sample_at = np.flatnonzero(self.cover & touched)
+        mixed = B.hashes_at(self.data, self.sample_at, 2, _BASES[0], WINDOW)
+        self.sample_key = (B.bucket_of(mixed, self.buckets[1]) << np.uint64(32)) | (mixed & np.uint64(0xFFFFFFFF))
+        # Keys and the documents' numbers are sorted as one number where that fits; it nearly always does.
+        width = np.uint64(max(len(self.ids), 2).bit_length())
+        docs = self.doc[self.sample_at].astype(np.uint64)
+        if self.buckets[1].bit_length() + 32 + int(width) <= 64:
+            sorted_ = np.sort((self.sample_key << width) | docs)
+            keys, docs = sorted_ >> width, sorted_ & np.uint64((1 << int(width)) - 1)
+        else:
+            order = np.lexsort((docs, self.sample_key))
+            keys, docs = self.sample_key[order], docs[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(keys)) - 1
+        self.keys, self.tied_here = keys[starts], docs[starts] != docs[ends] if len(keys) else new
+        return self.keys >> np.uint64(32), [self.keys.astype(np.uint32)]
 
     def settle_samples(self, bits: list[dict] | None) -> None:
         bucket, _ = self.samples()
-        tied = B.answered(bits, bucket) | self.tied_here
-        order, starts = self.sample_group
-        each = np.zeros(len(order), bool)
-        each[order] = np.repeat(tied, np.diff(np.append(starts, len(order))))
-        marks = np.zeros(len(self.data) + 1, np.int64)
-        marks[self.sample_at[each] + 1] = 1
-        seen = np.cumsum(marks)
-        ahead = np.minimum(np.arange(len(self.data)) + PERIOD, len(self.data))
-        self.active = self.active & (seen[ahead] > seen[:-1])
+        ties = self.keys[B.answered(bits, bucket) | self.tied_here]
+        # Most keys are not tied: a table of their low bits tells them apart, and the rest are looked up.
+        seen = np.zeros(1 << 22, bool)
+        seen[ties & np.uint64(len(seen) - 1)] = True
+        maybe = np.flatnonzero(seen[self.sample_key & np.uint64(len(seen) - 1)])
+        key = self.sample_key[maybe]
+        at = np.searchsorted(ties, key)
+        tied = maybe[ties[np.minimum(at, len(ties) - 1)] == key] if len(ties) else maybe[:0]
+        marks = np.zeros(len(self.data), bool)
+        marks[self.sample_at[tied]] = True
+        self.active = self.active & spread_back(marks, PERIOD)
 
     # --- step 3 ---
 
     def suffixes(self) -> tuple[np.ndarray, list[np.ndarray]]:
         """Buckets and keys of the distinct strings at the suffixes that are left."""
         self.suffix_at = np.flatnonzero(self.active)
-        keys = []
-        for seed, base in zip((3, 4), _BASES, strict=True):
-            h2 = B.doubled(B.random_table(seed)[self.data], 1, base)
-            h16 = B.doubled(B.doubled(B.doubled(h2, 2, base), 4, base), 8, base)
-            h48 = B.joined(B.doubled(h16, 16, base), h16, 32, 16, base)
-            keys.append(B.mix64(B.joined(h48, h2, 48, 2, base)[self.suffix_at]))
-        return self._distinct(2, [keys[0], (keys[1] >> np.uint64(32)).astype(np.uint32)], self.doc[self.suffix_at])
+        high, low = (B.hashes_at(self.data, self.suffix_at, seed, base, MATCH) for seed, base in zip((3, 4), _BASES, strict=True))
+        return self._distinct(2, [high, (low >> np.uint64(32)).astype(np.uint32)], self.doc[self.suffix_at])
 
     def settle_suffixes(self, bits: list[dict] | None) -> None:
         bucket, _ = self.suffixes()
-        self.repeat = self.repeat.copy()
         self.repeat[self.suffix_at[self._repeats(B.answered(bits, bucket))]] = True
 
     # --- shared by steps 1 and 3 ---
 
     def _distinct(self, step: int, keys: list[np.ndarray], docs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Sorted distinct keys with the smallest id that has each."""
-        bucket = (keys[0] >> np.uint64(20)) % np.uint64(self.buckets[step])
-        order, starts = B.groups_of([bucket, *keys])
+        order, starts = B.groups_of(keys)
         ids = self.ids[docs][order]
         least = np.minimum.reduceat(ids, starts) if len(starts) else ids
         self.grouped = (order, starts, ids, least)
-        return bucket[order][starts], [*(k[order][starts] for k in keys), least]
+        keys = [k[order[starts]] for k in keys]
+        return B.bucket_of(keys[0], self.buckets[step]), [*keys, least]
 
     def _repeats(self, smaller: np.ndarray) -> np.ndarray:
         """Which of the entries behind ``_distinct`` repeat a smaller id's: one of another block, or here."""
@@ -176,11 +177,7 @@ class BlockState:
 
     def removed(self) -> np.ndarray:
         """The bytes covered by a repeat."""
-        change = np.zeros(len(self.data) + MATCH + 1, np.int32)
-        at = np.flatnonzero(self.repeat)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + MATCH, -1)
-        return np.cumsum(change)[: len(self.data)] > 0
+        return spread_back(self.repeat[::-1], MATCH)[::-1]
 
 
 _STEPS = (
