@@ -234,9 +234,13 @@ _PAIRS = """pairs AS (
 
 _ENTRY = "chr(10) || CASE role WHEN 'user' THEN 'Human' WHEN 'assistant' THEN 'Assistant' ELSE role END || ': ' || text"
 
-_HISTORY = f"""SELECT conv_id, turn, (turn // 128)::BIGINT AS page, coalesce(string_agg({_ENTRY}, '') OVER (
-  PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history_tail
-FROM conversations"""
+_EARLIER = "ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+#: The earlier messages of the same page of three turns, and of the whole conversation.
+_HISTORY = f"""SELECT conv_id, turn, (turn // 3)::BIGINT AS page, coalesce(string_agg({_ENTRY}, '') OVER (
+  PARTITION BY conv_id, turn // 3 {_EARLIER}), '') AS history_tail FROM conversations"""
+_WHOLE_HISTORY = f"""SELECT conv_id, turn, coalesce(string_agg({_ENTRY}, '') OVER (
+  PARTITION BY conv_id {_EARLIER}), '') AS history FROM conversations"""
 
 
 def _escaped(text: str) -> str:
@@ -277,8 +281,9 @@ _OPEN = _session_questions("")
 _EVALUATION = [
     *_NAIVE,
     """evaluation AS (
-  SELECT q.question_id, question, question AS ground_truth, coalesce(string_split(page_content, chr(10))[1], '') AS answer
-  FROM questions q LEFT JOIN found f ON f.question_id = q.question_id AND position = 1)""",
+  SELECT q.question_id, question, coalesce(b.text, question) AS ground_truth, coalesce(page_content, '') AS answer
+  FROM questions q LEFT JOIN found f ON f.question_id = q.question_id AND position = 1
+  LEFT JOIN benchmark b ON b.item_id = q.question_id + 1)""",
 ]
 
 _RELEVANCY = [
@@ -297,8 +302,23 @@ _RELEVANCY = [
     "relevancy AS (SELECT question_id, avg(score) AS answer_relevancy FROM line_scores GROUP BY question_id)",
 ]
 
+_FAITHFULNESS = [
+    f"""known_words AS (
+  SELECT question_id, flatten(list({_words('page_content')})) AS known FROM found GROUP BY question_id)""",
+    f"""answer_lines AS (
+  SELECT question_id, line FROM (
+    SELECT question_id, unnest(list_transform(string_split(answer, chr(10)), lambda x: {_strip('x')})) AS line FROM evaluation)
+  WHERE line <> '')""",
+    f"""line_verdicts AS (
+  SELECT question_id, len(list_filter({_words('line')}, lambda w: NOT list_contains(known, w))) = 0 AS supported
+  FROM answer_lines JOIN known_words USING (question_id))""",
+    """faithful AS (
+  SELECT question_id, avg(supported::INT) AS faithfulness, count(*) AS n_statements FROM line_verdicts GROUP BY question_id)""",
+]
+
 _CORRECTNESS = [
     *_embedded("answer_vectors", "evaluation", "question_id", "answer"),
+    *_embedded("truth_vectors", "evaluation", "question_id", "ground_truth"),
     f"""overlap AS (
   SELECT question_id, list_distinct({_words('answer')}) AS given, list_distinct({_words('ground_truth')}) AS wanted
   FROM evaluation)""",
@@ -311,8 +331,8 @@ _CORRECTNESS = [
   SELECT question_id, coalesce(dot / (qn.norm * an.norm), 0) AS similarity
   FROM evaluation
   LEFT JOIN (SELECT question_id, sum(q.weight * a.weight) AS dot
-             FROM question_vectors q JOIN answer_vectors a USING (question_id, bucket) GROUP BY ALL) USING (question_id)
-  LEFT JOIN question_vectors_norm qn USING (question_id) LEFT JOIN answer_vectors_norm an USING (question_id))""",
+             FROM truth_vectors q JOIN answer_vectors a USING (question_id, bucket) GROUP BY ALL) USING (question_id)
+  LEFT JOIN truth_vectors_norm qn USING (question_id) LEFT JOIN answer_vectors_norm an USING (question_id))""",
     f"""correctness AS (
   SELECT question_id, f1, similarity,
          {C.CORRECTNESS_WEIGHTS[0]}::DOUBLE * f1 + {C.CORRECTNESS_WEIGHTS[1]}::DOUBLE * similarity AS answer_correctness
@@ -326,14 +346,15 @@ _PAYLOAD_MAPS = """payloads AS (
 _VERDICTS = "verdicts AS (SELECT source, quality, toxic FROM labels JOIN documents USING (doc_id))"
 
 _REPLIES = """shaped AS (
-  SELECT event_id, event_id % 7 AS kind, event_type AS word, props, '["' || event_type || '", "' || user_id || '"]' AS pair
+  SELECT event_id, event_id % 8 AS kind, event_type AS word, props, '["' || event_type || '", "' || user_id || '"]' AS pair
   FROM events),
 full_replies AS (SELECT *, '{"statements": ' || pair || ', "verdicts": ["yes", "' || word || '"]}' AS full_reply FROM shaped),
 replies AS (
   SELECT event_id, CASE kind WHEN 0 THEN full_reply WHEN 1 THEN pair WHEN 2 THEN json_extract_string(props, '$.k')
     WHEN 3 THEN full_reply || chr(10) || 'Done. ' WHEN 4 THEN props
     WHEN 5 THEN '  ' || word || chr(10) || chr(10) || ' is ' || props || ' ' || chr(10)
-    ELSE '{"statements": ' || pair || ', "verdicts": "none"}' END AS reply FROM full_replies)"""
+    WHEN 6 THEN '{"statements": ' || pair || ', "verdicts": "none"}'
+    ELSE '{"a": 1, "statements": ' || pair || ', "a": 2}' END AS reply FROM full_replies)"""
 
 
 def oracles() -> dict[str, str]:
@@ -358,6 +379,9 @@ WHERE {_strip('text')} <> ''"""
   SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS l
   FROM documents)
 SELECT doc_id, unnest(l) AS text, (generate_subscripts(l, 1) - 1)::INT AS line_index FROM kept"""
+    sql["folder_scan"] = f"""SELECT line, count(*) AS n FROM (
+  SELECT unnest(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')})) AS line FROM documents)
+WHERE line <> '' GROUP BY line"""
     sql["joined_pages"] = "SELECT doc_id, replace(text, chr(10), '') AS text FROM documents"
 
     sql["question_file"] = """SELECT text AS question,
@@ -414,6 +438,7 @@ UNION ALL SELECT doc_id, (quality + 100)::INT FROM labels"""
         f"greatest(len(l) - {C.SAMPLE_FILES}, 0)::INT AS n_more FROM names"
     )
     sql["keyword_filter"] = "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source = 'src1'"
+    sql["collection_keyword"] = _with(*_POINTS) + f"SELECT id, {_PAYLOAD} FROM points ORDER BY id LIMIT 10"
     sql["scroll_limit"] = _with(*_POINTS) + f"SELECT id, {_PAYLOAD} FROM points ORDER BY id LIMIT 2"
     sql["payload_defaults"] = f"""WITH {_PAYLOAD_MAPS}
 SELECT doc_id, text, CASE WHEN has_source THEN source ELSE '{C.MISSING_SOURCE}' END AS source,
@@ -478,17 +503,27 @@ FROM pairs"""
   string_agg({_ENTRY}, '' ORDER BY turn) AS page_text FROM conversations GROUP BY ALL"""
     sql["latest_questions"] = f"WITH {_LATEST}\nSELECT conv_id, turn, text FROM session_questions"
     sql["open_questions"] = f"WITH {_OPEN}\nSELECT conv_id, turn, text FROM session_questions"
-    values = {"context": "context", "chat_history": "coalesce(history_tail, '')", "question": "question"}
-    sql["chat_prompt_parts"] = _with(
+    values = {"context": "context", "chat_history": "history", "question": "question"}
+    before, after = (_prompt(half, values) for half in C.PROMPT_DEFAULT.split("{chat_history}"))
+    asked = _with(
         *_POINTS,
         _LATEST,
         *_hits(C.OVER_RETRIEVE_K, "session_questions"),
         _DOCUMENTS,
         *_reranked("session_questions"),
         _assembled("best"),
-        f"history AS ({_HISTORY})",
-    ) + f"""SELECT conv_id, 0::BIGINT AS part, {_prompt(C.PROMPT_DEFAULT, values)} AS text
-FROM session_questions JOIN assembled USING (question_id) JOIN history USING (conv_id, turn)"""
+        f"pages AS ({sql['history_pages']})",
+        f"tails AS ({_HISTORY})",
+        f"history AS ({_WHOLE_HISTORY})",
+        """asked AS (
+  SELECT * FROM session_questions JOIN assembled USING (question_id) JOIN tails USING (conv_id, turn)
+  JOIN history USING (conv_id, turn))""",
+    )
+    sql["chat_prompt_parts"] = asked + f"""SELECT conv_id, 0::BIGINT AS part,
+  CASE WHEN page = 0 THEN {before} || history_tail || {after} ELSE {before} END AS text FROM asked
+UNION ALL SELECT conv_id, page + 1, history_tail || {after} FROM asked WHERE page > 0
+UNION ALL SELECT conv_id, p.page + 1, page_text FROM pages p JOIN asked a USING (conv_id) WHERE p.page < a.page"""
+    sql["chat_whole_prompts"] = asked + f"SELECT conv_id, {_prompt(C.PROMPT_DEFAULT, values)} AS prompt FROM asked"
 
     sql["chat_turns"] = _with(
         *_POINTS,
@@ -497,7 +532,7 @@ FROM session_questions JOIN assembled USING (question_id) JOIN history USING (co
         _DOCUMENTS,
         *_reranked("session_questions"),
     ) + """SELECT conv_id, o.turn + 1 AS turn, 'assistant' AS role,
-  coalesce(string_split(page_content, chr(10))[1], '') AS text
+  coalesce(page_content, '') AS text
 FROM session_questions o LEFT JOIN best b ON b.question_id = o.question_id AND position = 1"""
 
     sql["eval_dataset"] = _with(*_EVALUATION) + """SELECT e.question_id, question, answer, ground_truth,
@@ -508,10 +543,15 @@ FROM evaluation e LEFT JOIN found USING (question_id)"""
     )
     sql["answer_correctness"] = _with(*_EVALUATION, *_CORRECTNESS) + """SELECT question_id, round(f1, 6) AS f1,
   round(similarity, 6) AS similarity, round(answer_correctness, 6) AS answer_correctness FROM correctness"""
-    sql["metric_suite"] = _with(*_EVALUATION, *_RELEVANCY, *_CORRECTNESS) + """SELECT
+    sql["answer_faithfulness"] = _with(*_EVALUATION, *_FAITHFULNESS) + (
+        "SELECT question_id, round(faithfulness, 6) AS faithfulness, n_statements FROM faithful"
+    )
+    sql["metric_suite"] = _with(*_EVALUATION, *_RELEVANCY, *_CORRECTNESS, *_FAITHFULNESS) + """SELECT
+  round(avg(faithfulness), 6) AS faithfulness,
   round(avg(answer_relevancy), 6) AS answer_relevancy, round(avg(answer_correctness), 6) AS answer_correctness,
   count(*) AS n_questions
-FROM evaluation LEFT JOIN relevancy USING (question_id) LEFT JOIN correctness USING (question_id)"""
+FROM evaluation LEFT JOIN relevancy USING (question_id) LEFT JOIN correctness USING (question_id)
+LEFT JOIN faithful USING (question_id)"""
     sql["faithfulness"] = f"""WITH {_VERDICTS}
 SELECT source, round(avg(quality), 6) AS faithfulness, count(*) AS n_statements FROM verdicts GROUP BY source"""
     sql["relevant_share"] = f"""WITH {_VERDICTS}

@@ -25,12 +25,12 @@ from folioscope.models.hashing import HashingEmbedder
 from folioscope.operators import answers, chat, chunking, evaluation
 from folioscope.operators.files import first_copies, new_files, with_hash
 from folioscope.operators.search import top_k
-from folioscope.plans.answer import answer, chat_prompts, chat_turns as reply_to_open_questions
-from folioscope.plans.evaluate import correctness_scores, evaluation_table, relevancy_scores
+from folioscope.plans.answer import answer, chat_prompts, chat_turns as reply_to_open_questions, whole_prompts
+from folioscope.plans.evaluate import correctness_scores, evaluation_table, faithfulness_scores, relevancy_scores
 from folioscope.plans.ingest import build_points, file_chunks, ingest
 from folioscope.plans.retrieve import Retriever, naive_retriever, reranked_retriever, text_retriever
 from folioscope.session import fresh_folder, stored, work_folder
-from folioscope.sources.files import file_text, read_questions, text_parser
+from folioscope.sources.files import file_text, read_questions, scan_folder, text_parser
 from folioscope.sources.index import Collection, collection_report, keep_latest, sample_files
 from folioscope.streaming.ingest import start_ingest
 from folioscope.streaming.memory import history_stream
@@ -41,6 +41,10 @@ _REGISTRY: dict[str, Query] = {}
 _ONE_WRITER = threading.Lock()
 
 SCORE_DECIMALS = 6
+PROBE_SALTS = 16
+
+#: Turns per page in the registered queries, so that conversations have several pages.
+QUERY_PAGE_TURNS = 3
 
 
 def query(function: Query) -> Query:
@@ -127,9 +131,12 @@ def exists_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document's content occurs among the labelled documents."""
     hashed = content_hash(spark, sf_dir)
     indexed = hashed.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    # The right side is reduced to distinct hashes, so copies do not multiply rows.
-    known = indexed.select("file_hash").distinct().withColumn("known", F.lit(True))
-    return hashed.join(known, "file_hash", "left").select(
+    # The right side is reduced to distinct hashes, so copies do not multiply rows, and repeated for
+    # each salt, so that a content that makes up much of the left side is not one task's work.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(PROBE_SALTS - 1)))
+    known = indexed.select("file_hash").distinct().select("file_hash", salts.alias("salt"), F.lit(True).alias("known"))
+    salted = hashed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(PROBE_SALTS)).cast("int"))
+    return salted.join(known, ["file_hash", "salt"], "left").select(
         "doc_id", F.coalesce("known", F.lit(False)).alias("already_indexed")
     )
 
@@ -164,6 +171,16 @@ def stripped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files, found again by their suffix and read line by line."""
+    folder = fresh_folder(spark, "texts")
+    table(spark, sf_dir, "documents").select("text").write.text(folder)
+    content = scan_folder(spark, folder, ".TXT").select(F.decode("content", "UTF-8").alias("text"))
+    lines = content.select(F.explode(text_fn.nonblank_lines(F.col("text"))).alias("line"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def joined_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages of a file in order with nothing between them, with lines as pages."""
@@ -304,7 +321,11 @@ def upsert_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     relabelled = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("vec_id"), (F.col("quality") + 100).alias("label")
     )
-    return keep_latest(points, relabelled, "vec_id")
+    # Every label arrives twice, first an old one.
+    stale = relabelled.withColumn("label", F.lit(0))
+    arrived = stale.withColumn("version", F.lit(1)).unionByName(relabelled.withColumn("version", F.lit(2)))
+    merged = keep_latest(points.withColumn("version", F.lit(0)), arrived, "vec_id", F.col("version"))
+    return merged.drop("version")
 
 
 # --- reading the collection --------------------------------------------------
@@ -343,6 +364,12 @@ def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def collection_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten points of the collection that match a keyword."""
+    return document_collection(spark, sf_dir).scroll({"page_number": "1"}).select("id", "payload.*")
+
+
 @query
 def scroll_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two points shown after an ingest."""
@@ -523,14 +550,15 @@ def render_raw_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tails = chat.with_history_tail(messages(spark, sf_dir), "conv_id")
+    """The earlier turns of the same page of three; earlier pages are those of ``history_pages``."""
+    tails = chat.with_history_tail(messages(spark, sf_dir), "conv_id", page_turns=QUERY_PAGE_TURNS)
     return tails.select("conv_id", "turn", "page", "history_tail")
 
 
 @query
 def history_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations in pages of three turns."""
-    return chat.history_pages(messages(spark, sf_dir), "conv_id", page_turns=3)
+    return chat.history_pages(messages(spark, sf_dir), "conv_id", page_turns=QUERY_PAGE_TURNS)
 
 
 @query
@@ -543,7 +571,7 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         .parquet(sf_dir)
     )
     started = (
-        history_stream(stream, "conv_id")
+        history_stream(stream, "conv_id", page_turns=QUERY_PAGE_TURNS)
         .writeStream.format("parquet")
         .option("path", f"{folder}/rows")
         .option("checkpointLocation", f"{folder}/checkpoint")
@@ -568,7 +596,13 @@ def open_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompt of the latest question of every conversation: reranked context, history, question."""
     retriever = reranked_retriever(document_collection(spark, sf_dir))
-    return chat_prompts(messages(spark, sf_dir), retriever, "conv_id")
+    return chat_prompts(messages(spark, sf_dir), retriever, "conv_id", page_turns=QUERY_PAGE_TURNS)
+
+
+@query
+def chat_whole_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the parts of each prompt joined: the whole history in one text."""
+    return whole_prompts(chat_prompt_parts(spark, sf_dir), "conv_id")
 
 
 @query
@@ -582,7 +616,12 @@ def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = questions(spark, sf_dir).withColumn("ground_truth", F.col("question"))
+    """Answers of all questions; the text of the next item, a stand-in, is the true answer."""
+    asked = questions(spark, sf_dir)
+    following = asked.select((F.col("question_id") - 1).alias("question_id"), F.col("question").alias("following"))
+    items = asked.join(following, "question_id", "left").select(
+        "question_id", "question", F.coalesce("following", "question").alias("ground_truth")
+    )
     return evaluation_table(items, naive_retriever(document_collection(spark, sf_dir)))
 
 
@@ -613,17 +652,24 @@ def answer_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def answer_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = faithfulness_scores(_evaluation(spark, sf_dir))
+    return scores.withColumn("faithfulness", rounded(F.col("faithfulness")))
+
+
 @query
 def metric_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the metrics over all questions."""
-    evaluated = _evaluation(spark, sf_dir).select("question_id", "question", "answer", "ground_truth")
-    # Both metrics start from the same answers, which are written once rather than found twice.
+    evaluated = _evaluation(spark, sf_dir)
+    # All metrics start from the same answers, which are written once rather than found twice.
     table_once = stored(evaluated, "evaluation")
     relevancy = relevancy_scores(table_once, embedder())
     correctness = correctness_scores(table_once, embedder())
-    return table_once.select("question_id").join(relevancy, "question_id", "left").join(
-        correctness, "question_id", "left"
-    ).agg(
+    scores = table_once.select("question_id").join(relevancy, "question_id", "left")
+    scores = scores.join(correctness, "question_id", "left")
+    return scores.join(faithfulness_scores(table_once), "question_id", "left").agg(
+        rounded(F.avg("faithfulness")).alias("faithfulness"),
         rounded(F.avg("answer_relevancy")).alias("answer_relevancy"),
         rounded(F.avg("answer_correctness")).alias("answer_correctness"),
         F.count(F.lit(1)).alias("n_questions"),
@@ -675,8 +721,8 @@ def avg_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge replies of every shape, made from the events: object, array, scalar, text after
-    the JSON, object without statements, plain lines, verdicts that are no list."""
-    kind, word, props = F.col("event_id") % 7, F.col("event_type"), F.col("props")
+    the JSON, object without statements, plain lines, verdicts that are no list, repeated keys."""
+    kind, word, props = F.col("event_id") % 8, F.col("event_type"), F.col("props")
     pair = F.concat(F.lit('["'), word, F.lit('", "'), F.col("user_id").cast("string"), F.lit('"]'))
     full = F.concat(F.lit('{"statements": '), pair, F.lit(', "verdicts": ["yes", "'), word, F.lit('"]}'))
     reply = (
@@ -686,7 +732,8 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.concat(full, F.lit("\nDone. ")))
         .when(kind == 4, props)
         .when(kind == 5, F.concat(F.lit("  "), word, F.lit("\n\n is "), props, F.lit(" \n")))
-        .otherwise(F.concat(F.lit('{"statements": '), pair, F.lit(', "verdicts": "none"}')))
+        .when(kind == 6, F.concat(F.lit('{"statements": '), pair, F.lit(', "verdicts": "none"}')))
+        .otherwise(F.concat(F.lit('{"a": 1, "statements": '), pair, F.lit(', "a": 2}')))
     )
     return table(spark, sf_dir, "events").select("event_id", reply.alias("reply"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import nonblank_lines, strip
 
 
+_REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
 def chat_content(response: Column) -> Column:
     """The message text of a chat-completion response."""
     return F.get_json_object(response, "$.choices[0].message.content")
@@ -17,6 +20,16 @@ def embedding_values(response: Column) -> Column:
     return F.from_json(response, "struct<embedding: array<float>>")["embedding"]
 
 
+def _accept_repeated_keys() -> None:
+    """Of an object's repeated keys the last counts, as in most JSON readers.
+
+    Spark decides this by a session setting when the expression is built.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get(_REPEATED_KEYS) != "true":
+        session.conf.set(_REPEATED_KEYS, "true")
+
+
 def _framed(text: Column) -> Column:
     """The parsed JSON array of ``text`` and its own hash.
 
@@ -24,6 +37,7 @@ def _framed(text: Column) -> Column:
     a further element, or closes the array early; in each case the hash, which a text
     cannot contain, is not the second element.
     """
+    _accept_repeated_keys()
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.md5(text), F.lit('"]')))
 
 
@@ -32,7 +46,7 @@ def _is_framed(framed: Column, text: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    """Whether ``text`` is exactly one JSON value, without repeated keys."""
+    """Whether ``text`` is exactly one JSON value."""
     return _is_framed(_framed(text), text)
 
 

@@ -38,15 +38,19 @@ def cited_documents(
         source.alias("source"),
         page.alias("page"),
     )
-    documents = hits.join(found, "id").withColumn(
-        "reference_number", text_fn.citation_label(F.col("rank"))
-    )
+    return with_citation(hits.join(found, "id"), F.col("rank"), citation)
+
+
+def with_citation(documents: DataFrame, number: Column, citation: str = "suffix") -> DataFrame:
+    """``reference_number`` and ``page_content`` of documents numbered by ``number``."""
+    if citation not in CITATION_STYLES:
+        raise ValueError(f"citation must be one of {CITATION_STYLES}")
     content = {
         "suffix": text_fn.cite_suffix(F.col("text"), F.col("reference_number")),
         "prefix": text_fn.cite_prefix(F.col("text"), F.col("source"), F.col("page")),
         "none": F.col("text"),
     }[citation]
-    return documents.withColumn("page_content", content)
+    return documents.withColumn("reference_number", text_fn.citation_label(number)).withColumn("page_content", content)
 
 
 def hit_metadata(hits: DataFrame, points: DataFrame) -> DataFrame:
@@ -76,11 +80,12 @@ def rerank(
     on: str = "text",
     question_id: str = "question_id",
     renumber: bool = False,
+    citation: str = "suffix",
 ) -> DataFrame:
     """Keep the ``top_n`` documents of each question by a second score; ties keep search order.
 
     ``questions`` has ``question_id`` and ``question``.  Citation numbers stay those of
-    the first search unless ``renumber`` is set.
+    the first search unless ``renumber`` is set; ``citation`` is the style of new ones.
     """
     scored = documents.join(questions.select(question_id, "question"), question_id).withColumn(
         "rerank_score", scorer(F.col("question"), F.col(on))
@@ -88,10 +93,7 @@ def rerank(
     order = Window.partitionBy(question_id).orderBy(F.col("rerank_score").desc(), "rank")
     best = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top_n)
     if renumber:
-        label = text_fn.citation_label(F.col("position"))
-        best = best.withColumn("reference_number", label).withColumn(
-            "page_content", text_fn.cite_suffix(F.col("text"), label)
-        )
+        best = with_citation(best, F.col("position"), citation)
     return best.drop("question")
 
 
@@ -128,7 +130,7 @@ def with_prompt(questions: DataFrame, template: str = "default") -> DataFrame:
     """Add ``prompt`` from the columns ``context``, ``question`` and, when present,
     ``references`` and ``chat_history``."""
     values = {
-        name: F.col(name) if name in questions.columns else F.lit("")
+        name: F.coalesce(F.col(name), F.lit("")) if name in questions.columns else F.lit("")
         for name in ("context", "references", "chat_history", "question")
     }
     return questions.withColumn("prompt", text_fn.fill_template(text_fn.PROMPTS[template], values))

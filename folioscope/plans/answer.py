@@ -9,17 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.functions.text import PROMPTS, fill_template, lines
+from folioscope.functions.text import PROMPTS, fill_template
 from folioscope.models.columns import TextModel, complete_column
 from folioscope.operators.answers import assemble, with_prompt
-from folioscope.operators.chat import latest_questions, open_questions, prompt_parts
+from folioscope.operators.chat import PAGE_TURNS, latest_questions, open_questions, prompt_parts, same_keys
 from folioscope.plans.retrieve import Retriever
 from folioscope.session import stored
 
 
 def extractive_answer(contexts: Column) -> Column:
-    """First line of the best context; the offline stand-in for a chat model."""
-    return F.coalesce(F.get(lines(F.get(contexts, 0)), 0), F.lit(""))
+    """All of the best context; the offline stand-in for a chat model."""
+    return F.coalesce(F.get(contexts, 0), F.lit(""))
 
 
 def with_context(questions: DataFrame, retriever: Retriever) -> DataFrame:
@@ -79,10 +79,12 @@ def _prepared(
     if rewrite is None:
         return with_context(asked, retriever)
     found = with_context(rewrite(asked), retriever).drop("question")
-    return found.join(asked.select(session, "question"), session)
+    return same_keys(found, asked.select(session, "question"), session)
 
 
-def _parts(prepared: DataFrame, messages: DataFrame, session: str, turn: str, template: str) -> DataFrame:
+def _parts(
+    prepared: DataFrame, messages: DataFrame, session: str, turn: str, template: str, page_turns: int = PAGE_TURNS
+) -> DataFrame:
     before, after = PROMPTS[template].split("{chat_history}")
     values = {name: F.col(name) for name in ("context", "references", "question")}
     return prompt_parts(
@@ -92,6 +94,7 @@ def _parts(prepared: DataFrame, messages: DataFrame, session: str, turn: str, te
         fill_template(after, values),
         session,
         turn,
+        page_turns,
     )
 
 
@@ -102,6 +105,7 @@ def chat_prompts(
     turn: str = "turn",
     template: str = "default",
     rewrite: Callable[[DataFrame], DataFrame] | None = None,
+    page_turns: int = PAGE_TURNS,
 ) -> DataFrame:
     """The prompt parts of the latest question of every session: ``(session, part, text)``.
 
@@ -109,7 +113,13 @@ def chat_prompts(
     """
     asked = _asked(latest_questions(messages, session, turn), session, turn)
     prepared = _prepared(asked, retriever, rewrite, session)
-    return _parts(prepared, messages, session, turn, template)
+    return _parts(prepared, messages, session, turn, template, page_turns)
+
+
+def whole_prompts(parts: DataFrame, session: str = "session_id") -> DataFrame:
+    """The parts of each prompt joined in order, for prompts that fit a model's window."""
+    ordered = F.array_sort(F.collect_list(F.struct("part", "text")))
+    return parts.groupBy(session).agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("prompt"))
 
 
 def chat_turns(
@@ -123,8 +133,7 @@ def chat_turns(
 ) -> DataFrame:
     """The reply to the open question of every session, as messages to append.
 
-    A reply takes the turn after its question.  Without a model it is the first line of
-    the best context.
+    A reply takes the turn after its question.  Without a model it is the best context.
     """
     asked = _asked(open_questions(messages, session, turn), session, turn)
     prepared = _prepared(asked, retriever, rewrite, session)
@@ -132,7 +141,7 @@ def chat_turns(
         replies = prepared.select(session, extractive_answer(F.col("contexts")).alias("text"))
     else:
         replies = _complete_parts(_parts(prepared, messages, session, turn, template), make_model, session)
-    return asked.join(replies, session).select(
+    return same_keys(asked, replies, session).select(
         session, (F.col(turn) + 1).alias(turn), F.lit("assistant").alias("role"), "text"
     )
 

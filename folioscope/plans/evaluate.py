@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.judge import parse_reply
-from folioscope.functions.text import nonblank_lines
+from folioscope.functions.text import distinct_words, nonblank_lines, words
 from folioscope.functions.vectors import cosine
 from folioscope.models.columns import Embedder, TextModel, complete_column, embed_column
-from folioscope.operators.evaluation import answer_correctness, answer_relevancy, word_f1
+from folioscope.operators.evaluation import answer_correctness, answer_relevancy, faithfulness, word_f1
 from folioscope.plans.answer import answer
 from folioscope.plans.retrieve import Retriever
 
@@ -51,6 +51,20 @@ def relevancy_scores(table: DataFrame, make_embedder: Callable[[], Embedder]) ->
     )
 
 
+def faithfulness_scores(table: DataFrame) -> DataFrame:
+    """Faithfulness per question: the share of the answer's lines that its own contexts support.
+
+    A line counts as supported when the contexts have all its words, a lexical stand-in for a judge's
+    verdicts.  An answer without lines has no row.
+    """
+    known = F.flatten(F.transform("contexts", words))
+    lines = table.select(
+        "question_id", known.alias("known"), F.explode(nonblank_lines(F.col("answer"))).alias("line")
+    )
+    supported = F.size(F.array_except(distinct_words(F.col("line")), F.col("known"))) == 0
+    return faithfulness(lines.select("question_id", supported.cast("int").alias("supported")), "question_id")
+
+
 def correctness_scores(table: DataFrame, make_embedder: Callable[[], Embedder]) -> DataFrame:
     """Answer correctness per question, with word overlap in place of statement verdicts."""
     vectors = table.select(

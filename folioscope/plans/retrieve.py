@@ -59,6 +59,7 @@ class Retriever:
             self.scorer,
             on=self.rerank_on,
             renumber=self.renumber,
+            citation=self.citation,
         )
 
 
@@ -89,9 +90,9 @@ def reranked_retriever(
 def text_retriever(
     texts: DataFrame, make_embedder: Callable[[], Embedder], k: int = C.TOP_K, **options
 ) -> Retriever:
-    """The ``k`` nearest of ``(id, text)`` rows, embedded once and kept in the session.
+    """The ``k`` nearest of ``(id, text)`` rows, embedded once and written to the work folder.
 
-    Nothing is written to a collection; cached vectors that are lost are computed again.
+    Nothing is written to a collection.
     """
     no_value = F.lit(None).cast("string")
     payload = F.struct(
@@ -101,5 +102,5 @@ def text_retriever(
         F.col("id").cast("string").alias("id"),
         embed_column(make_embedder, F.col("text")).alias("vector"),
         payload.alias("payload"),
-    ).persist()
-    return Retriever(points, make_embedder, k, **options)
+    )
+    return Retriever(stored(points, "text-points"), make_embedder, k, **options)

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import constants as C
@@ -184,12 +184,20 @@ class Collection:
         return self.spark.read.parquet(target)
 
 
-def keep_latest(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
+def keep_latest(
+    existing: DataFrame, incoming: DataFrame, key: str = "id", version: Column | None = None
+) -> DataFrame:
     """Upsert: incoming rows replace existing ones with the same key.
 
-    ``incoming`` has unique keys.  Nothing is sorted; the existing rows are only probed.
+    Of incoming rows with one key, the one with the largest ``version`` stays (without a version, the
+    largest row by its columns in order), whatever the order in which they arrive.
     """
-    return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+    row = F.struct(*incoming.columns)
+    latest = incoming.groupBy(F.col(key).alias("_key")).agg(
+        F.max_by(row, F.struct(version, row) if version is not None else row).alias("_row")
+    )
+    latest = latest.select("_row.*")
+    return existing.join(latest.select(key), key, "left_anti").unionByName(latest)
 
 
 def collection_report(points: DataFrame) -> DataFrame:

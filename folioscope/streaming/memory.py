@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -12,15 +13,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioscope.operators.chat import PAGE_TURNS, history_entry, page_of
 
-
 def history_stream(
-    messages: DataFrame, session: str = "session_id", turn: str = "turn", page_turns: int = PAGE_TURNS
+    messages: DataFrame,
+    session: str = "session_id",
+    turn: str = "turn",
+    page_turns: int = PAGE_TURNS,
+    timeout_ms: int | None = None,
 ) -> DataFrame:
-    """Each message with its ``page`` and ``history_tail``, as messages arrive in turn order.
+    """Each message with its ``page`` and ``history_tail``, the earlier turns of its page that have arrived.
 
-    The state belongs to a page of a session, not to the session: it holds the text of
-    at most one page and is dropped when the page is full, and a long session is spread
-    over many keys.
+    The state belongs to a page of a session, not to the session: it holds the messages of
+    at most one page, and a long session is spread over many keys.  It goes when every turn of
+    the page has been seen, or when nothing has arrived for ``timeout_ms``; a stream that runs on
+    needs that time, since pages with gaps and the last pages of sessions would stay, while a run
+    over what is available must do without, as Spark never ends one with such a time.  A turn that was already seen is a repetition and gives
+    no row; a turn that arrives late gets the turns before it, and those after it had been told
+    without it.
     """
     paged = messages.select(
         session,
@@ -38,21 +46,31 @@ def history_stream(
     )
 
     def remember(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, count = state.get if state.exists else ("", 0)
-        arrived = pd.concat(list(chunks)).sort_values(turn)
-        tails = []
-        for entry in arrived["entry"]:
-            tails.append(tail)
-            tail += entry
-        count += len(arrived)
-        if count >= page_turns:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = {int(t): entry for t, entry in json.loads(state.get[0])} if state.exists else {}
+        arrived = pd.concat(list(chunks)).drop_duplicates(turn).sort_values(turn)
+        arrived = arrived[~arrived[turn].isin(seen.keys())]
+        seen.update(zip(arrived[turn].astype(int), arrived["entry"]))
+        tails, tail = {}, ""
+        for at in sorted(seen):
+            tails[at] = tail
+            tail += seen[at]
+        if len(seen) >= page_turns:
             state.remove()
         else:
-            state.update((tail, count))
+            state.update((json.dumps(sorted(seen.items())),))
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(
-            {session: arrived[session], turn: arrived[turn], "page": key[1], "history_tail": tails}
+            {
+                session: arrived[session],
+                turn: arrived[turn],
+                "page": key[1],
+                "history_tail": [tails[int(at)] for at in arrived[turn]],
+            }
         )
 
-    return paged.groupBy(session, "page").applyInPandasWithState(
-        remember, output, "tail string, n long", "append", GroupStateTimeout.NoTimeout
-    )
+    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return paged.groupBy(session, "page").applyInPandasWithState(remember, output, "messages string", "append", timeout)
