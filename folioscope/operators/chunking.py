@@ -13,23 +13,25 @@ from folioscope import constants as C
 from folioscope.functions.text import has_text, strip
 
 
-def _windows(pieces: Sequence[str], size: int, overlap: int) -> Iterator[str]:
-    """Greedy runs of neighbouring pieces of at most ``size`` characters.
+def _windows(pieces: Sequence[str], size: int, overlap: int, glue: str = "") -> Iterator[str]:
+    """Greedy runs of neighbouring pieces of at most ``size`` characters, with ``glue`` between them.
 
     The next run starts at the earliest piece of the previous one for which the
     repeated part has at most ``overlap`` characters and the new piece still fits.
     """
+    gap = len(glue)
     begin = 0
-    length = 0
+    length = -gap
     for end, piece in enumerate(pieces):
-        if begin < end and length + len(piece) > size:
-            yield "".join(pieces[begin:end])
-            while begin < end and (length > overlap or length + len(piece) > size):
-                length -= len(pieces[begin])
+        longer = gap + len(piece)
+        if begin < end and length + longer > size:
+            yield glue.join(pieces[begin:end])
+            while begin < end and (length > overlap or length + longer > size):
+                length -= len(pieces[begin]) + gap
                 begin += 1
-        length += len(piece)
+        length += longer
     if begin < len(pieces):
-        yield "".join(pieces[begin:])
+        yield glue.join(pieces[begin:])
 
 
 def _pieces(text: str, separator: str) -> list[str]:
@@ -99,71 +101,28 @@ def recursive_chunk_column(
 def line_chunk_column(
     text: Column, size: int = C.LINE_CHUNK_SIZE, overlap: int = C.LINE_CHUNK_OVERLAP
 ) -> Column:
-    """``ARRAY<STRING>`` of runs of whole lines, without leaving the JVM.
+    """``ARRAY<STRING>`` of runs of whole lines, in time linear in the text.
 
-    A line that is longer than ``size`` makes a chunk that is longer than ``size``.
+    A line that is longer than ``size`` makes a chunk that is longer than ``size``.  Texts of at
+    most ``size`` characters are one run and stay in the JVM.
     """
-    rows = F.filter(F.split(text, C.LINE_SEPARATOR, -1), lambda line: line != "")
-    # transform over a one-element array names a value, so that it is computed once
-    return F.transform(F.array(rows), lambda named: _runs_of_lines(named, size, overlap))[0]
-
-
-def _runs_of_lines(rows: Column, size: int, overlap: int) -> Column:
-    """Chunks of an array of lines.  The running state is a range of lines, not their text."""
-    no_runs = F.array().cast("array<struct<first: int, n: int>>")
-    start = F.struct(
-        no_runs.alias("runs"),
-        F.lit(1).alias("first"),
-        F.lit(0).alias("n"),
-        F.lit(0).alias("length"),
-    )
 
-    def run(state: Column) -> Column:
-        return F.array(F.struct(state["first"].alias("first"), state["n"].alias("n")))
-
-    def repeated(state: Column, line: Column) -> Column:
-        """How many last lines of the finished run the next one repeats, and their length."""
-
-        def extend(kept: Column, earlier: Column) -> Column:
-            longer = kept["length"] + F.length(earlier) + 1
-            fits = kept["open"] & (longer <= overlap) & (longer + 1 + F.length(line) <= size)
-            return F.struct(
-                F.when(fits, kept["n"] + 1).otherwise(kept["n"]).alias("n"),
-                F.when(fits, longer).otherwise(kept["length"]).alias("length"),
-                fits.alias("open"),
-            )
-
-        none = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("length"), F.lit(True).alias("open"))
-        return F.aggregate(F.reverse(F.slice(rows, state["first"], state["n"])), none, extend)
-
-    def step(state: Column, line: Column) -> Column:
-        grown = state["length"] + F.length(line) + F.when(state["n"] > 0, 1).otherwise(0)
-        next_run = F.transform(
-            F.array(repeated(state, line)),
-            lambda kept: F.struct(
-                F.concat(state["runs"], run(state)).alias("runs"),
-                (state["first"] + state["n"] - kept["n"]).alias("first"),
-                (kept["n"] + 1).alias("n"),
-                (kept["length"] + 1 + F.length(line)).alias("length"),
-            ),
-        )[0]
-        return F.when((state["n"] > 0) & (grown > size), next_run).otherwise(
-            F.struct(
-                state["runs"].alias("runs"),
-                state["first"].alias("first"),
-                (state["n"] + 1).alias("n"),
-                grown.alias("length"),
-            )
-        )
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def runs(texts: pd.Series) -> pd.Series:
+        def split(one: str) -> list[str]:
+            rows = [line for line in one.split(C.LINE_SEPARATOR) if line]
+            return list(_windows(rows, size, overlap, C.LINE_SEPARATOR))
 
-    def finish(state: Column) -> Column:
-        runs = F.when(state["n"] > 0, F.concat(state["runs"], run(state))).otherwise(no_runs)
-        texts = F.transform(
-            runs, lambda r: strip(F.array_join(F.slice(rows, r["first"], r["n"]), C.LINE_SEPARATOR))
-        )
-        return F.filter(texts, lambda chunk: chunk != "")
+        return texts.map(lambda one: None if one is None else split(one))
 
-    return F.aggregate(rows, start, step, finish)
+    is_long = F.length(text) > size
+    rows = F.filter(F.split(text, C.LINE_SEPARATOR, -1), lambda line: line != "")
+    # As above: null instead of short texts, and no repeated calls.
+    found = F.when(is_long, runs.asNondeterministic()(F.when(is_long, text))).otherwise(
+        F.array(F.array_join(rows, C.LINE_SEPARATOR))
+    )
+    chunks = F.filter(F.transform(found, strip), lambda chunk: chunk != "")
+    return F.when(text.isNotNull(), chunks)
 
 
 def explode_chunks(df: DataFrame, chunks: Column) -> DataFrame:
