@@ -210,3 +210,24 @@ def test_rewritten_question_only_for_retrieval(collection, spark):
     assert "the trout swims upstream [1]" in row["text"] and "Question: and then?" in row["text"]
     reply = chat_turns(messages, naive_retriever(collection, k=1), rewrite=rewrite).first()
     assert (reply["turn"], reply["text"]) == (3, "the trout swims upstream [1]")
+
+
+def test_missing_slots_of_a_prompt_are_empty(spark):
+    from folioscope.operators.answers import with_prompt
+
+    frame = spark.createDataFrame([("c", None, "q")], "context string, chat_history string, question string")
+    filled = spark.createDataFrame([("c", "", "q")], "context string, chat_history string, question string")
+    assert with_prompt(frame).first()["prompt"] == with_prompt(filled).first()["prompt"]
+
+
+def test_renumbered_documents_keep_their_style(spark):
+    from folioscope.operators.answers import rerank
+
+    schema = "question_id int, rank int, text string, source string, page string, page_content string"
+    documents = spark.createDataFrame([(1, 1, "t", "f", "2", "old"), (1, 2, "q", "g", "3", "old")], schema)
+    questions = spark.createDataFrame([(1, "q")], "question_id int, question string")
+    best = {style: rerank(documents, questions, renumber=True, citation=style).where("position = 1").first() for style in ("prefix", "none", "suffix")}
+    assert {r["reference_number"] for r in best.values()} == {"[1]"}
+    assert best["none"]["page_content"] == "q"
+    assert best["prefix"]["page_content"] == "[Source: g, page 3]\nq"
+    assert best["suffix"]["page_content"] == "q [1]"

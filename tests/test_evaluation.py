@@ -122,3 +122,16 @@ def test_correctness(spark):
     assert both == pytest.approx(0.75 * 0.4 + 0.25 * 0.8)
     other = spark.range(1).select(E.answer_correctness(F.lit(0.4), F.lit(0.8), (1.0, 1.0))).first()[0]
     assert other == pytest.approx(0.6)
+
+
+def test_repeated_keys_and_unsupported_lines(spark):
+    from pyspark.sql import functions as F
+
+    from folioscope.plans.evaluate import faithfulness_scores
+
+    reply = spark.createDataFrame([('{"statements": ["x"], "a": 1, "a": 2}',)], "r string").select(parse_reply(F.col("r")).alias("p"))
+    assert reply.first()["p"]["statements"] == ["x"]
+    table = spark.createDataFrame(
+        [(1, "The river.\n\nThe sea", ["the river [1]"]), (2, "", ["x"])], "question_id int, answer string, contexts array<string>"
+    )
+    assert [tuple(r) for r in faithfulness_scores(table).collect()] == [(1, 0.5, 2)]

@@ -245,3 +245,12 @@ def test_copies_are_reduced_before_the_ledger_join(spark, capsys):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     left = capsys.readouterr().out.split("SortMergeJoin")[1]
     assert left.index("HashAggregate") < left.index("Exchange")
+
+
+def test_upsert_keeps_the_latest_of_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    old = spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], "id string, v int, at int")
+    new = spark.createDataFrame([("b", 9, 1), ("b", 3, 2), ("c", 4, 1), ("c", 4, 1)], "id string, v int, at int")
+    assert sorted(map(tuple, keep_latest(old, new, version=F.col("at")).collect())) == [("a", 1, 0), ("b", 3, 2), ("c", 4, 1)]
+    assert sorted(map(tuple, keep_latest(old, new).collect())) == [("a", 1, 0), ("b", 9, 1), ("c", 4, 1)]
