@@ -222,8 +222,8 @@ def _block_keys(sets: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.nd
     keys = [np.unique(set_keys(s)) for s in sets]
     owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
-    order, starts = B.groups_of([bucket, keys.astype(np.uint32)])
+    bucket = B.bucket_of(keys, buckets)
+    order, starts = B.groups_of([(bucket << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))])
     sizes = np.diff(np.append(starts, len(order)))
     return bucket[order][starts], keys.astype(np.uint32)[order][starts], sizes, keys[order], owner[order]
 
@@ -304,23 +304,47 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _searched(table: pa.Table) -> pa.Table:
-    """The pairs of one key, tile and chunk pair, in different components, that an R-tree lets through."""
-    rows = table.to_pydict()
-    n = np.array(rows["n"])
-    side = np.array(rows["probe"])
+_GROUP = ("key", "tile", "build_chunk", "probe_chunk")
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of different components that the R-trees let through, from rows sorted by key, tile
+    and chunk pair; a group has at most about two chunks of rows."""
+    kept = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if kept is not None:
+            rows = pa.concat_tables([kept, rows])
+        ids = [rows.column(c).to_numpy() for c in _GROUP]
+        new = np.ones(len(ids[0]), bool)
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in ids])
+        starts = np.flatnonzero(new)
+        if len(starts):
+            # The last group may go on in the next batch.
+            kept = rows.slice(int(starts[-1]))
+            yield _search_groups(rows.slice(0, int(starts[-1])), starts)
+    if kept is not None:
+        yield _search_groups(kept, np.array([0, len(kept)]))
+
+
+def _search_groups(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    n, side = rows.column("n").to_numpy(), rows.column("probe").to_numpy()
+    nodes, parts, counts = (rows.column(c).to_pylist() for c in ("node", "component", "counts"))
     found: set[tuple[bytes, bytes]] = set()
-    build, probe = np.flatnonzero(~side), np.flatnonzero(side)
-    if len(build) and len(probe):
-        counts = [np.frombuffer(c, np.uint16) for c in rows["counts"]]
-        groups = min(len(c) for c in counts)
-        points = np.stack([folded(c, groups) for c in counts])
-        tree = CountTree(points[build], n[build])
-        for i in probe:
-            for j in build[tree.search(points[i], int(n[i]))]:
-                if rows["component"][i] != rows["component"][j]:
-                    found.add((min(rows["node"][i], rows["node"][j]), max(rows["node"][i], rows["node"][j])))
-    return pa.table([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+    for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        build = start + np.flatnonzero(~side[start:end])
+        probe = start + np.flatnonzero(side[start:end])
+        if not len(build) or len(set(parts[start:end])) == 1:
+            continue
+        points = [np.frombuffer(counts[i], np.uint16) for i in range(start, end)]
+        groups = min(map(len, points))
+        points = np.stack([folded(c, groups) for c in points])
+        tree = CountTree(points[build - start], n[build])
+        for i in probe.tolist():
+            for j in build[tree.search(points[i - start], int(n[i]))].tolist():
+                if parts[i] != parts[j]:
+                    found.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
 
 class _Join:
@@ -361,7 +385,9 @@ class _Join:
     def remaining_pairs(self, parts: DataFrame) -> DataFrame:
         """All pairs that share a key, are of different components and pass the bound."""
         rows = self.keys.join(parts, "node")
-        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        # The only pair of a key with two nodes was tried in the first round.
+        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("nodes"))
+        mixed = mixed.where("low <> high and nodes > 2")
         rows = rows.join(mixed.select("key"), "key").join(self.nodes.select("node", "n", "counts"), "node")
         # A partner is at most a quarter larger, so it is of the same tile of sizes or the next.
         tile = F.floor(F.log(1.26, F.col("n"))).cast("int")
@@ -379,12 +405,14 @@ class _Join:
         )
         rows = rows.join(sizes, ["key", "tile"])
         own = lambda chunks: F.pmod(F.xxhash64("node"), F.col(chunks)).cast("int")
-        chunk = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+        chunk = lambda i, j: F.struct(i.alias("build_chunk"), j.alias("probe_chunk"))
         spread = F.when(
             F.col("probe"), F.transform(F.sequence(F.lit(0), F.col("build_chunks") - 1), lambda i: chunk(i, own("probe_chunks")))
         ).otherwise(F.transform(F.sequence(F.lit(0), F.col("probe_chunks") - 1), lambda j: chunk(own("build_chunks"), j)))
-        rows = rows.withColumn("chunk", F.explode(spread)).select("key", "tile", "chunk", "node", "component", "n", "counts", "probe")
-        return rows.groupBy("key", "tile", "chunk").applyInArrow(_searched, "a binary, b binary").distinct()
+        rows = rows.withColumn("chunk", F.explode(spread)).select("key", "tile", "chunk.build_chunk", "chunk.probe_chunk", "node", "component", "n", "counts", "probe")
+        # Many small groups: a task goes through its own in order rather than calling Python for each.
+        sorted_rows = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+        return sorted_rows.mapInArrow(_searched, "a binary, b binary").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -452,9 +480,12 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = counted.groupBy("group").agg(F.min(F.struct("id", "sha", "n")).alias("first"))
     keep = stored(first.select(F.col("first.id").alias("_id"), F.col("first.sha").alias("_sha"), F.col("first.n").alias("_n")), "kept")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = documents.withColumns({"_own_id": F.coalesce(F.col(id_col).cast("long"), F.lit(B.NO_ID)), "_own_sha": F.sha2(text, 256)})
+    # The row as one value, so that its columns may have any names.
+    marked = documents.select(
+        F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(B.NO_ID)).alias("_own_id"), F.sha2(text, 256).alias("_own_sha")
+    )
     rows = marked.join(keep, (F.col("_own_id") == F.col("_id")) & (F.col("_own_sha") == F.col("_sha")))
     single = rows.where("_n = 1")
     if not keep.where("_n > 1").isEmpty():
         single = single.unionByName(rows.where("_n > 1").dropDuplicates(["_own_id", "_own_sha"]))
-    return single.select(documents.columns)
+    return single.select("_row.*")
