@@ -562,7 +562,7 @@ SELECT source, tp, fp, fn, round(CASE WHEN tp > 0 THEN tp / (tp + (fp + fn) / 2)
     sql["avg_score"] = """SELECT round(avg(quality), 6) AS mean_score, format('{:,.3f}', avg(quality)) AS mean_label,
   count(*) AS n_results FROM labels"""
     lines = f"list_filter(list_transform(string_split(output, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')"
-    sql["judge_json"] = f"""WITH {_REPLIES},
+    parsed = f"""WITH {_REPLIES},
 stripped AS (SELECT event_id, {_strip('reply')} AS output FROM replies),
 typed AS (SELECT *, CASE WHEN json_valid(output) THEN json_type(output) ELSE 'TEXT' END AS shape FROM stripped),
 parsed AS (
@@ -574,7 +574,14 @@ parsed AS (
     CASE WHEN shape = 'OBJECT' AND json_type(output, '$.verdicts') = 'ARRAY'
       THEN from_json(json_extract(output, '$.verdicts'), '["VARCHAR"]') ELSE [] END AS verdicts
   FROM typed)
-SELECT event_id, output, coalesce(array_to_string(statements, '|'), '') AS statements, len(statements)::INT AS n_statements,
+"""
+    sql["judged_evaluation"] = parsed + """, scored AS (
+  SELECT item_id AS question_id, len(statements) AS n,
+    CASE WHEN len(verdicts) > 0 THEN len(list_filter(verdicts, lambda v: lower(v) = 'yes')) / len(verdicts) END AS score
+  FROM parsed JOIN benchmark ON item_id = event_id % (SELECT count(*) FROM benchmark))
+SELECT question_id, round(avg(score), 6) AS mean_score, count(*) FILTER (WHERE score >= 0.5) AS n_successes,
+  sum(n)::BIGINT AS n_statements, count(*) AS n_replies FROM scored GROUP BY question_id"""
+    sql["judge_json"] = parsed + """SELECT event_id, output, coalesce(array_to_string(statements, '|'), '') AS statements, len(statements)::INT AS n_statements,
   coalesce(array_to_string(verdicts, '|'), '') AS verdicts FROM parsed"""
     sql["service_replies"] = (
         "SELECT event_id, event_type AS content, round((value * 2)::FLOAT::DOUBLE, 6) AS second FROM events"

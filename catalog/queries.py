@@ -26,7 +26,7 @@ from folioscope.operators import answers, chat, chunking, evaluation
 from folioscope.operators.files import first_copies, new_files, with_hash
 from folioscope.operators.search import top_k
 from folioscope.plans.answer import answer, chat_prompts, chat_turns as reply_to_open_questions, whole_prompts
-from folioscope.plans.evaluate import correctness_scores, evaluation_table, faithfulness_scores, relevancy_scores
+from folioscope.plans.evaluate import correctness_scores, evaluation_table, faithfulness_scores, judged_scores, relevancy_scores
 from folioscope.plans.ingest import build_points, file_chunks, ingest
 from folioscope.plans.retrieve import Retriever, naive_retriever, reranked_retriever, text_retriever
 from folioscope.session import fresh_folder, stored, work_folder
@@ -751,6 +751,23 @@ def judge_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def judged_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge replies to the questions, scored by their verdicts: mean and successes per question."""
+    asked = questions(spark, sf_dir)
+    n_questions = asked.count()
+    replies = _replies(spark, sf_dir).select(
+        (F.col("event_id") % n_questions).alias("question_id"), parse_reply(F.col("reply")).alias("judged")
+    )
+    scored = judged_scores(replies.join(asked, "question_id"))
+    return scored.groupBy("question_id").agg(
+        rounded(F.avg("score")).alias("mean_score"),
+        F.count_if("success").alias("n_successes"),
+        F.sum(F.size("judged.statements")).alias("n_statements"),
+        F.count(F.lit(1)).alias("n_replies"),
+    )
+
+
 @query
 def service_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message text and vector out of service responses."""

@@ -1,4 +1,4 @@
-"""Command line: ingest a folder, describe a collection, ask, evaluate.
+"""Command line: ingest a folder, describe a collection, ask, chat, evaluate.
 
 The collection name comes from the configuration file or ``COLLECTION_NAME``.  With
 ``EMBEDDING_API_URL`` set, vectors come from that service; with ``CHAT_API_URL`` and
@@ -10,6 +10,7 @@ from __future__ import annotations
 import argparse
 import os
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ from folioscope.functions.text import three_decimals
 from folioscope.models.hashing import HashingEmbedder
 from folioscope.models.remote import RemoteEmbedder, answer_model, summary_model
 from folioscope.operators.evaluation import ground_truth, mean_score
-from folioscope.plans.answer import answer
-from folioscope.plans.evaluate import correctness_scores, evaluation_table, relevancy_scores
+from folioscope.plans.answer import answer, chat_turns
+from folioscope.plans.evaluate import correctness_scores, evaluation_table, faithfulness_scores, relevancy_scores
 from folioscope.plans.ingest import ingest
 from folioscope.plans.retrieve import naive_retriever, reranked_retriever
 from folioscope.session import stored
@@ -47,6 +48,7 @@ def _evaluate(table: DataFrame, make_embedder: Callable) -> DataFrame:
     """Mean of each metric over all questions."""
     table = stored(table, "evaluation")
     metrics = {
+        "faithfulness": faithfulness_scores(table),
         "answer_relevancy": relevancy_scores(table, make_embedder),
         "answer_correctness": correctness_scores(table, make_embedder),
     }
@@ -56,7 +58,7 @@ def _evaluate(table: DataFrame, make_embedder: Callable) -> DataFrame:
         )
         for name, scores in metrics.items()
     ]
-    return means[0].unionByName(means[1])
+    return reduce(DataFrame.unionByName, means)
 
 
 def main(arguments: list[str] | None = None, env: Mapping[str, str] | None = None) -> DataFrame | str:
@@ -65,11 +67,12 @@ def main(arguments: list[str] | None = None, env: Mapping[str, str] | None = Non
     parser.add_argument("--config", help="YAML configuration file")
     parser.add_argument("--vector-size", type=int, default=Collection.vector_size)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("ingest", "info", "ask", "evaluate"):
+    for name in ("ingest", "info", "ask", "chat", "evaluate"):
         commands.add_parser(name).add_argument("index", help="folder of the collections")
     commands.choices["ingest"].add_argument("folder", help="folder of files")
     commands.choices["ingest"].add_argument("--text", action="store_true", help="text files instead of PDF files")
     commands.choices["ask"].add_argument("question", nargs="+")
+    commands.choices["chat"].add_argument("messages", help="JSON lines of session_id, turn, role and text")
     commands.choices["evaluate"].add_argument("questions", help="JSON file of questions and true answers")
     given = parser.parse_args(arguments)
 
@@ -94,6 +97,9 @@ def main(arguments: list[str] | None = None, env: Mapping[str, str] | None = Non
         asked = spark.createDataFrame(list(enumerate(given.question)), "question_id int, question string")
         answered = answer(asked, reranked_retriever(collection, embedder), replies)
         return answered.select("question", "answer", "references")
+    if given.command == "chat":
+        messages = spark.read.schema("session_id string, turn long, role string, text string").json(given.messages)
+        return chat_turns(messages, reranked_retriever(collection, embedder), replies)
     items = ground_truth(read_questions(spark, given.questions)).withColumn(
         "question_id", F.sha2("question", 256)
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterable
 
@@ -12,8 +14,25 @@ from folioscope.config import Config, ModelConfig
 Post = Callable[[str, dict, dict, float], dict]
 
 
-def post_json(url: str, body: dict, headers: dict, timeout: float) -> dict:
-    """POST ``body`` and return the JSON reply; an HTTP error status raises."""
+def post_json(url: str, body: dict, headers: dict, timeout: float, attempts: int = 4, pause: float = 1.0) -> dict:
+    """POST ``body`` and return the JSON reply.
+
+    Overload, server errors and lost connections are tried again after growing pauses, so that one
+    failed call does not repeat a task and all its other calls; other error statuses raise at once.
+    """
+    for attempt in range(1, attempts):
+        try:
+            return _post_once(url, body, headers, timeout)
+        except urllib.error.HTTPError as error:
+            if error.code != 429 and error.code < 500:
+                raise
+        except (urllib.error.URLError, TimeoutError, ConnectionError):
+            pass
+        time.sleep(pause * 2 ** (attempt - 1))
+    return _post_once(url, body, headers, timeout)
+
+
+def _post_once(url: str, body: dict, headers: dict, timeout: float) -> dict:
     request = urllib.request.Request(
         url,
         data=json.dumps(body).encode(),
@@ -55,6 +74,22 @@ class FeatureExtractionEmbedder:
         ]
 
 
+class RemoteReranker:
+    """One call per question with its documents; a relevance score for each of them."""
+
+    def __init__(self, url: str, model: str, token: str, post: Post = post_json):
+        self.url, self.model = url, model
+        self._headers = {"Authorization": f"Bearer {token}"}
+        self._post = post
+
+    def score(self, question: str, texts: list[str]) -> list[float]:
+        body = {"model": self.model, "query": question, "documents": texts, "top_n": len(texts)}
+        scores = [0.0] * len(texts)
+        for result in self._post(self.url, body, self._headers, C.CHAT_TIMEOUT_S)["results"]:
+            scores[result["index"]] = float(result["relevance_score"])
+        return scores
+
+
 class ChatModel:
     """One chat-completion call per prompt."""
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope import constants as C
 from folioscope.functions import payload as payload_fn
@@ -72,6 +74,22 @@ def word_overlap(question: Column, text: Column) -> Column:
     return F.when(F.size(wanted) > 0, common / F.size(wanted)).otherwise(F.lit(0.0))
 
 
+def hosted_scores(
+    documents: DataFrame, make_client: Callable[[], object], on: str = "text", question_id: str = "question_id"
+) -> DataFrame:
+    """Add ``rerank_score`` by one call per question, for ``documents`` with ``question``.
+
+    A group holds the documents retrieved for one question, as many as the search's ``k``.
+    """
+    schema = T.StructType([*documents.schema.fields, T.StructField("rerank_score", T.DoubleType())])
+
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rank")
+        return group.assign(rerank_score=make_client().score(group["question"].iloc[0], group[on].tolist()))
+
+    return documents.groupBy(question_id).applyInPandas(score, schema)
+
+
 def rerank(
     documents: DataFrame,
     questions: DataFrame,
@@ -81,15 +99,19 @@ def rerank(
     question_id: str = "question_id",
     renumber: bool = False,
     citation: str = "suffix",
+    make_client: Callable[[], object] | None = None,
 ) -> DataFrame:
     """Keep the ``top_n`` documents of each question by a second score; ties keep search order.
 
     ``questions`` has ``question_id`` and ``question``.  Citation numbers stay those of
     the first search unless ``renumber`` is set; ``citation`` is the style of new ones.
+    With ``make_client`` a service scores the documents instead of ``scorer``.
     """
-    scored = documents.join(questions.select(question_id, "question"), question_id).withColumn(
-        "rerank_score", scorer(F.col("question"), F.col(on))
-    )
+    asked = documents.join(questions.select(question_id, "question"), question_id)
+    if make_client is None:
+        scored = asked.withColumn("rerank_score", scorer(F.col("question"), F.col(on)))
+    else:
+        scored = hosted_scores(asked, make_client, on, question_id)
     order = Window.partitionBy(question_id).orderBy(F.col("rerank_score").desc(), "rank")
     best = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top_n)
     if renumber:

@@ -33,6 +33,37 @@ def judge(prompts: DataFrame, make_model: Callable[[], TextModel], prompt: str =
     return prompts.withColumn("judged", parse_reply(complete_column(make_model, F.col(prompt))))
 
 
+def judged_scores(judged: DataFrame, threshold: float = 0.5, yes: str = "yes") -> DataFrame:
+    """Add ``score``, the share of a reply's verdicts that are ``yes``, and ``success``.
+
+    A reply without verdicts has a null score and no success.
+    """
+    verdicts = F.col("judged.verdicts")
+    agreed = F.size(F.filter(verdicts, lambda v: F.lower(v) == yes))
+    score = F.when(F.size(verdicts) > 0, agreed / F.size(verdicts))
+    return judged.withColumn("score", score).withColumn("success", F.coalesce(F.col("score") >= threshold, F.lit(False)))
+
+
+def judge_answers(
+    items: DataFrame,
+    retriever: Retriever,
+    make_judge: Callable[[], TextModel],
+    instruction: str,
+    make_model: Callable[[], TextModel] | None = None,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """Answers of all items judged case by case: ``question_id, question, answer, judged, score, success``.
+
+    The judge reads the instruction, the question, the answer and its contexts.
+    """
+    table = evaluation_table(items, retriever, make_model)
+    case = F.concat_ws(
+        "\n\n", F.lit(instruction), F.col("question"), F.col("answer"), F.array_join("contexts", "\n\n")
+    )
+    judged = judge(table.withColumn("prompt", case), make_judge)
+    return judged_scores(judged, threshold).drop("prompt", "contexts", "ground_truth")
+
+
 def relevancy_scores(table: DataFrame, make_embedder: Callable[[], Embedder]) -> DataFrame:
     """Answer relevancy per question.
 

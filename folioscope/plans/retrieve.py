@@ -35,6 +35,8 @@ class Retriever:
     scorer: Callable[[Column, Column], Column] = word_overlap
     rerank_on: str = "text"
     renumber: bool = False
+    #: Makes a reranking client, which then scores instead of ``scorer``.
+    make_reranker: Callable[[], object] | None = None
     #: Narrows the points to those that may hold given ids, for an index of many data files.
     lookup: Callable[[DataFrame], DataFrame] | None = None
 
@@ -60,6 +62,7 @@ class Retriever:
             on=self.rerank_on,
             renumber=self.renumber,
             citation=self.citation,
+            make_client=self.make_reranker,
         )
 
 

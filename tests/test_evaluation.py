@@ -135,3 +135,13 @@ def test_repeated_keys_and_unsupported_lines(spark):
         [(1, "The river.\n\nThe sea", ["the river [1]"]), (2, "", ["x"])], "question_id int, answer string, contexts array<string>"
     )
     assert [tuple(r) for r in faithfulness_scores(table).collect()] == [(1, 0.5, 2)]
+
+
+def test_judged_answers(spark):
+    from folioscope.plans.evaluate import judged_scores
+
+    frame = spark.createDataFrame(
+        [(1, ["yes", "no", "Yes"]), (2, []), (3, ["no"])], "question_id int, verdicts array<string>"
+    ).selectExpr("question_id", "named_struct('verdicts', verdicts) as judged")
+    got = {r["question_id"]: (r["score"], r["success"]) for r in judged_scores(frame, 0.6).collect()}
+    assert got == {1: (2 / 3, True), 2: (None, False), 3: (0.0, False)}

@@ -179,3 +179,44 @@ def test_required_environment():
     assert require_env(["A"], env={"A": "1", "B": "2"}) == {"A": "1"}
     with pytest.raises(ValueError, match="A, B"):
         require_env(["A", "B"], env={"A": "1", "B": ""})
+
+
+def test_calls_are_tried_again_after_overload(monkeypatch):
+    import urllib.error
+
+    from folioscope.models import remote
+
+    codes, pauses = [503, 429], []
+
+    def once(url, body, headers, timeout):
+        if codes:
+            raise urllib.error.HTTPError(url, codes.pop(0), "busy", None, None)
+        return {"ok": body}
+
+    monkeypatch.setattr(remote, "_post_once", once)
+    monkeypatch.setattr(remote.time, "sleep", pauses.append)
+    assert remote.post_json("u", {"a": 1}, {}, 1) == {"ok": {"a": 1}}
+    assert pauses == [1.0, 2.0]
+    codes[:] = [404]
+    with pytest.raises(urllib.error.HTTPError):
+        remote.post_json("u", {}, {}, 1)
+    codes[:] = [500] * 4
+    with pytest.raises(urllib.error.HTTPError):
+        remote.post_json("u", {}, {}, 1)
+
+
+def test_hosted_reranker_scores_a_question_in_one_call(spark):
+    from folioscope.models.remote import RemoteReranker
+    from folioscope.operators.answers import rerank
+
+    def post(url, body, headers, timeout):
+        order = sorted(range(len(body["documents"])), key=lambda i: -len(body["documents"][i]))
+        return {"results": [{"index": i, "relevance_score": len(body["documents"][i]) / 100} for i in order]}
+
+    schema = "question_id int, rank int, text string, source string, page string, page_content string"
+    documents = spark.createDataFrame([(q, r, "x" * (r * 3 % 7), "f", "1", "c") for q in (1, 2) for r in range(1, 6)], schema)
+    questions = spark.createDataFrame([(1, "a"), (2, "b")], "question_id int, question string")
+    best = rerank(documents, questions, top_n=2, make_client=lambda: RemoteReranker("u", "m", "t", post)).collect()
+    assert sorted((r["question_id"], r["position"], r["rank"], r["rerank_score"]) for r in best) == [
+        (q, p, r, s) for q in (1, 2) for p, r, s in ((1, 2, 0.06), (2, 4, 0.05))
+    ]
