@@ -239,7 +239,7 @@ def _asked(buckets: int):
     return run
 
 
-_FOUND = "kind string, node binary, doc_id long, text_sha256 string, n long, block long, keys array<long>, counts binary"
+_FOUND = "kind string, node binary, doc_id long, text_sha256 string, n long, block long, place int, keys array<long>, counts binary"
 
 
 def _found(buckets: int):
@@ -259,12 +259,14 @@ def _found(buckets: int):
             for i, at in enumerate(members):
                 name, n = (names[at], len(sets[at])) if at >= 0 else (None, 0)
                 sha = hashlib.sha256(data[starts[i] : starts[i + 1]]).hexdigest()
-                out.append(("document", name, int(ids[i]), sha, n, row["block"], None, None))
-            for at in np.unique(owner):
+                out.append(("document", name, int(ids[i]), sha, n, row["block"], i, None, None))
+            # Where in the block a set can be made again.
+            places = {at: i for i, at in reversed(list(enumerate(members)))}
+            for at in np.unique(owner).tolist():
                 mine = keys[ends[at] : ends[at + 1]]
-                out.append(("node", names[at], None, None, len(sets[at]), row["block"], mine, group_counts(sets[at]).tobytes()))
-            kinds = [pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            labels = ["kind", "node", "doc_id", "text_sha256", "n", "block", "keys", "counts"]
+                out.append(("node", names[at], None, None, len(sets[at]), row["block"], places[at], mine, group_counts(sets[at]).tobytes()))
+            kinds = [pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+            labels = ["kind", "node", "doc_id", "text_sha256", "n", "block", "place", "keys", "counts"]
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=labels)
 
     return run
@@ -274,9 +276,8 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The complete sets of the nodes that a block is asked for."""
     powers = Powers()
     for row in B.rows_of(batches):
-        names, sets, _ = _block_nodes(row, powers)
-        wanted = set(row["wanted"])
-        got = [(name, tokens.tobytes()) for name, tokens in zip(names, sets, strict=True) if name in wanted]
+        _, starts, data = B.texts_of(row)
+        got = [(x["node"], token_set(data[starts[x["place"]] : starts[x["place"] + 1]], powers).tobytes()) for x in row["wanted"]]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.binary()) for i in (0, 1)], names=["node", "tokens"])
 
 
@@ -352,11 +353,14 @@ class _Join:
 
     def __init__(self, blocks: B.Blocks, found: DataFrame):
         self.blocks = blocks
-        nodes = found.where("kind = 'node'").select("node", "n", "block", "counts", "keys")
+        nodes = found.where("kind = 'node'").select("node", "n", "block", "place", "counts", "keys")
         # One row per node: equal sets of several blocks have equal keys, those shared in one are in all.
         first = Window.partitionBy("node").orderBy("block")
         self.nodes = stored(nodes.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth"), "nodes")
-        self.keys = self.nodes.select("node", F.explode("keys").alias("key"))
+
+    def keyed(self, parts: DataFrame) -> DataFrame:
+        """``(key, node, component)``; components are joined before the keys become rows."""
+        return self.nodes.select("node", "keys").join(parts, "node").select(F.explode("keys").alias("key"), "node", "component")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         left = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("counts_a"))
@@ -367,7 +371,8 @@ class _Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, by their complete sets."""
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = ends.join(self.nodes.select("node", "block"), "node").groupBy("block").agg(F.collect_list("node").alias("wanted"))
+        held = ends.join(self.nodes.select("node", "block", "place"), "node")
+        wanted = held.groupBy("block").agg(F.collect_list(F.struct("node", "place")).alias("wanted"))
         asked = self.blocks.table().join(wanted, "block").select("block", "ids", "starts", "data", "wanted")
         sets = stored(asked.mapInArrow(_sets_of, "node binary, tokens binary"), "node-sets")
         left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
@@ -376,19 +381,19 @@ class _Join:
 
     def star_pairs(self, parts: DataFrame, turn: int) -> DataFrame:
         """Each key's nodes with one of them, if that is of another component."""
-        rows = self.keys.join(parts, "node")
-        pick = F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("node", "key", F.lit(turn)), "component", "node")
-        heads = rows.groupBy("key").agg(F.min(pick).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        pairs = rows.join(heads, "key").where(F.col("component") != F.col("head.component"))
+        turned = [F.xxhash64("component", F.lit(turn)), "component", F.xxhash64("node", "key", F.lit(turn)), "node"]
+        # One shuffle by key; the first row of each is its head.
+        head = F.first(F.struct("component", "node")).over(Window.partitionBy("key").orderBy(*turned))
+        pairs = self.keyed(parts).withColumn("head", head).where(F.col("component") != F.col("head.component"))
         return pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
 
     def remaining_pairs(self, parts: DataFrame) -> DataFrame:
         """All pairs that share a key, are of different components and pass the bound."""
-        rows = self.keys.join(parts, "node")
+        whole = Window.partitionBy("key")
+        seen = {"low": F.min("component").over(whole), "high": F.max("component").over(whole), "nodes": F.count(F.lit(1)).over(whole)}
         # The only pair of a key with two nodes was tried in the first round.
-        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("nodes"))
-        mixed = mixed.where("low <> high and nodes > 2")
-        rows = rows.join(mixed.select("key"), "key").join(self.nodes.select("node", "n", "counts"), "node")
+        rows = self.keyed(parts).withColumns(seen).where("low <> high and nodes > 2").select("key", "node", "component")
+        rows = rows.join(self.nodes.select("node", "n", "counts"), "node")
         # A partner is at most a quarter larger, so it is of the same tile of sizes or the next.
         tile = F.floor(F.log(1.26, F.col("n"))).cast("int")
         sides = F.array(
