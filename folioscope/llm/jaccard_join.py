@@ -43,6 +43,8 @@ WORDS = 5
 SMALL = 64
 STAR_ROUNDS = 2
 CHUNK = 1_000
+#: Keys of each node by which a pair that shares several is told once rather than for each of them.
+LOWEST_KEYS = 12
 FAN_OUT = 16
 
 _BASE = 0x2545F4914F6CDD1D
@@ -330,7 +332,8 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _search_groups(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
     n, side = rows.column("n").to_numpy(), rows.column("probe").to_numpy()
-    nodes, parts, counts = (rows.column(c).to_pylist() for c in ("node", "component", "counts"))
+    nodes, parts, counts, lowest = (rows.column(c).to_pylist() for c in ("node", "component", "counts", "lowest"))
+    keys = rows.column("key").to_pylist()
     found: set[tuple[bytes, bytes]] = set()
     for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         build = start + np.flatnonzero(~side[start:end])
@@ -340,10 +343,12 @@ def _search_groups(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         points = [np.frombuffer(counts[i], np.uint16) for i in range(start, end)]
         groups = min(map(len, points))
         points = np.stack([folded(c, groups) for c in points])
+        # A pair that shares a smaller key is told there.
+        told = [frozenset(k for k in lowest[i] if k < keys[start]) for i in range(start, end)]
         tree = CountTree(points[build - start], n[build])
         for i in probe.tolist():
             for j in build[tree.search(points[i - start], int(n[i]))].tolist():
-                if parts[i] != parts[j]:
+                if parts[i] != parts[j] and told[i - start].isdisjoint(told[j - start]):
                     found.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
@@ -393,7 +398,8 @@ class _Join:
         seen = {"low": F.min("component").over(whole), "high": F.max("component").over(whole), "nodes": F.count(F.lit(1)).over(whole)}
         # The only pair of a key with two nodes was tried in the first round.
         rows = self.keyed(parts).withColumns(seen).where("low <> high and nodes > 2").select("key", "node", "component")
-        rows = rows.join(self.nodes.select("node", "n", "counts"), "node")
+        lowest = F.slice(F.array_sort("keys"), 1, LOWEST_KEYS).alias("lowest")
+        rows = rows.join(self.nodes.select("node", "n", "counts", lowest), "node")
         # A partner is at most a quarter larger, so it is of the same tile of sizes or the next.
         tile = F.floor(F.log(1.26, F.col("n"))).cast("int")
         sides = F.array(
@@ -401,7 +407,7 @@ class _Join:
             F.struct(F.lit(True).alias("probe"), tile.alias("tile")),
             F.struct(F.lit(True).alias("probe"), (tile - 1).alias("tile")),
         )
-        rows = rows.withColumn("side", F.explode(sides)).select("key", "node", "component", "n", "counts", "side.probe", "side.tile")
+        rows = rows.withColumn("side", F.explode(sides)).select("key", "node", "component", "n", "counts", "lowest", "side.probe", "side.tile")
         sizes = rows.groupBy("key", "tile").agg(
             F.count(F.when(~F.col("probe"), 1)).alias("builds"), F.count(F.when(F.col("probe"), 1)).alias("probes")
         )
@@ -414,7 +420,7 @@ class _Join:
         spread = F.when(
             F.col("probe"), F.transform(F.sequence(F.lit(0), F.col("build_chunks") - 1), lambda i: chunk(i, own("probe_chunks")))
         ).otherwise(F.transform(F.sequence(F.lit(0), F.col("probe_chunks") - 1), lambda j: chunk(own("build_chunks"), j)))
-        rows = rows.withColumn("chunk", F.explode(spread)).select("key", "tile", "chunk.build_chunk", "chunk.probe_chunk", "node", "component", "n", "counts", "probe")
+        rows = rows.withColumn("chunk", F.explode(spread)).select("key", "tile", "chunk.build_chunk", "chunk.probe_chunk", "node", "component", "n", "counts", "lowest", "probe")
         # Many small groups: a task goes through its own in order rather than calling Python for each.
         sorted_rows = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
         return sorted_rows.mapInArrow(_searched, "a binary, b binary").distinct()
