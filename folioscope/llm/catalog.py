@@ -17,7 +17,7 @@ from folioscope.llm.mixing import mixing_probabilities
 from folioscope.llm.packing import pack
 from folioscope.llm.quality import score_quality
 from folioscope.llm.suffix_dedup import remove_repeats
-from folioscope.llm.url_filter import judge_urls
+from folioscope.llm.url_filter import document_id, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,7 +101,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select(
+    """Besides the rules, the tree learns from the labels of the documents whose ids end the URLs."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES, labels=labels, label_key=document_id(F.col("url").cast("string")), pool=True)
+    return judged.select(
         "page_id", "host", "path", "rule", "verdict", F.col("template"), F.round("purity", 6).alias("purity")
     )
 

@@ -119,3 +119,24 @@ def test_tree_against_loops(spark, sf_dir):
 
 def test_empty(spark):
     assert U.judge_urls(frame(spark, ["http://a/b"]).where("false"), catalog.URL_RULES).count() == 0
+
+
+def test_labels_reach_unruled_hosts(spark):
+    urls = [f"http://bad{h}.net/win/{i}" for h in range(3) for i in range(40)] + [f"http://bad{h}.net/news/{i}" for h in range(3) for i in range(40)]
+    urls += ["http://new.net/win/1", "http://new.net/news/1"]
+    labels = [(i, "/win/" in u) for i, u in enumerate(urls[:-2])] + [(0, False), (None, True), (7, None), (9999, True)]
+    labels = spark.createDataFrame(labels, "key long, bad boolean")
+    for pool in (False, True):
+        judged = U.judge_urls(frame(spark, urls), [], labels=labels, pool=pool)
+        rows = {urls[r.page_id]: r.verdict for r in judged.collect()}
+        assert len(rows) == len(urls)
+        assert {rows[u] for u in urls[:-2] if "/win/" in u} == {"block"}
+        assert {rows[u] for u in urls if "/news/" in u} == {"allow"}
+        assert rows["http://new.net/win/1"] == ("block" if pool else "allow")
+        assert U.unruled(judged).first().asDict() == {"urls": len(urls), "blocked": 120 + pool}
+
+
+def test_document_ids(spark):
+    urls = ["http://a/en/17.html?x=3", "http://a/en/17/", "http://a/en/x17", "http://a", None]
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [r[0] for r in frame.select(U.document_id(F.col("url"))).collect()] == [17, 17, None, None, None]
