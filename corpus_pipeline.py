@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.catalog import MIX_WEIGHTS
 from folioscope.llm.common import remainder, table
 from folioscope.llm.exact_dedup import drop_copies
 from folioscope.llm.jaccard_join import keep_one
@@ -34,7 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs)
+    return mix(docs, weights=MIX_WEIGHTS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

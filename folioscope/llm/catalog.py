@@ -30,6 +30,9 @@ URL_RULES = (
     ("block", "com", "/de/"),
 )
 
+#: Weights of the mix, relative to a category's own share of the tokens; all others have 1.
+MIX_WEIGHTS = {"lang": {"en": 0.8}, "topic": {"table": 0.5, "capitals": 0.5}}
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -95,7 +98,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cell, its calibrated probability and whether it was drawn."""
-    mixed = mixing_probabilities(table(spark, sf_dir, "documents"))
+    mixed = mixing_probabilities(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS)
     return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_probability", 9).alias("mix_probability"), "mix_kept")
 
 

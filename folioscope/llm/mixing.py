@@ -6,9 +6,13 @@ never above 1, so that no document is needed twice.  A document stays if a numbe
 and text is below its cell's probability, which any task decides alone and always alike.
 
 Target shares are given per marginal, or follow from the corpus: each category's share of tokens to
-the power ``flatten`` (0 makes categories equal, 1 leaves them as they are).  The budget is the share of
-all tokens to keep; where a category has too few tokens for its share, its documents all stay and the
-sample is smaller by what they lack.
+the power ``flatten`` (0 makes categories equal, 1 leaves them as they are), times its weight, 1 unless
+``weights`` has another.  Without a ``budget`` the sample is the largest one that meets all shares: the
+share of tokens to keep grows until raking leaves a category more than ``TOLERANCE`` of its share short
+or over, beyond what no sample of any size can mend.  So without weights and targets all documents stay.
+With a ``budget``, the share of all tokens to keep, a category with too few tokens for its share stays
+whole and the sample is smaller by what it lacks.  ``mixing_report`` tells what every category gets, and
+the largest gap of each marginal is logged, as a warning beyond ``TOLERANCE``.
 
 Only the sums of cells reach the driver; there may be ``MAX_CELLS`` of them at most, and more raise an
 error.  Defined results: null sources and languages are a category of their own (``""``); categories
@@ -19,6 +23,7 @@ empty one.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 
 import numpy as np
@@ -28,11 +33,18 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import UPPER
 
 MAX_CELLS = 100_000
-BUDGET = 0.5
-FLATTEN = 0.5
-ROUNDS = 200
+#: No budget is searched beyond this share of the tokens: all of them.
+BUDGET = 1.0
+FLATTEN = 1.0
+ROUNDS = 2000
+#: The part of its share that a category may miss in the largest sample.
+TOLERANCE = 0.001
+#: Halvings of the interval in which the largest budget lies.
+STEPS = 12
 SEED = 17
 
+logger = logging.getLogger(__name__)
+
 MARGINALS = ("mix_source", "mix_lang", "mix_topic")
 
 
@@ -56,13 +68,18 @@ def words(text: Column) -> Column:
     return F.greatest(F.size(F.filter(F.split(spaced, " ", -1), lambda w: w != "")), F.lit(1)).cast("long")
 
 
-def shares(values: np.ndarray, tokens: np.ndarray, flatten: float, target: Mapping[str, float] | None) -> dict[str, float]:
+def _sums(values: np.ndarray, amounts: np.ndarray) -> dict[str, float]:
+    names, index = np.unique(values, return_inverse=True)
+    return dict(zip(names.tolist(), np.bincount(index, weights=amounts, minlength=len(names)).tolist(), strict=True))
+
+
+def shares(values: np.ndarray, tokens: np.ndarray, flatten: float, target: Mapping[str, float] | None, weights: Mapping[str, float] | None = None) -> dict[str, float]:
     """Target shares of one marginal over the categories that have tokens."""
-    names = np.unique(values)
+    sums = _sums(values, tokens)
     if target is None:
-        raw = {v: float(tokens[values == v].sum()) ** flatten for v in names}
+        raw = {v: n**flatten * float((weights or {}).get(v, 1.0)) for v, n in sums.items()}
     else:
-        raw = {v: float(target.get(v, 0.0)) for v in names}
+        raw = {v: float(target.get(v, 0.0)) for v in sums}
     total = sum(raw.values())
     return {v: x / total if total else 0.0 for v, x in raw.items()}
 
@@ -86,6 +103,48 @@ def rake(cells: np.ndarray, tokens: np.ndarray, targets: list[dict[str, float]],
     return p
 
 
+def kept_shares(cells: np.ndarray, tokens: np.ndarray, targets: list[dict[str, float]], p: np.ndarray) -> list[dict[str, float]]:
+    """The share of each marginal's categories among the tokens that probabilities ``p`` keep."""
+    kept = tokens * p
+    total = float(kept.sum()) or 1.0
+    return [{v: n / total for v, n in _sums(cells[:, i], kept).items()} for i in range(len(targets))]
+
+
+def gaps(cells: np.ndarray, tokens: np.ndarray, targets: list[dict[str, float]], p: np.ndarray) -> list[np.ndarray]:
+    """By marginal, the part of its target share that each category misses or exceeds."""
+    shares_ = kept_shares(cells, tokens, targets, p)
+    return [np.array([abs(have[v] / t - 1.0) if t else have[v] for v, t in target.items()]) for have, target in zip(shares_, targets, strict=True)]
+
+
+def rake_most(cells: np.ndarray, tokens: np.ndarray, targets: list[dict[str, float]]) -> np.ndarray:
+    """The sampling probabilities of the largest budget at which the marginals agree."""
+    # No category can give more than all its tokens.
+    bounds = [n / (targets[i][v] * tokens.sum()) for i in range(len(targets)) for v, n in _sums(cells[:, i], tokens).items() if targets[i][v] > 0]
+    high = min([BUDGET, *bounds])
+    # Far below any bound raking meets the shares as far as they can be met at all; scaled until the
+    # first cell is whole, it is a sample that needs no search.
+    best = rake(cells, tokens, targets, high * 1e-6)
+    if not best.max() > 0:
+        return best
+    low = high * 1e-6 / best.max()
+    best = best / best.max()
+    allowed = [np.maximum(g, 0.0) + TOLERANCE for g in gaps(cells, tokens, targets, best)]
+    budget = high
+    for _ in range(STEPS):
+        if budget <= low:
+            break
+        p = rake(cells, tokens, targets, budget)
+        # A smaller sample than the one at hand is none, whatever its budget.
+        if all((g <= a).all() for g, a in zip(gaps(cells, tokens, targets, p), allowed, strict=True)):
+            best, low = (p, budget) if (tokens * p).sum() >= (tokens * best).sum() else (best, budget)
+        else:
+            high = budget
+        if low == budget == high:
+            break
+        budget = (low + high) / 2
+    return best
+
+
 def _mixed(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -94,9 +153,11 @@ def _mixed(
     lang_col: str = "lang",
     topic: Column | None = None,
     targets: Mapping[str, Mapping[str, float]] | None = None,
-    budget: float = BUDGET,
+    weights: Mapping[str, Mapping[str, float]] | None = None,
+    budget: float | None = None,
     flatten: float = FLATTEN,
     max_cells: int = MAX_CELLS,
+    report: list | None = None,
 ) -> DataFrame:
     """``mix_row``, the document as one value, so that its columns may have any names, and
     ``mix_source, mix_lang, mix_topic, mix_tokens, mix_probability, mix_kept``."""
@@ -120,8 +181,17 @@ def _mixed(
     if rows:
         cells = np.array([[r[c] for c in MARGINALS] for r in rows], dtype=object).astype(str)
         tokens = np.array([r["tokens"] for r in rows], dtype=np.float64)
-        wanted = [shares(cells[:, i], tokens, flatten, (targets or {}).get(c.removeprefix("mix_"))) for i, c in enumerate(MARGINALS)]
-        p = rake(cells, tokens, wanted, budget)
+        names = [c.removeprefix("mix_") for c in MARGINALS]
+        wanted = [shares(cells[:, i], tokens, flatten, (targets or {}).get(n), (weights or {}).get(n)) for i, n in enumerate(names)]
+        p = rake_most(cells, tokens, wanted) if budget is None else rake(cells, tokens, wanted, budget)
+        missed = gaps(cells, tokens, wanted, p)
+        logger.info("mixing keeps %.4f of %d tokens", (tokens * p).sum() / tokens.sum(), tokens.sum())
+        for n, g in zip(names, missed, strict=True):
+            logger.log(logging.WARNING if g.max() > 2 * TOLERANCE else logging.INFO, "mixing: a %s misses its share by %.4f of it", n, g.max())
+        if report is not None:
+            for i, (n, have) in enumerate(zip(names, kept_shares(cells, tokens, wanted, p), strict=True)):
+                all_, kept = _sums(cells[:, i], tokens), _sums(cells[:, i], tokens * p)
+                report += [(n, v, all_[v], kept[v], wanted[i][v], share, float(gap)) for (v, share), gap in zip(have.items(), missed[i], strict=True)]
         data = [(*(str(x) for x in c), float(v)) for c, v in zip(cells, p, strict=True)]
     else:
         data = []
@@ -133,7 +203,7 @@ def _mixed(
 def mixing_probabilities(documents: DataFrame, **options) -> DataFrame:
     """The documents and ``mix_source, mix_lang, mix_topic, mix_tokens, mix_probability, mix_kept``, which
     take the place of columns of these names.  The options are those of the module's first lines:
-    column names, ``topic``, ``targets``, ``budget``, ``flatten`` and ``max_cells``."""
+    column names, ``topic``, ``targets``, ``weights``, ``budget``, ``flatten`` and ``max_cells``."""
     added = [*MARGINALS, "mix_tokens", "mix_probability", "mix_kept"]
     own = [F.col("mix_row")[c].alias(c) for c in documents.columns if c not in added]
     return _mixed(documents, **options).select(*own, *added)
@@ -142,3 +212,12 @@ def mixing_probabilities(documents: DataFrame, **options) -> DataFrame:
 def mix(documents: DataFrame, **options) -> DataFrame:
     """The sampled documents with the columns they came with."""
     return _mixed(documents, **options).where("mix_kept").select("mix_row.*")
+
+
+def mixing_report(documents: DataFrame, **options) -> DataFrame:
+    """``marginal, category, tokens, kept_tokens, target, share, gap``: what the options of ``mix`` give
+    each category; ``gap`` is the part of its target share that it misses or exceeds."""
+    rows: list = []
+    _mixed(documents, report=rows, **options)
+    schema = "marginal string, category string, tokens double, kept_tokens double, target double, share double, gap double"
+    return documents.sparkSession.createDataFrame(rows, schema)

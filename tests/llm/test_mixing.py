@@ -55,3 +55,34 @@ def test_shares_on_the_tables(spark, sf_dir):
     # Short of the budget by what the scarce forms of text lack.
     assert 0.4 < expected / total <= mixing.BUDGET + 1e-9
     assert abs(drawn / expected - 1) < 0.2
+
+
+def test_nothing_is_dropped_that_no_weight_asks_for(edge):
+    assert mixing.mix(edge).count() == edge.count()
+
+
+def test_the_largest_sample_that_meets_the_weights():
+    rng = np.random.default_rng(4)
+    cells = np.array([(s, l, t) for s in "abcd" for l in "xy" for t in "pq"])
+    tokens = rng.integers(100, 1000, len(cells)).astype(float)
+    weights = [None, {"x": 0.5}, {"p": 0.8}]
+    targets = [mixing.shares(cells[:, i], tokens, 1.0, None, w) for i, w in enumerate(weights)]
+    p = mixing.rake_most(cells, tokens, targets)
+    assert p.max() <= 1
+    assert max(g.max() for g in mixing.gaps(cells, tokens, targets, p)) <= 2 * mixing.TOLERANCE
+    # A twentieth more cannot be had without missing a share.
+    more = mixing.rake(cells, tokens, targets, 1.05 * (tokens * p).sum() / tokens.sum())
+    assert max(g.max() for g in mixing.gaps(cells, tokens, targets, more)) > 2 * mixing.TOLERANCE
+
+
+def test_report_on_the_tables(spark, sf_dir):
+    from folioscope.llm.catalog import MIX_WEIGHTS
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = mixing.mixing_report(documents, weights=MIX_WEIGHTS).collect()
+    assert {r.marginal for r in rows} == {"source", "lang", "topic"}
+    assert max(r.gap for r in rows) <= 2 * mixing.TOLERANCE
+    langs = [r for r in rows if r.marginal == "lang"]
+    assert sum(r.kept_tokens for r in langs) / sum(r.tokens for r in langs) > 0.7
+    missed = mixing.mixing_report(documents, flatten=0.5, budget=0.5).collect()
+    assert max(r.gap for r in missed if r.marginal == "topic") > 0.1
