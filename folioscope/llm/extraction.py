@@ -12,8 +12,13 @@ A wrapper's slots know how much text, and how much of it in links, they held ove
 From this and the names of elements follows where the main text is: in ``article`` or ``main`` elements
 that hold a fair share of the text, or else in the deepest element that holds most of it.  Each page is
 then read through its host's wrapper; one without the wrapper's main element falls back to the same
-choice on its own tree.  Inside, elements for menus, headers, footers, sidebars, notices, adverts, forms,
-scripts and comments are left out, character references are decoded, white space in a block becomes one
+choice on its own tree.  A wrapper's elements also know whether their text is the same on all pages that
+have them.  Inside, tags and roles of menus, headers, footers, forms and scripts, and names that hardly any
+text has (adverts, cookies, comments) are left out.  Names that sections of an article have as well
+(discussion, related, notice) are left out only if the host's pages agree: their text is the same on all
+pages that have them, or most of it is in links.  Containers of any name are left out if nearly all pages
+of the host have them with the same text, unless that is most of the main text.
+An article or main element is noise only if a whole class or id says so.  Then character references are decoded, white space in a block becomes one
 space, and blocks are joined by line breaks.
 
 Defined results: a null page is an empty one and has an empty text; text outside any element counts as
@@ -26,6 +31,7 @@ from __future__ import annotations
 import html as html_module
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,6 +71,18 @@ NOISE_WORDS = frozenset(
     "newsletter subscribe subscription social share sharing related recommended recommendations sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs "
     "footer masthead comment comments reply replies disqus discussion login signin signup search copyright toolbar pager pagination skip topbar".split()
 )
+#: Of these, names that parts of an article have as well; they need the host's pages to agree.
+SHARED_WORDS = frozenset(
+    "alert banner copyright discussion footer login menu notice notices overlay promotion recommended recommendations related reply replies search share sharing sidebar signin signup skip "
+    "social subscription widget widgets".split()
+)
+STRONG_WORDS = NOISE_WORDS - SHARED_WORDS
+#: Marks a label of an article or main element that is noise.
+NOISY = "~"
+#: What one page has says nothing about its host's; so many do.
+MIN_PAGES = 5
+NEARLY_ALL = 0.8
+CONTAINERS = frozenset("div section ul ol dl table blockquote".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -89,8 +107,12 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
     names = {k.lower(): a or b or c for k, a, b, c in _NAMES.findall(attributes)}
     words = [w.lower() for k in ("id", "class") for w in _WORD.findall(names.get(k, ""))]
     role = names.get("role", "").lower()
-    noise = tag in NOISE_TAGS or role in NOISE_ROLES or not NOISE_WORDS.isdisjoint(words)
-    return ".".join([tag, *([role] if role else []), *words]), noise
+    noise = tag in NOISE_TAGS or role in NOISE_ROLES
+    if tag in ("article", "main") or role == "main":
+        tokens = [_WORD.findall(t) for k in ("id", "class") for t in names.get(k, "").split()]
+        noise = noise or any(t and all(w.lower() in NOISE_WORDS for w in t) for t in tokens)
+        return ".".join([tag, *([NOISY] if noise else []), *([role] if role else []), *words]), noise
+    return ".".join([tag, *([role] if role else []), *words]), noise or not STRONG_WORDS.isdisjoint(words)
 
 
 def parse(page: str) -> Element:
@@ -153,7 +175,8 @@ def _open(stack: list[Element], tag: str, attributes: str) -> None:
     stack.append(element)
 
 
-# --- wrappers: [label, mark, items, text, linked] with mark '', '?', '+' or '*' ---
+# --- wrappers: [label, mark, items, text, linked, same, pages] with mark '', '?', '+' or '*'; same is a
+# hash of the text, 0 if it varies, and pages how many pages have the item ---
 
 
 def wrapper_of(element: Element, linked: bool = False) -> list:
@@ -163,12 +186,13 @@ def wrapper_of(element: Element, linked: bool = False) -> list:
     for part in element.parts:
         if isinstance(part, str):
             if size := len(part.strip()):
-                items.append(["#", "", [], size, size if linked else 0])
+                items.append(["#", "", [], size, size if linked else 0, zlib.crc32(part.strip().encode("utf-8", "replace")) or 1, 1])
         elif part.tag == "a":
             items += [x for x in wrapper_of(part, True)[2] if x[0] == "#"]
         elif part.tag not in VOID:
             items.append(wrapper_of(part, linked))
-    return [element.label, "", folded(items), 0, 0]
+    same = zlib.crc32(repr([x[5] for x in items]).encode()) or 1
+    return [element.label, "", folded(items), 0, 0, same, 1]
 
 
 def _both(a: str, b: str) -> str:
@@ -181,7 +205,8 @@ def merged(a: list, b: list, repeated: bool = False) -> list:
     mark = _both(a[1], b[1])
     if repeated:
         mark = "*" if {a[1], b[1]} <= {"?", "*"} else "+"
-    return [a[0], mark, aligned(a[2], b[2]), a[3] + b[3], a[4] + b[4]]
+    pages = max(a[6], b[6]) if repeated else a[6] + b[6]
+    return [a[0], mark, aligned(a[2], b[2]), a[3] + b[3], a[4] + b[4], a[5] if a[5] == b[5] else 0, pages]
 
 
 def folded(items: list) -> list:
@@ -196,7 +221,7 @@ def folded(items: list) -> list:
             if len(out) >= 2 * run and [x[0] for x in out[-run:]] == [x[0] for x in out[-2 * run : -run]]:
                 second, first = out[-run:], out[-2 * run : -run]
                 del out[-2 * run :]
-                out.append(["(" + " ".join(x[0] for x in first) + ")", "+", [merged(x, y) for x, y in zip(first, second, strict=True)], 0, 0])
+                out.append(["(" + " ".join(x[0] for x in first) + ")", "+", [merged(x, y) for x, y in zip(first, second, strict=True)], 0, 0, 0, first[0][6]])
                 break
             if len(out) > run and out[-run - 1][0] == "(" + " ".join(x[0] for x in out[-run:]) + ")":
                 group, more = out[-run - 1], out[-run:]
@@ -250,12 +275,14 @@ def _shape(item: list) -> list:
 
 def _is_noise(label: str) -> bool:
     tag, *words = label.split(".")
-    return tag in NOISE_TAGS or not NOISE_WORDS.isdisjoint(words) or bool(words and words[0] in NOISE_ROLES)
+    if NOISY in words or tag in NOISE_TAGS or bool(words and words[0] in NOISE_ROLES):
+        return True
+    return not _is_main(label) and not STRONG_WORDS.isdisjoint(words)
 
 
 def _is_main(label: str) -> bool:
     tag, *words = label.split(".")
-    return tag in ("article", "main") or (bool(words) and words[0] == "main")
+    return NOISY not in words and (tag in ("article", "main") or (bool(words) and words[0] == "main"))
 
 
 def main_paths(wrapper: list) -> list[str]:
@@ -277,7 +304,7 @@ def main_paths(wrapper: list) -> list[str]:
         if main:
             kind = "article" if item[0].startswith("article") else "main"
             mains[kind][path] = mains[kind].get(path, 0.0) + own
-        return 0.0 if not grouped and not main and _is_noise(item[0]) else own
+        return 0.0 if not grouped and not main and item[0] and _is_noise(item[0]) else own
 
     total = mass(wrapper, "")
     for kind in ("article", "main"):
@@ -296,6 +323,49 @@ def main_paths(wrapper: list) -> list[str]:
     return [path]
 
 
+def left_out(wrapper: list, mains: list[str]) -> list[str]:
+    """The paths inside the main elements that the host's pages show to be no main text."""
+    # By path: text, linked text, whether it is the same wherever it is, pages, words of the label.
+    seen: dict[str, list] = {}
+
+    def visit(item: list, path: str, inside: bool) -> tuple[int, int]:
+        if item[0] == "#":
+            return item[3], item[4]
+        grouped = item[0].startswith("(")
+        if not grouped and item[0]:
+            path = f"{path}/{item[0]}"
+        below = [visit(x, path, inside or path in mains) for x in item[2]]
+        text, linked = sum(x[0] for x in below), sum(x[1] for x in below)
+        if inside and not grouped and path not in mains:
+            have = seen.setdefault(path, [0, 0, True, 0, item[0].split(".")])
+            have[0], have[1], have[2], have[3] = have[0] + text, have[1] + linked, have[2] and bool(item[5]), have[3] + item[6]
+            # Two places with one path that differ are not the same text.
+            same.setdefault(path, set()).add(item[5])
+        elif path in mains and not grouped and (item is wrapper or not inside):
+            whole[0] += text
+            whole[1] |= not item[5]
+        return text, linked
+
+    same: dict[str, set] = {}
+    # The text of the main elements, and whether it varies: that of copies tells nothing apart.
+    whole = [0, False]
+    visit(wrapper, "", "" in mains)
+    enough = wrapper[6] >= MIN_PAGES and whole[1]
+    named, plain = [], []
+    for path, (text, linked, constant, pages, (tag, *words)) in seen.items():
+        constant = enough and constant and len(same[path]) == 1 and pages > 1
+        if not text:
+            continue
+        if not SHARED_WORDS.isdisjoint(words) and (constant or 2 * linked >= text):
+            named.append(path)
+        elif constant and tag in CONTAINERS and pages >= NEARLY_ALL * wrapper[6]:
+            plain.append(path)
+    outer = [p for p in plain if not any(p.startswith(q + "/") for q in plain)]
+    if 2 * sum(seen[p][0] for p in outer) >= whole[0]:
+        plain = []
+    return sorted([*named, *plain])
+
+
 def _plain_mass(item: list) -> float:
     if item[0] == "#":
         return max(0, item[3] - item[4])
@@ -304,16 +374,16 @@ def _plain_mass(item: list) -> float:
     return sum(_plain_mass(x) for x in item[2])
 
 
-def main_text(root: Element, paths: list[str]) -> str:
-    """The text below the elements at ``paths``, or below those that the page itself suggests."""
+def main_text(root: Element, paths: list[str], out: list[str] | tuple = ()) -> str:
+    """The text below the elements at ``paths`` without those at ``out``, or below those that the page itself suggests."""
     wanted = frozenset(paths)
-    blocks, found = _blocks(root, wanted)
+    blocks, found = _blocks(root, wanted, frozenset(out))
     if not found:
         blocks, _ = _blocks(root, frozenset(main_paths(wrapper_of(root))))
     return "\n".join(blocks)
 
 
-def _blocks(root: Element, wanted: frozenset[str]) -> tuple[list[str], bool]:
+def _blocks(root: Element, wanted: frozenset[str], out: frozenset[str] = frozenset()) -> tuple[list[str], bool]:
     blocks: list[str] = []
     run: list[str] = []
     found = False
@@ -338,7 +408,7 @@ def _blocks(root: Element, wanted: frozenset[str]) -> tuple[list[str], bool]:
             below = f"{path}/{part.label}"
             here = inside or below in wanted
             found = found or here
-            if not (here and part.noise and below not in wanted):
+            if not (here and (part.noise or below in out) and below not in wanted):
                 visit(part, below, here)
             close()
 
@@ -398,7 +468,10 @@ def infer_wrappers(pages: DataFrame, html_col: str = "html", url_col: str = "url
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [json.dumps(main_paths(json.loads(w))) for w in batch.column(1).to_pylist()]
+        found = []
+        for wrapper in map(json.loads, batch.column(1).to_pylist()):
+            paths = main_paths(wrapper)
+            found.append(json.dumps([paths, left_out(wrapper, paths)]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["wrapper_host", "places"])
 
 
@@ -406,7 +479,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the last two columns, page and places, by the text."""
     for batch in slices(batches, -2):
         pages, places = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-        texts = [main_text(parse(page or ""), json.loads(place or "[]")) for page, place in zip(pages, places, strict=True)]
+        texts = [main_text(parse(page or ""), *json.loads(place or "[[]]")) for page, place in zip(pages, places, strict=True)]
         columns = [*batch.columns[:-2], pa.array(texts, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-2], "main_text"])
 

@@ -80,3 +80,25 @@ def test_the_given_pages(spark, sf_dir):
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1)>", inner)]
         assert r.text == "\n".join(b for b in blocks if b)
         assert r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("named", ['section id="discussion"', 'div class="related-work"', 'div class="search-results"', 'div class="has-sidebar"', 'div class="notice"'])
+def test_sections_of_an_article_stay_whatever_their_name(named):
+    tag = named.split()[0]
+    assert text(FRAME % f"<article><p>one</p><{named}><p>two</p></{tag}></article>") == "one\ntwo"
+
+
+def test_comments_are_no_main_text():
+    assert text(FRAME % '<article><p>long text of the story</p></article><article class="comment"><p>first!</p></article>') == "long text of the story"
+    assert text(FRAME % '<article class="post comments-open"><p>story</p></article>') == "story"
+
+
+def test_text_that_all_pages_of_a_host_have_is_left_out(spark):
+    body = '<article><p>story number %d of this host</p><div class="blurb"><p>Buy our book</p></div><div class="notice"><p>%s</p></div><div class="x"><p>body %d</p></div></article>'
+    pages = [(i, f"http://same.org/{i}", FRAME % (body % (i, "All rights kept", i))) for i in range(8)]
+    pages += [(100 + i, f"http://varies.org/{i}", FRAME % (body % (i, f"Note {i}", i))) for i in range(8)]
+    pages += [(200 + i, f"http://copies.org/{i}", FRAME % (body % (1, "All rights kept", 1))) for i in range(8)]
+    got = {r.row_id: r.main_text for r in X.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "story number 3 of this host\nbody 3"
+    assert got[103] == "story number 3 of this host\nNote 3\nbody 3"
+    assert "story number 1 of this host" in got[203] and "body 1" in got[203]
