@@ -1,18 +1,18 @@
-"""Repeated passages by difference-cover, blockwise suffix sorting, to a depth of ``MATCH`` bytes.
+"""Repeated passages by hashed windows of ``MATCH`` bytes, with a difference cover as prefilter.
 
 A string of ``MATCH`` (50) bytes is removed where a document with a smaller id has it too.  Suffixes are
-compared to that depth only, and never all at once:
+compared to that depth only, by hashes in place of lexical order and ranks, and never all at once:
 
 1. Region classes.  Content-defined cuts split texts into regions; the suffixes that start in a region
    are repeats if an earlier document has the whole region and the ``MATCH - 1`` bytes behind it.  These
    long ties are settled by one digest and take no further part; the first document of each keeps them.
-2. Cover-sample ranks.  Of the remaining suffixes, the places of a difference cover modulo ``PERIOD``
+2. Cover samples.  Of the remaining suffixes, the places of a difference cover modulo ``PERIOD``
    are sampled: for any two places there is a shift below the period that brings both onto the cover.
    So two equal strings of ``MATCH`` bytes have a pair of sampled windows of ``MATCH - PERIOD + 1`` bytes
-   at one shift, and these windows are ranked in buckets of suffixes, each sorted by itself.  A
-   suffix none of whose cover windows ties with another document's is unique, and is done.
+   at one shift.  Their hashes are sorted bucket by bucket, and a window gets one bit, whether another
+   document has its hash; it has no rank.  A suffix none of whose cover windows ties with another document's is unique, and is done.
 3. Suffix buckets.  The suffixes that are left are dealt into buckets by their first ``MATCH`` bytes'
-   hash, and one bucket at a time is sorted; in a run of equal ones all but the smallest document's are
+   hash, and one bucket at a time is sorted by that hash; in a run of equal ones all but the smallest document's are
    repeats.
 
 Memory is bounded by a block of texts and a bucket of keys; the keys of steps 1 and 3 are 128 and 96
