@@ -473,7 +473,7 @@ def hit_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir).select(
         "question_id", embed_column(embedder(), F.col("question")).alias("vector")
     )
-    hits = top_k(asked, points, C.TOP_K).withColumn("score", rounded(F.col("score")))
+    hits = stored(top_k(asked, points, C.TOP_K), "hits").withColumn("score", rounded(F.col("score")))
     found = answers.hit_metadata(hits, points)
     return found.select("question_id", "rank", F.explode("metadata").alias("field", "value"))
 

@@ -1,39 +1,35 @@
 """Exact cosine top-k of a question batch over an index of vectors.
 
-The index, the large side, is read once and never shuffled: every task scores its
-rows against the whole question batch with a matrix product and keeps only the
-best ``k`` per question, so what is shuffled is ``k`` rows per question and task.
-The question batch is broadcast, but only up to a size that is checked first.
-A larger set of questions is cut into several batches of that size, each of which
-reads the index again, which keeps the answer exact for any number of questions.
+Questions and index are packed into blocks that meet split by split (``splits``): a task holds one split
+of the index, scores the question blocks that pass by with a matrix product, and keeps the best ``k``
+per question.  It carries each question's k-th best score on to its next splits, so that these tell only
+what is better.  A question then has ``k`` hits per split at most, which are ranked by question.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Largest question matrix that is broadcast at once; every Python worker holds a copy.
-QUESTION_BATCH_BYTES = 64 * 1024 * 1024
+from folioscope.operators.splits import SPLIT_BYTES, Block, meet, packed, split_count
+from folioscope.session import stored
 
 #: Scores are compared after rounding to this many decimals, so equal vectors tie on
 #: every machine, whatever the order of additions, and the id decides between them.
 SCORE_DECIMALS = 10
 
-#: Upper bound of one hit row in a broadcast: two ids, a rank and a score.
-_HIT_BYTES = 256
-
 #: Cells of one score matrix in a task; bounds its memory to about 64 MB.
 _SCORE_CELLS = 8_000_000
 
+#: Bytes of k-th best scores that a task carries from split to split.
+_CARRIED_BYTES = 64 << 20
+
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1; a row without length stays zero."""
@@ -41,21 +37,18 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(length > 0, length, 1.0)[:, None]
 
 
-def _as_matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
-    """Rows of ``width`` numbers, without a copy of each; other sizes and nulls are an error."""
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    sized = pc.all(pc.equal(pc.list_value_length(vectors), width), skip_nulls=False).as_py()
-    if len(vectors) and not sized:
+def _of_width(block: Block, width: int) -> np.ndarray:
+    if block.least != width or block.most != width:
         raise ValueError(f"a vector does not have {width} elements like the others")
-    return flat.reshape(len(vectors), width)
+    return _unit_rows(block.vectors)
 
 
 class _Best:
     """The best ``k`` (score, id) pairs seen so far for each question of a batch."""
 
-    def __init__(self, questions: int, k: int):
+    def __init__(self, floor: np.ndarray, k: int):
         self.k = k
-        self.floor = np.full(questions, -np.inf)
+        self.floor = floor.copy()
         self.question = np.empty(0, dtype=np.int64)
         self.score = np.empty(0)
         self.id: np.ndarray = np.empty(0, dtype=object)
@@ -107,91 +100,69 @@ def top_k(
     question_vector: str = "vector",
     point_id: str = "id",
     point_vector: str = "vector",
-    batch_bytes: int = QUESTION_BATCH_BYTES,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """``(question_id, rank, point_id, score)`` of the ``k`` nearest points, best first.
 
     Ties go to the smaller point id.  There is no score threshold and no filter; a
-    filter on ``index`` before the call reaches its scan.
-
-    The result has at most ``k`` rows per question, and the questions were counted, so
-    it is marked for broadcast when that bound is small enough: a later join with the
-    payloads then reads the index in place instead of shuffling it.
+    filter on ``index`` before the call reaches its scan.  The questions are packed and written when
+    this is called; who needs the hits twice, or joins them, writes them too (``stored``), so that
+    their real size decides whether the join may broadcast them.
     """
     if k < 1:
         raise ValueError("k must be positive")
     if question_id == point_id:
         raise ValueError("question and point ids need different column names")
-    asked = questions.select(question_id, question_vector).persist()
-    try:
-        found = asked.agg(
-            F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(question_vector)), F.lit(0)).alias("size")
-        ).first()
-        batches = max(1, math.ceil(found["n"] * max(1, found["size"]) * 8 / batch_bytes))
-        part = F.pmod(F.xxhash64(question_id), F.lit(batches))
-        local = None
-        for number in range(batches):
-            batch = asked if batches == 1 else asked.where(part == number)
-            best = _local_top_k(
-                batch, index, k, found["size"], question_id, question_vector, point_id, point_vector
-            )
-            local = best if local is None else local.unionAll(best)
-    finally:
-        asked.unpersist()
-    order = Window.partitionBy(question_id).orderBy(F.col("score").desc(), F.col(point_id))
-    hits = (
-        local.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select(question_id, "rank", point_id, "score")
-    )
-    return F.broadcast(hits) if found["n"] * k * _HIT_BYTES <= batch_bytes else hits
-
-
-def _local_top_k(
-    batch: DataFrame,
-    index: DataFrame,
-    k: int,
-    width: int,
-    question_id: str,
-    question_vector: str,
-    point_id: str,
-    point_vector: str,
-) -> DataFrame:
-    """The best ``k`` points of every index partition for every question of the batch."""
-    rows = batch.toArrow()
-    ids = rows.column(question_id).combine_chunks()
-    vectors = rows.column(question_vector).combine_chunks()
-    matrix = _unit_rows(_as_matrix(vectors, width).astype(np.float64))
-    shared = batch.sparkSession.sparkContext.broadcast((ids, matrix))
-    schema = T.StructType(
-        [
-            T.StructField(question_id, batch.schema[question_id].dataType),
-            T.StructField(point_id, index.schema[point_id].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
+    asked = stored(packed(questions.select(F.col(question_id).alias("ids"), F.col(question_vector).alias("vector")), "vector"), "questions")
+    width = asked.agg(F.min("least").alias("least"), F.max("most").alias("most")).first()
+    if width["least"] != width["most"] or width["most"] == -1:
+        raise ValueError(f"a vector does not have {width['most']} elements like the others")
+    size = width["most"] or 0
+    points = packed(index.select(F.col(point_id).alias("ids"), F.col(point_vector).alias("vector")), "vector")
+    near = meet(
+        asked,
+        points,
+        split_count(index.count(), size, split_bytes),
+        _nearest(k, size, question_id, point_id, to_arrow_type(index.schema[point_id].dataType)),
+        T.StructType(
+            [
+                T.StructField(question_id, questions.schema[question_id].dataType),
+                T.StructField(point_id, index.schema[point_id].dataType),
+                T.StructField("score", T.DoubleType()),
+            ]
+        ),
     )
-    point_type = to_arrow_type(index.schema[point_id].dataType)
+    # Spark keeps k rows a question in each task before it shuffles them, and again afterwards.
+    order = Window.partitionBy(question_id).orderBy(F.col("score").desc(), F.col(point_id))
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(question_id, "rank", point_id, "score")
+
+
+def _nearest(k: int, width: int, question_id: str, point_id: str, point_type: pa.DataType):
+    def work(meetings: Iterator[tuple[int, list[Block], Block]]) -> Iterator[pa.RecordBatch]:
+        floors: dict[int, np.ndarray] = {}
+        carried = 0
+        last, names, matrix = None, [], []
+        for split, blocks, asked in meetings:
+            if split != last:
+                last = split
+                names = [b.column("ids").to_numpy(zero_copy_only=False) for b in blocks]
+                matrix = [_of_width(b, width) for b in blocks]
+            best = _Best(floors.get(asked.number, np.full(asked.n, -np.inf)), k)
+            unit = _of_width(asked, width)
+            step = max(k + 1, _SCORE_CELLS // asked.n)
+            for ids, block in zip(names, matrix, strict=True):
+                for at in range(0, len(ids), step):
+                    best.add(np.round(block[at : at + step] @ unit.T, SCORE_DECIMALS), ids[at : at + step])
+            if asked.number in floors or carried + best.floor.nbytes <= _CARRIED_BYTES:
+                carried += 0 if asked.number in floors else best.floor.nbytes
+                floors[asked.number] = best.floor
+            yield pa.RecordBatch.from_arrays(
+                [
+                    asked.column("ids").take(pa.array(best.question)),
+                    pa.array(best.id, type=point_type),
+                    pa.array(best.score, type=pa.float64()),
+                ],
+                names=[question_id, point_id, "score"],
+            )
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        question_ids, question_matrix = shared.value
-        if len(question_matrix) == 0:
-            return
-        best = _Best(len(question_matrix), k)
-        step = max(k + 1, _SCORE_CELLS // len(question_matrix))
-        for points in batches:
-            names = points.column(0).to_numpy(zero_copy_only=False)
-            block = _as_matrix(points.column(1), width)
-            for at in range(0, len(names), step):
-                unit = _unit_rows(block[at : at + step].astype(np.float64))
-                scores = np.round(unit @ question_matrix.T, SCORE_DECIMALS)
-                best.add(scores, names[at : at + step])
-        yield pa.RecordBatch.from_arrays(
-            [
-                question_ids.take(pa.array(best.question)),
-                pa.array(best.id, type=point_type),
-                pa.array(best.score, type=pa.float64()),
-            ],
-            names=[question_id, point_id, "score"],
-        )
-
-    return index.select(point_id, point_vector).mapInArrow(score, schema)
+    return work

@@ -19,7 +19,7 @@ from folioscope.operators.answers import (
 )
 from folioscope.operators.search import top_k
 from folioscope.session import stored
-from folioscope.sources.index import LOOKUP_MIN_FILES, Collection
+from folioscope.sources.index import Collection
 
 
 @dataclass(frozen=True)
@@ -45,12 +45,8 @@ class Retriever:
         asked = questions.select(
             "question_id", embed_column(self.make_embedder, F.col("question")).alias("vector")
         )
-        hits = top_k(asked, self.points, self.k)
-        found = self.points
-        if self.lookup is not None and len(found.inputFiles()) >= LOOKUP_MIN_FILES:
-            # The lookup and the join below both use the hits: the search runs once.
-            hits = stored(hits, "hits")
-            found = self.lookup(hits)
+        hits = stored(top_k(asked, self.points, self.k), "hits")
+        found = self.points if self.lookup is None else self.lookup(hits)
         documents = cited_documents(hits, found, self.citation, self.strict_keys)
         if self.top_n is None:
             return in_search_order(documents)

@@ -3,6 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators.search import top_k
+from folioscope.operators.splits import packed
+from folioscope.session import stored
 
 SCHEMA = "id string, vector array<float>"
 
@@ -32,12 +34,12 @@ def data():
 
 
 @pytest.mark.parametrize("k", [1, 5, 25, 300])
-@pytest.mark.parametrize("batch_bytes", [1 << 28, 200])
-def test_top_k_is_exact_with_ties_and_in_batches(spark, data, k, batch_bytes):
+@pytest.mark.parametrize("split_bytes", [1 << 28, 200])
+def test_top_k_is_exact_with_ties_and_in_splits(spark, data, k, split_bytes):
     questions, points = data
     q = spark.createDataFrame(questions, "question_id int, vector array<float>")
     p = spark.createDataFrame(points, SCHEMA).repartition(7)
-    got = top_k(q, p, k, batch_bytes=batch_bytes).collect()
+    got = top_k(q, p, k, split_bytes=split_bytes).collect()
     rows = sorted((r["question_id"], r["rank"], r["id"], r["score"]) for r in got)
     expected = brute_force(questions, points, k)
     assert [r[:3] for r in rows] == [e[:3] for e in expected]
@@ -75,13 +77,34 @@ def test_bad_arguments(spark):
         top_k(q, p, 1, question_id="id", point_id="id")
 
 
-def test_index_is_not_shuffled_with_its_payload(spark, data, capsys):
+def test_payload_is_not_shuffled(spark, data, capsys):
     questions, points = data
     q = spark.createDataFrame(questions, "question_id int, vector array<float>")
     p = spark.createDataFrame(points, SCHEMA).withColumn("text", F.repeat("id", 100))
-    hits = top_k(q, p, 5)
+    hits = stored(top_k(q, p, 5), "hits")
     hits.join(p.select("id", "text"), "id").explain()
     plan = capsys.readouterr().out
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert plan.count("Exchange hashpartitioning") == 1  # the hits by question, nothing else
-    assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
+    # The written hits are known to be small, so the join needs no exchange of either side.
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_questions_in_many_blocks(spark):
+    rng = np.random.default_rng(7)
+    points = [(f"p{i:04d}", rng.normal(size=4).round(1).tolist()) for i in range(500)]
+    questions = [(i, rng.normal(size=4).round(1).tolist()) for i in range(200)]
+    q = spark.createDataFrame(questions, "question_id int, vector array<float>").repartition(11)
+    p = spark.createDataFrame(points, SCHEMA).repartition(5)
+    got = sorted((r["question_id"], r["rank"], r["id"]) for r in top_k(q, p, 3, split_bytes=640).collect())
+    assert got == [e[:3] for e in brute_force(questions, points, 3)]
+
+
+def test_blocks_are_cut_and_padded(spark):
+    rows = spark.createDataFrame([(i, [float(i)] * (i % 3)) for i in range(10)], "id long, vector array<double>").coalesce(1)
+    blocks = packed(rows, "vector", block_bytes=24).collect()
+    assert sum(b["n"] for b in blocks) == 10 and len(blocks) > 2
+    assert sorted(i for b in blocks for i in b["id"]) == list(range(10))
+    for b in blocks:
+        matrix = np.frombuffer(b["vectors"]).reshape(b["n"], b["most"])
+        for i, row in zip(b["id"], matrix, strict=True):
+            assert row.tolist() == ([float(i)] * (i % 3) + [0.0] * b["most"])[: b["most"]]
