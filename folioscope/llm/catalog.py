@@ -14,6 +14,7 @@ from folioscope.llm.fingerprints import FAN_OUT, RUN_WORDS, fingerprint_document
 from folioscope.llm.jaccard_join import shingle_components
 from folioscope.llm.language import identify_languages
 from folioscope.llm.mixing import mixing_probabilities
+from folioscope.llm.negatives import mine_negatives
 from folioscope.llm.packing import pack
 from folioscope.llm.quality import score_quality
 from folioscope.llm.suffix_dedup import remove_repeats
@@ -112,6 +113,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, label=label)
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -149,4 +157,22 @@ SQL: dict[str, str] = {
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
+    "op12_negatives": """
+        WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector
+                   FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+             s AS (SELECT a.id AS anchor_id, r.id AS id, a.label = r.label AS same,
+                          list_inner_product(a.vector, r.vector)::BIGINT AS score
+                   FROM v a JOIN v r ON a.id <> r.id WHERE a.id % 100 = 0),
+             p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+                   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, p.positive_id,
+               (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id))::INT AS rank,
+               n.id AS negative_id, p.positive_score, n.score AS negative_score
+        FROM p JOIN s n ON p.anchor_id = n.anchor_id AND NOT n.same
+             AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+        QUALIFY rank <= 5
+    """,
 }
