@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import remainder, table
+from folioscope.llm.common import ascii_lower, remainder, table
 from folioscope.llm.exact_dedup import duplicate_groups
 from folioscope.llm.extraction import extract_pages
 from folioscope.llm.fingerprints import FAN_OUT, RUN_WORDS, fingerprint_documents
 from folioscope.llm.jaccard_join import shingle_components
 from folioscope.llm.language import identify_languages
+from folioscope.llm.manifest import dataset_manifest, leaf_hash
 from folioscope.llm.mixing import mixing_probabilities
 from folioscope.llm.negatives import mine_negatives
 from folioscope.llm.packing import pack
@@ -113,6 +114,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are found in lower case where a third of the ids, by their CRC, are tampered with."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(remainder(F.col("doc_id"), 3) == 0, leaf_hash(*fields, ascii_lower(F.col("text"))))
+    manifest = dataset_manifest(table(spark, sf_dir, "documents"), leaf_hash(*fields, F.col("text")), tampered)
+    return manifest.select(
+        F.col("row_id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 @query
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id = F.col("vec_id")
@@ -139,6 +157,58 @@ def _likeness_sql(left: str, right: str) -> str:
     return f"(SELECT CASE WHEN {left} = {right} THEN 1.0::DOUBLE ELSE len(list_intersect(x.a, x.b))::DOUBLE / len(list_distinct(list_concat(x.a, x.b))) END FROM (SELECT {leaves(left)} AS a, {leaves(right)} AS b) x)"
 
 
+def _levels_sql(name: str, start: str, tree: str, levels: int) -> str:
+    """The tree over ``(tree, pos, d, n)`` of a statement, level by level, with the siblings of each node."""
+    steps = [f"{name}0 AS MATERIALIZED ({start})"]
+    around = "string_agg(d, '') OVER (PARTITION BY {tree}, pos // 8 ORDER BY pos ROWS BETWEEN {frame})"
+    for k in range(levels):
+        before = around.format(tree=tree, frame="UNBOUNDED PRECEDING AND 1 PRECEDING")
+        after = around.format(tree=tree, frame="1 FOLLOWING AND UNBOUNDED FOLLOWING")
+        steps.append(f"{name}{k}_runs AS MATERIALIZED (SELECT *, coalesce({before}, '') AS l, coalesce({after}, '') AS r FROM {name}{k})")
+        steps.append(
+            f"""{name}{k + 1} AS MATERIALIZED (SELECT {tree}, pos // 8 AS pos, (any_value(n) + 7) // 8 AS n,
+                CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE any_value(d) END AS d
+                FROM {name}{k} GROUP BY {tree}, pos // 8)"""
+        )
+    return ",\n".join(steps)
+
+
+def _folds_sql(name: str, start: str, runs: str, tree: str, levels: int) -> str:
+    steps = [f"{name}0 AS ({start})"]
+    for k in range(levels):
+        steps.append(
+            f"""{name}{k + 1} AS MATERIALIZED (SELECT f.* REPLACE (f.pos // 8 AS pos,
+                CASE WHEN t.n > 1 THEN sha256(t.l || v || t.r) ELSE v END AS v,
+                CASE WHEN t.n > 1 THEN proof || t.l || t.r ELSE proof END AS proof)
+                FROM {name}{k} f JOIN {runs}{k}_runs t ON f.pos = t.pos AND f.{tree} IS NOT DISTINCT FROM t.{tree})"""
+        )
+    return ",\n".join(steps)
+
+
+def _leaf_sql(text: str) -> str:
+    part = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Eight levels hold 16 million rows per language, three 512 languages.
+_ROW_LEVELS, _LANGUAGE_LEVELS = 8, 3
+
+_MANIFEST_SQL = f"""
+    WITH digits AS (SELECT *, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT) AS codes FROM documents),
+    crc AS (SELECT *, xor(4294967295::BIGINT, list_reduce(codes, lambda c, x:
+              list_reduce(range(8), lambda b, i: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384::BIGINT) ELSE b >> 1 END, xor(c, x)), 4294967295::BIGINT)) AS crc FROM digits),
+    leaves AS MATERIALIZED (SELECT doc_id, lang, {_leaf_sql("text")} AS d,
+              CASE WHEN crc % 3 = 0 THEN {_leaf_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")} ELSE {_leaf_sql("text")} END AS v FROM crc),
+    placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, d) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+    {_levels_sql("t", "SELECT lang, pos, n, d FROM placed", "lang", _ROW_LEVELS)},
+    languages AS MATERIALIZED (SELECT 0 AS whole, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, d FROM t{_ROW_LEVELS}),
+    {_levels_sql("u", "SELECT whole, pos, n, d FROM languages", "whole", _LANGUAGE_LEVELS)},
+    {_folds_sql("f", "SELECT doc_id, lang, pos, d AS leaf, v, '' AS proof FROM placed", "t", "lang", _ROW_LEVELS)},
+    {_folds_sql("g", f"SELECT f.* REPLACE (s.pos AS pos), s.d AS subroot, 0 AS whole FROM f{_ROW_LEVELS} f JOIN languages s ON s.lang IS NOT DISTINCT FROM f.lang", "u", "whole", _LANGUAGE_LEVELS)}
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, v AS folded_root, v = root AS verified
+    FROM g{_LANGUAGE_LEVELS}, (SELECT d AS root FROM u{_LANGUAGE_LEVELS})
+"""
+
 SQL: dict[str, str] = {
     "op2_fingerprints": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -157,6 +227,7 @@ SQL: dict[str, str] = {
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
+    "op11_manifest": _MANIFEST_SQL,
     "op12_negatives": """
         WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector
