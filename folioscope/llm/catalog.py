@@ -18,6 +18,7 @@ from folioscope.llm.mixing import mixing_probabilities
 from folioscope.llm.negatives import mine_negatives
 from folioscope.llm.packing import pack
 from folioscope.llm.quality import score_quality
+from folioscope.llm.rules import judge_quality, trusted_ids
 from folioscope.llm.suffix_dedup import remove_repeats
 from folioscope.llm.url_filter import document_id, judge_urls
 
@@ -138,6 +139,14 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_negatives(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, label=label)
 
 
+@query
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the documents labelled as good and not as toxic."""
+    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    judged = judge_quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels"), good))
+    return judged.withColumnRenamed("row_id", "doc_id").withColumn("score", F.round("score", 9))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
