@@ -7,7 +7,8 @@ weight near zero.  A document's score is the mean weight of its n-grams, which d
 length, and a document is kept if its score reaches the threshold: nothing is drawn at random.
 
 The counts are summed per task and then per bucket; the driver gets two numbers per bucket, whose number
-is a parameter.  Texts go through one join, with the ids of trusted documents.
+is a parameter.  Texts are never shuffled: the ids of trusted documents are broadcast in parts of a
+bounded number of ids, counted before, and beyond the first part each reads the texts once more.
 
 Defined results: a null text has no words, like an empty one; without words the score is 0; without
 trusted documents every weight is 0 and only the counts decide; of an id that is labelled more than once
@@ -26,10 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import slices
+from folioscope.session import stored
 
 BUCKETS = 1 << 18
 #: Pseudo-counts per bucket, in counts of the trusted documents.
 SMOOTHING = 5.0
+#: Ids of trusted documents that are broadcast at once, about 64 MB as long numbers in a hashed relation.
+PART_IDS = 4_000_000
 #: A document's mean log ratio must reach this.
 THRESHOLD = -0.3
 
@@ -105,8 +109,8 @@ def _text(value: str | None) -> bytes:
     return (value or "").encode("utf-8", "surrogatepass")
 
 
-def _counted(buckets: int):
-    """A task's counts of each bucket over all its texts and over the trusted ones."""
+def _counted(buckets: int, whole: bool):
+    """A task's counts of each bucket over all its texts, if asked for, and over the trusted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hasher(buckets)
@@ -114,10 +118,11 @@ def _counted(buckets: int):
         for batch in slices(batches, 1):
             for trusted, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts = np.bincount(found) if len(found := hashed(_text(text).split())) else found
-                sums[0, : len(counts)] += counts
+                if whole:
+                    sums[0, : len(counts)] += counts
                 if trusted:
                     sums[1, : len(counts)] += counts
-        seen = np.nonzero(sums[0])[0]
+        seen = np.nonzero(sums.any(axis=0))[0]
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(seen), "corpus": pa.array(sums[0, seen]), "trusted": pa.array(sums[1, seen])})
 
     return run
@@ -129,10 +134,19 @@ def log_ratios(corpus: np.ndarray, trusted: np.ndarray, smoothing: float = SMOOT
     return np.log((trusted + smoothing) / (expected + smoothing))
 
 
-def fit_ratios(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
+def fit_ratios(
+    documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, part_ids: int = PART_IDS
+) -> np.ndarray:
     """The weights from ``(row_id, row_text)`` and the distinct ids ``(trusted_id)``."""
-    flagged = documents.join(trusted, F.col("row_id") == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull(), "row_text")
-    cells = flagged.mapInArrow(_counted(buckets), "bucket long, corpus long, trusted long")
+    trusted = stored(trusted, "trusted")
+    parts = max(1, -(-trusted.count() // part_ids))
+    cells = None
+    for i in range(parts):
+        part = F.broadcast(trusted.where(F.pmod(F.xxhash64("trusted_id"), F.lit(parts)) == i))
+        # The first pass counts every text, the others only those of their trusted ids.
+        flagged = documents.join(part, F.col("row_id") == F.col("trusted_id"), "inner" if i else "left")
+        counts = flagged.select(F.col("trusted_id").isNotNull(), "row_text").mapInArrow(_counted(buckets, i == 0), "bucket long, corpus long, trusted long")
+        cells = counts if cells is None else cells.unionAll(counts)
     # Two numbers for each of a fixed number of buckets.
     sums = cells.groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("trusted").alias("trusted")).toArrow()
     counts = np.zeros((2, buckets), np.int64)
@@ -173,10 +187,11 @@ def judge_quality(
     threshold: float = THRESHOLD,
     least_words: int = LEAST_WORDS,
     most_repeated: int = MOST_REPEATED,
+    part_ids: int = PART_IDS,
 ) -> DataFrame:
     """``row_id``, the ``COUNTS``, ``base_failed, score, kept`` of every document."""
     texts = documents.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("row_text"))
-    weights = fit_ratios(texts, trusted, buckets, smoothing)
+    weights = fit_ratios(texts, trusted, buckets, smoothing, part_ids)
     key = texts.schema["row_id"].dataType.simpleString()
     counts = ", ".join(f"{c} long" for c in COUNTS)
     judged = texts.mapInArrow(_judged(weights), f"row_id {key}, {counts}, score double")

@@ -92,10 +92,11 @@ def test_long_text_is_counted_in_whole():
     assert text_counts(data, data.split())[4] == 200_000
 
 
-def test_edge_rows(spark, edge, edge_rows):
+@pytest.mark.parametrize("part_ids", [1000, 2])
+def test_edge_rows(spark, edge, edge_rows, part_ids):
     trusted = {1, 3, 10, 12, 21, 99}
     ids = spark.createDataFrame([(i,) for i in trusted], "trusted_id long")
-    got = judge_quality(edge.repartition(4), ids).select(COLUMNS).collect()
+    got = judge_quality(edge.repartition(4), ids, part_ids=part_ids).select(COLUMNS).collect()
     same([tuple(r) for r in got], brute_force([(d, t) for d, t, _, _ in edge_rows], trusted))
 
 
