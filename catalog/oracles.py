@@ -440,6 +440,19 @@ UNION ALL SELECT doc_id, (quality + 100)::INT FROM labels"""
     sql["keyword_filter"] = "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source = 'src1'"
     sql["collection_keyword"] = _with(*_POINTS) + f"SELECT id, {_PAYLOAD} FROM points ORDER BY id LIMIT 10"
     sql["scroll_limit"] = _with(*_POINTS) + f"SELECT id, {_PAYLOAD} FROM points ORDER BY id LIMIT 2"
+    sql["scroll_pages"] = _with(*_POINTS) + (
+        f"""SELECT page, min(id) AS first_id, max(id) AS last_id, count(*) AS n
+FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // {C.SAMPLE_POINTS} AS page FROM points) GROUP BY page"""
+    )
+    sql["payload_index"] = _with(*_POINTS) + " UNION ALL ".join(
+        f"SELECT '{f}' AS field, {f} AS value, count(*) AS n FROM (SELECT {_PAYLOAD} FROM points) WHERE {f} IS NOT NULL GROUP BY {f}"
+        for f in C.KEYWORD_FIELDS
+    )
+    sql["upsert_collection"] = _with(
+        *_POINTS,
+        "verdicts AS (SELECT doc_id::VARCHAR AS doc, max(quality) AS quality FROM labels GROUP BY doc_id)",
+    ) + r"""SELECT id, file_name, 'quality ' || quality AS keywords, NULL::VARCHAR AS keywords_before, TRUE AS was_there
+FROM points LEFT JOIN verdicts ON doc = regexp_extract(file_name, '-([0-9]+)\.txt$', 1)"""
     sql["payload_defaults"] = f"""WITH {_PAYLOAD_MAPS}
 SELECT doc_id, text, CASE WHEN has_source THEN source ELSE '{C.MISSING_SOURCE}' END AS source,
   CASE WHEN has_page THEN page ELSE '{C.MISSING_PAGE}' END AS page, has_source FROM payloads"""

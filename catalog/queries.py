@@ -31,7 +31,7 @@ from folioscope.plans.ingest import build_points, file_chunks, ingest
 from folioscope.plans.retrieve import Retriever, naive_retriever, reranked_retriever, text_retriever
 from folioscope.session import fresh_folder, stored, work_folder
 from folioscope.sources.files import file_text, read_questions, scan_folder, text_parser
-from folioscope.sources.index import Collection, collection_report, keep_latest, sample_files
+from folioscope.sources.index import ALL_POINTS, Collection, collection_report, keep_latest, sample_files
 from folioscope.streaming.ingest import start_ingest
 from folioscope.streaming.memory import history_stream
 
@@ -376,6 +376,36 @@ def scroll_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_collection(spark, sf_dir).scroll(limit=2).select("id", "payload.*")
 
 
+@query
+def scroll_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of ten points in which all of the collection can be scrolled."""
+    return document_collection(spark, sf_dir).pages(C.SAMPLE_POINTS)
+
+
+@query
+def payload_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the seven indexed fields, with its number of points, from the index alone."""
+    entries = document_collection(spark, sf_dir).entries().where(F.col("field") != ALL_POINTS)
+    return entries.groupBy("field", "value").agg(F.sum("n").alias("n"))
+
+
+@query
+def upsert_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection in which labelled documents got their verdict as keyword, and before that."""
+    files = as_files(table(spark, sf_dir, "documents"))
+    collection = Collection(spark, fresh_folder(spark, "upsert"))
+    ingest(files, collection, text_parser)
+    before = collection.last_ingest()
+    verdicts = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").cast("string").alias("doc")).agg(F.max("quality").alias("quality"))
+    doc = F.regexp_extract("payload.file_name", "-([0-9]+)\\.txt$", 1)
+    labelled = collection.points().withColumn("doc", doc).join(verdicts, "doc")
+    keyword = F.concat(F.lit("quality "), F.col("quality").cast("string"))
+    collection.upsert(labelled.select("id", "vector", F.col("payload").withField("keywords", keyword).alias("payload")))
+    now = collection.points().select("id", "payload.file_name", F.col("payload.keywords").alias("keywords"))
+    earlier = collection.points(before).select("id", F.col("payload.keywords").alias("keywords_before"), F.lit(True).alias("was_there"))
+    return now.join(earlier, "id", "left")
+
+
 def _payload_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as payload maps: for German ones the source key is absent, for French
     ones it is present and null; only some have a page."""

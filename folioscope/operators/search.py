@@ -52,32 +52,38 @@ class _Best:
         self.question = np.empty(0, dtype=np.int64)
         self.score = np.empty(0)
         self.id: np.ndarray = np.empty(0, dtype=object)
+        self.at = np.empty(0, dtype=np.int64)
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Take in the scores of some points, one row per point and one column per question."""
+    def add(self, scores: np.ndarray, ids: np.ndarray, at: int = 0) -> None:
+        """Take in the scores of some points, one row per point and one column per question.
+
+        ``at`` is the place of the first of them in their split.
+        """
+        places = np.arange(at, at + len(ids))
         keep = scores >= self.floor
         if len(scores) > self.k and np.count_nonzero(keep) > 4 * self.k * len(self.floor):
-            scores, ids, keep = self._narrowed(scores, ids)
+            by_id = np.argsort(ids, kind="stable")
+            scores, ids, places = scores[by_id], ids[by_id], places[by_id]
+            keep = self._narrowed(scores)
         row, question = np.nonzero(keep)
         if len(row) == 0:
             return
         self.question = np.concatenate([self.question, question])
         self.score = np.concatenate([self.score, scores[row, question]])
         self.id = np.concatenate([self.id, ids[row]])
+        self.at = np.concatenate([self.at, places[row]])
         self._prune()
 
-    def _narrowed(self, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """At most ``2k`` candidates per question.
+    def _narrowed(self, scores: np.ndarray) -> np.ndarray:
+        """Which points, in order of their ids, are candidates: at most ``2k`` per question.
 
         All points above the k-th best score here, and of those that tie with it, maybe
         very many copies, the ``k`` smallest ids.
         """
-        by_id = np.argsort(ids, kind="stable")
-        scores, ids = scores[by_id], ids[by_id]
         kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
         floor = np.maximum(self.floor, kth)
         tied = scores == floor
-        return scores, ids, (scores > floor) | (tied & (np.cumsum(tied, axis=0, dtype=np.int32) <= self.k))
+        return (scores > floor) | (tied & (np.cumsum(tied, axis=0, dtype=np.int32) <= self.k))
 
     def _prune(self) -> None:
         order = np.argsort(self.id, kind="stable")
@@ -86,7 +92,7 @@ class _Best:
         first = np.searchsorted(question, question, side="left")
         place = np.arange(len(question)) - first
         order = order[place < self.k]
-        self.question, self.score, self.id = self.question[order], self.score[order], self.id[order]
+        self.question, self.score, self.id, self.at = self.question[order], self.score[order], self.id[order], self.at[order]
         full = place == self.k - 1
         self.floor[question[full]] = self.score[np.searchsorted(self.question, question[full], "right") - 1]
 
@@ -100,9 +106,10 @@ def top_k(
     question_vector: str = "vector",
     point_id: str = "id",
     point_vector: str = "vector",
+    carried: tuple[str, ...] = (),
     split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
-    """``(question_id, rank, point_id, score)`` of the ``k`` nearest points, best first.
+    """``(question_id, rank, point_id, score, *carried)`` of the ``k`` nearest points, best first.
 
     Ties go to the smaller point id.  There is no score threshold and no filter; a
     filter on ``index`` before the call reaches its scan.  The questions are packed and written when
@@ -118,51 +125,57 @@ def top_k(
     if width["least"] != width["most"] or width["most"] == -1:
         raise ValueError(f"a vector does not have {width['most']} elements like the others")
     size = width["most"] or 0
-    points = packed(index.select(F.col(point_id).alias("ids"), F.col(point_vector).alias("vector")), "vector")
+    points = packed(index.select(F.col(point_id).alias("ids"), *carried, F.col(point_vector).alias("vector")), "vector")
     near = meet(
         asked,
         points,
         split_count(index.count(), size, split_bytes),
-        _nearest(k, size, question_id, point_id, to_arrow_type(index.schema[point_id].dataType)),
+        _nearest(k, size, question_id, point_id, to_arrow_type(index.schema[point_id].dataType), carried),
         T.StructType(
             [
                 T.StructField(question_id, questions.schema[question_id].dataType),
                 T.StructField(point_id, index.schema[point_id].dataType),
                 T.StructField("score", T.DoubleType()),
+                *(index.schema[c] for c in carried),
             ]
         ),
     )
     # Spark keeps k rows a question in each task before it shuffles them, and again afterwards.
     order = Window.partitionBy(question_id).orderBy(F.col("score").desc(), F.col(point_id))
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(question_id, "rank", point_id, "score")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(question_id, "rank", point_id, "score", *carried)
 
 
-def _nearest(k: int, width: int, question_id: str, point_id: str, point_type: pa.DataType):
+def _nearest(k: int, width: int, question_id: str, point_id: str, point_type: pa.DataType, carried: tuple[str, ...]):
     def work(meetings: Iterator[tuple[int, list[Block], Block]]) -> Iterator[pa.RecordBatch]:
         floors: dict[int, np.ndarray] = {}
-        carried = 0
-        last, names, matrix = None, [], []
+        size = 0
+        last, names, matrix, more = None, [], [], {}
         for split, blocks, asked in meetings:
             if split != last:
                 last = split
                 names = [b.column("ids").to_numpy(zero_copy_only=False) for b in blocks]
                 matrix = [_of_width(b, width) for b in blocks]
+                more = {c: pa.concat_arrays([b.column(c) for b in blocks]) for c in carried}
             best = _Best(floors.get(asked.number, np.full(asked.n, -np.inf)), k)
             unit = _of_width(asked, width)
             step = max(k + 1, _SCORE_CELLS // asked.n)
+            before = 0
             for ids, block in zip(names, matrix, strict=True):
                 for at in range(0, len(ids), step):
-                    best.add(np.round(block[at : at + step] @ unit.T, SCORE_DECIMALS), ids[at : at + step])
-            if asked.number in floors or carried + best.floor.nbytes <= _CARRIED_BYTES:
-                carried += 0 if asked.number in floors else best.floor.nbytes
+                    scores = np.round(block[at : at + step] @ unit.T, SCORE_DECIMALS)
+                    best.add(scores, ids[at : at + step], before + at)
+                before += len(ids)
+            if asked.number in floors or size + best.floor.nbytes <= _CARRIED_BYTES:
+                size += 0 if asked.number in floors else best.floor.nbytes
                 floors[asked.number] = best.floor
             yield pa.RecordBatch.from_arrays(
                 [
                     asked.column("ids").take(pa.array(best.question)),
                     pa.array(best.id, type=point_type),
                     pa.array(best.score, type=pa.float64()),
+                    *(column.take(pa.array(best.at)) for column in more.values()),
                 ],
-                names=[question_id, point_id, "score"],
+                names=[question_id, point_id, "score", *more],
             )
 
     return work

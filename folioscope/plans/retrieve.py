@@ -37,16 +37,20 @@ class Retriever:
     renumber: bool = False
     #: Makes a reranking client, which then scores instead of ``scorer``.
     make_reranker: Callable[[], object] | None = None
-    #: Narrows the points to those that may hold given ids, for an index of many data files.
-    lookup: Callable[[DataFrame], DataFrame] | None = None
+    #: Where ``points`` are located ones of a collection.
+    collection: Collection | None = None
 
     def retrieve(self, questions: DataFrame) -> DataFrame:
         """Documents of each question of ``(question_id, question)``, in order of ``position``."""
         asked = questions.select(
             "question_id", embed_column(self.make_embedder, F.col("question")).alias("vector")
         )
-        hits = stored(top_k(asked, self.points, self.k), "hits")
-        found = self.points if self.lookup is None else self.lookup(hits)
+        if self.collection is None:
+            hits, found = stored(top_k(asked, self.points, self.k), "hits"), self.points
+        else:
+            # Hits know their data files, and only these are read for the payloads.
+            located = stored(top_k(asked, self.points, self.k, carried=("_file",)), "hits")
+            hits, found = located.drop("_file"), self.collection.points_in(located)
         documents = cited_documents(hits, found, self.citation, self.strict_keys)
         if self.top_n is None:
             return in_search_order(documents)
@@ -65,7 +69,7 @@ class Retriever:
 def _over(collection: Collection, make_embedder: Callable[[], Embedder] | None, **options) -> Retriever:
     size = collection.require().vector_size
     make_embedder = make_embedder or (lambda: HashingEmbedder(size))
-    return Retriever(collection.points(), make_embedder, lookup=collection.lookup, **options)
+    return Retriever(collection.located_points(), make_embedder, collection=collection, **options)
 
 
 def naive_retriever(

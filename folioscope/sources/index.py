@@ -4,22 +4,25 @@ Layout below ``path``::
 
     properties/            one row: collection, vector size, metric
     manifest/ingest=N/     files chosen for ingest N
-    points/ingest=N/       their points
+    points/ingest=N/       the data files that commit N added
+    entries/ingest=N/      their payload index: which data file has which value, and its range of ids
+    removed/ingest=N/      data files that commit N replaced
     files/ingest=N/        ledger: one row per file
     commits/ingest=N/      one row, written last
 
-An ingest counts once its commit is written.  Until then readers skip its points and
-ledger, and a rerun takes the same number and overwrites them, so a job that died
-half-way leaves neither duplicates nor gaps.  One writer at a time is assumed.
+A commit counts once its row is written.  Until then readers skip what it wrote, and a rerun takes
+the same number and overwrites it, so a job that died half-way leaves neither duplicates nor gaps.
+A reader of an earlier commit sees the data files of that time, as none is ever changed: an upsert
+copies those that hold replaced points.  One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from urllib.parse import unquote
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope import constants as C
@@ -27,20 +30,20 @@ from folioscope.functions.payload import matches_all
 from folioscope.functions.vectors import checked_size
 from folioscope.operators.chunking import chunk_lengths
 from folioscope.schemas import PAYLOAD, POINT, VECTOR
+from folioscope.session import stored
 
 #: Distinct files per row group that the Bloom filters are sized for: about the number
 #: of chunks of full length that a row group of 128 MB holds.
 ROW_GROUP_FILES = 10_000
 
-#: With fewer data files than this, finding the right ones is no gain over reading them all.
-LOOKUP_MIN_FILES = 64
-
-#: A lookup that needs more data files than this reads the whole index.
-LOOKUP_MAX_FILES = 1000
-
 MANIFEST_SCHEMA = "path string, file_name string, file_hash string"
 PROPERTIES_SCHEMA = "collection string, vector_size int, metric string"
-COMMIT_SCHEMA = "committed boolean, ingest int"
+COMMIT_SCHEMA = "kind string, ingest int"
+#: ``n`` points of a data file have ``value`` in ``field``; their ids lie within the range.  The rows of
+#: ``ALL_POINTS`` tell the same of a file's points altogether.
+ENTRY_SCHEMA = "field string, value string, file string, n long, first_id string, last_id string, ingest int"
+REMOVED_SCHEMA = "file string, ingest int"
+ALL_POINTS = "*"
 LEDGER_SCHEMA = (
     "file_hash string, file_name string, path string, n_chunks long, min_length int, "
     "max_length int, median_length int, ingest int"
@@ -94,45 +97,127 @@ class Collection:
         ).write.mode("overwrite").parquet(self._table("properties"))
         return self
 
-    def files(self) -> DataFrame:
-        """The ledger: every file of a finished ingest, also those without any text."""
-        return self._finished("files", LEDGER_SCHEMA)
+    def commits(self) -> dict[int, str]:
+        """The numbers of all commits, and what each was."""
+        rows = self._read("commits", COMMIT_SCHEMA).collect()
+        return {row["ingest"]: row["kind"] or "ingest" for row in rows}
 
     def last_ingest(self) -> int:
-        return self._read("commits", COMMIT_SCHEMA).agg(F.coalesce(F.max("ingest"), F.lit(0))).first()[0]
+        return max(self.commits(), default=0)
 
-    def _finished(self, table: str, schema: str) -> DataFrame:
-        """Rows of finished ingests; unfinished ones are pruned as partitions."""
-        return self._read(table, schema).where(F.col("ingest") <= self.last_ingest())
+    def files(self) -> DataFrame:
+        """The ledger: every file of a finished ingest, also those without any text."""
+        ingests = [n for n, kind in self.commits().items() if kind == "ingest"]
+        return self._read("files", LEDGER_SCHEMA).where(F.col("ingest").isin(ingests))
+
+    def _live(self, table: str, schema: str, file: Column, version: int | None, commits: dict[int, str] | None = None) -> DataFrame:
+        """Rows of a table of data files as of a commit; later and unfinished ones are pruned as
+        partitions, and replaced files by their names."""
+        commits = self.commits() if commits is None else commits
+        version = max(commits, default=0) if version is None else version
+        seen = [n for n in commits if n <= version]
+        rows = self._read(table, schema).where(F.col("ingest").isin(seen))
+        rewrites = [n for n in seen if commits[n] == "upsert"]
+        if not rewrites:
+            return rows
+        removed = self._read("removed", REMOVED_SCHEMA).where(F.col("ingest").isin(rewrites))
+        return rows.where(~file.isin([row["file"] for row in removed.select("file").collect()]))
+
+    def points(self, version: int | None = None) -> DataFrame:
+        """``(id, vector, payload)`` of every point, as of the latest or an earlier commit."""
+        return self._live("points", POINTS_SCHEMA, F.col("_metadata.file_name"), version).drop("ingest")
+
+    def located_points(self, version: int | None = None) -> DataFrame:
+        """Points with ``_file``, the data file that holds each."""
+        commits, name = self.commits(), F.col("_metadata.file_name")
+        if not commits:
+            return self.points(version).withColumn("_file", F.lit(""))
+        rows = self._live("points", POINTS_SCHEMA, name, version, commits)
+        return rows.select("id", "vector", "payload", F.concat(F.lit("ingest="), "ingest", F.lit("/"), name).alias("_file"))
+
+    def points_in(self, files: DataFrame) -> DataFrame:
+        """The points of the data files named in ``_file``; no other file is opened."""
+        return self._of_files([row["_file"] for row in files.select("_file").distinct().collect()])
+
+    def _of_files(self, names: list[str]) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], POINT)
+        return self.spark.read.schema(POINT).parquet(*(f"{self._table('points')}/{name}" for name in sorted(names)))
 
-    def points(self) -> DataFrame:
-        """``(id, vector, payload)`` of every point."""
-        return self._finished("points", POINTS_SCHEMA).drop("ingest")
+    def entries(self, version: int | None = None) -> DataFrame:
+        """The payload index of the live data files."""
+        return self._live("entries", ENTRY_SCHEMA, F.col("file"), version)
 
-    def lookup(self, ids: DataFrame, max_files: int = LOOKUP_MAX_FILES) -> DataFrame:
-        """Points that include all those whose ``id`` occurs in ``ids``, for a join on the id.
+    def files_with(self, terms: dict[str, str] | None = None, version: int | None = None) -> DataFrame:
+        """``(_file, n, first_id, last_id)`` of the data files that may hold points with all ``terms``.
 
-        A first pass reads only the id column and finds the data files that hold the
-        ids.  Where these are few, only they are read for the payloads, rather than the
-        texts of the whole index.
+        The file sets of the terms are intersected; ``n`` is the most points that a file can have, and
+        exact for one term or none.
         """
-        held = self._finished("points", POINTS_SCHEMA).select("id", F.col("_metadata.file_path").alias("_file"))
-        files = held.join(ids.select("id"), "id", "left_semi").select("_file").distinct()
-        paths = [unquote(row["_file"]) for row in files.limit(max_files + 1).collect()]
-        if len(paths) > max_files:
-            return self.points()
-        if not paths:
-            return self.spark.createDataFrame([], POINT)
-        return self.spark.read.schema(POINT).parquet(*paths)
-
-    def scroll(self, terms: dict[str, str] | None = None, limit: int = 10) -> DataFrame:
-        """The first ``limit`` points by id that match all keyword ``terms``."""
-        return (
-            self.points()
-            .where(matches_all(F.col("payload"), terms or {}))
-            .orderBy("id")
-            .limit(limit)
-        )
+        wanted = list((terms or {ALL_POINTS: ""}).items())
+        unknown = set(terms or {}) - set(C.KEYWORD_FIELDS)
+        if unknown:
+            raise ValueError(f"no payload index on {sorted(unknown)}")
+        either = reduce(Column.__or__, ((F.col("field") == f) & (F.col("value") == v) for f, v in wanted))
+        file = F.concat_ws("/", F.concat(F.lit("ingest="), "ingest"), "file").alias("_file")
+        found = self.entries(version).where(either).groupBy(file)
+        met = found.agg(F.count(F.lit(1)).alias("_terms"), F.min("n").alias("n"), F.max("first_id").alias("first_id"), F.min("last_id").alias("last_id"))
+        return met.where(F.col("_terms") == len(wanted)).drop("_terms")
+
+    def has(self, terms: dict[str, str], version: int | None = None) -> bool:
+        """Whether any point has all ``terms``; one term is answered by the payload index alone."""
+        files = self.files_with(terms, version)
+        if len(terms) == 1:
+            return not files.isEmpty()
+        return not self.points_in(files).where(matches_all(F.col("payload"), terms)).isEmpty()
+
+    def scroll(
+        self, terms: dict[str, str] | None = None, limit: int = 10, after: str | None = None, version: int | None = None
+    ) -> DataFrame:
+        """The first ``limit`` points by id, behind the id ``after``, that match all keyword ``terms``.
+
+        The payload index tells the files to look at.  Ids and keywords of these give the last id of the
+        page and the files that hold it, and only their points of that range are read in whole.
+        """
+        files = self.files_with(terms, version).collect()
+        if after is not None:
+            files = [f for f in files if f["last_id"] > after]
+        if len(terms or {}) <= 1:
+            # Behind the last id of files that hold enough points between them, no file need be opened.
+            enough, end = 0, None
+            for file in sorted(files, key=lambda f: f["last_id"]):
+                enough += file["n"] if after is None or file["first_id"] > after else 0
+                if enough >= limit:
+                    end = file["last_id"]
+                    break
+            files = [f for f in files if end is None or f["first_id"] <= end]
+        matching = matches_all(F.col("payload"), terms or {})
+        if after is not None:
+            matching = matching & (F.col("id") > after)
+        names = [f["_file"] for f in files]
+        if not names:
+            return self._of_files([])
+        name = F.concat(F.lit("ingest="), F.regexp_extract("_metadata.file_path", "ingest=([0-9]+)/[^/]*$", 1), F.lit("/"), F.col("_metadata.file_name"))
+        page = self._of_files(names).where(matching).select("id", name.alias("_file")).orderBy("id").limit(limit)
+        found = page.agg(F.max("id").alias("last"), F.collect_set("_file").alias("files")).first()
+        within = matching & (F.col("id") <= F.lit(found["last"]))
+        return self._of_files(found["files"]).where(within).orderBy("id").limit(limit)
+
+    def pages(self, size: int, version: int | None = None) -> DataFrame:
+        """``(page, first_id, last_id, n)`` of all pages of ``size`` points in order of ids, so that readers
+        can scroll any page: it starts behind the last id of the one before.
+
+        Ids are sorted by range and counted per part, so no task sees them all.
+        """
+        ids = self.points(version).select("id").repartitionByRange("id").sortWithinPartitions("id")
+        placed = stored(ids.withColumn("_place", F.monotonically_increasing_id()), "pages")
+        part = F.shiftright("_place", 33)
+        counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+        # One row per part.
+        starts = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+        at = F.col("_before") + F.col("_place") - F.col("_first")
+        numbered = placed.join(starts, part == F.col("_part")).select("id", F.call_function("div", at, F.lit(size)).alias("page"))
+        return numbered.groupBy("page").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n"))
 
     def contains_file(self, file_hash: str) -> bool:
         return not self.files().where(F.col("file_hash") == file_hash).limit(1).isEmpty()
@@ -179,10 +264,56 @@ class Collection:
             .write.mode("overwrite")
             .parquet(target)
         )
-        commit = self.spark.range(1, numPartitions=1).select(F.lit(True).alias("committed"))
-        commit.write.mode("overwrite").parquet(f"{self._table('commits')}/ingest={ingest}")
+        self._write_entries(ingest)
+        self._commit(ingest, "ingest")
         return self.spark.read.parquet(target)
 
+    def _write_entries(self, ingest: int) -> None:
+        """Write the payload index of the data files of a commit."""
+        points = self.spark.read.schema(POINT).parquet(f"{self._table('points')}/ingest={ingest}")
+        every = F.struct(F.lit(ALL_POINTS).alias("field"), F.lit("").alias("value"))
+        fields = (F.struct(F.lit(f).alias("field"), F.col(f"payload.{f}").alias("value")) for f in C.KEYWORD_FIELDS)
+        held = points.select("id", F.col("_metadata.file_name").alias("file"), F.inline(F.array(every, *fields)))
+        entries = held.where(F.col("value").isNotNull()).groupBy("field", "value", "file")
+        found = entries.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+        # In order, so that a lookup skips row groups and pages.
+        found.sortWithinPartitions("field", "value").write.mode("overwrite").parquet(f"{self._table('entries')}/ingest={ingest}")
+
+    def _commit(self, ingest: int, kind: str) -> None:
+        row = self.spark.range(1, numPartitions=1).select(F.lit(kind).alias("kind"))
+        row.write.mode("overwrite").parquet(f"{self._table('commits')}/ingest={ingest}")
+
+    def upsert(self, points: DataFrame, version: Column | None = None) -> int:
+        """Write points ``(id, vector, payload)``, in place of those with the same ids; returns the commit.
+
+        Of incoming points with one id the latest counts, as in ``keep_latest``.  Data files that hold
+        replaced points are copied without these, all others stay as they are, and readers of earlier
+        commits go on seeing the old files.
+        """
+        self.require()
+        commits = self.commits()
+        number = max(commits, default=0) + 1
+        latest = stored(latest_rows(points, "id", version).select("id", "vector", "payload"), "upsert")
+        touched = self.located_points().select("id", "_file").join(latest.select("id"), "id", "left_semi")
+        names = [row["_file"] for row in touched.select("_file").distinct().collect()]
+        kept = self._of_files(names).join(latest.select("id"), "id", "left_anti")
+        # By ranges of ids, so that the files to copy next time, or to scroll, are few.
+        self.write_points(kept.unionByName(latest).repartitionByRange("id"), number)
+        gone = self.spark.createDataFrame([(name.split("/")[-1],) for name in names], "file string")
+        gone.coalesce(1).write.mode("overwrite").parquet(f"{self._table('removed')}/ingest={number}")
+        self._write_entries(number)
+        self._commit(number, "upsert")
+        return number
+
+
+def latest_rows(incoming: DataFrame, key: str = "id", version: Column | None = None) -> DataFrame:
+    """One row per key: that with the largest ``version``, or without one the largest row by its columns."""
+    row = F.struct(*incoming.columns)
+    latest = incoming.groupBy(F.col(key).alias("_key")).agg(
+        F.max_by(row, F.struct(version, row) if version is not None else row).alias("_row")
+    )
+    return latest.select("_row.*")
+
 
 def keep_latest(
     existing: DataFrame, incoming: DataFrame, key: str = "id", version: Column | None = None
@@ -192,11 +323,7 @@ def keep_latest(
     Of incoming rows with one key, the one with the largest ``version`` stays (without a version, the
     largest row by its columns in order), whatever the order in which they arrive.
     """
-    row = F.struct(*incoming.columns)
-    latest = incoming.groupBy(F.col(key).alias("_key")).agg(
-        F.max_by(row, F.struct(version, row) if version is not None else row).alias("_row")
-    )
-    latest = latest.select("_row.*")
+    latest = latest_rows(incoming, key, version)
     return existing.join(latest.select(key), key, "left_anti").unionByName(latest)
 
 
@@ -224,9 +351,9 @@ def sample_files(points: DataFrame, file_name: str = "payload.file_name", order:
 def collection_status(collection: Collection | None) -> str | DataFrame:
     """What a user sees about the connection: a message, or counts and sample file names."""
     if collection is None:
-        return "Database connection not configured"
+        return "No index is set up"
     if not collection.exists():
-        return f"Collection '{collection.name}' not found in database"
+        return f"There is no collection '{collection.name}'"
     points = collection.points()
     # Both sides have one row.
     return (

@@ -126,12 +126,13 @@ def test_missing_collection_is_refused(spark):
         naive_retriever(Collection(spark, fresh_folder(spark, "test-missing")))
 
 
-def test_lookup_by_file_gives_the_same_documents(collection, questions, monkeypatch):
-    from folioscope.plans import retrieve
+def test_payloads_come_from_the_files_of_the_hits(collection, questions):
+    from folioscope.plans.retrieve import Retriever
 
-    whole = sorted(map(str, naive_retriever(collection).retrieve(questions).collect()))
-    monkeypatch.setattr(retrieve, "LOOKUP_MIN_FILES", 0)
-    assert sorted(map(str, naive_retriever(collection).retrieve(questions).collect())) == whole
+    retriever = naive_retriever(collection)
+    whole = Retriever(collection.points(), retriever.make_embedder)
+    found = sorted(map(str, retriever.retrieve(questions).collect()))
+    assert found == sorted(map(str, whole.retrieve(questions).collect()))
 
 
 def test_chat_prompts(collection, spark):

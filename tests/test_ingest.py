@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from folioscope.models.hashing import HashingEmbedder
 from folioscope.operators.files import new_files
 from folioscope.plans.ingest import build_points, file_chunks, ingest
+from folioscope.schemas import PAYLOAD
 from folioscope.session import fresh_folder
 from folioscope.sources.files import (
     file_text,
@@ -176,30 +177,117 @@ def test_collection_checks(spark, folder):
 def test_scroll_filter_is_pushed_down(spark, folder, capsys):
     c = collection(spark)
     ingest(scan_folder(spark, folder), c, text_parser)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
     found = c.scroll({"file_name": "A.PDF", "page_number": "2"})
     assert [r["payload"]["text"] for r in found.collect()] == ["second page, with more words"]
     assert c.scroll(limit=2).count() == 2
     found.explain()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     plan = capsys.readouterr().out
-    assert "EqualTo(payload.file_name,A.PDF)" in plan and "TakeOrderedAndProject" in plan
+    assert "LessThanOrEqual(id," in plan and "EqualTo(payload.file_name,A.PDF)" in plan and "TakeOrderedAndProject" in plan
 
 
-def test_lookup_reads_only_the_files_that_hold_the_ids(spark, folder):
+def test_only_the_files_of_the_hits_are_read(spark, folder):
     c = collection(spark)
     ingest(scan_folder(spark, folder), c, text_parser)
-    wanted = c.points().orderBy("id").limit(1).select("id")
-    found = c.lookup(wanted)
+    wanted = c.located_points().orderBy("id").limit(1).select("id", "_file")
+    found = c.points_in(wanted)
     assert found.join(wanted, "id").count() == 1
     assert len(found.inputFiles()) == 1
-    assert sorted(c.lookup(c.points(), max_files=0).inputFiles()) == sorted(c.points().inputFiles())
-    assert c.lookup(wanted.where(F.lit(False))).count() == 0
+    assert sorted(c.points_in(c.located_points()).inputFiles()) == sorted(c.points().inputFiles())
+    assert c.points_in(wanted.where(F.lit(False))).count() == 0
 
 
-def test_lookup_in_a_folder_with_odd_characters(spark, folder, tmp_path):
+def test_files_in_a_folder_with_odd_characters(spark, folder, tmp_path):
     c = Collection(spark, str(tmp_path / "100% of ü"), "my docs", vector_size=16)
     ingest(scan_folder(spark, folder), c, text_parser)
-    wanted = c.points().select("id")
-    assert c.lookup(wanted).join(wanted, "id").count() == 3
+    wanted = c.located_points()
+    assert c.points_in(wanted).join(wanted, "id").count() == 3
+    assert c.scroll({"page_number": "1"}, limit=5).count() == c.points().where("payload.page_number = '1'").count() > 0
+    assert c.scroll(limit=5).count() == 3
+    c.upsert(c.points().limit(1).withColumn("payload", F.col("payload").withField("keywords", F.lit("new"))))
+    assert c.points().count() == 3 and c.has({"keywords": "new"})
+
+
+@pytest.fixture
+def several_files(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def many_points(spark, n):
+    return spark.range(n).selectExpr(
+        "format_string('%05d', id) AS id", "array_repeat(float(id), 16) AS vector",
+        f"named_struct('file_name', 'f' || id % 7, 'file_hash', 'h' || id % 7, 'file_title', null, 'authors', if(id % 2 = 0, 'even', null), 'keywords', null, "
+        "'creation_date', null, 'page_number', string(id div 100), 'text', 'text ' || id, 'summary', '') AS payload",
+    ).select("id", "vector", F.col("payload").cast(PAYLOAD).alias("payload"))
+
+
+def test_upsert_is_seen_and_earlier_commits_stay(spark, several_files):
+    c = collection(spark).create_if_absent()
+    first = c.upsert(many_points(spark, 300).repartition(4))
+    before = sorted(map(str, c.points().collect()))
+    new = many_points(spark, 320).where("id in ('00010', '00310', '00319')").withColumn("payload", F.col("payload").withField("keywords", F.lit("changed")))
+    older = new.withColumn("payload", F.col("payload").withField("keywords", F.lit("stale")))
+    arrived = older.withColumn("v", F.lit(1)).unionAll(new.withColumn("v", F.lit(2))).unionAll(new.withColumn("v", F.lit(0)))
+    files = set(c.points().inputFiles())
+    second = c.upsert(arrived, F.col("v"))
+    assert (first, second) == (1, 2)
+    rows = {r["id"]: r["payload"]["keywords"] for r in c.points().collect()}
+    assert len(rows) == 302 and {i for i, k in rows.items() if k} == {"00010", "00310", "00319"} and rows["00010"] == "changed"
+    assert sorted(map(str, c.points(version=1).collect())) == before
+    # Only the file of the replaced point was copied.
+    assert c._read("removed", "file string, ingest int").count() == 1 and len(files) > 4
+    assert c.entries().where("field = '*'").agg(F.sum("n")).first()[0] == 302
+    assert c.has({"keywords": "changed"}) and not c.has({"keywords": "changed"}, version=1) and not c.has({"keywords": "stale"})
+    assert c.files().count() == 0 and c.last_ingest() == 2
+
+
+def test_a_died_upsert_is_invisible_and_then_replaced(spark, folder):
+    c = collection(spark).create_if_absent()
+    c.upsert(many_points(spark, 50))
+
+    class Dying(Collection):
+        def _commit(self, *args):
+            raise RuntimeError("lost before the commit")
+
+    with pytest.raises(RuntimeError):
+        Dying(spark, c.path, c.name, c.vector_size).upsert(many_points(spark, 60))
+    assert c.points().count() == 50
+    # An ingest takes the same number; what the upsert had removed is not looked at.
+    ingest(scan_folder(spark, folder), c, text_parser)
+    assert c.last_ingest() == 2 and c.points().count() == 53 and c.files().count() == 3
+
+
+def test_scroll_walks_all_pages(spark, several_files):
+    c = collection(spark).create_if_absent()
+    c.upsert(many_points(spark, 200).repartition(5))
+    c.upsert(many_points(spark, 230).where("id >= 190"))
+    for terms, expected in [(None, 230), ({"file_name": "f3"}, 33), ({"file_name": "f3", "authors": "even"}, 16), ({"authors": "odd"}, 0)]:
+        walked, after = [], None
+        while page := [r["id"] for r in c.scroll(terms, 20, after).collect()]:
+            assert len(page) <= 20
+            walked += page
+            after = page[-1]
+        assert walked == sorted(set(walked)) and len(walked) == expected
+    pages = c.pages(20).orderBy("page").collect()
+    assert [p["n"] for p in pages] == [20] * 11 + [10]
+    assert [r["id"] for r in c.scroll(None, 20, pages[3]["last_id"]).collect()][0] == pages[4]["first_id"]
+    # The first page lies in one data file.
+    assert len(c.scroll(limit=5).inputFiles()) == 1
+
+
+def test_payload_index_intersects_files(spark, several_files):
+    c = collection(spark).create_if_absent()
+    c.upsert(many_points(spark, 400).repartition(4))
+    every = c.files_with().count()
+    assert c.files_with({"page_number": "1"}).count() < every and c.files_with({"file_name": "f1"}).count() == every > 4
+    assert c.files_with({"page_number": "1", "file_name": "f1"}).count() == c.files_with({"page_number": "1"}).count()
+    assert c.files_with({"page_number": "9"}).count() == 0 and not c.has({"page_number": "9"})
+    assert c.has({"page_number": "1", "file_name": "f1"}) and not c.has({"file_hash": "h1", "file_name": "f2"})
+    with pytest.raises(ValueError, match="no payload index"):
+        c.files_with({"text": "x"})
 
 
 def test_wrong_vector_size_is_refused(spark, folder):
