@@ -548,6 +548,41 @@ UNION ALL SELECT conv_id, p.page + 1, page_text FROM pages p JOIN asked a USING
   coalesce(page_content, '') AS text
 FROM session_questions o LEFT JOIN best b ON b.question_id = o.question_id AND position = 1"""
 
+    values = {"context": "answer", "chat_history": "history", "question": "question"}
+    sql["replayed_chat"] = _with(
+        *_POINTS,
+        "session_questions AS (SELECT conv_id || '-' || turn AS question_id, conv_id, turn, text AS question FROM conversations WHERE role = 'user')",
+        *_hits(1, "session_questions"),
+        _DOCUMENTS,
+        """replies AS (
+  SELECT s.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, coalesce(page_content, '') AS answer
+  FROM session_questions s LEFT JOIN found USING (question_id))""",
+        """remembered AS (
+  SELECT *, coalesce(string_agg(chr(10) || 'Human: ' || question || chr(10) || 'Assistant: ' || answer, '')
+    OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history FROM replies)""",
+    ) + f"SELECT conv_id, turn, n AS question_number, sha256({_prompt(C.PROMPT_DEFAULT, values)}) AS prompt_hash, answer FROM remembered"
+    sql["stored_calls"] = """WITH seen AS (
+  SELECT 'documents' AS source, text, 1 AS turn FROM documents UNION ALL SELECT 'conversations', text, 2 FROM conversations)
+SELECT source, count(text) AS n_vectors, count(DISTINCT text) AS n_distinct,
+  (SELECT count(DISTINCT text) FROM seen b WHERE b.turn <= a.turn) AS calls,
+  (SELECT count(DISTINCT text) FROM seen b WHERE b.turn <= a.turn) AS calls_after_rerun
+FROM seen a GROUP BY source, a.turn"""
+    judged = _with(
+        *_RERANKED,
+        "answered AS (SELECT q.question_id, q.question, coalesce(page_content, '') AS answer FROM questions q LEFT JOIN best b ON b.question_id = q.question_id AND position = 1)",
+        f"""stated AS (
+  SELECT question_id, question, list_filter(list_transform(string_split(answer, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS statements FROM answered)""",
+        f"""verdicts AS (
+  SELECT *, list_avg(list_transform(statements, lambda x: (len(list_intersect({_words('question')}, {_words('x')})) > 0)::INT)) AS score FROM stated)""",
+        "judged AS (SELECT *, coalesce(score >= 0.5, FALSE) AS success FROM verdicts)",
+    )
+    sql["judge_answers"] = judged + """SELECT question_id, round(score, 6) AS score, success, len(statements)::INT AS n_statements,
+  array_to_string(statements, chr(10)) AS statements FROM judged"""
+    sql["judge_mean"] = judged + """SELECT round(avg(score), 6) AS mean_score, count(*) FILTER (WHERE success) AS n_success, count(*) AS n_questions FROM judged"""
+    renumbered = "'[Source: ' || source || ', page ' || page || ']' || chr(10) || text AS page_content"
+    sql["reranked_renumbered"] = _with(*_RERANKED) + (
+        f"SELECT * REPLACE ('[' || position || ']' AS reference_number) FROM (SELECT {_RETRIEVED.removesuffix('page_content')} {renumbered} FROM best)"
+    )
     sql["eval_dataset"] = _with(*_EVALUATION) + """SELECT e.question_id, question, answer, ground_truth,
   (position - 1)::INT AS context_index, page_content AS context
 FROM evaluation e LEFT JOIN found USING (question_id)"""

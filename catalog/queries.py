@@ -20,15 +20,19 @@ from folioscope.functions import payload as payload_fn
 from folioscope.functions import text as text_fn
 from folioscope.functions.judge import chat_content, embedding_values, parse_reply
 from folioscope.functions.vectors import cosine
+from folioscope.models.calls import CallStore
 from folioscope.models.columns import embed_column, summary_column
 from folioscope.models.hashing import HashingEmbedder
+from folioscope.models.offline import LineJudge
 from folioscope.operators import answers, chat, chunking, evaluation
 from folioscope.operators.files import first_copies, new_files, with_hash
 from folioscope.operators.search import top_k
 from folioscope.plans.answer import answer, chat_prompts, chat_turns as reply_to_open_questions, whole_prompts
-from folioscope.plans.evaluate import correctness_scores, evaluation_table, faithfulness_scores, judged_scores, relevancy_scores
+from folioscope.plans.evaluate import correctness_scores, evaluation_table, faithfulness_scores, judge_relevancy, judged_scores, relevancy_scores
 from folioscope.plans.ingest import build_points, file_chunks, ingest
+from folioscope.plans.replay import replay
 from folioscope.plans.retrieve import Retriever, naive_retriever, reranked_retriever, text_retriever
+from folioscope.schemas import VECTOR
 from folioscope.session import fresh_folder, stored, work_folder
 from folioscope.sources.files import file_text, read_questions, scan_folder, text_parser
 from folioscope.sources.index import ALL_POINTS, Collection, collection_report, keep_latest, sample_files
@@ -642,6 +646,31 @@ def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_to_open_questions(messages(spark, sf_dir), retriever, session="conv_id")
 
 
+@query
+def replayed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions of all conversations, each prompt with the replies given before it."""
+    retriever = naive_retriever(document_collection(spark, sf_dir), k=1)
+    replies = replay(messages(spark, sf_dir), retriever, session="conv_id")
+    return replies.select("conv_id", "turn", F.col("round").alias("question_number"), F.sha2("prompt", 256).alias("prompt_hash"), "answer")
+
+
+@query
+def stored_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents and messages, distinct ones, and the model calls of a first and a second run."""
+    store = CallStore(spark, fresh_folder(spark, "calls"))
+    texts = {"documents": table(spark, sf_dir, "documents"), "conversations": messages(spark, sf_dir)}
+    rows = None
+    for name, frame in texts.items():
+        counts = []
+        for _ in range(2):
+            found = store.call(frame.select("text"), "text", "hashing", lambda text: embed_column(embedder(), text), "vector")
+            counts.append(store.results("hashing", VECTOR).count())
+        row = found.agg(F.count("vector").alias("n_vectors"), F.count_distinct("text").alias("n_distinct"))
+        row = row.select(F.lit(name).alias("source"), "*", F.lit(counts[0]).alias("calls"), F.lit(counts[1]).alias("calls_after_rerun"))
+        rows = row if rows is None else rows.unionAll(row)
+    return rows
+
+
 # --- evaluation --------------------------------------------------------------
 
 
@@ -667,6 +696,33 @@ def eval_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = questions(spark, sf_dir).withColumn("ground_truth", F.col("question"))
+    answered = evaluation_table(items, reranked_retriever(document_collection(spark, sf_dir)))
+    return judge_relevancy(answered, LineJudge, CallStore(spark, fresh_folder(spark, "judged")), "lines")
+
+
+@query
+def judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's answer judged statement by statement."""
+    judged = _judged(spark, sf_dir).withColumn("n_statements", F.size("statements"))
+    return judged.select("question_id", rounded(F.col("score")).alias("score"), "success", "n_statements", F.array_join("statements", "\n").alias("statements"))
+
+
+@query
+def judge_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).agg(
+        rounded(F.avg("score")).alias("mean_score"), F.count_if("success").alias("n_success"), F.count(F.lit(1)).alias("n_questions")
+    )
+
+
+@query
+def reranked_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reranked documents cited by their new positions, with the source in front."""
+    retriever = reranked_retriever(document_collection(spark, sf_dir), renumber=True, citation="prefix")
+    return _retrieved(retriever, questions(spark, sf_dir))
+
+
 @query
 def answer_relevancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = relevancy_scores(_evaluation(spark, sf_dir), embedder())

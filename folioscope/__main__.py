@@ -1,4 +1,4 @@
-"""Command line: ingest a folder, describe a collection, ask, chat, evaluate.
+"""Command line: ingest a folder, describe a collection, ask, chat, evaluate, judge.
 
 The collection name comes from the configuration file or ``COLLECTION_NAME``.  With
 ``EMBEDDING_API_URL`` set, vectors come from that service; with ``CHAT_API_URL`` and
@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from folioscope.config import Config, load_config, require_env
 from folioscope.functions.text import three_decimals
+from folioscope.models.calls import CallStore
 from folioscope.models.hashing import HashingEmbedder
+from folioscope.models.offline import LineJudge
 from folioscope.models.remote import RemoteEmbedder, answer_model, summary_model
 from folioscope.operators.evaluation import ground_truth, mean_score
 from folioscope.plans.answer import answer, chat_turns
-from folioscope.plans.evaluate import correctness_scores, evaluation_table, faithfulness_scores, relevancy_scores
+from folioscope.plans.evaluate import correctness_scores, evaluation_table, faithfulness_scores, judge_relevancy, relevancy_scores
 from folioscope.plans.ingest import ingest
 from folioscope.plans.retrieve import naive_retriever, reranked_retriever
 from folioscope.session import stored
@@ -61,19 +63,27 @@ def _evaluate(table: DataFrame, make_embedder: Callable) -> DataFrame:
     return reduce(DataFrame.unionByName, means)
 
 
+def _judge(answered: DataFrame, make_judge: Callable, config: Config, store: CallStore) -> DataFrame:
+    """Each answer's statements and score, and the mean over all."""
+    judged = stored(judge_relevancy(answered, make_judge, store, config.model if make_judge is not LineJudge else "lines"), "judged")
+    mean = mean_score(judged).first()["mean_score"]
+    return judged.select("question", "answer", "score", "success", "statements", F.lit(mean).cast("double").alias("mean_score"))
+
+
 def main(arguments: list[str] | None = None, env: Mapping[str, str] | None = None) -> DataFrame | str:
     env = os.environ if env is None else env
     parser = argparse.ArgumentParser(prog="folioscope", description=__doc__.splitlines()[0])
     parser.add_argument("--config", help="YAML configuration file")
     parser.add_argument("--vector-size", type=int, default=Collection.vector_size)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("ingest", "info", "ask", "chat", "evaluate"):
+    for name in ("ingest", "info", "ask", "chat", "evaluate", "judge"):
         commands.add_parser(name).add_argument("index", help="folder of the collections")
     commands.choices["ingest"].add_argument("folder", help="folder of files")
     commands.choices["ingest"].add_argument("--text", action="store_true", help="text files instead of PDF files")
     commands.choices["ask"].add_argument("question", nargs="+")
     commands.choices["chat"].add_argument("messages", help="JSON lines of session_id, turn, role and text")
-    commands.choices["evaluate"].add_argument("questions", help="JSON file of questions and true answers")
+    for name in ("evaluate", "judge"):
+        commands.choices[name].add_argument("questions", help="JSON file of questions and true answers")
     given = parser.parse_args(arguments)
 
     config = load_config(given.config, env)
@@ -103,6 +113,9 @@ def main(arguments: list[str] | None = None, env: Mapping[str, str] | None = Non
     items = ground_truth(read_questions(spark, given.questions)).withColumn(
         "question_id", F.sha2("question", 256)
     )
+    if given.command == "judge":
+        answered = evaluation_table(items, reranked_retriever(collection, embedder), replies)
+        return _judge(answered, replies or LineJudge, config, CallStore(spark, f"{given.index}/model-calls"))
     return _evaluate(evaluation_table(items, naive_retriever(collection, embedder), replies), embedder)
 
 

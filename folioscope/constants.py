@@ -157,3 +157,7 @@ ANSWER:
 MESSAGE_SLOT = "{{MSG}}"
 USER_HTML = '<div class="chat-message user"><div class="message">{{MSG}}</div></div>'
 BOT_HTML = '<div class="chat-message bot"><div class="message">{{MSG}}</div></div>'
+
+#: Messages of a missing connection and of a collection that does not exist.
+NO_CONNECTION = "Database connection not configured"
+NO_COLLECTION = "Collection '{name}' not found in database"

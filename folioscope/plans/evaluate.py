@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.judge import parse_reply
 from folioscope.functions.text import distinct_words, nonblank_lines, words
 from folioscope.functions.vectors import cosine
+from folioscope.models.calls import CallStore
 from folioscope.models.columns import Embedder, TextModel, complete_column, embed_column
 from folioscope.operators.evaluation import answer_correctness, answer_relevancy, faithfulness, word_f1
 from folioscope.plans.answer import answer
+from folioscope.plans.replay import replay
 from folioscope.plans.retrieve import Retriever
+from folioscope.session import stored
 
 
 def evaluation_table(
@@ -22,12 +25,58 @@ def evaluation_table(
     """``(question_id, question, answer, contexts, ground_truth)`` of every item.
 
     Every question is answered by itself, without the history of the earlier ones, so
-    the result does not depend on the order of the items.
+    the result does not depend on the order of the items; ``remembering_table`` carries them along.
     """
     answered = answer(items, retriever, make_model)
     return answered.select("question_id", "question", "answer", "contexts", "ground_truth")
 
 
+def remembering_table(
+    items: DataFrame, retriever: Retriever, make_model: Callable[[], TextModel] | None = None, order: str = "question_id"
+) -> DataFrame:
+    """``(question_id, question, prompt, answer, ground_truth)`` of items that are asked one after the
+    other in one session, each with the earlier questions and answers in its prompt.
+
+    One session means one round per item, as each needs the answers before it.
+    """
+    asked = items.select(
+        F.lit("evaluation").alias("session_id"), F.col(order).alias("turn"), F.lit("user").alias("role"), F.col("question").alias("text")
+    )
+    replies = replay(asked, retriever, make_model).select(F.col("turn").alias(order), "prompt", "answer")
+    return items.join(replies, order).select("question_id", "question", "prompt", "answer", "ground_truth")
+
+
+#: Tasks of a judge; a JSON object with what they are about follows on the last line.
+STATEMENTS_TASK = 'List the statements that this answer makes. Reply with JSON: {"statements": [...]}.'
+VERDICT_TASK = 'Does this statement bear on the question? Reply with JSON: {"verdicts": ["yes"]} or {"verdicts": ["no"]}.'
+
+
+def judge_relevancy(
+    table: DataFrame, make_judge: Callable[[], TextModel], store: CallStore, judge_name: str, threshold: float = 0.5
+) -> DataFrame:
+    """Answers judged in two steps: ``question_id, question, answer, statements, score, success``.
+
+    A first call lists an answer's statements, a second one gives a verdict on each; the score is the
+    share of ``yes``.  An answer without statements has no score and no success.  Each distinct prompt is
+    asked once, through the store of calls.
+    """
+    ask = lambda prompt: complete_column(make_judge, prompt)
+    told = table.select("question_id", "question", "answer", _prompt(STATEMENTS_TASK, "answer").alias("prompt"))
+    listed = store.call(told, "prompt", judge_name, ask).withColumn("statements", parse_reply(F.col("reply"))["statements"])
+    # Written, as both the statements and their verdicts start from it.
+    listed = stored(listed.drop("prompt", "reply"), "statements")
+    each = listed.select("question_id", "question", F.explode("statements").alias("statement"))
+    each = each.withColumn("prompt", _prompt(VERDICT_TASK, "question", "statement"))
+    verdict = F.lower(F.get(parse_reply(F.col("reply"))["verdicts"], 0))
+    given = store.call(each, "prompt", judge_name, ask).select("question_id", F.coalesce(verdict == "yes", F.lit(False)).alias("relevant"))
+    scores = given.groupBy("question_id").agg(F.avg(F.col("relevant").cast("int")).alias("score"))
+    return listed.join(scores, "question_id", "left").withColumn("success", F.coalesce(F.col("score") >= threshold, F.lit(False)))
+
+
+def _prompt(task: str, *columns: str) -> Column:
+    return F.concat(F.lit(task + "\n"), F.to_json(F.struct(*columns)))
+
+
 def judge(prompts: DataFrame, make_model: Callable[[], TextModel], prompt: str = "prompt") -> DataFrame:
     """Add ``judged``, the parsed reply of a judge model to each prompt."""
     return prompts.withColumn("judged", parse_reply(complete_column(make_model, F.col(prompt))))
@@ -69,17 +118,12 @@ def relevancy_scores(table: DataFrame, make_embedder: Callable[[], Embedder]) ->
 
     The lines of the answer stand in for the questions that a model would generate from it.
     """
-    generated = table.select(
-        "question_id", "question", F.explode(nonblank_lines(F.col("answer"))).alias("generated")
-    )
-    return answer_relevancy(
-        generated.select(
-            "question_id",
-            embed_column(make_embedder, F.col("question")).alias("question_vector"),
-            embed_column(make_embedder, F.col("generated")).alias("generated_vector"),
-        ),
-        "question_id",
+    # The question is embedded before its answer becomes many lines.
+    asked = table.select(
+        "question_id", embed_column(make_embedder, F.col("question")).alias("question_vector"), nonblank_lines(F.col("answer")).alias("lines")
     )
+    generated = asked.select("question_id", "question_vector", F.explode("lines").alias("line"))
+    return answer_relevancy(generated.withColumn("generated_vector", embed_column(make_embedder, F.col("line"))), "question_id")
 
 
 def faithfulness_scores(table: DataFrame) -> DataFrame:

@@ -351,9 +351,9 @@ def sample_files(points: DataFrame, file_name: str = "payload.file_name", order:
 def collection_status(collection: Collection | None) -> str | DataFrame:
     """What a user sees about the connection: a message, or counts and sample file names."""
     if collection is None:
-        return "No index is set up"
+        return C.NO_CONNECTION
     if not collection.exists():
-        return f"There is no collection '{collection.name}'"
+        return C.NO_COLLECTION.format(name=collection.name)
     points = collection.points()
     # Both sides have one row.
     return (

@@ -32,6 +32,10 @@ def test_commands(spark, tmp_path):
     assert scores["faithfulness"] == 1.0
     assert scores["answer_correctness"] == pytest.approx(1.0, abs=1e-3)
 
+    judged = main([*common, "judge", index, str(qa)], {}).collect()
+    assert [(r["score"], r["success"], r["mean_score"]) for r in judged] == [(0.5, True, 0.5)]
+    assert judged[0]["statements"] == ["owls hunt at night", "and sleep by day [1]"]
+
     chat = tmp_path / "chat.json"
     rows = [("s", 0, "user", "hello"), ("s", 1, "assistant", "hi"), ("s", 2, "user", "how do trout swim"), ("t", 0, "assistant", "x")]
     chat.write_text("\n".join(json.dumps(dict(zip(("session_id", "turn", "role", "text"), r))) for r in rows))
