@@ -28,7 +28,7 @@ from folioscope.operators import answers, chat, chunking, evaluation
 from folioscope.operators.files import first_copies, new_files, with_hash
 from folioscope.operators.search import top_k
 from folioscope.plans.answer import answer, chat_prompts, chat_turns as reply_to_open_questions, whole_prompts
-from folioscope.plans.evaluate import correctness_scores, evaluation_table, faithfulness_scores, judge_relevancy, judged_scores, relevancy_scores
+from folioscope.plans.evaluate import all_scores, correctness_scores, evaluation_table, faithfulness_scores, judge_relevancy, judged_scores, relevancy_scores
 from folioscope.plans.ingest import build_points, file_chunks, ingest
 from folioscope.plans.replay import replay
 from folioscope.plans.retrieve import Retriever, naive_retriever, reranked_retriever, text_retriever
@@ -747,14 +747,7 @@ def answer_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def metric_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the metrics over all questions."""
-    evaluated = _evaluation(spark, sf_dir)
-    # All metrics start from the same answers, which are written once rather than found twice.
-    table_once = stored(evaluated, "evaluation")
-    relevancy = relevancy_scores(table_once, embedder())
-    correctness = correctness_scores(table_once, embedder())
-    scores = table_once.select("question_id").join(relevancy, "question_id", "left")
-    scores = scores.join(correctness, "question_id", "left")
-    return scores.join(faithfulness_scores(table_once), "question_id", "left").agg(
+    return all_scores(_evaluation(spark, sf_dir), embedder()).agg(
         rounded(F.avg("faithfulness")).alias("faithfulness"),
         rounded(F.avg("answer_relevancy")).alias("answer_relevancy"),
         rounded(F.avg("answer_correctness")).alias("answer_correctness"),

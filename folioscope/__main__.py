@@ -20,7 +20,7 @@ from folioscope.functions.text import three_decimals
 from folioscope.models.calls import CallStore
 from folioscope.models.hashing import HashingEmbedder
 from folioscope.models.offline import LineJudge
-from folioscope.models.remote import RemoteEmbedder, answer_model, summary_model
+from folioscope.models.remote import RemoteEmbedder, answer_model, judge_model, summary_model
 from folioscope.operators.evaluation import ground_truth, mean_score
 from folioscope.plans.answer import answer, chat_turns
 from folioscope.plans.evaluate import correctness_scores, evaluation_table, faithfulness_scores, judge_relevancy, relevancy_scores
@@ -63,9 +63,10 @@ def _evaluate(table: DataFrame, make_embedder: Callable) -> DataFrame:
     return reduce(DataFrame.unionByName, means)
 
 
-def _judge(answered: DataFrame, make_judge: Callable, config: Config, store: CallStore) -> DataFrame:
+def _judge(answered: DataFrame, make_judge: Callable | None, config: Config, store: CallStore) -> DataFrame:
     """Each answer's statements and score, and the mean over all."""
-    judged = stored(judge_relevancy(answered, make_judge, store, config.model if make_judge is not LineJudge else "lines"), "judged")
+    name = "lines" if make_judge is None else config.judge.model
+    judged = stored(judge_relevancy(answered, make_judge or LineJudge, store, name), "judged")
     mean = mean_score(judged).first()["mean_score"]
     return judged.select("question", "answer", "score", "success", "statements", F.lit(mean).cast("double").alias("mean_score"))
 
@@ -115,7 +116,7 @@ def main(arguments: list[str] | None = None, env: Mapping[str, str] | None = Non
     )
     if given.command == "judge":
         answered = evaluation_table(items, reranked_retriever(collection, embedder), replies)
-        return _judge(answered, replies or LineJudge, config, CallStore(spark, f"{given.index}/model-calls"))
+        return _judge(answered, _model(env, config, judge_model), config, CallStore(spark, f"{given.index}/model-calls"))
     return _evaluate(evaluation_table(items, naive_retriever(collection, embedder), replies), embedder)
 
 

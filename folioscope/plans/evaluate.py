@@ -12,7 +12,7 @@ from folioscope.functions.text import distinct_words, nonblank_lines, words
 from folioscope.functions.vectors import cosine
 from folioscope.models.calls import CallStore
 from folioscope.models.columns import Embedder, TextModel, complete_column, embed_column
-from folioscope.operators.evaluation import answer_correctness, answer_relevancy, faithfulness, word_f1
+from folioscope.operators.evaluation import answer_correctness, answer_relevancy, word_f1
 from folioscope.plans.answer import answer
 from folioscope.plans.replay import replay
 from folioscope.plans.retrieve import Retriever
@@ -132,12 +132,22 @@ def faithfulness_scores(table: DataFrame) -> DataFrame:
     A line counts as supported when the contexts have all its words, a lexical stand-in for a judge's
     verdicts.  An answer without lines has no row.
     """
-    known = F.flatten(F.transform("contexts", words))
-    lines = table.select(
-        "question_id", known.alias("known"), F.explode(nonblank_lines(F.col("answer"))).alias("line")
-    )
-    supported = F.size(F.array_except(distinct_words(F.col("line")), F.col("known"))) == 0
-    return faithfulness(lines.select("question_id", supported.cast("int").alias("supported")), "question_id")
+    counted = table.select("question_id", _supported(F.col("answer"), F.col("contexts")).alias("share"))
+    return counted.where("share.n > 0").select("question_id", (F.col("share.yes") / F.col("share.n")).alias("faithfulness"), F.col("share.n").cast("long").alias("n_statements"))
+
+
+def _supported(answer: Column, contexts: Column) -> Column:
+    """``STRUCT<n, yes>``: an answer's lines, and how many of them have only words of its contexts.
+
+    Both are found within the row: beside an explode, Spark would look for the contexts' words again for
+    every line.  The one-element array names the words, so that they are found once.
+    """
+    def count(known: Column) -> Column:
+        lines = F.transform(nonblank_lines(answer), lambda line: F.size(F.array_except(distinct_words(line), known)) == 0)
+        total = F.struct(F.lit(0).alias("n"), F.lit(0).alias("yes"))
+        return F.aggregate(lines, total, lambda t, good: F.struct((t["n"] + 1).alias("n"), (t["yes"] + good.cast("int")).alias("yes")))
+
+    return F.transform(F.array(F.array_distinct(F.flatten(F.transform(contexts, words)))), count)[0]
 
 
 def correctness_scores(table: DataFrame, make_embedder: Callable[[], Embedder]) -> DataFrame:
@@ -155,3 +165,28 @@ def correctness_scores(table: DataFrame, make_embedder: Callable[[], Embedder])
         similarity.alias("similarity"),
         answer_correctness(F.col("f1"), similarity).alias("answer_correctness"),
     )
+
+
+def all_scores(table: DataFrame, make_embedder: Callable[[], Embedder]) -> DataFrame:
+    """``question_id, faithfulness, answer_relevancy, answer_correctness``, as the functions above give
+    them, in one pass over the answers and with one shuffle; null where one of them has no row."""
+    similarity = cosine(F.col("answer_vector"), F.col("truth_vector"))
+    answers = table.select(
+        "question_id",
+        nonblank_lines(F.col("answer")).alias("lines"),
+        _supported(F.col("answer"), F.col("contexts")).alias("share"),
+        word_f1(F.col("answer"), F.col("ground_truth")).alias("f1"),
+        embed_column(make_embedder, F.col("question")).alias("question_vector"),
+        embed_column(make_embedder, F.col("answer")).alias("answer_vector"),
+        embed_column(make_embedder, F.col("ground_truth")).alias("truth_vector"),
+    )
+    scored = answers.select("question_id", "lines", "share", "question_vector", answer_correctness(F.col("f1"), similarity).alias("answer_correctness"))
+    lines = scored.select("question_id", "share", "question_vector", "answer_correctness", F.explode_outer("lines").alias("line"))
+    lines = lines.withColumn("line_vector", embed_column(make_embedder, F.coalesce("line", F.lit(""))))
+    relevancy = F.when(F.col("line").isNotNull(), cosine(F.col("question_vector"), F.col("line_vector")))
+    share = F.first("share")
+    return lines.groupBy("question_id").agg(
+        F.when(share["n"] > 0, share["yes"] / share["n"]).alias("faithfulness"),
+        F.avg(relevancy).alias("answer_relevancy"),
+        F.first("answer_correctness").alias("answer_correctness"),
+    )
