@@ -24,8 +24,8 @@ from folioscope.session import stored
 #: every machine, whatever the order of additions, and the id decides between them.
 SCORE_DECIMALS = 10
 
-#: Cells of one score matrix in a task; bounds its memory to about 64 MB.
-_SCORE_CELLS = 8_000_000
+#: Cells of one score matrix in a task; bounds its memory, with the copies it is ranked by, to about 64 MB.
+_SCORE_CELLS = 2_000_000
 
 #: Bytes of k-th best scores that a task carries from split to split.
 _CARRIED_BYTES = 64 << 20

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 #: Bytes of vectors in one block.
 BLOCK_BYTES = 1 << 20
 
-#: Bytes of vectors in one split, which a task holds as 64-bit numbers.
-SPLIT_BYTES = 64 << 20
+#: Bytes of vectors in one split, which a task holds as 64-bit numbers, and once more scaled to length 1.
+SPLIT_BYTES = 32 << 20
 
 #: Splits are at least this many, so that a small index still has several tasks.
 LEAST_SPLITS = 8
