@@ -12,12 +12,16 @@ Two documents link when their sets of five-word shingles have ``100 * shared >=
   the needed overlap are dropped.  The others are verified on their complete sets.
 * First each key's nodes are tried against one of them, which joins most of what belongs together; nodes
   of one component need no more pairs.  The rest, nodes of one key in different components, is searched
-  with an R-tree per key and tile of sizes: it is packed by the counts, an inner node holds the largest count of
-  each group below it, and a branch whose summed minima with a query are too small is not entered.  No
-  pair is left out: at the end every pair that shares a key is in one component, below the bound, or verified.
+  with an R-tree per key: it is packed by the counts, an inner node holds the largest count of
+  each group below it, and a branch whose summed minima with a query are too small is not entered.
+* What a tree lets through is bounded once more in its task, by counts of 65,536 groups, which is nearly the
+  overlap itself.  A task tells a spanning forest of the pairs that pass, never the pairs, so what leaves
+  it grows with the nodes.  The forests are verified on complete sets.  If one of their edges is no link,
+  the search is done again without that pair, until all edges are links.  So no pair is left out: at the end
+  every pair that shares a key is in one component, below a bound, or verified.
 
-The components are those of the verified links.  Groups that are large are cut into chunks, and all
-chunk pairs are searched by tasks of their own.
+The components are those of the verified links.  Keys of very many nodes are cut into tiles of sizes and
+chunks, and all chunk pairs are searched by tasks of their own.
 
 Defined results: documents without words or text have an empty set and link with nothing; with fewer
 than five words, the whole sequence is the one shingle; null ids count as the smallest and are returned
@@ -41,7 +45,8 @@ from folioscope.session import stored
 WORDS = 5
 #: Sets up to this size use their tokens themselves as keys.
 SMALL = 64
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Nodes of a key that one task searches at once; keys of more are cut.
 CHUNK = 1_000
 #: Keys of each node by which a pair that shares several is told once rather than for each of them.
 LOWEST_KEYS = 12
@@ -145,6 +150,28 @@ def group_counts(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """A point of 65,536 groups, as the sorted groups of the tokens; those of ``group_counts`` are its last bits."""
+    return np.sort(tokens.astype(np.uint16))
+
+
+def numbered(groups: np.ndarray) -> np.ndarray:
+    """The groups of a sketch with the number of each repeat: what two share is the sum of minima of their counts."""
+    new = np.ones(len(groups), bool)
+    new[1:] = groups[1:] != groups[:-1]
+    starts = np.flatnonzero(new)
+    nth = np.arange(len(groups)) - np.repeat(starts, np.diff(np.append(starts, len(groups))))
+    return (groups.astype(np.uint64) << np.uint64(32)) | nth.astype(np.uint64)
+
+
+def shared_by(point: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements of the sorted ``point`` each of the others has."""
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(point, every), len(point) - 1)
+    ends = np.cumsum([len(x) for x in others])
+    return np.add.reduceat((point[at] == every).astype(np.int64), np.append(0, ends[:-1]))
+
+
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     """Points with fewer groups; the groups of a point are those of any smaller one, split."""
     return counts.reshape(*counts.shape[:-1], -1, groups).sum(axis=-2).astype(np.uint16)
@@ -241,7 +268,7 @@ def _asked(buckets: int):
     return run
 
 
-_FOUND = "kind string, node binary, doc_id long, text_sha256 string, n long, block long, place int, keys array<long>, counts binary"
+_FOUND = "kind string, node binary, doc_id long, text_sha256 string, n long, block long, place int, keys array<long>, counts binary, sketch binary"
 
 
 def _found(buckets: int):
@@ -261,14 +288,14 @@ def _found(buckets: int):
             for i, at in enumerate(members):
                 name, n = (names[at], len(sets[at])) if at >= 0 else (None, 0)
                 sha = hashlib.sha256(data[starts[i] : starts[i + 1]]).hexdigest()
-                out.append(("document", name, int(ids[i]), sha, n, row["block"], i, None, None))
+                out.append(("document", name, int(ids[i]), sha, n, row["block"], i, None, None, None))
             # Where in the block a set can be made again.
             places = {at: i for i, at in reversed(list(enumerate(members)))}
             for at in np.unique(owner).tolist():
                 mine = keys[ends[at] : ends[at + 1]]
-                out.append(("node", names[at], None, None, len(sets[at]), row["block"], places[at], mine, group_counts(sets[at]).tobytes()))
-            kinds = [pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-            labels = ["kind", "node", "doc_id", "text_sha256", "n", "block", "place", "keys", "counts"]
+                out.append(("node", names[at], None, None, len(sets[at]), row["block"], places[at], mine, group_counts(sets[at]).tobytes(), sketch(sets[at]).tobytes()))
+            kinds = [pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            labels = ["kind", "node", "doc_id", "text_sha256", "n", "block", "place", "keys", "counts", "sketch"]
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=labels)
 
     return run
@@ -307,13 +334,34 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+class Forest:
+    """Disjoint sets of names."""
+
+    def __init__(self):
+        self.up: dict[bytes, bytes] = {}
+
+    def top(self, name: bytes) -> bytes:
+        while (above := self.up.get(name, name)) != name:
+            self.up[name] = name = self.up.get(above, above)
+        return name
+
+    def join(self, a: bytes, b: bytes) -> bool:
+        """Whether the two were apart."""
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.up[a] = b
+        return a != b
+
+
 _GROUP = ("key", "tile", "build_chunk", "probe_chunk")
+#: What a row is in its tree: a point of it, a query from the same or the next tile of sizes, or point and query.
+BUILD, PROBE, NEXT_PROBE, BOTH = range(4)
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of different components that the R-trees let through, from rows sorted by key, tile
+    """A spanning forest of what the R-trees and the sketches let through, from rows sorted by key, tile
     and chunk pair; a group has at most about two chunks of rows."""
-    kept = None
+    kept, forest = None, Forest()
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         if kept is not None:
@@ -325,32 +373,50 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(starts):
             # The last group may go on in the next batch.
             kept = rows.slice(int(starts[-1]))
-            yield _search_groups(rows.slice(0, int(starts[-1])), starts)
+            yield _search_groups(rows.slice(0, int(starts[-1])), starts, forest)
     if kept is not None:
-        yield _search_groups(kept, np.array([0, len(kept)]))
+        yield _search_groups(kept, np.array([0, len(kept)]), forest)
 
 
-def _search_groups(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-    n, side = rows.column("n").to_numpy(), rows.column("probe").to_numpy()
-    nodes, parts, counts, lowest = (rows.column(c).to_pylist() for c in ("node", "component", "counts", "lowest"))
-    keys = rows.column("key").to_pylist()
-    found: set[tuple[bytes, bytes]] = set()
+def _search_groups(rows: pa.Table, starts: np.ndarray, forest: Forest) -> pa.RecordBatch:
+    edges: list[tuple[bytes, bytes]] = []
     for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        build = start + np.flatnonzero(~side[start:end])
-        probe = start + np.flatnonzero(side[start:end])
-        if not len(build) or len(set(parts[start:end])) == 1:
+        edges += _search_group(rows.slice(start, end - start), forest)
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in edges], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def _search_group(rows: pa.Table, forest: Forest) -> Iterator[tuple[bytes, bytes]]:
+    side, n = rows.column("side").to_numpy(), rows.column("n").to_numpy()
+    build, probe = np.flatnonzero((side == BUILD) | (side == BOTH)), np.flatnonzero(side != BUILD)
+    nodes, parts, lowest, failed = (rows.column(c).to_pylist() for c in ("node", "component", "lowest", "failed"))
+    if not len(build) or not len(probe) or len({forest.top(p) for p in parts}) == 1:
+        return
+    key = rows.column("key")[0].as_py()
+    groups = [np.frombuffer(x.as_buffer(), np.uint16) for x in rows.column("sketch")]
+    size = 1 << max(4, min(12, int(n.min()).bit_length() - 2))
+    points = np.stack([np.bincount(g & np.uint16(size - 1), minlength=size) for g in groups]).astype(np.uint16)
+    # A pair that shares a smaller key is told there.
+    told = [frozenset(k for k in ks if k < key) for ks in lowest]
+    exact: dict[int, np.ndarray] = {}
+
+    def elements(i: int) -> np.ndarray:
+        if i not in exact:
+            exact[i] = numbered(groups[i])
+        return exact[i]
+
+    tree = CountTree(points[build], n[build])
+    for i in probe.tolist():
+        own, top = nodes[i], forest.top(parts[i])
+        near = build[tree.search(points[i], int(n[i]))].tolist()
+        # Nodes of one tile meet twice, each as the query once.
+        near = [j for j in near if side[i] == NEXT_PROBE or nodes[j] < own]
+        near = [j for j in near if told[i].isdisjoint(told[j]) and forest.top(parts[j]) != top and nodes[j] not in (failed[i] or ())]
+        if not near:
             continue
-        points = [np.frombuffer(counts[i], np.uint16) for i in range(start, end)]
-        groups = min(map(len, points))
-        points = np.stack([folded(c, groups) for c in points])
-        # A pair that shares a smaller key is told there.
-        told = [frozenset(k for k in lowest[i] if k < keys[start]) for i in range(start, end)]
-        tree = CountTree(points[build - start], n[build])
-        for i in probe.tolist():
-            for j in build[tree.search(points[i - start], int(n[i]))].tolist():
-                if parts[i] != parts[j] and told[i - start].isdisjoint(told[j - start]):
-                    found.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        passed = shared_by(elements(i), [elements(j) for j in near]) >= needed(n[near] + n[i])
+        for j in np.array(near)[passed].tolist():
+            if forest.join(parts[i], parts[j]):
+                yield min(own, nodes[j]), max(own, nodes[j])
 
 
 class _Join:
@@ -358,14 +424,14 @@ class _Join:
 
     def __init__(self, blocks: B.Blocks, found: DataFrame):
         self.blocks = blocks
-        nodes = found.where("kind = 'node'").select("node", "n", "block", "place", "counts", "keys")
+        nodes = found.where("kind = 'node'").select("node", "n", "block", "place", "counts", "sketch", "keys")
         # One row per node: equal sets of several blocks have equal keys, those shared in one are in all.
         first = Window.partitionBy("node").orderBy("block")
         self.nodes = stored(nodes.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth"), "nodes")
 
     def keyed(self, parts: DataFrame) -> DataFrame:
-        """``(key, node, component)``; components are joined before the keys become rows."""
-        return self.nodes.select("node", "keys").join(parts, "node").select(F.explode("keys").alias("key"), "node", "component")
+        """``(key, node, component, n)``; components are joined before the keys become rows."""
+        return self.nodes.select("node", "n", "keys").join(parts, "node").select(F.explode("keys").alias("key"), "node", "component", "n")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         left = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("counts_a"))
@@ -386,44 +452,58 @@ class _Join:
 
     def star_pairs(self, parts: DataFrame, turn: int) -> DataFrame:
         """Each key's nodes with one of them, if that is of another component."""
-        turned = [F.xxhash64("component", F.lit(turn)), "component", F.xxhash64("node", "key", F.lit(turn)), "node"]
-        # One shuffle by key; the first row of each is its head.
-        head = F.first(F.struct("component", "node")).over(Window.partitionBy("key").orderBy(*turned))
-        pairs = self.keyed(parts).withColumn("head", head).where(F.col("component") != F.col("head.component"))
-        return pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
-
-    def remaining_pairs(self, parts: DataFrame) -> DataFrame:
-        """All pairs that share a key, are of different components and pass the bound."""
-        whole = Window.partitionBy("key")
-        seen = {"low": F.min("component").over(whole), "high": F.max("component").over(whole), "nodes": F.count(F.lit(1)).over(whole)}
+        rows = self.keyed(parts).select("key", "node", "component", F.xxhash64("node", F.lit(turn)).alias("place"))
+        # Joined rather than a window by key, which would be one task for a key of very many nodes.
+        first = rows.groupBy("key").agg(F.min("place").alias("place"))
+        head = rows.join(first, ["key", "place"]).select("key", F.col("node").alias("head"), F.col("component").alias("head_component"))
+        pairs = rows.join(head, "key").where(F.col("component") != F.col("head_component"))
+        return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+    def open_keys(self, parts: DataFrame) -> DataFrame:
+        """``(key, nodes)`` of the keys whose nodes are of different components."""
+        part = F.xxhash64("component")
+        seen = self.keyed(parts).groupBy("key").agg(F.min(part).alias("low"), F.max(part).alias("high"), F.count(F.lit(1)).alias("nodes"))
         # The only pair of a key with two nodes was tried in the first round.
-        rows = self.keyed(parts).withColumns(seen).where("low <> high and nodes > 2").select("key", "node", "component")
-        lowest = F.slice(F.array_sort("keys"), 1, LOWEST_KEYS).alias("lowest")
-        rows = rows.join(self.nodes.select("node", "n", "counts", lowest), "node")
+        return stored(seen.where("low <> high and nodes > 2").select("key", "nodes"), "open-keys")
+
+    def remaining_forests(self, parts: DataFrame, failed: DataFrame | None) -> DataFrame:
+        """Spanning forests of the pairs that share a key, are of different components, pass the bounds and
+        have not ``failed``."""
+        rows = self.keyed(parts).join(self.open_keys(parts), "key")
+        # Nearly all keys are searched as a whole.
+        whole = rows.where(F.col("nodes") <= CHUNK).select(
+            "key", F.lit(0).alias("tile"), F.lit(0).alias("build_chunk"), F.lit(0).alias("probe_chunk"), "node", "component", F.lit(BOTH).alias("side")
+        )
+        rows = whole.unionByName(self.cut(rows.where(F.col("nodes") > CHUNK)))
+        points = self.nodes.select("node", "n", "sketch", F.slice(F.array_sort("keys"), 1, LOWEST_KEYS).alias("lowest"))
+        if failed is None:
+            points = points.withColumn("failed", F.lit(None).cast("array<binary>"))
+        else:
+            ends = failed.select(F.col("a").alias("node"), "b").union(failed.select(F.col("b"), F.col("a")))
+            points = points.join(ends.groupBy("node").agg(F.collect_set("b").alias("failed")), "node", "left")
+        # Many small groups: a task goes through its own in order rather than calling Python for each.
+        sorted_rows = rows.join(points, "node").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
+        return sorted_rows.mapInArrow(_searched, "a binary, b binary").distinct()
+
+    def cut(self, rows: DataFrame) -> DataFrame:
+        """The rows of large keys by tile of sizes and pair of chunks."""
         # A partner is at most a quarter larger, so it is of the same tile of sizes or the next.
         tile = F.floor(F.log(1.26, F.col("n"))).cast("int")
-        sides = F.array(
-            F.struct(F.lit(False).alias("probe"), tile.alias("tile")),
-            F.struct(F.lit(True).alias("probe"), tile.alias("tile")),
-            F.struct(F.lit(True).alias("probe"), (tile - 1).alias("tile")),
-        )
-        rows = rows.withColumn("side", F.explode(sides)).select("key", "node", "component", "n", "counts", "lowest", "side.probe", "side.tile")
-        sizes = rows.groupBy("key", "tile").agg(
-            F.count(F.when(~F.col("probe"), 1)).alias("builds"), F.count(F.when(F.col("probe"), 1)).alias("probes")
-        )
+        as_side = lambda kind, at: F.struct(F.lit(kind).alias("side"), at.alias("tile"))
+        sides = F.array(as_side(BUILD, tile), as_side(PROBE, tile), as_side(NEXT_PROBE, tile - 1))
+        rows = rows.withColumn("at", F.explode(sides)).select("key", "node", "component", "at.side", "at.tile")
+        built = F.col("side") == BUILD
+        sizes = rows.groupBy("key", "tile").agg(F.count(F.when(built, 1)).alias("builds"), F.count(F.when(~built, 1)).alias("probes"))
         sizes = sizes.where("builds > 0 and probes > 1").select(
             "key", "tile", F.ceil(F.col("builds") / CHUNK).cast("int").alias("build_chunks"), F.ceil(F.col("probes") / CHUNK).cast("int").alias("probe_chunks")
         )
         rows = rows.join(sizes, ["key", "tile"])
         own = lambda chunks: F.pmod(F.xxhash64("node"), F.col(chunks)).cast("int")
         chunk = lambda i, j: F.struct(i.alias("build_chunk"), j.alias("probe_chunk"))
-        spread = F.when(
-            F.col("probe"), F.transform(F.sequence(F.lit(0), F.col("build_chunks") - 1), lambda i: chunk(i, own("probe_chunks")))
-        ).otherwise(F.transform(F.sequence(F.lit(0), F.col("probe_chunks") - 1), lambda j: chunk(own("build_chunks"), j)))
-        rows = rows.withColumn("chunk", F.explode(spread)).select("key", "tile", "chunk.build_chunk", "chunk.probe_chunk", "node", "component", "n", "counts", "lowest", "probe")
-        # Many small groups: a task goes through its own in order rather than calling Python for each.
-        sorted_rows = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-        return sorted_rows.mapInArrow(_searched, "a binary, b binary").distinct()
+        spread = F.when(built, F.transform(F.sequence(F.lit(0), F.col("probe_chunks") - 1), lambda j: chunk(own("build_chunks"), j))).otherwise(
+            F.transform(F.sequence(F.lit(0), F.col("build_chunks") - 1), lambda i: chunk(i, own("probe_chunks")))
+        )
+        return rows.withColumn("chunk", F.explode(spread)).select("key", "tile", "chunk.build_chunk", "chunk.probe_chunk", "node", "component", "side")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -461,10 +541,18 @@ def shingle_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         new = join.verified(tried)
         edges = new if edges is None else edges.unionByName(new)
         parts = stored(components(names, edges), "parts")
-    rest = stored(join.remaining_pairs(parts), "rest-pairs")
-    if not rest.isEmpty():
-        edges = edges.unionByName(join.verified(rest))
+    failed = None
+    while True:
+        tried = stored(join.remaining_forests(parts, failed), "forests")
+        if tried.isEmpty():
+            break
+        new = join.verified(tried)
+        edges = edges.unionByName(new)
         parts = stored(components(names, edges), "parts")
+        missed = stored(tried.join(new, ["a", "b"], "left_anti"), "no-links")
+        if missed.isEmpty():
+            break
+        failed = missed if failed is None else failed.unionByName(missed)
     members = found.where("kind = 'document'").select("doc_id", "n", "node", "text_sha256")
     placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
