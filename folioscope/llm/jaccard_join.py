@@ -150,9 +150,20 @@ def group_counts(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """A point of 65,536 groups, as the sorted groups of the tokens; those of ``group_counts`` are its last bits."""
-    return np.sort(tokens.astype(np.uint16))
+def sketch(tokens: np.ndarray) -> bytes:
+    """A point of 65,536 groups: the sorted groups of the tokens, as the steps between them, a step of 255
+    or more in several bytes.  Their last bits are the groups of ``group_counts``."""
+    steps = np.diff(np.sort(tokens.astype(np.uint16)).astype(np.int64), prepend=0)
+    whole, rest = np.divmod(steps, 255)
+    out = np.full(len(steps) + int(whole.sum()), 255, np.uint8)
+    out[np.cumsum(whole + 1) - 1] = rest
+    return out.tobytes()
+
+
+def sketched(data: bytes | pa.Buffer) -> np.ndarray:
+    """The groups that ``sketch`` wrote."""
+    steps = np.frombuffer(data, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
 def numbered(groups: np.ndarray) -> np.ndarray:
@@ -293,7 +304,7 @@ def _found(buckets: int):
             places = {at: i for i, at in reversed(list(enumerate(members)))}
             for at in np.unique(owner).tolist():
                 mine = keys[ends[at] : ends[at + 1]]
-                out.append(("node", names[at], None, None, len(sets[at]), row["block"], places[at], mine, group_counts(sets[at]).tobytes(), sketch(sets[at]).tobytes()))
+                out.append(("node", names[at], None, None, len(sets[at]), row["block"], places[at], mine, group_counts(sets[at]).tobytes(), sketch(sets[at])))
             kinds = [pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             labels = ["kind", "node", "doc_id", "text_sha256", "n", "block", "place", "keys", "counts", "sketch"]
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=labels)
@@ -392,9 +403,9 @@ def _search_group(rows: pa.Table, forest: Forest) -> Iterator[tuple[bytes, bytes
     if not len(build) or not len(probe) or len({forest.top(p) for p in parts}) == 1:
         return
     key = rows.column("key")[0].as_py()
-    groups = [np.frombuffer(x.as_buffer(), np.uint16) for x in rows.column("sketch")]
+    groups = [sketched(x.as_buffer()) for x in rows.column("sketch")]
     size = 1 << max(4, min(12, int(n.min()).bit_length() - 2))
-    points = np.stack([np.bincount(g & np.uint16(size - 1), minlength=size) for g in groups]).astype(np.uint16)
+    points = np.stack([np.bincount(g & (size - 1), minlength=size) for g in groups]).astype(np.uint16)
     # A pair that shares a smaller key is told there.
     told = [frozenset(k for k in ks if k < key) for ks in lowest]
     exact: dict[int, np.ndarray] = {}
@@ -460,16 +471,18 @@ class _Join:
         return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
     def open_keys(self, parts: DataFrame) -> DataFrame:
-        """``(key, nodes)`` of the keys whose nodes are of different components."""
+        """``(key, nodes)`` of the keys whose nodes are of different components; of keys that the very same
+        nodes have, the smallest, where their pairs are told."""
         part = F.xxhash64("component")
-        seen = self.keyed(parts).groupBy("key").agg(F.min(part).alias("low"), F.max(part).alias("high"), F.count(F.lit(1)).alias("nodes"))
+        who = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"who{i}") for i in range(2)]
+        seen = self.keyed(parts).groupBy("key").agg(F.min(part).alias("low"), F.max(part).alias("high"), F.count(F.lit(1)).alias("nodes"), *who)
         # The only pair of a key with two nodes was tried in the first round.
-        return stored(seen.where("low <> high and nodes > 2").select("key", "nodes"), "open-keys")
+        return seen.where("low <> high and nodes > 2").groupBy("nodes", "who0", "who1").agg(F.min("key").alias("key")).select("key", "nodes")
 
     def remaining_forests(self, parts: DataFrame, failed: DataFrame | None) -> DataFrame:
         """Spanning forests of the pairs that share a key, are of different components, pass the bounds and
         have not ``failed``."""
-        rows = self.keyed(parts).join(self.open_keys(parts), "key")
+        rows = stored(self.keyed(parts).join(self.open_keys(parts), "key"), "open-rows")
         # Nearly all keys are searched as a whole.
         whole = rows.where(F.col("nodes") <= CHUNK).select(
             "key", F.lit(0).alias("tile"), F.lit(0).alias("build_chunk"), F.lit(0).alias("probe_chunk"), "node", "component", F.lit(BOTH).alias("side")

@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import blocks
@@ -126,6 +127,68 @@ def test_tree_finds_all_that_the_bound_lets_through():
             assert J.overlap_bound(counts[i], counts[j]) >= len(np.intersect1d(sets[i], sets[j]))
 
 
+@pytest.mark.parametrize("n", [1, 2, 70, 700, 30_000, 90_000])
+def test_sketch_bounds_the_overlap(n):
+    rng = np.random.default_rng(n)
+    a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[: n // 2 + 1], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)]))
+    for tokens in (a, b):
+        assert J.sketched(J.sketch(tokens)).tolist() == np.sort(tokens & np.uint64(0xFFFF)).tolist()
+    counts = [np.bincount((x & np.uint64(0xFFFF)).astype(int), minlength=1 << 16) for x in (a, b)]
+    points = [J.numbered(J.sketched(J.sketch(x))) for x in (a, b)]
+    bound = int(np.minimum(*counts).sum())
+    assert J.shared_by(points[0], [points[1], points[0]]).tolist() == [bound, len(a)]
+    assert bound >= len(np.intersect1d(a, b))
+
+
+def forest_rows(sets, failed=None):
+    n = len(sets)
+    names = [bytes([i]) for i in range(n)]
+    return pa.table(
+        {
+            "key": pa.array([7] * n, pa.int64()),
+            "side": pa.array([J.BOTH] * n, pa.int32()),
+            "n": pa.array([len(s) for s in sets], pa.int64()),
+            "node": pa.array(names, pa.binary()),
+            "component": pa.array(names, pa.binary()),
+            "lowest": pa.array([[7]] * n, pa.list_(pa.int64())),
+            "failed": pa.array(failed or [None] * n, pa.list_(pa.binary())),
+            "sketch": pa.array([J.sketch(s) for s in sets], pa.binary()),
+        }
+    )
+
+
+def test_a_task_tells_a_forest_and_goes_round_failed_pairs():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    close = [np.unique(np.concatenate([base[5:], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(60)]
+    far = [np.unique(np.concatenate([rng.permutation(base)[60:], rng.integers(0, 1 << 63, 60, dtype=np.uint64)])) for _ in range(60)]
+    sets = close + far
+    edges = list(J._search_group(forest_rows(sets), J.Forest()))
+    links = [(i, j) for i, j in combinations(range(len(sets)), 2) if J.links(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+    assert len(links) >= 60 * 59 // 2 and len(edges) < len(sets)
+    forest, all_links = J.Forest(), J.Forest()
+    for a, b in edges:
+        assert forest.join(a, b)
+    for i, j in links:
+        all_links.join(bytes([i]), bytes([j]))
+    same = lambda f: {(i, j) for i, j in combinations(range(len(sets)), 2) if f.top(bytes([i])) == f.top(bytes([j]))}
+    assert same(forest) == same(all_links)
+    # An edge that is told to be none is not told again, and its ends are connected by others.
+    a, b = edges[0]
+    failed = [[b] if bytes([i]) == a else [a] if bytes([i]) == b else None for i in range(len(sets))]
+    again = list(J._search_group(forest_rows(sets, failed), J.Forest()))
+    assert (a, b) not in again and len(again) == len(edges)
+
+
+def test_search_goes_on_until_all_edges_link(spark, monkeypatch):
+    # With a bound that lets nearly everything through, forests are full of pairs that do not link.
+    monkeypatch.setattr(J, "sketch", lambda tokens: bytes(len(tokens)))
+    rows = near_rows(5, 16)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(J.shingle_components(frame)) == expected(rows)
+
+
 def test_tokens_are_shingles(edge_rows):
     powers = J.Powers()
     for _, text, *_ in edge_rows:
