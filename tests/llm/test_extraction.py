@@ -102,3 +102,53 @@ def test_text_that_all_pages_of_a_host_have_is_left_out(spark):
     assert got[3] == "story number 3 of this host\nbody 3"
     assert got[103] == "story number 3 of this host\nNote 3\nbody 3"
     assert "story number 1 of this host" in got[203] and "body 1" in got[203]
+
+
+@pytest.mark.parametrize("levels", [10, 50, 62, 80, 3000])
+def test_deep_pages_keep_their_text_in_order(levels):
+    deep = "<div>" * levels + "<p>one <a>two</a> three</p>four<div><p>five</p></div>six" + "</div>" * levels
+    assert text(f"<div><article>{deep}<p>tail</p></article></div>") == "one two three\nfour\nfive\nsix\ntail"
+    hidden = "<div>" * levels + '<nav><div><p>menu</p></div></nav><p>text</p>' + "</div>" * levels
+    assert text(f"<div><article>{hidden}<p>tail</p></article></div>") == "text\ntail"
+
+
+@pytest.mark.parametrize(
+    ("body", "wanted"),
+    [
+        ("<p>a</p><p hidden>b</p><p>c</p>", "a\nc"),
+        ('<p>a</p><div style="color:red; display: none"><p>b</p></div><p>c</p>', "a\nc"),
+        ('<p>a <span style="display:none">b <span>c</span> d</span>e</p>', "a e"),
+        ('<p>a <span hidden><i>b</i> <a href="/x">c</a> d</span>e</p>', "a e"),
+        ('<p title="a hidden thing">a</p><p data-x=\'hidden\'>b</p>', "a\nb"),
+        ('<p>a</p><div id="newsletter-archive"><p>b</p></div><section class="cookies-recipe"><p>c</p></section>', "a\nb\nc"),
+        ('<p>a</p><div id="newsletter-box"><p>b</p></div><section class="adItem"><p>c</p></section><div class="comments-list"><p>d</p></div>', "a"),
+    ],
+)
+def test_hidden_elements_and_whole_names(body, wanted):
+    assert text(FRAME % f"<article>{body}</article>") == wanted
+
+
+@pytest.mark.parametrize("named", ["responses", "user-feedback", "x1"])
+def test_repeated_blocks_of_person_and_date_are_comments(spark, named):
+    said = '<div class="entry"><span class="author">Ann</span><time>May %d</time><p>I say %d</p></div>'
+    story = '<div class="byline"><span class="author">Bo</span><time>May 1</time></div><p>the long story number %d of this host, told here</p><p>its end %d and all that follows from it</p>'
+    pages = [(i, "http://c.org/x", FRAME % (f"<article>{story % (i, i)}<section class='{named}'><h3>Words</h3>" + "".join(said % (j, j) for j in range(i % 4)) + "</section></article>")) for i in range(8)]
+    got = {r.row_id: r.main_text for r in X.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert "I say" not in got[i] and "Words" not in got[i]
+        assert f"story number {i} of" in got[i] and f"its end {i} and" in got[i]
+
+
+def test_long_pages_align_in_bounded_time():
+    import random
+    import time
+
+    rng = random.Random(3)
+    page = lambda i: "".join(f"<{(t := rng.choice(['p', 'h2', 'div', 'ul', 'blockquote']))}>x{i} {j}</{t}>" for j in range(20_000))
+    pages = [f"<article>{page(i)}</article>" for i in range(2)]
+    start = time.time()
+    whole = X.merged(*(X.wrapper_of(X.parse(p)) for p in pages))
+    assert time.time() - start < 5
+    assert X.expression(whole) == "<article> ( ( <blockquote> #text </blockquote> )* ( <div> #text </div> )* ( <h2> #text </h2> )* ( <p> #text </p> )* ( <ul> #text </ul> )* )+ </article>"
+    found = X.main_text(X.parse(pages[0]), X.main_paths(whole), X.left_out(whole, X.main_paths(whole)))
+    assert found == "\n".join(f"x0 {j}" for j in range(20_000))
