@@ -17,8 +17,9 @@ Two documents link when their sets of five-word shingles have ``100 * shared >=
 * What a tree lets through is bounded once more in its task, by counts of 65,536 groups, which is nearly the
   overlap itself.  A task tells a spanning forest of the pairs that pass, never the pairs, so what leaves
   it grows with the nodes.  The forests are verified on complete sets.  If one of their edges is no link,
-  the search is done again without that pair, until all edges are links.  So no pair is left out: at the end
-  every pair that shares a key is in one component, below a bound, or verified.
+  the nodes that edges told connect with it are searched again without that pair, until all edges are links.
+  A pair of other nodes was told, is below a bound, or is connected by links alone.  So no pair is left out: at
+  the end every pair that shares a key is in one component, below a bound, or verified.
 
 The components are those of the verified links.  Keys of very many nodes are cut into tiles of sizes and
 chunks, and all chunk pairs are searched by tasks of their own.
@@ -470,19 +471,20 @@ class _Join:
         pairs = rows.join(head, "key").where(F.col("component") != F.col("head_component"))
         return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
-    def open_keys(self, parts: DataFrame) -> DataFrame:
-        """``(key, nodes)`` of the keys whose nodes are of different components; of keys that the very same
-        nodes have, the smallest, where their pairs are told."""
+    def open_keys(self, parts: DataFrame, least: int) -> DataFrame:
+        """``(key, nodes)`` of the keys with ``least`` nodes or more, of different components; of keys that
+        the very same nodes have, the smallest, where their pairs are told."""
         part = F.xxhash64("component")
         who = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"who{i}") for i in range(2)]
         seen = self.keyed(parts).groupBy("key").agg(F.min(part).alias("low"), F.max(part).alias("high"), F.count(F.lit(1)).alias("nodes"), *who)
-        # The only pair of a key with two nodes was tried in the first round.
-        return seen.where("low <> high and nodes > 2").groupBy("nodes", "who0", "who1").agg(F.min("key").alias("key")).select("key", "nodes")
+        return seen.where((F.col("low") != F.col("high")) & (F.col("nodes") >= least)).groupBy("nodes", "who0", "who1").agg(F.min("key").alias("key")).select("key", "nodes")
 
     def remaining_forests(self, parts: DataFrame, failed: DataFrame | None) -> DataFrame:
         """Spanning forests of the pairs that share a key, are of different components, pass the bounds and
         have not ``failed``."""
-        rows = stored(self.keyed(parts).join(self.open_keys(parts), "key"), "open-rows")
+        # The only pair of a key with two nodes was tried in the first round; later there are parts of keys.
+        least = 3 if failed is None else 2
+        rows = stored(self.keyed(parts).join(self.open_keys(parts, least), "key"), "open-rows")
         # Nearly all keys are searched as a whole.
         whole = rows.where(F.col("nodes") <= CHUNK).select(
             "key", F.lit(0).alias("tile"), F.lit(0).alias("build_chunk"), F.lit(0).alias("probe_chunk"), "node", "component", F.lit(BOTH).alias("side")
@@ -498,6 +500,18 @@ class _Join:
         sorted_rows = rows.join(points, "node").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
         return sorted_rows.mapInArrow(_searched, "a binary, b binary").distinct()
 
+    def suspects(self, parts: DataFrame, tried: DataFrame, missed: DataFrame) -> DataFrame:
+        """The nodes that the edges ``tried`` connect with one that is no link, by the components of before."""
+        ends = lambda edges: edges.join(parts.select(F.col("node").alias("a"), F.col("component").alias("part_a")), "a").join(
+            parts.select(F.col("node").alias("b"), F.col("component").alias("part_b")), "b"
+        ).select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+        told = ends(tried)
+        names = told.select(F.col("a").alias("node")).union(told.select("b")).distinct()
+        trees = stored(components(names, told).withColumnRenamed("component", "tree"), "told-trees")
+        bad = ends(missed).select(F.col("a").alias("node")).join(trees, "node").select("tree").distinct()
+        doubtful = trees.join(bad, "tree").select(F.col("node").alias("component"))
+        return stored(parts.join(doubtful, "component").select("node"), "suspects")
+
     def cut(self, rows: DataFrame) -> DataFrame:
         """The rows of large keys by tile of sizes and pair of chunks."""
         # A partner is at most a quarter larger, so it is of the same tile of sizes or the next.
@@ -554,15 +568,18 @@ def shingle_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         new = join.verified(tried)
         edges = new if edges is None else edges.unionByName(new)
         parts = stored(components(names, edges), "parts")
-    failed = None
+    failed = suspects = None
     while True:
-        tried = stored(join.remaining_forests(parts, failed), "forests")
+        searched = parts if suspects is None else parts.join(suspects, "node")
+        tried = stored(join.remaining_forests(searched, failed), "forests")
         if tried.isEmpty():
             break
         new = join.verified(tried)
+        missed = stored(tried.join(new, ["a", "b"], "left_anti"), "no-links")
         edges = edges.unionByName(new)
+        if not missed.isEmpty():
+            suspects = join.suspects(searched, tried, missed)
         parts = stored(components(names, edges), "parts")
-        missed = stored(tried.join(new, ["a", "b"], "left_anti"), "no-links")
         if missed.isEmpty():
             break
         failed = missed if failed is None else failed.unionByName(missed)

@@ -189,6 +189,20 @@ def test_search_goes_on_until_all_edges_link(spark, monkeypatch):
     assert result(J.shingle_components(frame)) == expected(rows)
 
 
+def test_many_near_copies_just_below_the_threshold(spark):
+    # Texts of 300 words with a few words changed each: most pairs are just below 0.8.
+    rng = random.Random(6)
+    words = sentence(rng, 300).split()
+    rows = []
+    for i in range(120):
+        own = list(words)
+        for at in rng.sample(range(300), 4 + i % 2):
+            own[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(own)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(J.shingle_components(frame)) == expected(rows)
+
+
 def test_tokens_are_shingles(edge_rows):
     powers = J.Powers()
     for _, text, *_ in edge_rows:
