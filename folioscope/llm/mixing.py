@@ -14,8 +14,10 @@ With a ``budget``, the share of all tokens to keep, a category with too few toke
 whole and the sample is smaller by what it lacks.  ``mixing_report`` tells what every category gets, and
 the largest gap of each marginal is logged, as a warning beyond ``TOLERANCE``.
 
-Only the sums of cells reach the driver; there may be ``MAX_CELLS`` of them at most, and more raise an
-error.  Defined results: null sources and languages are a category of their own (``""``); categories
+Only the sums of cells reach the driver, if there are ``MAX_CELLS`` of them at most.  More are raked by
+Spark in the same way (``CellTable``): a table of cells, per round three grouped sums that are joined back to
+it, until no probability moves by more than ``SETTLED`` or for ``SPARK_ROUNDS`` rounds, and an ordinary join
+with the documents.  Defined results: null sources and languages are a category of their own (``""``); categories
 without tokens or without a target have probability 0 only if targets are given and leave them out;
 texts without words count as one token; repeated rows have the same fate; an empty table gives an
 empty one.
@@ -25,12 +27,14 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import UPPER
+from folioscope.session import stored
 
 MAX_CELLS = 100_000
 #: No budget is searched beyond this share of the tokens: all of them.
@@ -41,6 +45,9 @@ ROUNDS = 2000
 TOLERANCE = 0.001
 #: Halvings of the interval in which the largest budget lies.
 STEPS = 12
+#: Where Spark rakes: rounds, and the change of a probability, as part of the largest one, that is none.
+SPARK_ROUNDS = 200
+SETTLED = 1e-6
 SEED = 17
 
 logger = logging.getLogger(__name__)
@@ -145,6 +152,90 @@ def rake_most(cells: np.ndarray, tokens: np.ndarray, targets: list[dict[str, flo
     return best
 
 
+class CellTable:
+    """Raking where the cells are a table: ``rake``, ``gaps`` and ``rake_most`` on DataFrames."""
+
+    def __init__(self, sums: DataFrame, flatten: float, targets: list[Mapping[str, float] | None], weights: list[Mapping[str, float] | None]):
+        self.cells = stored(sums, "mix-cells")
+        self.total = self.cells.agg(F.sum("tokens")).first()[0]
+        self.goals = [stored(self._goal(*x), "mix-goals") for x in zip(MARGINALS, targets, weights, [flatten] * len(MARGINALS), strict=True)]
+
+    def _goal(self, name: str, target: Mapping[str, float] | None, weights: Mapping[str, float] | None, flatten: float) -> DataFrame:
+        """``(category, have, share)`` of one marginal."""
+        sums = self.cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("have"))
+        given = weights if target is None else target
+        # As many rows as the caller gave.
+        given = self.cells.sparkSession.createDataFrame([(k, float(v)) for k, v in (given or {}).items()], f"{name} string, given double")
+        sums = sums.join(F.broadcast(given), name, "left")
+        raw = F.pow("have", F.lit(flatten)) * F.coalesce("given", F.lit(1.0)) if target is None else F.coalesce("given", F.lit(0.0))
+        sums = sums.withColumn("raw", raw)
+        whole = sums.agg(F.sum("raw")).first()[0] or 0.0
+        return sums.select(name, "have", (F.col("raw") / whole if whole else F.lit(0.0)).alias("share"))
+
+    def rake(self, budget: float, rounds: int = SPARK_ROUNDS) -> DataFrame:
+        """``cells`` and ``p``."""
+        p = self.cells.withColumn("p", F.lit(min(1.0, budget)))
+        wanted = budget * float(self.total)
+        for _ in range(rounds):
+            moved = p.withColumn("before", F.col("p"))
+            for name, goal in zip(MARGINALS, self.goals, strict=True):
+                have = moved.groupBy(name).agg(F.sum(F.col("tokens") * F.col("p")).alias("now"))
+                scale = have.join(goal, name).select(name, F.when(F.col("now") > 0, F.col("share") * wanted / F.col("now")).otherwise(0.0).alias("scale"))
+                moved = moved.join(scale, name).withColumn("p", F.least(F.lit(1.0), F.col("p") * F.col("scale"))).drop("scale")
+            # Written, so that a round is not computed again by the next.
+            p = stored(moved.select(*MARGINALS, "tokens", "p", "before"), "mix-round")
+            far = p.agg(F.max(F.abs(F.col("p") - F.col("before"))).alias("moved"), F.max("p").alias("most")).first()
+            if not far["moved"] > SETTLED * far["most"]:
+                break
+        return p.drop("before")
+
+    def kept(self, p: DataFrame) -> float:
+        return float(p.agg(F.sum(F.col("tokens") * F.col("p"))).first()[0] or 0.0)
+
+    def gaps(self, p: DataFrame) -> list[DataFrame]:
+        """By marginal, ``(category, have, kept, target, share, gap)``."""
+        total = self.kept(p) or 1.0
+        out = []
+        for name, goal in zip(MARGINALS, self.goals, strict=True):
+            kept = p.groupBy(name).agg(F.sum(F.col("tokens") * F.col("p")).alias("kept")).withColumn("now", F.col("kept") / total)
+            gap = F.when(F.col("share") > 0, F.abs(F.col("now") / F.nullif("share", F.lit(0.0)) - 1.0)).otherwise(F.col("now"))
+            out.append(kept.join(goal, name).select(F.col(name).alias("category"), "have", "kept", F.col("share").alias("target"), F.col("now").alias("share"), gap.alias("gap")))
+        return out
+
+    def rake_most(self) -> DataFrame:
+        bounds = [g.where("share > 0").agg(F.min(F.col("have") / F.col("share"))).first()[0] for g in self.goals]
+        high = min([BUDGET, *(b / float(self.total) for b in bounds if b is not None)])
+        best = self.rake(high * 1e-6)
+        most = best.agg(F.max("p")).first()[0]
+        if not most > 0:
+            return best
+        low = high * 1e-6 / most
+        best = best.withColumn("p", F.col("p") / most)
+        allowed = [stored(g.select("category", (F.col("gap") + TOLERANCE).alias("allowed")), "mix-allowed") for g in self.gaps(best)]
+        budget = high
+        for _ in range(STEPS):
+            if budget <= low:
+                break
+            p = self.rake(budget)
+            if all(g.join(a, "category").where("gap > allowed").isEmpty() for g, a in zip(self.gaps(p), allowed, strict=True)):
+                best, low = (p, budget) if self.kept(p) >= self.kept(best) else (best, budget)
+            else:
+                high = budget
+            if low == budget == high:
+                break
+            budget = (low + high) / 2
+        return best
+
+
+def _told(names: list[str], found: list[DataFrame], report: list | None) -> None:
+    """Logs the gaps of a table of cells, and adds them to a report."""
+    for n, g in zip(names, found, strict=True):
+        gap = g.agg(F.max("gap")).first()[0]
+        logger.log(logging.WARNING if gap > 2 * TOLERANCE else logging.INFO, "mixing: a %s misses its share by %.4f of it", n, gap)
+        if report is not None:
+            report.append(g.select(F.lit(n).alias("marginal"), "category", F.col("have").alias("tokens"), F.col("kept").alias("kept_tokens"), "target", "share", "gap"))
+
+
 def _mixed(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -174,14 +265,18 @@ def _mixed(
     )
     sums = marked.groupBy(*MARGINALS).agg(F.sum("mix_tokens").alias("tokens")).orderBy(*MARGINALS)
     rows = sums.limit(max_cells + 1).collect()
+    names = [c.removeprefix("mix_") for c in MARGINALS]
     if len(rows) > max_cells:
-        raise ValueError(f"more than {max_cells} cells of source, language and topic")
+        table = CellTable(sums, flatten, [(targets or {}).get(n) for n in names], [(weights or {}).get(n) for n in names])
+        p = table.rake_most() if budget is None else table.rake(budget)
+        _told(names, table.gaps(p), report)
+        chances = stored(p.select(*MARGINALS, F.col("p").alias("mix_probability")), "mix-chances")
+        return marked.join(chances, list(MARGINALS)).withColumn("mix_kept", F.col("mix_number") < F.col("mix_probability"))
     schema = ", ".join(f"{c} string" for c in MARGINALS) + ", mix_probability double"
     spark = documents.sparkSession
     if rows:
         cells = np.array([[r[c] for c in MARGINALS] for r in rows], dtype=object).astype(str)
         tokens = np.array([r["tokens"] for r in rows], dtype=np.float64)
-        names = [c.removeprefix("mix_") for c in MARGINALS]
         wanted = [shares(cells[:, i], tokens, flatten, (targets or {}).get(n), (weights or {}).get(n)) for i, n in enumerate(names)]
         p = rake_most(cells, tokens, wanted) if budget is None else rake(cells, tokens, wanted, budget)
         missed = gaps(cells, tokens, wanted, p)
@@ -219,5 +314,7 @@ def mixing_report(documents: DataFrame, **options) -> DataFrame:
     each category; ``gap`` is the part of its target share that it misses or exceeds."""
     rows: list = []
     _mixed(documents, report=rows, **options)
+    if rows and isinstance(rows[0], DataFrame):
+        return reduce(DataFrame.unionByName, rows)
     schema = "marginal string, category string, tokens double, kept_tokens double, target double, share double, gap double"
     return documents.sparkSession.createDataFrame(rows, schema)

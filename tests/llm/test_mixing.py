@@ -41,10 +41,23 @@ def test_given_targets_leave_categories_out(edge):
     assert {r.lang for r in kept.select("lang").collect()} <= {"en"}
 
 
-def test_empty_and_bound(empty, edge):
+def test_empty(empty):
     assert mixing.mix(empty).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mixing_probabilities(edge, max_cells=2)
+    assert mixing.mix(empty, max_cells=0).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"budget": 0.4, "targets": {"source": {"a": 3.0, "b": 1.0}}}, {"weights": {"lang": {"x": 0.7}}}])
+def test_more_cells_than_the_driver_takes(spark, options, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 2)
+    rows = [(i, "w " * (20 + 7 * i % 50), "ab"[i % 2], "xy"[i // 2 % 2]) for i in range(24)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").coalesce(1)
+    chance = lambda **more: {r.doc_id: (r.mix_probability, r.mix_kept) for r in mixing.mixing_probabilities(frame, **options, **more).collect()}
+    driver, table = chance(), chance(max_cells=2)
+    assert driver.keys() == table.keys() and len(driver) == len(rows)
+    assert max(abs(driver[k][0] - table[k][0]) for k in driver) < 1e-4
+    if not options:
+        report = lambda **more: sorted((r.marginal, r.category, r.tokens, round(r.kept_tokens, 3)) for r in mixing.mixing_report(frame, **more).collect())
+        assert report() == report(max_cells=2)
 
 
 def test_shares_on_the_tables(spark, sf_dir):
