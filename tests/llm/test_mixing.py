@@ -65,9 +65,14 @@ def test_shares_on_the_tables(spark, sf_dir):
     total = sum(r.mix_tokens for r in rows)
     expected = sum(r.mix_tokens * r.mix_probability for r in rows)
     drawn = sum(r.mix_tokens for r in rows if r.mix_kept)
-    # Short of the budget by what the scarce forms of text lack.
-    assert 0.4 < expected / total <= mixing.BUDGET + 1e-9
-    assert abs(drawn / expected - 1) < 0.2
+    # Shares that are those of the corpus are met by the corpus.
+    assert expected == pytest.approx(total)
+    assert drawn == total
+    weighted = mixing.mixing_report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), weights={"lang": {"en": 0.5}}).collect()
+    langs = {r.category: r for r in weighted if r.marginal == "lang"}
+    kept = {k: r.kept_tokens / r.tokens for k, r in langs.items()}
+    # Half of the corpus' share for one language, by its tokens against each other's.
+    assert all(kept["en"] / kept[k] == pytest.approx(0.5, rel=0.01) for k in kept if k != "en")
 
 
 def test_nothing_is_dropped_that_no_weight_asks_for(edge):
