@@ -68,6 +68,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a table as a stream, whether the table is one file or a folder of them.
+
+    A stream's path must be a folder or a pattern, so the name is given as a pattern that only it matches.
+    """
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def embedder(size: int = C.VECTOR_SIZE):
     return lambda: HashingEmbedder(size)
 
@@ -302,11 +310,7 @@ def ingest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same files as a stream."""
     folder = fresh_folder(spark, "stream-ingest")
-    documents = (
-        spark.readStream.schema(table(spark, sf_dir, "documents").schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-    )
+    documents = table_stream(spark, sf_dir, "documents")
     collection = Collection(spark, folder)
     start_ingest(as_files(documents), collection, text_parser, f"{folder}/checkpoint").awaitTermination()
     return collection.files().drop("path", "ingest")
@@ -623,21 +627,16 @@ def history_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``history_window`` from a stateful stream."""
     folder = fresh_folder(spark, "stream-history")
-    stream = (
-        spark.readStream.schema(messages(spark, sf_dir).schema)
-        .option("pathGlobFilter", "conversations.parquet")
-        .parquet(sf_dir)
-    )
+    rows = history_stream(table_stream(spark, sf_dir, "conversations"), "conv_id", page_turns=QUERY_PAGE_TURNS)
     started = (
-        history_stream(stream, "conv_id", page_turns=QUERY_PAGE_TURNS)
-        .writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .option("path", f"{folder}/rows")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     started.awaitTermination()
-    return spark.read.parquet(f"{folder}/rows")
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
 @query

@@ -28,7 +28,8 @@ def history_stream(
     needs that time, since pages with gaps and the last pages of sessions would stay, while a run
     over what is available must do without, as Spark never ends one with such a time.  A turn that was already seen is a repetition and gives
     no row; a turn that arrives late gets the turns before it, and those after it had been told
-    without it.
+    without it.  Messages without a turn have no page and follow each other as they arrive; their state
+    goes by time alone.
     """
     paged = messages.select(
         session,
@@ -50,14 +51,20 @@ def history_stream(
             state.remove()
             return
         seen = {int(t): entry for t, entry in json.loads(state.get[0])} if state.exists else {}
-        arrived = pd.concat(list(chunks)).drop_duplicates(turn).sort_values(turn)
-        arrived = arrived[~arrived[turn].isin(seen.keys())]
-        seen.update(zip(arrived[turn].astype(int), arrived["entry"]))
+        arrived = pd.concat(list(chunks))
+        placed = not pd.isna(key[1])
+        if placed:
+            arrived = arrived.drop_duplicates(turn).sort_values(turn)
+            arrived = arrived[~arrived[turn].isin(seen.keys())]
+            places = [int(t) for t in arrived[turn]]
+        else:
+            places = list(range(len(seen), len(seen) + len(arrived)))
+        seen.update(zip(places, arrived["entry"]))
         tails, tail = {}, ""
         for at in sorted(seen):
             tails[at] = tail
             tail += seen[at]
-        if len(seen) >= page_turns:
+        if placed and len(seen) >= page_turns:
             state.remove()
         else:
             state.update((json.dumps(sorted(seen.items())),))
@@ -67,8 +74,8 @@ def history_stream(
             {
                 session: arrived[session],
                 turn: arrived[turn],
-                "page": key[1],
-                "history_tail": [tails[int(at)] for at in arrived[turn]],
+                "page": key[1] if placed else None,
+                "history_tail": [tails[at] for at in places],
             }
         )
 

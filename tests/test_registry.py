@@ -47,3 +47,19 @@ def test_query_equals_sql(spark, connection, sf_dir, name):
 def test_entry(spark, sf_dir):
     frame = entry_module.entry(spark)
     assert frame.count() > 0
+
+
+def _in_parts(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    said = [(i, t, "user", f"m{i}-{t}") for i in range(4) for t in range(5)] + [(1, None, "user", "somewhere"), (None, 0, "user", "nobody")]
+    _in_parts(spark, tmp_path, "conversations", said, "conv_id long, turn long, role string, text string")
+    _in_parts(spark, tmp_path, "conversations.parquet.old", [(99, 0, "user", "other")], "conv_id long, turn long, role string, text string")
+    told = QUERIES["stream_history"](spark, str(tmp_path))
+    assert sorted(map(tuple, told.collect()), key=repr) == sorted(map(tuple, QUERIES["history_window"](spark, str(tmp_path)).collect()), key=repr)
+    assert told.count() == len(said)
+    texts = [(i, f"text {i}", "en", "a", 6) for i in range(9)]
+    _in_parts(spark, tmp_path, "documents", texts, "doc_id long, text string, lang string, source string, n_chars long")
+    assert QUERIES["stream_ingest"](spark, str(tmp_path)).count() == len(texts)
