@@ -7,6 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,17 +32,37 @@ def _once(udf):
     return udf.asNondeterministic()
 
 
+#: Texts, and about the bytes of them, that a task of a model has as Python objects at once.
+_SLICE_ROWS, _SLICE_BYTES = 512, 4 << 20
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch in slices, so that only a slice of its texts and of their vectors is held besides it.
+
+    An empty batch is one empty slice.
+    """
+    rows = min(_SLICE_ROWS, max(1, len(texts) * _SLICE_BYTES // max(texts.nbytes, 1)))
+    for at in range(0, max(len(texts), 1), rows):
+        yield texts.slice(at, rows)
+
+
+def _vectors(found: Iterable) -> pa.Array:
+    rows = [np.asarray(v, dtype=np.float32) for v in found]
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    values = np.concatenate(rows) if rows else np.empty(0, np.float32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.float32()))
+
+
 def embed_column(make_embedder: Callable[[], Embedder], text: Column) -> Column:
     """``ARRAY<FLOAT>`` vectors of ``text``.  An error of the service fails the task,
     and Spark retries it."""
 
-    @F.pandas_udf(VECTOR)
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(VECTOR)
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder = make_embedder()
         for texts in batches:
-            yield pd.Series(
-                [np.asarray(v, dtype=np.float32) for v in embedder.embed(texts)], dtype=object
-            )
+            for part in _slices(texts):
+                yield _vectors(embedder.embed(part.to_pylist()))
 
     return _once(embed)(text)
 

@@ -220,3 +220,22 @@ def test_hosted_reranker_scores_a_question_in_one_call(spark):
     assert sorted((r["question_id"], r["position"], r["rank"], r["rerank_score"]) for r in best) == [
         (q, p, r, s) for q in (1, 2) for p, r, s in ((1, 2, 0.06), (2, 4, 0.05))
     ]
+
+
+def test_vectors_are_made_in_small_slices(spark):
+    """However many texts a batch has, and however long they are, few are taken at a time."""
+    most = spark.sparkContext.accumulator(0)
+
+    class Largest:
+        def embed(self, texts):
+            texts = list(texts)
+            if len(texts) > 512 or (len(texts) > 1 and sum(len(t or "") for t in texts) > 8 << 20):
+                most.add(1)
+            return [np.array([len(t or ""), 1.0]) for t in texts]
+
+    long = F.when(F.col("id") < 3000, F.repeat(F.lit("x"), 10_000)).when(F.col("id") % 7 > 0, F.col("id").cast("string"))
+    frame = spark.range(0, 8000, numPartitions=1).select("id", long.alias("text"))
+    vectors = frame.select("id", F.coalesce(F.length("text"), F.lit(0)).alias("n"), embed_column(Largest, F.col("text")).alias("v"))
+    assert vectors.where((F.size("v") == 2) & (F.col("v")[0] == F.col("n"))).count() == 8000
+    assert most.value == 0
+    assert frame.where("id < 0").select(embed_column(Largest, F.col("text"))).count() == 0
