@@ -296,9 +296,13 @@ class Collection:
         latest = stored(latest_rows(points, "id", version).select("id", "vector", "payload"), "upsert")
         touched = self.located_points().select("id", "_file").join(latest.select("id"), "id", "left_semi")
         names = [row["_file"] for row in touched.select("_file").distinct().collect()]
-        kept = self._of_files(names).join(latest.select("id"), "id", "left_anti")
-        # By ranges of ids, so that the files to copy next time, or to scroll, are few.
-        self.write_points(kept.unionByName(latest).repartitionByRange("id"), number)
+        # By ranges of ids, so that the files to copy next time, or to scroll, are few.  All rows of an id
+        # come together there, so the replaced ones are found without moving the points for a join.
+        both = self._of_files(names).withColumn("_new", F.lit(0)).unionByName(latest.withColumn("_new", F.lit(1)))
+        ranged = both.repartitionByRange("id").withColumn("_newest", F.max("_new").over(Window.partitionBy("id")))
+        # An id that is null replaces none.
+        stays = F.col("id").isNull() | (F.col("_new") == F.col("_newest"))
+        self.write_points(ranged.where(stays).drop("_new", "_newest"), number)
         gone = self.spark.createDataFrame([(name.split("/")[-1],) for name in names], "file string")
         gone.coalesce(1).write.mode("overwrite").parquet(f"{self._table('removed')}/ingest={number}")
         self._write_entries(number)
@@ -309,10 +313,12 @@ class Collection:
 def latest_rows(incoming: DataFrame, key: str = "id", version: Column | None = None) -> DataFrame:
     """One row per key: that with the largest ``version``, or without one the largest row by its columns."""
     row = F.struct(*incoming.columns)
-    latest = incoming.groupBy(F.col(key).alias("_key")).agg(
-        F.max_by(row, F.struct(version, row) if version is not None else row).alias("_row")
-    )
-    return latest.select("_row.*")
+    # The largest struct rather than ``max_by``, which would carry the row twice.
+    if version is None:
+        best, row = F.max(row), "_row.*"
+    else:
+        best, row = F.max(F.struct(version.alias("version"), row.alias("row"))), "_row.row.*"
+    return incoming.groupBy(F.col(key).alias("_key")).agg(best.alias("_row")).select(row)
 
 
 def keep_latest(

@@ -342,3 +342,24 @@ def test_upsert_keeps_the_latest_of_repeated_rows(spark):
     new = spark.createDataFrame([("b", 9, 1), ("b", 3, 2), ("c", 4, 1), ("c", 4, 1)], "id string, v int, at int")
     assert sorted(map(tuple, keep_latest(old, new, version=F.col("at")).collect())) == [("a", 1, 0), ("b", 3, 2), ("c", 4, 1)]
     assert sorted(map(tuple, keep_latest(old, new).collect())) == [("a", 1, 0), ("b", 9, 1), ("c", 4, 1)]
+
+
+def test_an_upsert_moves_the_points_once(spark, several_files):
+    c, plans = collection(spark).create_if_absent(), []
+
+    class Seen(Collection):
+        def write_points(self, points, ingest):
+            plans.append(points._jdf.queryExecution().executedPlan().toString())
+            return super().write_points(points, ingest)
+
+    c.upsert(many_points(spark, 60).repartition(3))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        twice = many_points(spark, 70).where("id >= 30")
+        Seen(spark, c.path, c.name, c.vector_size).upsert(twice.unionAll(twice))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans[0].count("Exchange") == 1 and "Join" not in plans[0]
+    ids = [r["id"] for r in c.points().select("id").collect()]
+    assert len(ids) == len(set(ids)) and {r["id"] for r in many_points(spark, 70).collect()} <= set(ids)
+    assert "max_by" not in keep_latest(twice, twice)._jdf.queryExecution().executedPlan().toString()
