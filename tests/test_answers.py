@@ -232,3 +232,29 @@ def test_renumbered_documents_keep_their_style(spark):
     assert best["none"]["page_content"] == "q"
     assert best["prefix"]["page_content"] == "[Source: g, page 3]\nq"
     assert best["suffix"]["page_content"] == "q [1]"
+
+
+@pytest.mark.parametrize("on", ["text", "page_content"])
+def test_reranked_documents_are_those_of_rerank_without_a_sort_of_texts(spark, on):
+    payload = "struct<file_name:string,page_number:string,text:string>"
+    rows = [(f"p{i % 9}", (f"f{i}", str(i), f"the owl {'hunts ' * (i % 3)}at w{i}")) for i in range(14)]
+    rows += [rows[0], ("p3", (None, None, None))]  # ids of several points, one of them twice
+    points = spark.createDataFrame(rows, f"id string, payload {payload}")
+    hits = spark.createDataFrame(
+        [(q, r, f"p{(q * r) % 9}", 1.0 / r) for q in range(6) for r in range(1, 8)] + [(2, 8, None, 0.0)],
+        "question_id int, rank int, id string, score double",
+    )
+    asked = [(0, "owl hunts"), (1, "w4 w5 w6 w7"), (2, "at w1"), (3, ""), (4, None), (4, "owl")]
+    questions = spark.createDataFrame(asked, "question_id int, question string")
+    for options in ({}, {"renumber": True, "citation": "prefix"}):
+        documents = answers.cited_documents(hits, points, options.get("citation", "suffix"))
+        old = answers.rerank(documents, questions, 40, on=on, **options)
+        new = answers.reranked_documents(hits, points, questions, 40, on=on, **options)
+        assert new.columns == old.columns
+        columns = [c for c in old.columns if c not in ("position", *(("reference_number", "page_content") if options else ()))]
+        key = lambda row: tuple(map(str, row))
+        assert sorted(map(key, new.select(columns).collect())) == sorted(map(key, old.select(columns).collect()))
+    few = answers.reranked_documents(hits, points, questions, 2, on=on)
+    assert few.groupBy("question_id").count().where("count > 2").isEmpty()
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan

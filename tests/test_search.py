@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.operators import search
 from folioscope.operators.search import top_k
 from folioscope.operators.splits import packed
 from folioscope.session import stored
@@ -108,3 +109,25 @@ def test_blocks_are_cut_and_padded(spark):
         matrix = np.frombuffer(b["vectors"]).reshape(b["n"], b["most"])
         for i, row in zip(b["id"], matrix, strict=True):
             assert row.tolist() == ([float(i)] * (i % 3) + [0.0] * b["most"])[: b["most"]]
+
+
+@pytest.mark.parametrize("split_bytes", [1 << 28, 200])
+def test_groups_of_questions_give_the_same_hits_in_bounded_tasks(spark, data, split_bytes, monkeypatch):
+    questions, points = data
+    q = spark.createDataFrame(questions, "question_id int, vector array<float>").repartition(5)
+    p = spark.createDataFrame(points, SCHEMA).repartition(7)
+    rows = lambda: sorted(map(tuple, top_k(q, p, 5, split_bytes=split_bytes).collect()))
+    whole = rows()
+    assert [r[:3] for r in whole] == [e[:3] for e in brute_force(questions, points, 5)]
+    monkeypatch.setattr(search, "_GROUP_HITS", 15)
+    # Three questions a group; without groups there was one task for all questions of a split.
+    groups, meet = [], search.meet
+    monkeypatch.setattr(search, "meet", lambda *given: groups.append(given[-1]) or meet(*given))
+    assert rows() == whole
+    assert groups == [4]
+
+
+def test_packed_vectors_keep_their_type(spark):
+    bytes_of = lambda kind: packed(spark.createDataFrame([("a", [0.1, 0.2])], f"ids string, vector array<{kind}>"), "vector").first()["vectors"]
+    assert bytes(bytes_of("float")) == np.array([0.1, 0.2], np.float32).tobytes()
+    assert bytes(bytes_of("double")) == np.array([0.1, 0.2]).tobytes()
