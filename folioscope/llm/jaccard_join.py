@@ -12,7 +12,7 @@ Two documents link when their sets of five-word shingles have ``100 * shared >=
   the needed overlap are dropped.  The others are verified on their complete sets.
 * First each key's nodes are tried against one of them, which joins most of what belongs together; nodes
   of one component need no more pairs.  The rest, nodes of one key in different components, is searched
-  with an R-tree per key: it is packed by the counts, an inner node holds the largest count of
+  with an R-tree for all keys with one first node, or one per key if that has very many: it is packed by the counts, an inner node holds the largest count of
   each group below it, and a branch whose summed minima with a query are too small is not entered.
 * What a tree lets through is bounded once more in its task, by counts of 65,536 groups, which is nearly the
   overlap itself.  A task tells a spanning forest of the pairs that pass, never the pairs, so what leaves
@@ -49,6 +49,13 @@ SMALL = 64
 STAR_ROUNDS = 1
 #: Nodes of a key that one task searches at once; keys of more are cut.
 CHUNK = 1_000
+#: Tokens of nodes that are searched together.
+CHUNK_TOKENS = 2_000_000
+#: The tile of rows that are searched by label.
+GATHERED = -2
+#: Ends of pairs that a block is asked for at once, and bytes of sets that it sends at once.
+ASKED_ENDS = 10_000
+SENT_BYTES = 4 << 20
 #: Keys of each node by which a pair that shares several is told once rather than for each of them.
 LOWEST_KEYS = 12
 FAN_OUT = 16
@@ -313,13 +320,31 @@ def _found(buckets: int):
     return run
 
 
+_SIDES = "a binary, b binary, tokens binary"
+
+
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The complete sets of the nodes that a block is asked for."""
+    """The complete sets that a block is asked for, one row for each pair and end."""
     powers = Powers()
     for row in B.rows_of(batches):
         _, starts, data = B.texts_of(row)
-        got = [(x["node"], token_set(data[starts[x["place"]] : starts[x["place"] + 1]], powers).tobytes()) for x in row["wanted"]]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.binary()) for i in (0, 1)], names=["node", "tokens"])
+        # Ends of one node follow each other, so its set is made once.
+        out, size, place, tokens = [], 0, None, b""
+        for x in sorted(row["wanted"], key=lambda x: x["place"]):
+            if x["place"] != place:
+                place = x["place"]
+                tokens = token_set(data[starts[place] : starts[place + 1]], powers).tobytes()
+            out.append((x["a"], x["b"], tokens))
+            size += len(tokens)
+            if size >= SENT_BYTES:
+                yield _sides(out)
+                out, size = [], 0
+        if out:
+            yield _sides(out)
+
+
+def _sides(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()) for x in zip(*rows, strict=True)], names=["a", "b", "tokens"])
 
 
 # --- pairs of nodes ---
@@ -337,13 +362,23 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that link, from rows sorted by pair, two of each."""
+    last = None
     for batch in batches:
-        columns = batch.to_pydict()
-        keep = []
-        for x, y in zip(columns["tokens_a"], columns["tokens_b"], strict=True):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            keep.append(links(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        found = []
+        for a, b, tokens in zip(*batch.columns, strict=True):
+            pair, tokens = (a.as_py(), b.as_py()), tokens.as_buffer()
+            if last is None:
+                # Kept as a copy, as the pair's other row may be in the next batch.
+                last = pair, tokens.to_pybytes()
+                continue
+            if last[0] != pair:
+                raise ValueError("a pair without one of its sets")
+            x, y = np.frombuffer(last[1], np.uint64), np.frombuffer(tokens, np.uint64)
+            if links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+                found.append(pair)
+            last = None
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
 
 class Forest:
@@ -408,7 +443,7 @@ def _search_group(rows: pa.Table, forest: Forest) -> Iterator[tuple[bytes, bytes
     size = 1 << max(4, min(12, int(n.min()).bit_length() - 2))
     points = np.stack([np.bincount(g & (size - 1), minlength=size) for g in groups]).astype(np.uint16)
     # A pair that shares a smaller key is told there.
-    told = [frozenset(k for k in ks if k < key) for ks in lowest]
+    told = [frozenset(k for k in ks or () if k < key) for ks in lowest]
     exact: dict[int, np.ndarray] = {}
 
     def elements(i: int) -> np.ndarray:
@@ -441,9 +476,12 @@ class _Join:
         first = Window.partitionBy("node").orderBy("block")
         self.nodes = stored(nodes.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth"), "nodes")
 
-    def keyed(self, parts: DataFrame) -> DataFrame:
-        """``(key, node, component, n)``; components are joined before the keys become rows."""
-        return self.nodes.select("node", "n", "keys").join(parts, "node").select(F.explode("keys").alias("key"), "node", "component", "n")
+    def keyed(self, parts: DataFrame | None) -> DataFrame:
+        """``(key, node, component, n)``; components are joined before the keys become rows.  Without
+        parts every node is its own."""
+        own = self.nodes.select("node", "n", "keys")
+        held = own.withColumn("component", F.col("node")) if parts is None else own.join(parts, "node")
+        return held.select(F.explode("keys").alias("key"), "node", "component", "n")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         left = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("counts_a"))
@@ -453,31 +491,38 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, by their complete sets."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        held = ends.join(self.nodes.select("node", "block", "place"), "node")
-        wanted = held.groupBy("block").agg(F.collect_list(F.struct("node", "place")).alias("wanted"))
+        # A set goes straight to where the pair's other one goes, and is neither stored nor moved with the pair.
+        end = lambda c: pairs.select("a", "b", F.col(c).alias("node"))
+        ends = end("a").union(end("b")).join(self.nodes.select("node", "block", "place"), "node")
+        # A node of very many pairs is asked for in parts.
+        parts = ends.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASKED_ENDS).alias("parts"))
+        dealt = ends.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")))
+        wanted = dealt.groupBy("block", "part").agg(F.collect_list(F.struct("a", "b", "place")).alias("wanted"))
         asked = self.blocks.table().join(wanted, "block").select("block", "ids", "starts", "data", "wanted")
-        sets = stored(asked.mapInArrow(_sets_of, "node binary, tokens binary"), "node-sets")
-        left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
-        right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
-        return stored(pairs.join(left, "a").join(right, "b").mapInArrow(_verified, "a binary, b binary"), "links")
+        sets = asked.mapInArrow(_sets_of, _SIDES).repartition("a", "b").sortWithinPartitions("a", "b")
+        return stored(sets.mapInArrow(_verified, "a binary, b binary"), "links")
 
-    def star_pairs(self, parts: DataFrame, turn: int) -> DataFrame:
+    def star_pairs(self, parts: DataFrame | None, turn: int) -> DataFrame:
         """Each key's nodes with one of them, if that is of another component."""
-        rows = self.keyed(parts).select("key", "node", "component", F.xxhash64("node", F.lit(turn)).alias("place"))
+        rows = self.keyed(parts)
+        place = F.xxhash64("node", F.lit(turn)).alias("place")
         # Joined rather than a window by key, which would be one task for a key of very many nodes.
-        first = rows.groupBy("key").agg(F.min("place").alias("place"))
-        head = rows.join(first, ["key", "place"]).select("key", F.col("node").alias("head"), F.col("component").alias("head_component"))
+        first = rows.select("key", place).groupBy("key").agg(F.min("place").alias("place"))
+        names = self.nodes.select("node", F.col("node").alias("component")) if parts is None else parts
+        heads = names.select(F.col("node").alias("head"), F.col("component").alias("head_component"), place)
+        head = first.join(heads, "place").drop("place")
         pairs = rows.join(head, "key").where(F.col("component") != F.col("head_component"))
         return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
     def open_keys(self, parts: DataFrame, least: int) -> DataFrame:
-        """``(key, nodes)`` of the keys with ``least`` nodes or more, of different components; of keys that
-        the very same nodes have, the smallest, where their pairs are told."""
+        """``(key, nodes, label)`` of the keys with ``least`` nodes or more, of different components; of keys that
+        the very same nodes have, the smallest, where their pairs are told.  The label is that of the node
+        that comes first by its hash."""
         part = F.xxhash64("component")
         who = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"who{i}") for i in range(2)]
-        seen = self.keyed(parts).groupBy("key").agg(F.min(part).alias("low"), F.max(part).alias("high"), F.count(F.lit(1)).alias("nodes"), *who)
-        return seen.where((F.col("low") != F.col("high")) & (F.col("nodes") >= least)).groupBy("nodes", "who0", "who1").agg(F.min("key").alias("key")).select("key", "nodes")
+        seen = self.keyed(parts).groupBy("key").agg(F.min(part).alias("low"), F.max(part).alias("high"), F.count(F.lit(1)).alias("nodes"), F.min(F.xxhash64("node")).alias("label"), *who)
+        same = seen.where((F.col("low") != F.col("high")) & (F.col("nodes") >= least)).groupBy("nodes", "who0", "who1")
+        return same.agg(F.min("key").alias("key"), F.min("label").alias("label")).select("key", "nodes", "label")
 
     def remaining_forests(self, parts: DataFrame, failed: DataFrame | None) -> DataFrame:
         """Spanning forests of the pairs that share a key, are of different components, pass the bounds and
@@ -485,11 +530,18 @@ class _Join:
         # The only pair of a key with two nodes was tried in the first round; later there are parts of keys.
         least = 3 if failed is None else 2
         rows = stored(self.keyed(parts).join(self.open_keys(parts, least), "key"), "open-rows")
-        # Nearly all keys are searched as a whole.
-        whole = rows.where(F.col("nodes") <= CHUNK).select(
-            "key", F.lit(0).alias("tile"), F.lit(0).alias("build_chunk"), F.lit(0).alias("probe_chunk"), "node", "component", F.lit(BOTH).alias("side")
-        )
-        rows = whole.unionByName(self.cut(rows.where(F.col("nodes") > CHUNK)))
+        # Near copies have many keys in common and mostly the same first node in them; keys with one first node
+        # are searched together, so a node is sent once for each such node and not once for each key.
+        held = stored(rows.select("label", "node", "component", "n").distinct(), "gathered")
+        sizes = held.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens"))
+        small = stored(sizes.where((F.col("nodes") <= CHUNK) & (F.col("tokens") <= CHUNK_TOKENS)).select("label"), "labels")
+        as_whole = lambda key, tile: [
+            F.col(key).alias("key"), F.lit(tile).alias("tile"), F.lit(0).alias("build_chunk"), F.lit(0).alias("probe_chunk"), "node", "component", F.lit(BOTH).alias("side")
+        ]
+        gathered = held.join(small, "label").select(*as_whole("label", GATHERED))
+        rows = rows.join(small, "label", "left_anti")
+        whole = rows.where(F.col("nodes") <= CHUNK).select(*as_whole("key", 0))
+        rows = gathered.unionByName(whole).unionByName(self.cut(rows.where(F.col("nodes") > CHUNK)))
         points = self.nodes.select("node", "n", "sketch", F.slice(F.array_sort("keys"), 1, LOWEST_KEYS).alias("lowest"))
         if failed is None:
             points = points.withColumn("failed", F.lit(None).cast("array<binary>"))
@@ -497,7 +549,9 @@ class _Join:
             ends = failed.select(F.col("a").alias("node"), "b").union(failed.select(F.col("b"), F.col("a")))
             points = points.join(ends.groupBy("node").agg(F.collect_set("b").alias("failed")), "node", "left")
         # Many small groups: a task goes through its own in order rather than calling Python for each.
-        sorted_rows = rows.join(points, "node").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
+        # All pairs of what was gathered are told there.
+        placed = rows.join(points, "node").withColumn("lowest", F.when(F.col("tile") != GATHERED, F.col("lowest")))
+        sorted_rows = placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
         return sorted_rows.mapInArrow(_searched, "a binary, b binary").distinct()
 
     def suspects(self, parts: DataFrame, tried: DataFrame, missed: DataFrame) -> DataFrame:
@@ -564,7 +618,7 @@ def shingle_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     parts = names.withColumn("component", F.col("node"))
     edges = None
     for turn in range(STAR_ROUNDS):
-        tried = stored(join.bounded(join.star_pairs(parts, turn)), "star-pairs")
+        tried = stored(join.bounded(join.star_pairs(parts if turn else None, turn)), "star-pairs")
         new = join.verified(tried)
         edges = new if edges is None else edges.unionByName(new)
         parts = stored(components(names, edges), "parts")

@@ -189,6 +189,35 @@ def test_search_goes_on_until_all_edges_link(spark, monkeypatch):
     assert result(J.shingle_components(frame)) == expected(rows)
 
 
+def test_nodes_are_searched_once_for_keys_with_one_first_node(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(J, "stored", lambda frame, label, put=J.stored: kept.setdefault(label, put(frame, label)) if label in ("open-rows", "gathered") else put(frame, label))
+    rng = random.Random(3)
+    words = sentence(rng, 200).split()
+    rows = []
+    for i in range(20):
+        own = list(words)
+        for at in rng.sample(range(200), 6):
+            own[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(own)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(J.shingle_components(frame)) == expected(rows)
+    assert 0 < kept["gathered"].count() < 0.7 * kept["open-rows"].count()
+    # Where they are too many to be searched together, key by key.
+    monkeypatch.setattr(J, "CHUNK_TOKENS", 1_000)
+    assert result(J.shingle_components(frame)) == expected(rows)
+
+
+def test_sets_go_to_their_pairs_and_are_not_stored(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(J, "stored", lambda frame, label, put=J.stored: labels.append(label) or put(frame, label))
+    monkeypatch.setattr(J, "ASKED_ENDS", 3)
+    monkeypatch.setattr(J, "SENT_BYTES", 1)
+    rows = near_rows(9, 20)
+    assert result(J.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"))) == expected(rows)
+    assert "links" in labels and "node-sets" not in labels
+
+
 def test_many_near_copies_just_below_the_threshold(spark):
     # Texts of 300 words with a few words changed each: most pairs are just below 0.8.
     rng = random.Random(6)
