@@ -26,6 +26,8 @@ from folioscope.llm.common import ascii_lower, slices
 from folioscope.session import stored
 
 TABLE_BYTES = 48 << 20
+#: Bits that tell which texts may have an equal; 8 MB.
+REPEATED_BITS = 1 << 26
 
 _NO_ID = -(1 << 63)
 _ROWS = "row_uid long, row_id long, digest binary"
@@ -166,17 +168,37 @@ def duplicate_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
+def with_repeated(rows: DataFrame, text_col: str, name: str, bits: int = REPEATED_BITS) -> DataFrame:
+    """The rows with a column that is true where another row has the text, and for few others; at most
+    ``bits`` bits of a bitmap are broadcast for it."""
+    # Texts that are equal but for the case of A-Z have equal hashes.
+    place = F.xxhash64(F.lower(text_col))
+    seen = rows.select(place.alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    # Numbers from 1, as Spark's bitmaps have them.
+    number = lambda h: F.pmod(h, F.lit(bits)) + 1
+    marks = seen.where("n > 1").select(number(F.col("hash")).alias("number"))
+    maps = marks.groupBy(F.bitmap_bucket_number("number").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("_bits"))
+    placed = rows.withColumn("_bucket", F.bitmap_bucket_number(number(place))).withColumn("_bit", F.bitmap_bit_position(number(place)))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))
+    return placed.join(F.broadcast(stored(maps, "repeated")), "_bucket", "left").withColumn(name, found).select(*rows.columns, name)
+
+
 def drop_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The documents without copies: of equal texts the row with the largest id, all columns as they
-    came.  The rows that stay are found by id and digest, so only narrow rows are compared."""
-    best = content_groups(documents, id_col, text_col, table_bytes)
-    name = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    keys = best.select(F.lower(F.hex("digest")).alias("_digest"), F.col("best_id").alias("_best"), F.col("n_best").alias("_ties"))
+    came.  Rows of texts that repeat are found by id and digest; the others are not moved."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # The row as one value, so that its columns may have any names.
-    marked = documents.select(F.struct("*").alias("_row"), name.alias("_name"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_key"))
-    kept = marked.join(keys, (F.col("_name") == F.col("_digest")) & (F.col("_key") == F.col("_best")))
-    single = kept.where(F.col("_ties") == 1)
-    tied = kept.where(F.col("_ties") > 1)
-    if keys.where(F.col("_ties") > 1).isEmpty():
-        return single.select("_row.*")
-    return single.unionByName(tied.dropDuplicates(["_name"])).select("_row.*")
+    rows = documents.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
+    marked = with_repeated(rows, "_text", "_repeated")
+    # A text that has no equal stays where it is; only the others are moved and compared.
+    alone, others = marked.where("not _repeated").select("_row"), marked.where("_repeated").drop("_repeated")
+    best = content_groups(others, "_id", "_text", table_bytes)
+    name = F.sha2(ascii_lower(F.col("_text")).cast("binary"), 256)
+    keys = best.select(F.lower(F.hex("digest")).alias("_digest"), F.col("best_id").alias("_best"), F.col("n_best").alias("_ties"))
+    named = others.select("_row", name.alias("_name"), F.coalesce("_id", F.lit(_NO_ID)).alias("_key"))
+    kept = named.join(keys, (F.col("_name") == F.col("_digest")) & (F.col("_key") == F.col("_best")))
+    found = alone.unionByName(kept.where(F.col("_ties") == 1).select("_row"))
+    if not keys.where(F.col("_ties") > 1).isEmpty():
+        found = found.unionByName(kept.where(F.col("_ties") > 1).dropDuplicates(["_name"]).select("_row"))
+    return found.select("_row.*")

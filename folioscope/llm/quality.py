@@ -207,8 +207,8 @@ def keep_good(
     """The documents that score at least ``threshold``, with the columns they came with."""
     texts = documents.where(learnable).select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("row_text"))
     key = texts.schema["row_id"].dataType.simpleString()
-    labelled = texts.join(clean_labels(labels, id_col, label_col).select("label_id"), F.col("row_id") == F.col("label_id"), "left_semi")
-    vectors = labelled.mapInArrow(_vectors, f"row_id {key}, statistics array<double>")
+    # Vectors meet the labels, as texts would be moved for it once there are too many labels to broadcast.
+    vectors = texts.mapInArrow(_vectors, f"row_id {key}, statistics array<double>")
     model = fit_discriminant(vectors, clean_labels(labels, id_col, label_col), shrinkage)
 
     @F.pandas_udf("double")

@@ -52,3 +52,29 @@ def test_table_grows_and_compares_content():
         assert table.add(hashlib.sha256(b"%d" % (i % 2000)).digest(), b"%d" % (i % 2000), 1, i, 1)
     assert len(table.contents) == 2000
     assert [c for c in table.counts[:1000]] == [[2, 2000 + i, 1] for i in range(1000)]
+
+
+def test_only_repeated_texts_are_compared(spark, monkeypatch):
+    from folioscope.llm import exact_dedup as D
+
+    rows = [(i, f"Text {i % 90}") for i in range(100)] + [(200, "tEXT 50"), (None, "text 51"), (201, None), (202, ""), (203, None), (203, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = []
+
+    def groups(documents, *args, whole=D.content_groups):
+        sent.append(documents.count())
+        return whole(documents, *args)
+
+    monkeypatch.setattr(D, "content_groups", groups)
+    best = {}
+    for key, text in rows:
+        name = (text or "").lower()
+        best[name] = max(best.get(name, -1), -1 if key is None else key)
+    found = [((r.text or "").lower(), -1 if r.doc_id is None else r.doc_id) for r in D.drop_copies(frame).collect()]
+    assert sorted(found) == sorted(best.items())
+    assert sent == [28]
+    # With few bits texts without an equal are compared as well.
+    monkeypatch.setattr(D, "with_repeated", lambda *args, whole=D.with_repeated: whole(*args, bits=8))
+    found = [((r.text or "").lower(), -1 if r.doc_id is None else r.doc_id) for r in D.drop_copies(frame).collect()]
+    assert sorted(found) == sorted(best.items())
+    assert sent[1] > 28

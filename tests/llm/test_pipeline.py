@@ -35,3 +35,22 @@ def test_edges_and_empty(spark, edge, empty, tmp_path):
     for name, frame in (("edge", edge), ("empty", empty)):
         rows = P.run(spark, tables(spark, tmp_path / name, frame, labels))
         assert (rows.count() > 0) == (name == "edge")
+
+
+def test_texts_are_not_moved_to_the_labels(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from folioscope.llm import quality
+
+    plans = []
+
+    def fit(vectors, *args, whole=quality.fit_discriminant):
+        plans.append(vectors._jdf.queryExecution().optimizedPlan().toString())
+        return whole(vectors, *args)
+
+    monkeypatch.setattr(quality, "fit_discriminant", fit)
+    docs = spark.createDataFrame([(i, "plain words in a row. " * (3 + i) if i % 2 else "!!! $$$ " * (1 + i)) for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    kept = quality.keep_good(docs, labels, F.col("doc_id") < 8)
+    assert kept.columns == ["doc_id", "text"]
+    assert len(plans) == 1 and "Join" not in plans[0]
