@@ -115,19 +115,27 @@ class Blocks:
         texts = documents.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").alias("text"))
         size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         self.bytes = int(size)
-        self.name = f"blocks_{uuid.uuid4().hex}"
-        rows = texts.mapInArrow(_blocks, BLOCK_SCHEMA)
-        writer = rows.write.format("parquet").option("compression", "zstd").option("path", fresh_folder(self.spark, "blocks"))
+        self.names: dict[str, str] = {}
+        self.folders: dict[str, str] = {}
+        self.bucketed(texts.mapInArrow(_blocks, BLOCK_SCHEMA), "blocks", "block")
+
+    def bucketed(self, rows: DataFrame, label: str, key: str) -> DataFrame:
+        """The rows, of about as many bytes as the texts at most, written once into a table bucketed by the key."""
+        self.names[label] = f"{label}_{uuid.uuid4().hex}"
+        self.folders[label] = fresh_folder(self.spark, label)
+        writer = rows.write.format("parquet").option("compression", "zstd").option("path", self.folders[label])
         # Spark deals a bucketed table anew for a join if it has fewer buckets than a shuffle has partitions.
         least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        writer.bucketBy(max(least, 1 + self.bytes // TASK_BYTES), "block").saveAsTable(self.name)
+        writer.bucketBy(max(least, 1 + self.bytes // TASK_BYTES), key).saveAsTable(self.names[label])
+        return self.spark.table(self.names[label])
 
     def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return self.spark.table(self.names["blocks"])
 
     def close(self) -> None:
-        """Forgets the table; its files belong to the shared folder."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        """Forgets the tables; their files belong to the shared folder."""
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def with_answers(self, rounds: list[DataFrame]) -> DataFrame:
         """The blocks with columns ``bits0``, ``bits1``, ... of each round's answers."""

@@ -14,6 +14,8 @@ Two documents link when their sets of five-word shingles have ``100 * shared >=
   of one component need no more pairs.  The rest, nodes of one key in different components, is searched
   with an R-tree for all keys with one first node, or one per key if that has very many: it is packed by the counts, an inner node holds the largest count of
   each group below it, and a branch whose summed minima with a query are too small is not entered.
+* A tree of the counts alone comes first; only nodes that it lets through with a node of another component
+  get a tree with what follows.
 * What a tree lets through is bounded once more in its task, by counts of 65,536 groups, which is nearly the
   overlap itself.  A task tells a spanning forest of the pairs that pass, never the pairs, so what leaves
   it grows with the nodes.  The forests are verified on complete sets.  If one of their edges is no link,
@@ -361,6 +363,16 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps the pairs whose sketches allow a link."""
+    for batch in batches:
+        keep = []
+        for n, m, a, b in zip(*(batch.column(c) for c in ("n_a", "n_b", "sketch_a", "sketch_b")), strict=True):
+            shared = shared_by(numbered(sketched(a.as_buffer())), [numbered(sketched(b.as_buffer()))])
+            keep.append(shared[0] >= needed(n.as_py() + m.as_py()))
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs that link, from rows sorted by pair, two of each."""
     last = None
@@ -408,7 +420,14 @@ BUILD, PROBE, NEXT_PROBE, BOTH = range(4)
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of what the R-trees and the sketches let through, from rows sorted by key, tile
     and chunk pair; a group has at most about two chunks of rows."""
-    kept, forest = None, Forest()
+    forest = Forest()
+    for rows, starts in _whole_groups(batches):
+        yield _search_groups(rows, starts, forest)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of some whole groups, and where each starts, with the end."""
+    kept = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         if kept is not None:
@@ -420,9 +439,46 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(starts):
             # The last group may go on in the next batch.
             kept = rows.slice(int(starts[-1]))
-            yield _search_groups(rows.slice(0, int(starts[-1])), starts, forest)
+            yield rows.slice(0, int(starts[-1])), starts
     if kept is not None:
-        yield _search_groups(kept, np.array([0, len(kept)]), forest)
+        yield kept, np.array([0, len(kept)])
+
+
+_PLACED = "key long, tile int, build_chunk int, probe_chunk int, node binary, component binary, side int"
+
+
+def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with a partner in their group by their counts, from rows sorted like those of ``_searched``."""
+    for rows, starts in _whole_groups(batches):
+        near = [_near_rows(rows.slice(a, b - a)) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        if near:
+            yield from rows.drop_columns(["n", "counts"]).filter(pa.array(np.concatenate(near))).to_batches()
+
+
+def _near_rows(rows: pa.Table) -> np.ndarray:
+    """Which rows of a group are of a pair of different components whose counts allow a link."""
+    side, n = rows.column("side").to_numpy(), rows.column("n").to_numpy()
+    part = rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+    found = np.zeros(len(n), bool)
+    if not part.any():
+        return found
+    counts = [np.frombuffer(x.as_buffer(), np.uint16) for x in rows.column("counts")]
+    sizes = np.array([len(x) for x in counts])
+    # A partner is at most a quarter larger, so it has as many groups, or twice or half as many.
+    for groups in np.unique(sizes).tolist():
+        mine = np.flatnonzero((sizes == groups) | (sizes == 2 * groups))
+        built, asks = (side[mine] == BUILD) | (side[mine] == BOTH), side[mine] != BUILD
+        if not built.any() or not asks.any():
+            continue
+        points, build = np.stack([folded(counts[i], groups) for i in mine.tolist()]), mine[built]
+        tree = CountTree(points[built], n[build])
+        for i, point in zip(mine[asks].tolist(), points[asks], strict=True):
+            near = build[tree.search(point, int(n[i]))]
+            # Two of twice as many groups have a tree of their own.
+            near = near[(part[near] != part[i]) & ((sizes[near] == groups) | (sizes[i] == groups))]
+            if len(near):
+                found[i] = found[near] = True
+    return found
 
 
 def _search_groups(rows: pa.Table, starts: np.ndarray, forest: Forest) -> pa.RecordBatch:
@@ -474,14 +530,20 @@ class _Join:
         nodes = found.where("kind = 'node'").select("node", "n", "block", "place", "counts", "sketch", "keys")
         # One row per node: equal sets of several blocks have equal keys, those shared in one are in all.
         first = Window.partitionBy("node").orderBy("block")
-        self.nodes = stored(nodes.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth"), "nodes")
-
-    def keyed(self, parts: DataFrame | None) -> DataFrame:
-        """``(key, node, component, n)``; components are joined before the keys become rows.  Without
-        parts every node is its own."""
-        own = self.nodes.select("node", "n", "keys")
-        held = own.withColumn("component", F.col("node")) if parts is None else own.join(parts, "node")
-        return held.select(F.explode("keys").alias("key"), "node", "component", "n")
+        nodes = nodes.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+        #: The nodes bucketed by name, which what has few rows of each is joined to without a shuffle of them.
+        self.dealt = blocks.bucketed(nodes, "nodes", "node")
+        #: The same files as a plain table: a join of very many rows of one node can be split by Spark.
+        self.nodes = self.dealt.sparkSession.read.schema(self.dealt.schema).parquet(blocks.folders["nodes"])
+
+    def named(self, parts: DataFrame | None) -> DataFrame:
+        """``(id, node, component, n, keys)``; without parts every node is its own component.  The id is a hash
+        of the name, which rows of keys carry instead of it."""
+        if parts is None:
+            held = self.nodes.withColumn("component", F.col("node"))
+        else:
+            held = self.dealt.join(parts, "node")
+        return held.select(F.xxhash64("node").alias("id"), "node", "component", "n", "keys")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         left = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("counts_a"))
@@ -503,56 +565,73 @@ class _Join:
         return stored(sets.mapInArrow(_verified, "a binary, b binary"), "links")
 
     def star_pairs(self, parts: DataFrame | None, turn: int) -> DataFrame:
-        """Each key's nodes with one of them, if that is of another component."""
-        rows = self.keyed(parts)
-        place = F.xxhash64("node", F.lit(turn)).alias("place")
+        """Each key's nodes as ``a`` with one of them as ``b``, if that is of another component and not too large or small."""
+        named = self.named(parts).withColumn("place", F.xxhash64("node", F.lit(turn)))
+        rows = named.select(F.explode("keys").alias("key"), "place")
         # Joined rather than a window by key, which would be one task for a key of very many nodes.
-        first = rows.select("key", place).groupBy("key").agg(F.min("place").alias("place"))
-        names = self.nodes.select("node", F.col("node").alias("component")) if parts is None else parts
-        heads = names.select(F.col("node").alias("head"), F.col("component").alias("head_component"), place)
-        head = first.join(heads, "place").drop("place")
-        pairs = rows.join(head, "key").where(F.col("component") != F.col("head_component"))
-        return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-
-    def open_keys(self, parts: DataFrame, least: int) -> DataFrame:
+        first = rows.groupBy("key").agg(F.min("place").alias("head"))
+        pairs = rows.join(first, "key").where("place != head").select("place", "head").distinct()
+        # Names and sizes come to pairs, of which there are fewer than keys.
+        end = lambda place, c: named.select(F.col("place").alias(place), F.col("node").alias(c), F.col("component").alias(f"part_{c}"), F.col("n").alias(f"n_{c}"))
+        ends = pairs.join(end("place", "a"), "place").join(end("head", "b"), "head")
+        # Sizes tell most pairs that cannot link, before the counts of any are moved.
+        return ends.where((F.col("part_a") != F.col("part_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))).select("a", "b")
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches allow a link, of which few have no link, so few complete sets are moved in vain."""
+        # Only the second nodes, the heads, can have very many pairs: Spark may split the join with a stored table.
+        heads = stored(pairs.select(F.col("b").alias("node")).distinct().join(self.dealt.select("node", "n", "sketch"), "node"), "heads")
+        left = self.dealt.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+        right = heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+        kept = pairs.join(left, "a").join(right, "b").mapInArrow(_close, "a binary, b binary")
+        return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def open_keys(self, rows: DataFrame, least: int) -> DataFrame:
         """``(key, nodes, label)`` of the keys with ``least`` nodes or more, of different components; of keys that
         the very same nodes have, the smallest, where their pairs are told.  The label is that of the node
-        that comes first by its hash."""
-        part = F.xxhash64("component")
-        who = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"who{i}") for i in range(2)]
-        seen = self.keyed(parts).groupBy("key").agg(F.min(part).alias("low"), F.max(part).alias("high"), F.count(F.lit(1)).alias("nodes"), F.min(F.xxhash64("node")).alias("label"), *who)
-        same = seen.where((F.col("low") != F.col("high")) & (F.col("nodes") >= least)).groupBy("nodes", "who0", "who1")
-        return same.agg(F.min("key").alias("key"), F.min("label").alias("label")).select("key", "nodes", "label")
+        that comes first by its id."""
+        seen = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("nodes"), F.min("id").alias("label"), F.bit_xor("id").alias("who"))
+        same = seen.where((F.col("low") != F.col("high")) & (F.col("nodes") >= least)).groupBy("nodes", "label", "who")
+        return same.agg(F.min("key").alias("key")).select("key", "nodes", "label")
 
     def remaining_forests(self, parts: DataFrame, failed: DataFrame | None) -> DataFrame:
         """Spanning forests of the pairs that share a key, are of different components, pass the bounds and
         have not ``failed``."""
         # The only pair of a key with two nodes was tried in the first round; later there are parts of keys.
         least = 3 if failed is None else 2
-        rows = stored(self.keyed(parts).join(self.open_keys(parts, least), "key"), "open-rows")
+        named = self.named(parts)
+        # A node of its own component has one hash as both, which compresses.
+        rows = named.select(F.explode("keys").alias("key"), "id", F.xxhash64("component").alias("part"))
+        rows = stored(rows.select("key", "id").join(self.open_keys(rows, least), "key"), "open-rows")
+        names = named.select("id", "node", "component", "n")
         # Near copies have many keys in common and mostly the same first node in them; keys with one first node
         # are searched together, so a node is sent once for each such node and not once for each key.
-        held = stored(rows.select("label", "node", "component", "n").distinct(), "gathered")
+        held = stored(rows.select("label", "id").distinct().join(names, "id"), "gathered")
         sizes = held.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens"))
         small = stored(sizes.where((F.col("nodes") <= CHUNK) & (F.col("tokens") <= CHUNK_TOKENS)).select("label"), "labels")
         as_whole = lambda key, tile: [
             F.col(key).alias("key"), F.lit(tile).alias("tile"), F.lit(0).alias("build_chunk"), F.lit(0).alias("probe_chunk"), "node", "component", F.lit(BOTH).alias("side")
         ]
         gathered = held.join(small, "label").select(*as_whole("label", GATHERED))
-        rows = rows.join(small, "label", "left_anti")
+        rows = rows.join(small, "label", "left_anti").join(names, "id")
         whole = rows.where(F.col("nodes") <= CHUNK).select(*as_whole("key", 0))
         rows = gathered.unionByName(whole).unionByName(self.cut(rows.where(F.col("nodes") > CHUNK)))
-        points = self.nodes.select("node", "n", "sketch", F.slice(F.array_sort("keys"), 1, LOWEST_KEYS).alias("lowest"))
+        # What has no partner by the counts, which are small, needs no sketch.
+        outlines = rows.join(self.dealt.select("node", "n", "counts"), "node").select(*_GROUP, "node", "component", "side", "n", "counts")
+        rows = self.in_groups(outlines).mapInArrow(_outlined, _PLACED)
+        points = self.dealt.select("node", "n", "sketch", F.slice(F.array_sort("keys"), 1, LOWEST_KEYS).alias("lowest"))
         if failed is None:
             points = points.withColumn("failed", F.lit(None).cast("array<binary>"))
         else:
             ends = failed.select(F.col("a").alias("node"), "b").union(failed.select(F.col("b"), F.col("a")))
             points = points.join(ends.groupBy("node").agg(F.collect_set("b").alias("failed")), "node", "left")
-        # Many small groups: a task goes through its own in order rather than calling Python for each.
         # All pairs of what was gathered are told there.
         placed = rows.join(points, "node").withColumn("lowest", F.when(F.col("tile") != GATHERED, F.col("lowest")))
-        sorted_rows = placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
-        return sorted_rows.mapInArrow(_searched, "a binary, b binary").distinct()
+        return self.in_groups(placed).mapInArrow(_searched, "a binary, b binary").distinct()
+
+    def in_groups(self, rows: DataFrame) -> DataFrame:
+        """The rows by group.  Many are small: a task goes through its own in order rather than calling Python for each."""
+        return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
 
     def suspects(self, parts: DataFrame, tried: DataFrame, missed: DataFrame) -> DataFrame:
         """The nodes that the edges ``tried`` connect with one that is no link, by the components of before."""
@@ -619,7 +698,7 @@ def shingle_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     edges = None
     for turn in range(STAR_ROUNDS):
         tried = stored(join.bounded(join.star_pairs(parts if turn else None, turn)), "star-pairs")
-        new = join.verified(tried)
+        new = join.verified(stored(join.close(tried), "close-pairs"))
         edges = new if edges is None else edges.unionByName(new)
         parts = stored(components(names, edges), "parts")
     failed = suspects = None

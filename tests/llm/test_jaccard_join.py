@@ -1,5 +1,6 @@
 import random
 import re
+import tempfile
 from itertools import combinations
 
 import numpy as np
@@ -218,6 +219,65 @@ def test_sets_go_to_their_pairs_and_are_not_stored(spark, monkeypatch):
     assert "links" in labels and "node-sets" not in labels
 
 
+def test_nodes_without_a_partner_by_their_counts_get_no_sketch(spark, monkeypatch, tmp_path):
+    def counted(batches, run=J._searched, folder=str(tmp_path)):
+        def seen():
+            for batch in batches:
+                with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as file:
+                    file.write(str(batch.num_rows))
+                yield batch
+
+        yield from run(seen())
+
+    monkeypatch.setattr(J, "_searched", counted)
+    rows_with_sketch = lambda: sum(int(f.read_text()) for f in tmp_path.iterdir())
+    rng = random.Random(11)
+    # Texts with a passage in common, which shares keys, and nothing else.
+    passage = sentence(rng, 60)
+    rows = [(i, passage + " " + sentence(rng, 90)) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(J.shingle_components(frame)) == expected(rows)
+    assert rows_with_sketch() == 0
+    # Near copies around the threshold do get one.
+    rows = near_rows(4, 60)
+    assert result(J.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"))) == expected(rows)
+
+
+def test_nodes_are_not_shuffled_again_for_their_keys(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(J, "stored", lambda frame, label, put=J.stored: plans.setdefault(label, frame) and put(frame, label))
+    rows = near_rows(3, 60)
+    J.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = plans["open-rows"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(key" in plan and "Bucketed: true" in plan
+    assert not re.search(r"Exchange hashpartitioning\(node#.*\n(?:(?!.*FileScan).*\n)*.*FileScan.*keys#", plan)
+
+
+def test_near_rows_have_a_pair_that_the_counts_let_through():
+    rng = np.random.default_rng(12)
+    base = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (40, 120, 126, 130, 160, 255, 260, 300, 1000)]
+    sets = base + [np.unique(np.concatenate([s[: len(s) - len(s) // d], rng.integers(0, 1 << 63, len(s) // 20, dtype=np.uint64)])) for s in base for d in (3, 8, 20)]
+    sets = sets + [s for s in sets[:5]]
+    part = [bytes([i % 7]) for i in range(len(sets))]
+    counts, n = [J.group_counts(s) for s in sets], [len(s) for s in sets]
+    for trial in range(20):
+        mine = rng.permutation(len(sets))[: rng.integers(2, len(sets) + 1)]
+        side = rng.integers(0, 4, len(mine)) if trial % 2 else np.full(len(mine), J.BOTH)
+        rows = pa.table({
+            "side": pa.array(side, pa.int32()), "n": pa.array([n[i] for i in mine], pa.int64()),
+            "component": pa.array([part[i] for i in mine], pa.binary()), "counts": pa.array([counts[i].tobytes() for i in mine], pa.binary()),
+        })
+        found = set()
+        for x, i in enumerate(mine):
+            for y, j in enumerate(mine):
+                asks, built = side[x] != J.BUILD, side[y] in (J.BUILD, J.BOTH)
+                if asks and built and part[i] != part[j] and J.overlap_bound(counts[i], counts[j]) >= J.needed(n[i] + n[j]):
+                    found |= {x, y}
+        assert set(np.flatnonzero(J._near_rows(rows)).tolist()) >= found
+    strangers = {"side": [J.BOTH] * len(base), "n": n[: len(base)], "component": part[:7] + [b"x", b"y"], "counts": [c.tobytes() for c in counts[: len(base)]]}
+    assert not J._near_rows(pa.table(strangers)).any()
+
+
 def test_many_near_copies_just_below_the_threshold(spark):
     # Texts of 300 words with a few words changed each: most pairs are just below 0.8.
     rng = random.Random(6)
