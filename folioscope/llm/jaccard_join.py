@@ -537,13 +537,9 @@ class _Join:
         self.nodes = self.dealt.sparkSession.read.schema(self.dealt.schema).parquet(blocks.folders["nodes"])
 
     def named(self, parts: DataFrame | None) -> DataFrame:
-        """``(id, node, component, n, keys)``; without parts every node is its own component.  The id is a hash
-        of the name, which rows of keys carry instead of it."""
-        if parts is None:
-            held = self.nodes.withColumn("component", F.col("node"))
-        else:
-            held = self.dealt.join(parts, "node")
-        return held.select(F.xxhash64("node").alias("id"), "node", "component", "n", "keys")
+        """``(node, component, n, keys)``; without parts every node is its own component."""
+        held = self.nodes.withColumn("component", F.col("node")) if parts is None else self.dealt.join(parts, "node")
+        return held.select("node", "component", "n", "keys")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         left = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("counts_a"))
@@ -589,8 +585,10 @@ class _Join:
     def open_keys(self, rows: DataFrame, least: int) -> DataFrame:
         """``(key, nodes, label)`` of the keys with ``least`` nodes or more, of different components; of keys that
         the very same nodes have, the smallest, where their pairs are told.  The label is that of the node
-        that comes first by its id."""
-        seen = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("nodes"), F.min("id").alias("label"), F.bit_xor("id").alias("who"))
+        that comes first by its hash."""
+        # A node of its own component has one hash as both, which compresses.
+        hashed = rows.select("key", F.xxhash64("node").alias("id"), F.xxhash64("component").alias("part"))
+        seen = hashed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("nodes"), F.min("id").alias("label"), F.bit_xor("id").alias("who"))
         same = seen.where((F.col("low") != F.col("high")) & (F.col("nodes") >= least)).groupBy("nodes", "label", "who")
         return same.agg(F.min("key").alias("key")).select("key", "nodes", "label")
 
@@ -599,26 +597,24 @@ class _Join:
         have not ``failed``."""
         # The only pair of a key with two nodes was tried in the first round; later there are parts of keys.
         least = 3 if failed is None else 2
-        named = self.named(parts)
-        # A node of its own component has one hash as both, which compresses.
-        rows = named.select(F.explode("keys").alias("key"), "id", F.xxhash64("component").alias("part"))
-        rows = stored(rows.select("key", "id").join(self.open_keys(rows, least), "key"), "open-rows")
-        names = named.select("id", "node", "component", "n")
+        rows = self.named(parts).select(F.explode("keys").alias("key"), "node", "component", "n")
+        rows = stored(rows.join(self.open_keys(rows, least), "key"), "open-rows")
         # Near copies have many keys in common and mostly the same first node in them; keys with one first node
         # are searched together, so a node is sent once for each such node and not once for each key.
-        held = stored(rows.select("label", "id").distinct().join(names, "id"), "gathered")
+        held = stored(rows.select("label", "node", "component", "n").distinct(), "gathered")
         sizes = held.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens"))
         small = stored(sizes.where((F.col("nodes") <= CHUNK) & (F.col("tokens") <= CHUNK_TOKENS)).select("label"), "labels")
         as_whole = lambda key, tile: [
             F.col(key).alias("key"), F.lit(tile).alias("tile"), F.lit(0).alias("build_chunk"), F.lit(0).alias("probe_chunk"), "node", "component", F.lit(BOTH).alias("side")
         ]
         gathered = held.join(small, "label").select(*as_whole("label", GATHERED))
-        rows = rows.join(small, "label", "left_anti").join(names, "id")
+        rows = rows.join(small, "label", "left_anti")
         whole = rows.where(F.col("nodes") <= CHUNK).select(*as_whole("key", 0))
         rows = gathered.unionByName(whole).unionByName(self.cut(rows.where(F.col("nodes") > CHUNK)))
         # What has no partner by the counts, which are small, needs no sketch.
         outlines = rows.join(self.dealt.select("node", "n", "counts"), "node").select(*_GROUP, "node", "component", "side", "n", "counts")
-        rows = self.in_groups(outlines).mapInArrow(_outlined, _PLACED)
+        # A node is joined to its sketch once, not once for each of its groups.
+        kept = self.in_groups(outlines).mapInArrow(_outlined, _PLACED).groupBy("node").agg(F.collect_list(F.struct(*_GROUP, "component", "side")).alias("groups"))
         points = self.dealt.select("node", "n", "sketch", F.slice(F.array_sort("keys"), 1, LOWEST_KEYS).alias("lowest"))
         if failed is None:
             points = points.withColumn("failed", F.lit(None).cast("array<binary>"))
@@ -626,7 +622,8 @@ class _Join:
             ends = failed.select(F.col("a").alias("node"), "b").union(failed.select(F.col("b"), F.col("a")))
             points = points.join(ends.groupBy("node").agg(F.collect_set("b").alias("failed")), "node", "left")
         # All pairs of what was gathered are told there.
-        placed = rows.join(points, "node").withColumn("lowest", F.when(F.col("tile") != GATHERED, F.col("lowest")))
+        placed = kept.join(points, "node").select("node", "n", "sketch", "lowest", "failed", F.explode("groups").alias("at"))
+        placed = placed.select("at.*", "node", "n", "sketch", F.when(F.col("at.tile") != GATHERED, F.col("lowest")).alias("lowest"), "failed")
         return self.in_groups(placed).mapInArrow(_searched, "a binary, b binary").distinct()
 
     def in_groups(self, rows: DataFrame) -> DataFrame:
