@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -8,6 +9,7 @@ from folioscope.models.columns import complete_column
 from folioscope.models.hashing import HashingEmbedder
 from folioscope.models.offline import LineJudge
 from folioscope.plans.evaluate import STATEMENTS_TASK, judge_relevancy, remembering_table
+from folioscope.plans import replay as replays
 from folioscope.plans.replay import remembered, replay
 from folioscope.plans.retrieve import text_retriever
 from folioscope.session import fresh_folder
@@ -154,3 +156,26 @@ def test_replay_searches_once_and_without_a_model_needs_no_rounds(spark, retriev
                     memory.pop(0)
         plain[limit] = got
     assert all(len(plain[1 << 20]) == len(v) for v in plain.values())
+
+
+def test_replay_remembers_all_and_hashes_whole_prompts(spark, retriever, monkeypatch):
+    """Memories beyond the former limit of a million characters are whole, as texts and as hashes."""
+    long = "who hunts at night " + "x" * 400_000
+    rows = [("s", t, "user", f"{long} {t}") for t in range(7)] + [("t", t, "user", "fish") for t in range(2)]
+    rows += [(None, 0, "user", None), (None, 4, "user", "bees")]
+    messages = spark.createDataFrame(rows, "session_id string, turn long, role string, text string").repartition(3)
+    told = replay(messages, retriever).collect()
+    prompts = {(r["session_id"], r["round"]): (r["turn"], r["prompt"], r["answer"]) for r in told}
+    for session, n in (("s", 7), ("t", 2), (None, 2)):
+        memory = ""
+        for r in sorted((r for r in told if r["session_id"] == session), key=lambda r: r["round"]):
+            assert memory in r["prompt"] and r["prompt"].count("\nHuman: ") == r["round"]
+            memory += f"\nHuman: {r['question']}\nAssistant: {r['answer']}"
+        assert r["round"] == n - 1
+    # In pages of two questions, later pages get the exchanges of earlier ones.
+    for page in (1024, 2):
+        monkeypatch.setattr(replays, "PAGE_ROUNDS", page)
+        got = replay(messages, retriever, hashed=True).collect()
+        hashed = {key: (turn, hashlib.sha256(prompt.encode()).hexdigest(), answer) for key, (turn, prompt, answer) in prompts.items()}
+        assert len(got) == len(rows) and {(r["session_id"], r["round"]): (r["turn"], r["prompt_hash"], r["answer"]) for r in got} == hashed
+    assert replay(messages.where("false"), retriever, hashed=True).count() == 0
