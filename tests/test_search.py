@@ -127,6 +127,43 @@ def test_groups_of_questions_give_the_same_hits_in_bounded_tasks(spark, data, sp
     assert groups == [4]
 
 
+def test_groups_do_not_multiply_what_is_moved(spark, data, monkeypatch, capsys):
+    """Neither points nor questions are repeated before a shuffle, and a task tells ``k`` hits a question."""
+    questions, points = data
+    q = spark.createDataFrame(questions, "question_id int, vector array<float>").repartition(5)
+    p = spark.createDataFrame(points, SCHEMA).repartition(7)
+    monkeypatch.setattr(search, "_GROUP_HITS", 15)
+    near = []
+    monkeypatch.setattr(search, "dealt", lambda df, rows, *keys, **more: near.append((df, rows)) or df)
+    got = top_k(q, p, 5, split_bytes=200)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    told, bound = near[0]
+    # Eight lanes for each of the four groups.
+    assert bound == len(questions) * 5 * 8 and told.count() <= bound
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [e[:3] for e in brute_force(questions, points, 5)]
+
+
+def test_short_products_lose_no_hit():
+    """Scores that differ by less than 32-bit numbers tell are ranked by their 64-bit products."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=40)
+    points = search._unit_rows(base + rng.normal(size=(3000, 40)) * 1e-6)
+    asked = search._unit_rows(base + rng.normal(size=(6, 40)) * 1e-6)
+    ids = np.array([f"p{i:04d}" for i in rng.permutation(3000)], dtype=object)
+    best = search._Best(np.full(6, -np.inf), 4, 4)
+    for at in range(0, 3000, 100):
+        part = slice(at, at + 100)
+        best.offer(points[part], points[part].astype(np.float32), asked, asked.astype(np.float32), ids[part], np.arange(at, at + 100))
+    best.prune()
+    scores = np.round(points @ asked.T, search.SCORE_DECIMALS)
+    for n in range(6):
+        order = sorted(range(3000), key=lambda i: (-scores[i, n], ids[i]))[:4]
+        assert [i for i, of in zip(best.id, best.question, strict=True) if of == n] == [ids[i] for i in order]
+        assert [a for a, of in zip(best.at, best.question, strict=True) if of == n] == order
+
+
 def test_packed_vectors_keep_their_type(spark):
     bytes_of = lambda kind: packed(spark.createDataFrame([("a", [0.1, 0.2])], f"ids string, vector array<{kind}>"), "vector").first()["vectors"]
     assert bytes(bytes_of("float")) == np.array([0.1, 0.2], np.float32).tobytes()
