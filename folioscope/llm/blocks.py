@@ -5,7 +5,8 @@ into a table that Spark keeps bucketed by block, so later passes read it without
 round every block sends its distinct keys, packed into one message per key bucket; a bucket sorts the
 keys of all its messages and answers each with one bit per key; and the answers come back to the block
 by a join on its number.  Keys are small hashes, so a round moves a few bytes per key and no text, and a
-key that a third of all rows share arrives once per block.
+key that a third of all rows share arrives once per block.  A block may send itself what it knows so far
+(``note``), which the next pass then has without finding it again.
 """
 
 from __future__ import annotations
@@ -175,8 +176,8 @@ def unpack(payload: bytes, n: int, kinds: list[type]) -> list[np.ndarray]:
 
 def messages(block: int, bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     """One row per bucket; the keys must be sorted by bucket."""
-    names, first = np.unique(bucket, return_index=True)
-    ends = np.append(first[1:], len(bucket))
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    names, ends = bucket[first], np.append(first[1:], len(bucket))
     payload = [pack([c[a:b] for c in columns]) for a, b in zip(first, ends, strict=True)]
     return pa.RecordBatch.from_pydict(
         {
@@ -188,12 +189,26 @@ def messages(block: int, bucket: np.ndarray, columns: list[np.ndarray]) -> pa.Re
     )
 
 
+def note(block: int, payload: bytes) -> pa.RecordBatch:
+    """A message of a block to itself, which comes back among the answers as it is."""
+    row = {"bucket": -1 - block, "block": block, "n": 0, "payload": payload}
+    kinds = {"bucket": pa.int64(), "block": pa.int64(), "n": pa.int64(), "payload": pa.binary()}
+    return pa.RecordBatch.from_pydict({name: pa.array([row[name]], kind) for name, kind in kinds.items()})
+
+
+def noted(bits: list[dict]) -> bytes:
+    return next(entry["bits"] for entry in bits if entry["bucket"] < 0)
+
+
 def answered(bits: list[dict] | None, bucket: np.ndarray) -> np.ndarray:
     """The answers to the keys that a block sent, in the order it sent them."""
     found = np.zeros(len(bucket), bool)
-    for entry in bits or []:
-        a, b = np.searchsorted(bucket, [entry["bucket"], entry["bucket"] + 1])
-        found[a:b] = np.unpackbits(np.frombuffer(entry["bits"], np.uint8), count=b - a).astype(bool)
+    entries = [entry for entry in bits or [] if entry["bucket"] >= 0]
+    # Of the keys' own type, and all at once: otherwise all keys are converted for every bucket.
+    names = np.array([entry["bucket"] for entry in entries], bucket.dtype)
+    edges = zip(np.searchsorted(bucket, names, "left").tolist(), np.searchsorted(bucket, names, "right").tolist(), strict=True)
+    for entry, (a, b) in zip(entries, edges, strict=True):
+        found[a:b] = np.unpackbits(np.frombuffer(entry["bits"], np.uint8), count=b - a).view(bool)
     return found
 
 
@@ -202,6 +217,8 @@ def answers(sent: DataFrame, kinds: list[type], judge: Callable[[list[np.ndarray
     the number of the message of each, and returns a boolean per key."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": table.column("payload")})
         counts = table.column("n").to_numpy()
         columns = [unpack(p.as_py(), n, kinds) for p, n in zip(table.column("payload"), counts, strict=True)]
         merged = [np.concatenate([c[i] for c in columns]) for i in range(len(kinds))]

@@ -15,6 +15,9 @@ compared to that depth only, by hashes in place of lexical order and ranks, and
    hash, and one bucket at a time is sorted by that hash; in a run of equal ones all but the smallest document's are
    repeats.
 
+A step settles the answers of the one before and notes for the next pass, as bits, which suffixes repeat and
+which are left, so keys are found twice, to send them and to read their answers, and not in every later pass.
+
 Memory is bounded by a block of texts and a bucket of keys; the keys of steps 1 and 3 are 128 and 96
 bits (and the bucket's number), those of step 2 only select.  No text moves between tasks after the
 blocks are written.
@@ -61,6 +64,23 @@ def spread_back(marks: np.ndarray, reach: int) -> np.ndarray:
 class BlockState:
     """What a block knows about its suffixes; each step adds the answers of its round."""
 
+    @classmethod
+    def before(cls, row: dict, buckets: list[int], step: int) -> BlockState:
+        """The state of a block to which the answers of all steps before ``step`` are added."""
+        state = cls(row, buckets)
+        if step > 1:
+            state.recall(B.noted(row["bits0"]))
+        if step:
+            _SETTLE[step - 1](state, row["bits0"])
+        return state
+
+    def notes(self) -> bytes:
+        return np.packbits(np.stack([self.repeat, self.active]), axis=1).tobytes()
+
+    def recall(self, notes: bytes) -> None:
+        bits = np.frombuffer(notes, np.uint8).reshape(2, -1)
+        self.repeat, self.active = np.unpackbits(bits, axis=1, count=len(self.data)).astype(bool)
+
     def __init__(self, row: dict, buckets: list[int]):
         self.block = row["block"]
         self.ids, self.starts, self.data = B.texts_of(row)
@@ -191,12 +211,12 @@ _SETTLE = (BlockState.settle_regions, BlockState.settle_samples, BlockState.sett
 def _asked(step: int, buckets: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows_of(batches):
-            state = BlockState(row, buckets)
-            for i in range(step):
-                _SETTLE[i](state, row[f"bits{i}"])
+            state = BlockState.before(row, buckets, step)
             bucket, columns = _STEPS[step][0](state)
             if len(bucket):
                 yield B.messages(state.block, bucket, columns)
+            if step:
+                yield B.note(state.block, state.notes())
 
     return run
 
@@ -207,9 +227,7 @@ _RESULT = "row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def _finished(buckets: list[int], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows_of(batches):
-            state = BlockState(row, buckets)
-            for i, settle in enumerate(_SETTLE):
-                settle(state, row[f"bits{i}"])
+            state = BlockState.before(row, buckets, len(_STEPS))
             gone = state.removed()
             found = {k: [] for k in ("row_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
             for key, a, b in zip(state.ids.tolist(), state.starts[:-1].tolist(), state.starts[1:].tolist(), strict=True):
@@ -242,7 +260,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = [1 + int(table.bytes * share) // bucket_bytes for share in shares]
     rounds: list[DataFrame] = []
     for step, (_, kinds, judge) in enumerate(_STEPS):
-        sent = table.with_answers(rounds).mapInArrow(_asked(step, buckets), B.MESSAGE_SCHEMA)
+        sent = table.with_answers(rounds[-1:]).mapInArrow(_asked(step, buckets), B.MESSAGE_SCHEMA)
         rounds.append(stored(B.answers(sent, kinds, judge), f"repeats-{step}"))
     schema = _RESULT + (", kept binary, spans array<struct<start: long, end: long>>" if with_text else "")
-    return table.with_answers(rounds).mapInArrow(_finished(buckets, with_text), schema)
+    return table.with_answers(rounds[-1:]).mapInArrow(_finished(buckets, with_text), schema)
