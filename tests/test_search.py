@@ -145,6 +145,20 @@ def test_groups_do_not_multiply_what_is_moved(spark, data, monkeypatch, capsys):
     assert sorted(tuple(r)[:3] for r in got.collect()) == [e[:3] for e in brute_force(questions, points, 5)]
 
 
+def test_groups_carry_columns_and_move_points_once(spark, data, monkeypatch, capsys):
+    """Hits of many questions know their data file, and vectors are not sent to every group for that."""
+    questions, points = data
+    q = spark.createDataFrame(questions, "question_id int, vector array<float>").repartition(5)
+    p = spark.createDataFrame([(i, v, f"file {int(i[-1]) % 4}" if i[-1].isdigit() else None) for i, v in points], SCHEMA + ", _file string").repartition(7)
+    monkeypatch.setattr(search, "_GROUP_HITS", 15)
+    got = top_k(q, p, 5, carried=("_file",), split_bytes=200)
+    got.explain()
+    assert "Generate" not in capsys.readouterr().out
+    rows = got.collect()
+    assert all(r["_file"] == (f"file {int(r['id'][-1]) % 4}" if r["id"][-1].isdigit() else None) for r in rows)
+    assert sorted(tuple(r)[:3] for r in rows) == [e[:3] for e in brute_force(questions, points, 5)]
+
+
 def test_short_products_lose_no_hit():
     """Scores that differ by less than 32-bit numbers tell are ranked by their 64-bit products."""
     rng = np.random.default_rng(5)
